@@ -2,9 +2,10 @@
 
 Documents with the same set of shingles form a class, and only one of a class goes on. Each band of minima puts classes into
 buckets; a bucket is not expanded into pairs. First every bucket's best connected class is its centre and is held against the
-others (one row per bucket and class). Components of what that confirms settle most buckets; for the classes of a bucket that
-still lie in different components, those pairs whose signatures agree enough are tested, which is all that can be missing.
-Every link is confirmed on full sets of shingles.
+others (one row per bucket and class). Components of what that confirms settle most buckets. What can still be missing are
+links between classes of one bucket that lie in different components. A shingle that only one undecided class has is in no
+overlap, so a class's other shingles bound its overlap with any other class; pairs whose bound reaches the threshold and
+whose signatures agree enough are tested. Every link is confirmed on full sets of shingles.
 """
 
 from __future__ import annotations
@@ -97,6 +98,16 @@ def _confirm(k: int, threshold: float):
     return run
 
 
+def _items(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                items = shingle_set(word_hashes(text or b""), k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), rep)), pa.array(items)], ["rep", "item"])
+
+    return run
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Of ``pairs`` (centre, member) those whose full sets reach the threshold. A centre with many members is dealt to many tasks."""
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
@@ -121,7 +132,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     n = ROWS * bands_for(threshold)
     sketch = scratch.table(sketches(docs, shingle_words, n), "sketch")
 
-    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
+    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("size"))
     classes = scratch.table(classes, "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(n // ROWS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
     banded = classes.select("rep", F.explode(keys).alias("key"))
@@ -141,10 +152,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
 
     placed = buckets.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(classes.select("rep", "signature"), "rep")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "signature"))) for x in "ab")
+    rest = scratch.table(placed.join(open_keys, "key", "left_semi"), "rest")
+    undecided = texts.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    alone = undecided.mapInArrow(_items(shingle_words), "rep long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
+    held = classes.select("rep", "signature", "size").join(alone, "rep", "left").select("rep", "signature", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    rest = rest.join(held, "rep")
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "signature", "size", "common"))) for x in "ab")
     agree = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    more = a.join(b, (a.key == b.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (agree >= agreement_for(threshold, n)))
+    percent = round(100 * threshold)
+    reach = F.least("common_a", "common_b") * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
+    more = a.join(b, (a.key == b.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & reach & (agree >= agreement_for(threshold, n)))
     more = more.select(F.col("rep_a").alias("centre"), F.col("rep_b").alias("member")).distinct()
     done = tested.unionByName(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
     more = scratch.table(more.join(done, ["centre", "member"], "left_anti"), "more")
