@@ -3,9 +3,9 @@
 Documents with the same set of shingles form a class, and only one of a class goes on. Each band of minima puts classes into
 buckets; a bucket is not expanded into pairs. First every bucket's best connected class is its centre and is held against the
 others (one row per bucket and class). Components of what that confirms settle most buckets. What can still be missing are
-links between classes of one bucket that lie in different components. A shingle that only one undecided class has is in no
-overlap, so a class's other shingles bound its overlap with any other class; pairs whose bound reaches the threshold and
-whose signatures agree enough are tested. Every link is confirmed on full sets of shingles.
+links between classes that share a bucket and lie in different components. Those classes go through an exact prefix join of
+their own, as a group of copies that differ too much from each other would else be held against itself pair by pair; pairs
+that it leaves and whose signatures agree enough are tested. Every link is confirmed on full sets of shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
@@ -117,6 +117,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member").mapInArrow(_confirm(k, threshold), "u long, v long")
 
 
+def _undecided(texts: DataFrame, rest: DataFrame, classes: DataFrame, k: int, threshold: float, n: int, scratch: Scratch) -> DataFrame:
+    """Pairs (centre, member) of ``rest`` (rep, component) in different components that may reach the threshold.
+
+    A set-similarity join of the undecided classes alone: shingles in ascending order of how many of these classes have them,
+    each class indexed by those it must share one of, and pairs kept whose overlap can still be large enough from the places
+    of the shingle they share; then their signatures must agree.
+    """
+    percent = round(100 * threshold)
+    chosen = texts.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    items = scratch.table(chosen.mapInArrow(_items(k), "rep long, item long"), "items")
+    own = Window.partitionBy("rep")
+    often = items.groupBy("item").agg(F.count("*").alias("often"))
+    placed = items.join(often, "item").withColumn("place", F.row_number().over(own.orderBy("often", "item")) - 1).withColumn("size", F.count("*").over(own))
+    index = placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100)).where("often > 1").join(rest, "rep").select("item", "rep", "component", "place", "size")
+    a, b = (index.select("item", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "place", "size"))) for x in "ab")
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    reach = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
+    pairs = a.join(b, (a.item == b.item) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & reach)
+    pairs = pairs.select(F.col("rep_a").alias("centre"), F.col("rep_b").alias("member")).distinct()
+    said = classes.select("rep", "signature")
+    pairs = pairs.join(said.select(F.col("rep").alias("centre"), F.col("signature").alias("one")), "centre").join(said.select(F.col("rep").alias("member"), F.col("signature").alias("other")), "member")
+    agree = F.aggregate(F.zip_with("one", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
+    return pairs.where(agree >= agreement_for(threshold, n)).select("centre", "member")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8) -> DataFrame:
     """Groups of documents whose sets of shingles have a Jaccard similarity of at least ``threshold`` (to the hundredth).
 
@@ -132,7 +157,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     n = ROWS * bands_for(threshold)
     sketch = scratch.table(sketches(docs, shingle_words, n), "sketch")
 
-    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("size"))
+    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
     classes = scratch.table(classes, "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(n // ROWS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
     banded = classes.select("rep", F.explode(keys).alias("key"))
@@ -152,18 +177,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
 
     placed = buckets.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = scratch.table(placed.join(open_keys, "key", "left_semi"), "rest")
-    undecided = texts.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    alone = undecided.mapInArrow(_items(shingle_words), "rep long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
-    held = classes.select("rep", "signature", "size").join(alone, "rep", "left").select("rep", "signature", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-    rest = rest.join(held, "rep")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "signature", "size", "common"))) for x in "ab")
-    agree = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    percent = round(100 * threshold)
-    reach = F.least("common_a", "common_b") * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
-    more = a.join(b, (a.key == b.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & reach & (agree >= agreement_for(threshold, n)))
-    more = more.select(F.col("rep_a").alias("centre"), F.col("rep_b").alias("member")).distinct()
+    rest = placed.join(open_keys, "key", "left_semi").select("rep", "component").distinct()
+    rest = scratch.table(rest, "rest")
+    more = _undecided(texts, rest, classes, shingle_words, threshold, n, scratch)
     done = tested.unionByName(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
     more = scratch.table(more.join(done, ["centre", "member"], "left_anti"), "more")
     late = scratch.table(confirm(more, texts, shingle_words, threshold), "late")
