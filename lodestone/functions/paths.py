@@ -1,0 +1,103 @@
+"""Predicates and classes of file paths and file contents."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: File extension to language.
+LANGUAGES = {
+    "py": "python", "pyi": "python", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "js": "javascript", "jsx": "javascript",
+    "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "kt": "kotlin", "kts": "kotlin", "rs": "rust", "md": "markdown", "markdown": "markdown",
+}
+#: Bytes that a file may have, for sources and for all others.
+SOURCE_LIMIT, OTHER_LIMIT = 1 << 20, 128 << 10
+#: Directories that are never read.
+PRUNED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "vendor")
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(basename(path), r"\.([^.]+)$", 1))
+
+
+def language(path: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.try_element_at(table, extension(path))
+
+
+def with_languages(files: DataFrame) -> DataFrame:
+    """``files`` with a language; C headers are C++ where the project has any C++ file."""
+    named = files.withColumn("language", language(F.col("path")))
+    cpp = named.where("language = 'cpp'").select(F.lit(True).alias("has_cpp")).limit(1)
+    joined = named.join(cpp, F.lit(True), "left")
+    return joined.withColumn("language", F.when((extension(F.col("path")) == "h") & F.col("has_cpp"), "cpp").otherwise(F.col("language"))).drop("has_cpp")
+
+
+def size_reason(path: Column, length: Column) -> Column:
+    limit = F.when(language(path).isNotNull(), SOURCE_LIMIT).otherwise(OTHER_LIMIT)
+    return F.when(length > limit, F.concat(F.lit("oversize:"), length.cast("string")))
+
+
+def is_binary(content: Column) -> Column:
+    """Within the first 8 KiB: a NUL, or more than a tenth of control bytes other than tab, line feed and carriage return."""
+    head = F.hex(F.substring(content, 1, 8192))
+    pairs = F.regexp_extract_all(head, F.lit("(..)"), F.lit(1))
+    control = F.size(F.filter(pairs, lambda b: (b < "20") & ~b.isin("09", "0A", "0D")))
+    return F.array_contains(pairs, "00") | (control > 0.1 * F.size(pairs))
+
+
+def is_pruned(path: Column) -> Column:
+    return F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*(F.lit(x) for x in PRUNED)))
+
+
+def is_generated(path: Column, text: Column) -> Column:
+    """By name, or by a banner in the first ten lines."""
+    name = basename(path).rlike(r"(?i)(_pb2(_grpc)?\.py|\.pb\.(go|cc|h)|\.min\.(js|css)|\.g\.dart|\.generated\.)")
+    head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, 10), "\n"))
+    return name | F.coalesce(head.rlike(r"do not edit|@generated|auto-?generated|automatically generated"), F.lit(False))
+
+
+def is_test(path: Column) -> Column:
+    return path.rlike(r"(^|/)(tests?|testdata|fixtures)/|(^|/)test_[^/]*$|_test\.[^/.]+$")
+
+
+def is_changelog(path: Column) -> Column:
+    return path.rlike(r"(?i)(^|/)(changelog|changes|history|news|release[-_]?notes?)[^/]*\.(md|markdown|rst|txt)$|(^|/)(changelogs?|releases?)/.*\.(md|markdown|rst|txt)$")
+
+
+def is_example(path: Column) -> Column:
+    return path.rlike(r"(?i)(^|/)(examples?|samples?|demos?)/")
+
+
+def has_intent(query: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words occurs in the lower-cased query."""
+    return functools.reduce(lambda a, b: a | b, (F.contains(F.lower(query), F.lit(w)) for w in words))
+
+
+def doctype(path: Column) -> Column:
+    """Ordered path rules."""
+    low = F.lower(path)
+    return (
+        F.when(is_changelog(path), "changelog")
+        .when(low.rlike(r"(^|/)readme[^/]*$"), "readme")
+        .when(low.rlike(r"(^|/)(adr|decisions?)/"), "decision")
+        .when(low.rlike(r"(^|/)(specs?|requirements?|prd)(/|[^/]*$)"), "spec")
+        .when(low.rlike(r"(^|/)(design|architecture|rfcs?)(/|[^/]*$)"), "design")
+        .when(low.rlike(r"(^|/)(docs?|guides?|manual)/"), "guide")
+        .otherwise("other")
+    )
+
+
+def chunk_kind(symbol_kind: Column, path: Column) -> Column:
+    return F.when(symbol_kind == "spec_block", "spec").when(symbol_kind == "fallback_block", "fallback").when(is_test(path), "test").otherwise("code")
+
+
+def path_matches(path: Column, wanted: Column) -> Column:
+    """Equal, or ends with a slash and the wanted path."""
+    return (path == wanted) | F.endswith(path, F.concat(F.lit("/"), wanted))

@@ -1,10 +1,563 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+"""Queries by name over the driver's tables, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lodestone.functions import hashing, paths, text
+from lodestone.operators import fusion, graph, incremental, intervals, packing, parse, recall, usage
+from lodestone.streaming import stateful
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TOKENS = "regexp_extract_all({c}, '[A-Za-z0-9]+')"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ identities and scalar functions
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", hashing.chunk_content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text) AS blob_hash FROM documents")
+def blob_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", hashing.blob_hash(F.col("doc_id").cast("string"), F.encode("text", "UTF-8")).alias("blob_hash"))
+
+
+@query("SELECT source, 'cp_' || left(sha256(string_agg(h, chr(10) ORDER BY h)), 16) AS checkpoint FROM (SELECT DISTINCT source, sha256(text) AS h FROM documents) GROUP BY source")
+def checkpoint_ids(spark, d):
+    h = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")).distinct()
+    return h.groupBy("source").agg(F.collect_list("h").alias("hs")).select("source", hashing.checkpoint_id(F.col("hs")).alias("checkpoint"))
+
+
+CJK_SQL = "len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil({CJK_SQL} / 1.5 + (length(text) - {CJK_SQL}) / 4.0) AS BIGINT)) END AS tokens FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CAST(i AS VARCHAR) || ' | ' || x), chr(10))) AS numbered FROM documents")
+def line_numbering(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.numbered_lines(F.col("text"), F.lit(1)), 256).alias("numbered"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_name, '[^ ]+$') AS tail, sha256(array_to_string(regexp_extract_all(p_name, '[A-Za-z0-9]+|[^ \\t\\n\\r\\f\\v]'), ' ')) AS segmented FROM part")
+def name_segments(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.name_tail(F.replace("p_name", F.lit(" "), F.lit("."))).alias("tail"), F.sha2(text.segment(F.col("p_name")), 256).alias("segmented"))
+
+
+@query("""
+SELECT page_id, NOT regexp_matches(path, '(^|/)(tests?|testdata|fixtures)/|(^|/)test_[^/]*$|_test\\.[^/.]+$') AS is_code,
+       regexp_matches(path, '(?i)(^|/)(examples?|samples?|demos?)/') AS is_example
+FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)
+""")
+def path_classes(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    return rows.select("page_id", (~paths.is_test(F.col("path"))).alias("is_code"), paths.is_example(F.col("path")).alias("is_example"))
+
+
+# ------------------------------------------------------------------ postings and recall
+
+
+@query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM documents) GROUP BY term")
+def postings(spark, d):
+    p = recall.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0})
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("weighted").cast("long").alias("tf"))
+
+
+@query("SELECT count(*) AS docs, sum(n) AS tokens, round(avg(n), 6) AS mean FROM (SELECT len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM documents)")
+def corpus_stats(spark, d):
+    return recall.lengths(table(spark, d, "documents"), "doc_id", {"text": 1.0}).agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 6).alias("mean"))
+
+
+BM25_SQL = """
+WITH t AS (
+  SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term, 1.0::DOUBLE AS w FROM documents
+  UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(source, '[A-Za-z0-9]+'))), 5.0::DOUBLE FROM documents
+  UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(lang, '[A-Za-z0-9]+'))), 1.0::DOUBLE FROM documents
+), f AS (SELECT doc_id, term, sum(w) AS f FROM t GROUP BY ALL), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS n, (SELECT count(*) FROM t) * 1.0 / count(*) AS mean FROM documents),
+q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM benchmark) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, mean FROM df, s),
+b AS (SELECT query_id, doc_id, sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM q JOIN i USING (term) JOIN f USING (term) JOIN l USING (doc_id) GROUP BY ALL)
+"""
+
+
+def _bm25(spark, d, k):
+    columns = {"text": 1.0, "source": 5.0, "lang": 1.0}
+    return recall.bm25(table(spark, d, "documents"), "doc_id", columns, table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text", k)
+
+
+@query(f"{BM25_SQL} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM b) WHERE rank <= 10")
+def bm25_topk(spark, d):
+    return _bm25(spark, d, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+#: What stands for a text's words, each between spaces of its own.
+SPACED = "' ' || array_to_string(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+'), lambda x: lower(x)), '  ') || ' '"
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, {SPACED.format(c="array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9]+'), 1, 4), ' ')")} AS p FROM benchmark),
+d AS (SELECT doc_id, {SPACED.format(c='text')} AS s FROM documents)
+SELECT query_id, doc_id, times, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY times DESC, doc_id) AS INT) AS rank
+FROM (SELECT query_id, doc_id, CAST((length(s) - length(replace(s, p, ''))) / length(p) AS BIGINT) AS times FROM q JOIN d ON contains(s, p) WHERE len(string_split(trim(p), '  ')) >= 2)) WHERE rank <= 50
+""")
+def phrase_topk(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, 4), " ").alias("asked"))
+    return recall.phrase(table(spark, d, "documents"), "doc_id", "text", asked, "query_id", "asked")
+
+
+@query("""
+SELECT doc_id, in_name, times, CAST(row_number() OVER (ORDER BY in_name DESC, times DESC, span, doc_id) AS INT) AS rank FROM (
+  SELECT doc_id, contains(lower(source), 'src1') AS in_name, CAST((length(b) - length(replace(b, 'src1', ''))) / 4 AS BIGINT) AS times, length(b) AS span
+  FROM (SELECT doc_id, source, lower(concat_ws(chr(10), source, text)) AS b FROM documents) WHERE contains(b, 'src1')) QUALIFY rank <= 30
+""")
+def literal_topk(spark, d):
+    return recall.literal(table(spark, d, "documents"), "doc_id", "source", "text", "src1")
+
+
+@query("SELECT p_partkey, p_name AS name, CAST(row_number() OVER (ORDER BY length(p_name), p_name, p_partkey) AS INT) AS rank FROM part WHERE contains(lower(p_name), 'a') QUALIFY rank <= 30")
+def symbol_name_topk(spark, d):
+    return recall.symbol_names(table(spark, d, "part"), "p_partkey", "p_name", "A")
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 20)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10
+""")
+def cosine_topk(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    return recall.vector_top_k(v, "vec_id", "embedding", asked, "query_id", "asked", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+SYMBOLS = """sym AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand || '.' || p_type || '.' || p_name AS fqn, p_brand AS file_path, p_size AS start_line, p_size % 2 = 0 AS is_exported FROM part)"""
+
+
+def symbols(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_type", "p_name").alias("fqn"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") % 2 == 0).alias("is_exported"))
+
+
+@query(f"""
+WITH {SYMBOLS}, w AS (SELECT DISTINCT p_name AS wanted FROM part WHERE p_partkey <= 50), h AS (SELECT DISTINCT s.*, wanted FROM sym s JOIN w ON s.name = wanted OR s.fqn = wanted)
+SELECT wanted, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY wanted ORDER BY is_exported DESC, fqn = wanted DESC, file_path, start_line, id) AS INT) AS rank FROM h) WHERE rank <= 20
+""")
+def exact_lookup(spark, d):
+    wanted = table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_name").alias("wanted")).distinct()
+    return recall.exact_symbols(symbols(spark, d), wanted).select("wanted", "id", "rank")
+
+
+@query(f"""
+WITH {SYMBOLS} SELECT c AS container, id, rank FROM (SELECT c, id, CAST(row_number() OVER (PARTITION BY c ORDER BY file_path, start_line, id) AS INT) AS rank
+FROM sym JOIN (SELECT DISTINCT p_brand AS c FROM part) ON starts_with(fqn, c || '.')) WHERE rank <= 200
+""")
+def container_members(spark, d):
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("container")).distinct()
+    return recall.container_members(symbols(spark, d), brands).select("container", "id", "rank")
+
+
+# ------------------------------------------------------------------ fusion
+
+
+LISTS = f"""{BM25_SQL.strip()}, lex AS (SELECT query_id, doc_id, rank, 'bm25' AS channel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 50),
+byl AS (SELECT query_id, doc_id, rank, 'length' AS channel FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, doc_id) AS rank FROM b JOIN l USING (doc_id)) WHERE rank <= 50),
+fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf, CAST(count(*) AS INT) AS channels, CAST(min(rank) AS INT) AS best_rank FROM (SELECT * FROM lex UNION ALL SELECT * FROM byl) GROUP BY ALL)"""
+
+
+def _lists(spark, d):
+    lexical = _bm25(spark, d, 10**9)
+    size = recall.lengths(table(spark, d, "documents"), "doc_id", {"text": 1.0, "source": 5.0, "lang": 1.0})
+    by_length = recall.ranked(lexical.drop("rank").join(size, "doc_id"), "query_id", [F.desc("length"), "doc_id"], 50)
+    both = lexical.where("rank <= 50").select("query_id", "doc_id", "rank", F.lit("bm25").alias("channel"))
+    return both.unionByName(by_length.select("query_id", "doc_id", "rank", F.lit("length").alias("channel")))
+
+
+@query(f"{LISTS} SELECT query_id, doc_id, round(rrf, 9) AS rrf_score, channels, best_rank, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, channels DESC, best_rank, doc_id) AS INT) AS position FROM fused) WHERE position <= 120")
+def rrf_fusion(spark, d):
+    fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
+    return fused.select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "channels", "best_rank", "position")
+
+
+@query(f"""{LISTS}, r AS (SELECT query_id, doc_id, 25 * rrf + CASE WHEN channels >= 2 THEN 0.5 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END + CASE WHEN source = 'src0' THEN -1.5 ELSE 0 END
+  + CASE WHEN best_rank IS NULL OR round(1.5 * exp(-(best_rank - 1) / 20.0), 3) < 0.05 THEN 0 ELSE round(1.5 * exp(-(best_rank - 1) / 20.0), 3) END + 0.15 * least(doc_id % 5, 3) AS score, rrf FROM fused JOIN documents USING (doc_id))
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(rrf, 12) DESC, doc_id) AS INT) AS position FROM r
+""")
+def rerank_score(spark, d):
+    fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id", 10**6)
+    docs = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("exported"), (F.col("source") == "src0").alias("test"), (F.col("doc_id") % 5).alias("name_overlap"))
+    rows = fused.join(docs, "doc_id").withColumn("consensus", F.col("channels") >= 2).withColumn("vector_rank", F.col("best_rank"))
+    return fusion.rerank(rows, "query_id", "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
+@query("SELECT source, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang = 'de' DESC, n DESC, lang) AS place, count(*) OVER (PARTITION BY source) AS variants FROM (SELECT source, lang, max(n_chars) AS n FROM documents GROUP BY ALL)) WHERE place > 1 AND variants >= 2")
+def variant_demotion(spark, d):
+    files = table(spark, d, "documents").groupBy("source", "lang").agg(F.max("n_chars").alias("n"))
+    return fusion.demoted_variants(files, "source", "lang", "de", "n")
+
+
+@query("""
+WITH v AS (SELECT label AS query_id, vec_id, round(CAST(embedding[1] AS DOUBLE), 9) AS score, vec_id % 3 = 0 AS is_real FROM embeddings), c AS (SELECT query_id, count(*) AS total FROM v WHERE is_real GROUP BY ALL)
+SELECT a.query_id, a.vec_id, 1 + count(r.vec_id) AS rank FROM v a JOIN c ON c.query_id = a.query_id LEFT JOIN v r ON r.query_id = a.query_id AND r.is_real AND r.score > a.score
+WHERE NOT a.is_real GROUP BY a.query_id, a.vec_id, total HAVING 1 + count(r.vec_id) <= total
+""")
+def virtual_rank(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), "vec_id", F.round(F.col("embedding")[0].cast("double"), 9).alias("score"))
+    return fusion.virtual_ranks(v.where("vec_id % 3 = 0"), v.where("vec_id % 3 <> 0"), "query_id", "vec_id")
+
+
+# ------------------------------------------------------------------ graph
+
+
+EDGES = """e AS (
+  SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, 'calls' AS kind, l_linenumber AS line, 'parsed' AS provenance FROM lineitem
+  UNION SELECT 'c' || o_custkey, 'o' || o_orderkey, 'calls', NULL, 'parsed' FROM orders
+  UNION SELECT 'p' || p_partkey, p_brand, 'extends', NULL, 'parsed' FROM part)"""
+SEEDS = "seeds AS (SELECT 'c' || c_custkey AS seed, CAST(c_custkey AS INT) AS seed_rank FROM customer WHERE c_custkey <= {n})"
+
+
+def edges(spark, d):
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    none = F.lit(None).cast("int")
+    a = table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("source"), name("p", "l_partkey").alias("target"), F.lit("calls").alias("kind"), F.col("l_linenumber").cast("int").alias("line"))
+    b = table(spark, d, "orders").select(name("c", "o_custkey").alias("source"), name("o", "o_orderkey").alias("target"), F.lit("calls").alias("kind"), none.alias("line"))
+    c = table(spark, d, "part").select(name("p", "p_partkey").alias("source"), F.col("p_brand").alias("target"), F.lit("extends").alias("kind"), none.alias("line"))
+    return graph.distinct_edges(a.unionByName(b).unionByName(c).withColumn("provenance", F.lit("parsed")))
+
+
+def seeds(spark, d, n):
+    return table(spark, d, "customer").where(F.col("c_custkey") <= n).select(F.concat(F.lit("c"), "c_custkey").alias("seed"), F.col("c_custkey").cast("int").alias("seed_rank"))
+
+
+@query(f"WITH {EDGES} SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM e GROUP BY kind")
+def graph_edges(spark, d):
+    return edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
+@query(f"""
+WITH {EDGES}, {SEEDS.format(n=20)}, nb AS (
+  SELECT seed, seed_rank, target AS node, 0 AS direction, row_number() OVER (PARTITION BY seed ORDER BY line NULLS LAST, target) AS place, 0 AS n FROM e JOIN seeds ON source = seed
+  UNION ALL SELECT seed, seed_rank, source, 1, row_number() OVER (PARTITION BY seed ORDER BY source), count(*) OVER (PARTITION BY seed) FROM e JOIN seeds ON target = seed),
+f AS (SELECT * FROM nb WHERE (direction = 0 OR n <= 200 OR place <= 20) AND node NOT IN (SELECT seed FROM seeds) QUALIFY row_number() OVER (PARTITION BY node ORDER BY seed_rank, direction, place) = 1)
+SELECT node, seed, direction, CAST(row_number() OVER (ORDER BY seed_rank, direction, place, node) AS INT) AS position FROM f QUALIFY position <= 30
+""")
+def expand_1hop(spark, d):
+    return graph.expand(edges(spark, d), seeds(spark, d, 20))
+
+
+@query(f"""
+WITH {EDGES}, {SEEDS.format(n=3)}, c AS (SELECT DISTINCT source, target FROM e), one AS (SELECT seed_rank, target AS middle FROM c JOIN seeds ON source = seed),
+two AS (SELECT seed_rank, middle, target AS node FROM one JOIN c ON source = middle WHERE target NOT IN (SELECT middle FROM one) AND target NOT IN (SELECT seed FROM seeds)),
+f AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY node ORDER BY seed_rank, middle) = 1)
+SELECT node, middle, CAST(row_number() OVER (ORDER BY seed_rank, middle, node) AS INT) AS position FROM f QUALIFY position <= 12
+""")
+def expand_2hop(spark, d):
+    return graph.expand_twice(edges(spark, d), seeds(spark, d, 3))
+
+
+@query(f"""
+WITH {EDGES}, f AS (SELECT source, target AS next, count(*) OVER (PARTITION BY source) AS branches FROM (SELECT DISTINCT source, target, line FROM e) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line NULLS LAST, target) = 1)
+SELECT 'c' || c_custkey AS start, array_to_string(list_filter(['c' || c_custkey, a.next, b.next], lambda x: x IS NOT NULL), '>') AS path,
+       coalesce(a.branches > 1, false) OR coalesce(b.branches > 1, false) OR z.next IS NOT NULL AS truncated
+FROM customer LEFT JOIN f a ON a.source = 'c' || c_custkey LEFT JOIN f b ON b.source = a.next LEFT JOIN f z ON z.source = b.next
+""")
+def path_walk(spark, d):
+    starts = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("start"))
+    return graph.walk(edges(spark, d), starts).select("start", F.array_join("path", ">").alias("path"), "truncated")
+
+
+@query(f"WITH {EDGES}, s AS (SELECT 'o' || o_orderkey AS fqn, o_orderkey AS k FROM orders UNION ALL SELECT 'c' || c_custkey, c_custkey FROM customer) SELECT fqn FROM s WHERE k % 2 = 0 AND fqn NOT IN (SELECT target FROM e WHERE kind = 'calls')")
+def entry_points(spark, d):
+    named = lambda t, prefix, c: table(spark, d, t).select(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("fqn"), (F.col(c) % 2 == 0).alias("is_exported"))
+    return graph.entry_points(named("orders", "o", "o_orderkey").unionByName(named("customer", "c", "c_custkey")), edges(spark, d)).select("fqn")
+
+
+@query(f"WITH {EDGES} SELECT source, target FROM e WHERE kind = 'calls' AND starts_with(target, 'p') AND target NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 10 <> 0)")
+def unresolved_anti(spark, d):
+    known = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("fqn"))
+    return graph.unresolved_edges(edges(spark, d).where("kind = 'calls'"), known, "p").select("source", "target")
+
+
+NATIONS = """s AS (SELECT r_name || '.' || n_name AS target, n_name AS tail, 'f' || n_regionkey AS path, n_nationkey % 2 = 0 AS exported FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'OTHER.' || n_name, n_name, 'f9', n_nationkey % 3 = 0 FROM nation WHERE n_nationkey % 4 = 0)"""
+
+
+def nation_symbols(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    a = n.select(F.concat_ws(".", "r_name", "n_name").alias("fqn"), F.concat(F.lit("f"), "n_regionkey").alias("file_path"), (F.col("n_nationkey") % 2 == 0).alias("is_exported"))
+    b = table(spark, d, "nation").where("n_nationkey % 4 = 0").select(F.concat(F.lit("OTHER."), "n_name").alias("fqn"), F.lit("f9").alias("file_path"), (F.col("n_nationkey") % 3 == 0).alias("is_exported"))
+    return a.unionByName(b)
+
+
+REFS = """r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'nowhere' ELSE n_name END AS name, 'f' || (c_custkey % 5) AS path, CASE WHEN c_custkey % 7 = 0 THEN 'f9' END AS hint FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"""
+WITH {NATIONS}, {REFS}, m AS (SELECT id, target, CASE WHEN s.path = hint THEN 0 WHEN s.path = r.path THEN 1 WHEN exported THEN 2 ELSE 3 END AS near FROM r JOIN s ON r.name = s.tail),
+k AS (SELECT * FROM m QUALIFY near = min(near) OVER (PARTITION BY id)), n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM k)
+SELECT r.id, target, CASE WHEN n = 1 THEN 'parsed' WHEN n > 1 THEN 'synthesized' END AS provenance, CASE WHEN target IS NULL THEN 'failed' ELSE 'resolved' END AS status FROM r LEFT JOIN n ON r.id = n.id
+""")
+def ref_resolution(spark, d):
+    refs = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    refs = refs.select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("c"), "c_custkey").alias("from_symbol"), F.when(F.col("c_custkey") % 10 == 0, "nowhere").otherwise(F.col("n_name")).alias("reference_name"),
+        F.lit("calls").alias("reference_kind"), F.lit(1).alias("line"), F.concat(F.lit("f"), F.col("c_custkey") % 5).alias("file_path"), F.when(F.col("c_custkey") % 7 == 0, "f9").alias("hint_path"),
+    )
+    return graph.resolve_references(refs, nation_symbols(spark, d)).select("id", "target", "provenance", "status")
+
+
+@query(f"""
+WITH {NATIONS}, t AS (SELECT tail, min(target) AS sole FROM s GROUP BY tail HAVING count(DISTINCT target) = 1)
+SELECT DISTINCT 'c' || c_custkey AS source, coalesce(sole, n_name) AS target FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN t ON tail = n_name
+""")
+def edge_retarget(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    e = c.select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.col("n_name").alias("target"), F.lit("calls").alias("kind"), F.lit(None).cast("int").alias("line"), F.lit("parsed").alias("provenance"))
+    return graph.retarget_edges(e, nation_symbols(spark, d)).select("source", "target")
+
+
+@query("SELECT p_brand, p_partkey, CAST(row_number() OVER (ORDER BY place, p_brand) AS INT) AS position FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part) QUALIFY position <= 24")
+def gap_round_robin(spark, d):
+    return graph.round_robin(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", [F.desc("p_size"), "p_partkey"], 24).select("p_brand", "p_partkey", "position")
+
+
+# ------------------------------------------------------------------ ranges
+
+
+RANGES = "r AS (SELECT 'o' || l_orderkey AS path, l_linenumber AS id, l_linenumber * 7 AS start_line, l_linenumber * 7 + CAST(l_quantity AS INT) AS end_line FROM lineitem)"
+
+
+def ranges(spark, d):
+    line = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("path"), line.alias("id"), (line * 7).alias("start_line"), (line * 7 + F.col("l_quantity").cast("int")).alias("end_line"))
+
+
+@query(f"WITH {RANGES}, p AS (SELECT 'o' || o_orderkey AS path, CAST(o_orderkey % 60 AS INT) AS line FROM orders) SELECT path, line, id, start_line, end_line FROM p JOIN r USING (path) WHERE line BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY end_line - start_line, start_line, id) = 1")
+def stabbing_join(spark, d):
+    points = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("path"), (F.col("o_orderkey") % 60).cast("int").alias("line"))
+    return intervals.stabbing_join(ranges(spark, d), points)
+
+
+@query(f"WITH {RANGES} SELECT a.path, a.id AS left_id, b.id AS right_id FROM r a JOIN r b ON a.path = b.path AND a.id % 2 = 0 AND b.id % 2 = 1 AND a.start_line <= b.end_line AND b.start_line <= a.end_line")
+def interval_overlap(spark, d):
+    r = ranges(spark, d)
+    return intervals.overlap_join(r.where("id % 2 = 0"), r.where("id % 2 = 1"))
+
+
+@query(f"""
+WITH {RANGES}, f AS (SELECT *, CASE WHEN start_line > max(end_line) OVER w + 1 OR max(end_line) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT path, min(start_line) AS s, max(end_line) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS i FROM f) GROUP BY path, i UNION ALL SELECT DISTINCT path, 101, 101 FROM r)
+SELECT path, first AS start_line, s - 1 AS end_line FROM (SELECT path, s, coalesce(lag(e) OVER (PARTITION BY path ORDER BY s), 0) + 1 AS first FROM m) WHERE first <= s - 1
+""")
+def interval_gaps(spark, d):
+    r = ranges(spark, d)
+    return intervals.gaps(r, r.select("path", F.lit(100).alias("total")).distinct())
+
+
+# ------------------------------------------------------------------ changes
+
+
+def snapshots(spark, d):
+    h = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    return h.where("path % 7 <> 0"), h.where("path % 5 <> 0").withColumn("hash", F.when(F.col("path") % 3 == 0, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")))
+
+
+SNAPSHOTS = "b AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN sha256(sha256(text) || 'x') ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 5 <> 0)"
+
+
+@query(f"WITH {SNAPSHOTS} SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM b FULL JOIN a ON b.path = a.path WHERE b.hash IS DISTINCT FROM a.hash")
+def snapshot_diff(spark, d):
+    return incremental.snapshot_diff(*snapshots(spark, d))
+
+
+@query(f"""WITH {SNAPSHOTS}, o AS (SELECT path % 50 AS path, path AS id, hash FROM b), n AS (SELECT path % 50 AS path, path AS id, hash FROM a)
+SELECT n.path, id, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.path = n.path AND o.hash = n.hash) THEN 'reused' ELSE 'new' END AS state FROM n
+UNION ALL SELECT path, id, 'removed' FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.path = o.path AND n.id = o.id)""")
+def file_delta(spark, d):
+    old, new = (s.select((F.col("path") % 50).alias("path"), F.col("path").alias("id"), "hash") for s in snapshots(spark, d))
+    return incremental.file_delta(old, new)
+
+
+@query(f"""WITH {SNAPSHOTS} SELECT path, hash FROM b WHERE path NOT IN (SELECT path FROM a WHERE path % 3 = 0) UNION ALL SELECT path, hash FROM a WHERE path % 3 = 0""")
+def replace_by_path(spark, d):
+    old, new = snapshots(spark, d)
+    changed = new.where("path % 3 = 0")
+    return incremental.replace_by_path(old, changed, changed)
+
+
+@query(f"""WITH {SNAPSHOTS}, w AS (SELECT path AS id, hash FROM a), c AS (SELECT DISTINCT hash FROM a WHERE path % 11 = 0),
+x AS (SELECT w.id, w.hash, EXISTS (SELECT 1 FROM b WHERE b.path = w.id AND b.hash = w.hash) AS same, w.hash IN (SELECT hash FROM b) AS stored, w.hash IN (SELECT hash FROM c) AS cached, row_number() OVER (PARTITION BY w.hash ORDER BY w.id) AS n FROM w)
+SELECT action, count(*) AS n FROM (SELECT CASE WHEN same THEN 'skipped' WHEN stored THEN 'reused' WHEN cached THEN 'cached' WHEN n = 1 THEN 'embedded' ELSE 'shared' END AS action FROM x) GROUP BY action""")
+def vector_reuse(spark, d):
+    old, new = snapshots(spark, d)
+    wanted = new.withColumnRenamed("path", "id")
+    return incremental.vector_reuse(wanted, old.withColumnRenamed("path", "id"), new.where("path % 11 = 0")).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(doc_id) AS keeper, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def exact_duplicates(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies")).select("keeper", "copies")
+
+
+# ------------------------------------------------------------------ usage
+
+
+def seconds():
+    return F.unix_seconds(F.col("ts").cast("timestamp"))
+
+
+@query("""SELECT user_id, count(*) AS total, count(*) FILTER (state = 'done') AS succeeded, count(*) FILTER (state = 'failed') AS failed, CAST(floor(avg(value) FILTER (state = 'done')) AS BIGINT) AS avg_value,
+min(value) FILTER (state = 'done') AS min_value, max(value) FILTER (state = 'done') AS max_value, max_by(state, event_id) AS last_state
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 'done' WHEN 'view' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS state FROM events) GROUP BY user_id""")
+def index_run_stats(spark, d):
+    state = F.when(F.col("event_type").isin("click", "view"), "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return usage.run_stats(table(spark, d, "events").withColumn("state", state), "user_id", "state", "value", "event_id")
+
+
+@query("""SELECT event_type, count(*) AS total, count(*) FILTER (answerable) AS succeeded, count(*) FILTER (NOT answerable) AS insufficient, count(*) FILTER (degraded AND answerable IS NULL) AS failed,
+CAST(floor(avg(latency)) AS BIGINT) AS avg_latency, round(avg(coverage), 4) AS avg_coverage
+FROM (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 = 1 END AS answerable, event_id % 2 = 0 AS degraded, user_id AS latency, CASE WHEN event_id % 4 = 0 THEN user_id % 8 / 8.0 END AS coverage FROM events) GROUP BY event_type""")
+def usage_summary(spark, d):
+    e = table(spark, d, "events")
+    i = F.col("event_id")
+    audit = e.select("event_type", F.when(i % 3 != 0, i % 3 == 1).alias("answerable"), (i % 2 == 0).alias("degraded"), F.col("user_id").alias("latency"), F.when(i % 4 == 0, F.col("user_id") % 8 / 8.0).alias("coverage"))
+    return usage.usage_summary(audit, "event_type")
+
+
+@query("""SELECT user_id, value AS percentile FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+WHERE i = least(greatest(round_even(0.95 * n, 0) - 1, 0), n - 1)""")
+def percentile_nearest_rank(spark, d):
+    return usage.nearest_rank(table(spark, d, "events"), "user_id", "value", 0.95)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10")
+def top_queries(spark, d):
+    return usage.top_values(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT confidence, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE event_type END AS confidence FROM events) GROUP BY confidence")
+def confidence_distribution(spark, d):
+    return usage.distribution(table(spark, d, "events").select(F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("confidence")), "confidence")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def retention_keep_n(spark, d):
+    return usage.keep_newest(table(spark, d, "events"), "user_id", "ts", "event_id", 5).select("user_id", "event_id")
+
+
+@query("SELECT caller, max(seen) AS latest FROM (SELECT user_id AS caller, event_id AS seen FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, event_id FROM events WHERE event_type = 'purchase') GROUP BY caller ORDER BY latest DESC, caller LIMIT 50")
+def call_union_max(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("caller"), F.col("event_id").alias("at"), "event_type")
+    return usage.latest_activity([e.where("event_type = 'click'"), e.where("event_type = 'purchase'")], "caller", "at", 50)
+
+
+@query("SELECT user_id, coalesce(sum(CASE WHEN epoch(ts) >= epoch(TIMESTAMP '2024-01-20') THEN event_id END), 0)::BIGINT AS used FROM events GROUP BY user_id")
+def token_sum(spark, d):
+    recent = seconds() >= F.unix_seconds(F.lit("2024-01-20").cast("timestamp"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.coalesce(F.sum(F.when(recent, F.col("event_id"))), F.lit(0)).alias("used"))
+
+
+@query("SELECT o_custkey, n, CASE WHEN n >= 20 THEN 'exceeded' WHEN n >= 16 THEN 'warning' ELSE 'ok' END AS state FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL)")
+def quota_state(spark, d):
+    used = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return used.withColumn("state", usage.quota_state(F.col("n"), F.lit(20)))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def sliding_window_count(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", seconds().alias("s"))
+    return usage.sliding_counts(e, "user_id", "s", 3600).select("event_id", "in_window")
+
+
+@query("SELECT event_id, coalesce(s - lag(s) OVER (PARTITION BY user_id, event_type ORDER BY s, event_id) <= 6000, false) AS is_stub FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)")
+def recent_stub(spark, d):
+    e = table(spark, d, "events").withColumn("s", seconds())
+    return usage.recent_stubs(e, ["user_id", "event_type"], "s", 6000).select("event_id", "is_stub")
+
+
+@query()
+def limiter(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", seconds().cast("double").alias("s"))
+    return stateful.limiter(e, "user_id", "s", "event_id", 3, 36_000.0)
+
+
+@query("""WITH r AS (SELECT source AS query_id, doc_id AS doc, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), x AS (SELECT d.source AS query_id, d.doc_id AS doc, d.lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1),
+h AS (SELECT x.query_id, lang, min(rank) AS first FROM x JOIN r ON x.query_id = r.query_id AND x.doc = r.doc GROUP BY ALL)
+SELECT lang, count(*) AS queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(1.0 / first), 6) AS mrr FROM h GROUP BY lang""")
+def recall_mrr(spark, d):
+    docs = table(spark, d, "documents")
+    results = recall.ranked(docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("doc"), "n_chars"), "query_id", [F.desc("n_chars"), "doc"], 10**9).select("query_id", "doc", "rank")
+    expected = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").select(F.col("source").alias("query_id"), F.col("doc_id").alias("doc"), "lang")
+    return usage.retrieval_metrics(results, expected, ["lang"])
+
+
+@query("""SELECT conv_id, turn, CAST(turn % 3 + 1 AS INT) - CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END AS valid, CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END AS invalid FROM conversations""")
+def citation_verify(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("x "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("turn") % 3), lambda i: F.concat(F.lit("[E"), i.cast("string"), F.lit("]"))), " ")).alias("answer"), F.array(F.lit("E0"), F.lit("E1")).alias("known"))
+    return usage.verified_citations(c, "answer", "known").select("conv_id", "turn", "valid", "invalid")
+
+
+# ------------------------------------------------------------------ packing and row generators
+
+
+@query("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 50000")
+def packing_prefix(spark, d):
+    return packing.prefix(table(spark, d, "documents"), "source", ["n_chars", "doc_id"], "n_chars", 50_000).select("source", "doc_id", "running")
+
+
+@query()
+def packing_assemble(spark, d):
+    fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), text.estimate_tokens(F.col("text")).alias("tokens"))
+    rows = fused.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "path", "kind", F.lit(2).alias("tier"), (25 * F.col("rrf_score")).alias("score"), "tokens")
+    return packing.assemble(rows)
+
+
+@query()
+def markdown_sections(spark, d):
+    files = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), "text").alias("text"))
+    return parse.sections(files)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, text AS joined FROM documents")
+def fallback_split(spark, d):
+    chunks = parse.fallback_chunks(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), 40, 2000)
+    return chunks.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts")).select("path", F.array_join(F.transform("parts", lambda p: p["content"]), "").alias("joined"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over texts fused with a second ranked list, for all benchmark texts at once."""
+    return rrf_fusion(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
