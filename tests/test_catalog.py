@@ -1,6 +1,7 @@
 """Every catalog query with SQL gives the same rows as DuckDB."""
 
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from lodestone.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
