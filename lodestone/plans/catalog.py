@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
-from lodestone.operators import fusion, graph, incremental, intervals, packing, parse, recall, usage
+from lodestone.operators import fusion, gap, graph, incremental, intervals, packing, parse, recall, usage
 from lodestone.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -550,6 +550,60 @@ def fallback_split(spark, d):
     return chunks.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts")).select("path", F.array_join(F.transform("parts", lambda p: p["content"]), "").alias("joined"))
 
 
+# ------------------------------------------------------------------ second round and evaluation
+
+
+PACKS = """pool AS (SELECT l_orderkey % 40 AS query_id, 'p' || l_partkey % 9 AS path, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber * 5 AS start_line, l_linenumber * 5 + CAST(l_quantity AS INT) % 7 AS end_line FROM lineitem),
+packed AS (SELECT * FROM pool WHERE chunk_id % 17 = 0)"""
+
+
+def packs(spark, d):
+    line = F.col("l_linenumber")
+    pool = table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey") % 9).alias("path"), (F.col("l_orderkey") * 10 + line).alias("chunk_id"), (line * 5).alias("start_line"), (line * 5 + F.col("l_quantity").cast("int") % 7).alias("end_line"))
+    return pool, pool.where("chunk_id % 17 = 0")
+
+
+@query(f"WITH {PACKS} SELECT query_id, chunk_id FROM pool a WHERE NOT EXISTS (SELECT 1 FROM packed b WHERE a.query_id = b.query_id AND a.path = b.path AND a.start_line <= b.end_line AND b.start_line <= a.end_line)")
+def gap_lacking(spark, d):
+    return gap.lacking(*packs(spark, d)).select("query_id", "chunk_id")
+
+
+@query("""
+WITH g AS (SELECT l_orderkey % 40 AS query_id, l_suppkey % 3 AS group_no, l_partkey AS chunk_id, min(l_linenumber) AS order_key FROM lineitem GROUP BY ALL),
+o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY group_no, order_key) = 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_no ORDER BY order_key, chunk_id) AS place FROM o QUALIFY place <= 6)
+SELECT query_id, group_no, place, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place, group_no, chunk_id) AS position FROM c QUALIFY position <= 10
+""")
+def gap_plan(spark, d):
+    g = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("query_id"), (F.col("l_suppkey") % 3).alias("group_no"), F.col("l_partkey").alias("chunk_id")).agg(F.min("l_linenumber").alias("order_key"))
+    return gap.plan(g, 6, 10)
+
+
+@query("""
+WITH p AS (SELECT o_custkey % 50 AS query_id, o_orderpriority AS project, row_number() OVER (PARTITION BY o_custkey % 50, o_orderpriority ORDER BY o_orderkey) AS position, 'f' || o_orderkey AS path, o_orderkey % 90 AS tokens FROM orders),
+r AS (SELECT *, row_number() OVER w AS number, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS running FROM p WINDOW w AS (PARTITION BY query_id ORDER BY position, project))
+SELECT query_id, project || ':' || path AS path, 'E' || number AS label FROM r WHERE running <= 1000
+""")
+def project_union(spark, d):
+    own = usage.Window.partitionBy("query_id", "project").orderBy("o_orderkey")
+    p = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderpriority").alias("project"), "o_orderkey").withColumn("position", F.row_number().over(own))
+    p = p.select("query_id", "project", "position", F.concat(F.lit("f"), "o_orderkey").alias("path"), (F.col("o_orderkey") % 90).alias("tokens"))
+    return gap.union_projects(p, 1000).select("query_id", "path", "label")
+
+
+@query("""
+WITH e AS (SELECT o_custkey % 100 AS question, 'p' || o_orderkey % 12 AS path FROM orders GROUP BY ALL), r AS (SELECT o_custkey % 100 AS question, 'p' || o_orderkey % 15 AS path, min(o_orderkey % 25 + 1) AS rank FROM orders GROUP BY ALL),
+m AS (SELECT e.question, e.path, min(rank) AS first FROM e LEFT JOIN r ON e.question = r.question AND e.path = r.path GROUP BY ALL),
+s AS (SELECT question, min(first) AS best, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10 FROM m GROUP BY question)
+SELECT question, coalesce(best <= 5, false) AS hit_5, coalesce(best <= 10, false) AS hit_10, recall_10, recall_10 >= 2.0 / 3 AS passed FROM s
+""")
+def benchmark_scores(spark, d):
+    o = table(spark, d, "orders").withColumn("question", F.col("o_custkey") % 100)
+    expected = o.select("question", F.concat(F.lit("p"), F.col("o_orderkey") % 12).alias("path"), F.lit(None).cast("string").alias("symbol")).distinct()
+    results = o.groupBy("question", F.concat(F.lit("p"), F.col("o_orderkey") % 15).alias("path")).agg(F.min(F.col("o_orderkey") % 25 + 1).alias("rank")).withColumn("symbol", F.lit("s"))
+    return gap.benchmark_scores(expected, results)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over texts fused with a second ranked list, for all benchmark texts at once."""
     return rrf_fusion(spark, sf_dir)

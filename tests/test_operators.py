@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
-from lodestone.operators import fusion, graph, incremental, packing, parse, recall, usage
+from lodestone.operators import fusion, gap, graph, incremental, packing, parse, recall, usage
 from lodestone.sources import files
 from lodestone.streaming import stateful
 
@@ -226,3 +226,16 @@ def test_nothing_but_the_entry_names_the_llm_package():
     for p in top.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"lodestone\.llm|import llm", p.read_text()), p
+
+
+def test_second_round(spark):
+    schema = "query_id long, pack int, position int, path string, start_line int, end_line int, elided int"
+    base = spark.createDataFrame([(1, 0, 1, "a", 1, 10, 5), (1, 0, 2, "b", 1, 10, 0)], schema)
+    extra = spark.createDataFrame([(1, 1, 1, "a", 1, 30, 0), (1, 1, 2, "b", 5, 30, 3), (1, 1, 3, "c", 1, 2, 0), (1, 1, 7, "d", 1, 2, 0)], schema)
+    assert {(r["path"], r["end_line"]) for r in gap.merge_packs(base, extra).collect()} == {("a", 30), ("b", 10), ("c", 2)}
+    asked = spark.createDataFrame([(1, 1, 0, 0, 3), (2, 0, 0, 2, 0)], "query_id long, unresolved int, stale_docs int, omitted int, items int")
+    index = spark.createDataFrame([(False, 2)], "stale boolean, pending int")
+    got = sorted((r["query_id"], r["code"]) for r in gap.missing_evidence(asked, index).collect())
+    assert got == [(1, "indexing_pending"), (1, "unresolved_reference"), (2, "indexing_pending"), (2, "no_context_match"), (2, "retrieval_truncated")]
+    rows = spark.createDataFrame([(1, "x", 1, False, 0, 1.0, 1, 5), (1, "y", 1, True, 0, 0.5, 1, 5), (1, "z", 0, False, 0, 0.1, 1, 5)], "query_id long, chunk_id string, source_class int, in_chain boolean, overlap int, score double, start_line int, end_line int")
+    assert [r["chunk_id"] for r in gap.backfill_order(rows).orderBy("position").collect()] == ["z", "y", "x"]
