@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
-from lodestone.operators import fusion, gap, graph, incremental, packing, parse, recall, usage
+from lodestone.operators import fusion, gap, graph, incremental, packing, parse, recall, tables, usage
 from lodestone.sources import files
 from lodestone.streaming import stateful
 
@@ -239,3 +239,35 @@ def test_second_round(spark):
     assert got == [(1, "indexing_pending"), (1, "unresolved_reference"), (2, "indexing_pending"), (2, "no_context_match"), (2, "retrieval_truncated")]
     rows = spark.createDataFrame([(1, "x", 1, False, 0, 1.0, 1, 5), (1, "y", 1, True, 0, 0.5, 1, 5), (1, "z", 0, False, 0, 0.1, 1, 5)], "query_id long, chunk_id string, source_class int, in_chain boolean, overlap int, score double, start_line int, end_line int")
     assert [r["chunk_id"] for r in gap.backfill_order(rows).orderBy("position").collect()] == ["z", "y", "x"]
+
+
+def test_index_tables(spark):
+    edges = spark.createDataFrame([("p/__init__.py", ".m.run", "imports"), ("p/x.py", "m.run", "imports"), ("p/__init__.py", "m.other", "imports")], "source string, target string, kind string")
+    assert [tuple(r) for r in tables.reexports(edges, spark.createDataFrame([("run",)], "name string")).collect()] == [("run", "p/__init__.py")]
+    symbols = spark.createDataFrame([("1", "run", "a.run"), ("2", "run", "b.run"), ("3", "go", "c.go")], "id string, name string, fqn string")
+    mentions = spark.createDataFrame([("d", "a.run"), ("d", "go"), ("e", "run")], "spec string, mention string")
+    known = spark.createDataFrame([("d", "3")], "spec string, symbol string")
+    assert sorted(map(tuple, tables.link_sections(mentions, symbols, known).collect())) == [("d", "1"), ("e", "1"), ("e", "2")]
+    refs = spark.createDataFrame([(1, "x.run", "run", "failed"), (2, "zip", "zip", "failed"), (3, "run", "run", "pending")], "id int, reference_name string, name_tail string, status string")
+    assert [r["id"] for r in tables.retry_failed(refs, symbols).collect()] == [1]
+    chunks = spark.createDataFrame([("c1", "@Deprecated", "function"), ("c2", "x", "spec_block")], "id string, content string, symbol_kind string")
+    ids = spark.createDataFrame([(2, "c1"), (1, "c2"), (3, "gone")], "position int, id string")
+    assert [r["id"] for r in tables.fetch(chunks, ids).orderBy("position").collect()] == ["c2", "c1"]
+    assert [r["id"] for r in tables.with_marker(chunks, ids, "@deprecated").collect()] == ["c1"]
+    row = tables.counts(spark.createDataFrame([("a", 5), ("b", 9)], "path string, indexed_at long"), chunks, refs)
+    assert tuple(row.first()) == (2, 9, 2, True, 1, 2)
+    stored = spark.createDataFrame([("ready", 2, 2, 0)], "state string, files int, chunks int, vectors int")
+    assert tables.index_gap(row.select("files", "chunks"), stored).first()["reason"] == "vectors"
+    ledger = spark.createDataFrame([("a", "h", 3), ("b", "h", 4)], "path string, hash string, size long")
+    assert tuple(tables.ledger_counts(ledger).first()) == (2, 1, 7) and tuple(tables.ledger_counts(ledger.limit(0)).first()) == (0, 0, 0)
+    runs = spark.createDataFrame([(1, "k", 9), (2, "z", 1)], "id int, call_id string, at long")
+    asked = spark.createDataFrame([(7, "k", 3)], "id int, call_id string, at long")
+    assert [tuple(r) for r in tables.call_timeline(runs, asked, F.lit("k")).collect()] == [("query", 7, 3), ("index", 1, 9)]
+    rows = [(1, "h", "a.h", "n::f", "cpp", "f();", 9.0), (1, "s", "a.cc", "n::f", "cpp", "f() {}", 5.0), (1, "p", "a.py", "f", "python", "", 1.0), (1, "q", "b.py", "f", "python", "", 1.0)]
+    found = tables.same_symbol(spark.createDataFrame(rows, "query_id long, chunk_id string, path string, fqn string, language string, content string, score double"))
+    assert {r["chunk_id"] for r in found.collect()} == {"s", "p", "q"}
+    assert tables.stage_times(spark.createDataFrame([("a", 1.0, 0.5), ("a", 2.0, 0.5)], "name string, wall double, cpu double")).first()["wall"] == 3.0
+    pool = spark.createDataFrame([(1, "a", 2, 3.0), (1, "b", 2, 1.0), (1, "b", 1, 9.0)], "query_id long, path string, channels int, score double")
+    assert tuple(tables.consensus(pool).first()) == (1, 2, 2, 3.0, 3.0)
+    specs = spark.createDataFrame([("d", True), ("d", True), ("e", False)], "spec string, stale boolean")
+    assert [r["spec"] for r in tables.stale_specs(specs, specs.select("spec").distinct()).collect()] == ["d"]
