@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
 from lodestone.operators import fusion, gap, graph, incremental, intervals, packing, parse, recall, usage
+from lodestone.plans import index as _index  # noqa: F401  (registers its queries)
+from lodestone.plans.registry import QUERIES, SQL, Query, query, table
 from lodestone.streaming import stateful
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 TOKENS = "regexp_extract_all({c}, '[A-Za-z0-9]+')"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ------------------------------------------------------------------ identities and scalar functions
 
 
@@ -610,8 +592,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
