@@ -140,6 +140,41 @@ def python_rows(text: str) -> tuple[list[tuple], list[tuple], list[tuple], str |
     return walk.symbols, walk.edges, walk.unresolved, None
 
 
+#: Makers of route tables, and methods that register a route.
+FACTORIES = ("FastAPI", "APIRouter")
+ROUTES = ("get", "post", "put", "delete", "patch", "head", "options", "websocket", "route", "api_route")
+
+
+def route_rows(text: str) -> list[tuple[str, str, str, int]]:
+    """(router, function, path, line) of functions of the module that a decorator registers with a router made in it.
+
+    Only what is plain counts: the maker is imported by name or through its module, the router is bound once, and to a call of it.
+    """
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    bound: dict[str, int] = {}
+    for node in ast.walk(tree):
+        names = [node.id] if isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Load) else [node.name] if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else []
+        names += [(a.asname or a.name).split(".")[0] for a in node.names] if isinstance(node, ast.Import | ast.ImportFrom) else []
+        for name in names:
+            bound[name] = bound.get(name, 0) + 1
+    makers = {a.asname or a.name for n in tree.body if isinstance(n, ast.ImportFrom) and n.module == "fastapi" and not n.level for a in n.names if a.name in FACTORIES}
+    makers |= {f"{a.asname or a.name}.{f}" for n in tree.body if isinstance(n, ast.Import) for a in n.names if a.name == "fastapi" for f in FACTORIES}
+    once = lambda name: bound.get(name.split(".")[0]) == 1
+    made = {t.id: n.lineno for n in tree.body if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and dotted(n.value.func) in makers and once(dotted(n.value.func)) for t in n.targets if isinstance(t, ast.Name) and once(t.id)}
+    rows = []
+    for node in tree.body:
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            for mark in node.decorator_list:
+                router, _, method = (dotted(mark.func) or "").rpartition(".") if isinstance(mark, ast.Call) else ("", "", "")
+                if method in ROUTES and made.get(router, node.lineno) < node.lineno:
+                    where = mark.args[0].value if mark.args and isinstance(mark.args[0], ast.Constant) else ""
+                    rows.append((router, node.name, str(where), mark.lineno))
+    return rows
+
+
 def _per_file(rows: Callable[[str], list[tuple]], names: list[str]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,3 +209,10 @@ def python_edges(files: DataFrame) -> DataFrame:
 def python_unresolved(files: DataFrame) -> DataFrame:
     names = ["source", "reference", "kind", "line"]
     return files.select("path", "text").mapInPandas(_per_file(lambda t: python_rows(t)[2], names), "path string, source string, reference string, kind string, line int")
+
+
+def python_routes(files: DataFrame) -> DataFrame:
+    """Edges (path, source, target, kind, route, line) of registered routes; always ``registers``, and synthesized."""
+    names = ["source", "target", "route", "line"]
+    rows = files.select("path", "text").mapInPandas(_per_file(route_rows, names), "path string, source string, target string, route string, line int")
+    return rows.selectExpr("path", "source", "target", "'registers' AS kind", "route", "line", "'synthesized' AS provenance")

@@ -81,3 +81,42 @@ def request_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Entries of a log of JSON lines, rotated backups included; lines that are no JSON are left out."""
     rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), "value").where("r is not null and startswith(ltrim(value), '{')")
     return rows.select("r.*")
+
+
+#: Files and folders that are read though ignored.
+ALLOWED = ("agents.md", "claude.md", ".agent.md", ".cursorrules", "handoff.md", "skills")
+
+
+def allow_entry(line: str) -> tuple[str, bool, bool] | None:
+    """(name in lower case, is a folder, negated) of one line of an allow list; nothing for blanks, comments and wildcards.
+
+    A name with a slash, or without a dot, is a folder, of which the last part counts; any other is a file's name.
+    """
+    text = line.rstrip()
+    if not text or text.lstrip().startswith("#"):
+        return None
+    negated = text.startswith("!")
+    text = text[1:].strip() if negated else text
+    text = text[1:] if text[:2] in ("\\#", "\\!") else text
+    name = text.strip("/")
+    if not name or re.search(r"[*?\[]", text):
+        return None
+    folder = "/" in text or "." not in text
+    return (name.rsplit("/", 1)[-1].lower() if folder else text.lower()), folder, negated
+
+
+def with_allowed(files: DataFrame, entries: list[str] = (), builtin: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """``files`` with ``allowed``: the last entry that matches the file's name, or a folder on its way, decides. Pruned folders are never allowed."""
+    low = F.split(F.lower("path"), "/")
+    allowed = F.lit(False)
+    for entry in filter(None, map(allow_entry, [*builtin, *entries])):
+        name, folder, negated = entry
+        hit = F.array_contains(F.slice(low, F.lit(1), F.size(low) - 1), name) if folder else F.element_at(low, -1) == name
+        allowed = F.when(hit, not negated).otherwise(allowed)
+    return files.withColumn("allowed", allowed & ~paths.is_pruned(F.col("path")))
+
+
+def directory_size(spark: SparkSession, root: str) -> DataFrame:
+    """One row: files and bytes below ``root``. Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("length")
+    return found.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
