@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
 from lodestone.operators import fusion, gap, graph, incremental, intervals, packing, parse, recall, usage
-from lodestone.plans import index as _index  # noqa: F401  (registers its queries)
+from lodestone.plans import index, maintenance  # noqa: F401  (they register their queries)
 from lodestone.plans.registry import QUERIES, SQL, Query, query, table
 from lodestone.streaming import stateful
 

@@ -62,7 +62,7 @@ def symbol_channel(spark, d):
     return channels.symbol_recall(symbols, tokens_, "q", True)
 
 
-NEEDLES = "n AS (SELECT DISTINCT upper(regexp_extract(text, '[A-Za-z]{6,}')) AS needle FROM benchmark WHERE item_id % 4 = 0 AND length(regexp_extract(text, '[A-Za-z]{6,}')) > 0)"
+NEEDLES = "n AS (SELECT DISTINCT upper(regexp_extract(text, '[A-Za-z]{6,}')) AS needle FROM benchmark WHERE length(regexp_extract(text, '[A-Za-z]{6,}')) > 0)"
 
 
 @query(f"""
@@ -73,17 +73,17 @@ SELECT needle, chunk_id, in_name, times, CAST(row_number() OVER (PARTITION BY ne
 def literal_many(spark, d):
     chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("symbol_fqn"), F.col("text").alias("content"))
     word = F.upper(F.regexp_extract("text", "[A-Za-z]{6,}", 0))
-    needles = table(spark, d, "benchmark").where("item_id % 4 = 0").select(word.alias("needle")).where("needle != ''").distinct()
+    needles = table(spark, d, "benchmark").select(word.alias("needle")).where("needle != ''").distinct()
     return channels.literal_many(chunks, needles)
 
 
 @query("""
-WITH n AS (SELECT DISTINCT upper(left(p_name, 4)) AS needle FROM part WHERE p_partkey <= 40), h AS (SELECT needle, p_partkey AS chunk_id, p_name FROM n JOIN part ON contains(lower(p_name), lower(needle)))
+WITH n AS (SELECT DISTINCT upper(left(p_name, 4)) AS needle FROM part), h AS (SELECT needle, p_partkey AS chunk_id, p_name FROM n JOIN part ON contains(lower(p_name), lower(needle)))
 SELECT needle, chunk_id, CAST(row_number() OVER (PARTITION BY needle ORDER BY length(p_name), p_name, chunk_id) AS INT) AS rank FROM h QUALIFY rank <= 20
 """)
 def name_channel(spark, d):
     part = table(spark, d, "part")
-    needles = part.where("p_partkey <= 40").select(F.upper(F.substring("p_name", 1, 4)).alias("needle")).distinct()
+    needles = part.select(F.upper(F.substring("p_name", 1, 4)).alias("needle")).distinct()
     return channels.names_many(part.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("name")), needles)
 
 
