@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     rows = rows.withColumn("level", left / open_).withColumn("capped", F.col("level") > F.col("limit") / F.col("weight"))
     level = F.max(F.when(~F.col("capped"), F.col("level"))).over(total)
     target = F.when(F.col("capped"), F.col("limit")).otherwise(F.least(level * F.col("weight"), F.col("limit")))
-    offset = F.pmod(F.xxhash64(F.lit(SEED), "source"), F.lit(1 << 30)) / float(1 << 30)
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce("source", F.lit("")))), 1, 7), 16, 10).cast("long") / float(1 << 28)
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
     return rows.select("source", "source_size", target.alias("target"), rate.alias("rate"), offset.alias("offset"))
 

@@ -102,5 +102,53 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, min(r
 FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id
 """
 
+#: Equal sets are one row first; then sets that share a shingle and fit in length are held against each other in full.
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s) AS n FROM s
+), c AS (
+  SELECT min(doc_id) AS head, list(doc_id) AS members, s FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s
+), t AS (
+  SELECT head, len(s) AS n, unnest(s) AS shingle FROM c
+), p AS (
+  SELECT a.head AS a, b.head AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM t a JOIN t b ON a.shingle = b.shingle AND a.head < b.head AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.head, b.head
+), l AS (
+  SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared) UNION ALL SELECT b, a FROM p WHERE 100 * shared >= 85 * (na + nb - shared)
+), reach(a, b) AS (
+  SELECT head, head FROM c UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+), m AS (
+  SELECT unnest(members) AS doc_id, least FROM c JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) ON a = head
+)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(least, n.doc_id) AS component_id, coalesce(least, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN m ON m.doc_id = n.doc_id
+"""
+
+#: Up to 50,000 documents, where all rows of a source and size are ordered by doc_id alone; beyond that by bucket first.
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS most FROM s
+), b AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(most) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, level > most / weight AS capped, max(CASE WHEN level > most / weight THEN NULL ELSE level END) OVER () AS final FROM b
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN most ELSE least(final * weight, most) END AS target, CAST('0x' || substr(md5('mix' || coalesce(source, '')), 1, 7) AS BIGINT) / CAST(268435456 AS DOUBLE) AS first FROM f
+), r AS (
+  SELECT doc_id, size, source_size, target, first, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) AS n
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(n * rate + first) - floor((n - 1) * rate + first)) AS BIGINT) AS taken FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op9_exact_topk": OP9}
+    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10}

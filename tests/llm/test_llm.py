@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -483,3 +484,15 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first()[0] == at.agg(F.sum("length")).first()[0]
 
 
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(found.fetchall())
