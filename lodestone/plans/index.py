@@ -145,14 +145,14 @@ WITH s AS (SELECT p_partkey AS symbol, p_brand || '.' || p_size AS fqn, CAST(p_s
 m AS (SELECT DISTINCT o_custkey AS spec, CASE WHEN o_orderkey % 2 = 0 THEN 'Brand#' || o_orderkey % 5 * 11 || '.' || o_orderkey % 50 ELSE 'q::' || o_orderkey % 60 END AS mention FROM orders),
 e AS (SELECT spec, mention, symbol FROM m JOIN s ON mention = fqn),
 t AS (SELECT spec, mention, symbol FROM m JOIN s ON tail = regexp_extract(replace(mention, '::', '.'), '[^.]*$') WHERE (spec, mention) NOT IN (SELECT spec, mention FROM e))
-SELECT DISTINCT spec, symbol FROM (SELECT * FROM e UNION ALL SELECT * FROM t) WHERE (spec + symbol) % 10 <> 0
+SELECT DISTINCT spec, symbol FROM (SELECT * FROM e UNION ALL SELECT * FROM t) WHERE spec <> symbol
 """)
 def section_links(spark, d):
     part, key = table(spark, d, "part"), F.col("o_orderkey")
     symbols = part.select(F.col("p_partkey").alias("id"), F.concat_ws(".", "p_brand", F.col("p_size").cast("string")).alias("fqn"))
     mention = F.when(key % 2 == 0, F.concat(F.lit("Brand#"), key % 5 * 11, F.lit("."), key % 50)).otherwise(F.concat(F.lit("q::"), key % 60))
     asked = table(spark, d, "orders").select(F.col("o_custkey").alias("spec"), mention.alias("mention")).distinct()
-    known = asked.select("spec").distinct().withColumn("rest", (10 - F.col("spec") % 10) % 10).join(part.select(F.col("p_partkey").alias("symbol"), (F.col("p_partkey") % 10).alias("rest")), "rest").select("spec", "symbol")
+    known = asked.select("spec", F.col("spec").alias("symbol")).distinct()
     return tables.link_sections(asked, symbols, known)
 
 
