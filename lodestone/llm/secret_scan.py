@@ -1,11 +1,14 @@
 """Secret scanning with Column functions only: three fixed patterns, and runs of characters that a randomness battery passes.
 
-A run of 20 or more token characters has an inferred encoding (hexadecimal, base 32, base 36, letters, base 64) and takes
-three tests: chi-squared uniformity over the encoding's alphabet, runs above and below the middle of the alphabet, and serial
-correlation at lag one. A random key passes all three. What stands against it is ordinary text, whose chi-squared value has a
-mean and a variance that follow from how often each character occurs in all documents; the chance that ordinary text of that
-length looks so uniform is the run's p-value. Within each class of lengths Benjamini and Hochberg's rule over all runs of all
-documents sets the largest p-value that counts as a find. Letters are folded to lower case for the counts.
+A run of 20 or more token characters has an inferred encoding (decimal, hexadecimal, letters, base 32, base 36, base 64) and
+takes three tests: chi-squared uniformity over the encoding's alphabet, runs above and below the middle of the alphabet, and
+serial correlation at lag one. A random key passes all three. What stands against it is ordinary text, whose characters come
+as often as in all documents. The run's likelihood ratio L, uniform characters against ordinary ones, has the mean 1 in
+ordinary text, so ordinary text has a ratio of L or more with a chance of 1 / L at most, at any length: that is the p-value.
+Base 64 tells upper from lower case; there ordinary text may also be in swapped case (names of constants), and the larger of
+the two p-values counts. The other encodings have one case each, and there letters of both cases are counted together. Within
+each class of lengths Benjamini and Hochberg's rule over all runs of all documents sets the largest p-value that counts as a
+find.
 
 The corpus is read three times: for character counts, for p-values by class (both are aggregates of bounded size), and for
 the spans. Nothing but those aggregates is shuffled; every row's spans are worked out within the row.
@@ -29,13 +32,15 @@ RANDOM = "random"
 KINDS = (*(b[0] for b in BASE), RANDOM)
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyz"
-#: Encoding, pattern, its alphabet after folding; the first that matches is inferred.
+BASE64 = SYMBOLS + "ABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
+#: Encoding, pattern, its alphabet (of base 64 as it is, of the others in lower case); the first that matches is inferred.
 ENCODINGS = (
+    ("decimal", r"^[0-9]+$", "0123456789"),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("alpha", r"^(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)$", "abcdefghijklmnopqrstuvwxyz"),
     ("base32", r"^[A-Z2-7]+=*$", "234567abcdefghijklmnopqrstuvwxyz"),
     ("base36", r"^(?:[a-z0-9]+|[A-Z0-9]+)$", SYMBOLS),
-    ("base64", r"^.*$", SYMBOLS),
+    ("base64", r"^.*$", BASE64),
 )
 LENGTH_CLASSES = (20, 28, 40, 64)
 FALSE_SHARE = 0.01
@@ -46,13 +51,10 @@ _STEPS, _DEEPEST = 20, 400  # bins of the negative decimal logarithm of p
 
 @dataclass(frozen=True)
 class Null:
-    """What an encoding's chi-squared value is in ordinary text: mean a + n b - n, variance n v + c."""
+    """What stands against an encoding: for each symbol the logarithm of uniform by ordinary frequency, as it is and in swapped case."""
 
-    uniform: tuple[float, ...]
-    a: float
-    b: float
-    v: float
-    c: float
+    plain: tuple[float, ...]
+    swapped: tuple[float, ...]
 
 
 def _spans(text: Column, pattern: str, group: int) -> Column:
@@ -71,38 +73,19 @@ def _spans(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), folded).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string,size:int>>)"))
 
 
-def _normal_tail(z: Column) -> Column:
-    """P(N <= z), to about 1e-7 absolute near the middle and by its asymptotic form far below."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    upper = density * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.when(x > 5, density / x * (1 - 1 / (x * x))).otherwise(upper)
-    return F.when(z < 0, upper).otherwise(1 - upper)
-
-
 def character_counts(docs: DataFrame) -> dict[str, int]:
-    """How often each letter (either case) and digit occurs in all texts: one aggregate row."""
-    text = F.lower("text")
-    row = docs.agg(*(F.sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("long")).alias(f"n_{c}") for c in SYMBOLS)).first()
-    return {c: row[f"n_{c}"] or 0 for c in SYMBOLS}
+    """How often each symbol of base 64 occurs in all texts, - and _ counted as + and /: one aggregate row."""
+    text = F.translate("text", "-_", "+/")
+    row = docs.agg(*(F.sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("long")).alias(f"n_{i}") for i, c in enumerate(BASE64))).first()
+    return {c: row[i] or 0 for i, c in enumerate(BASE64)}
 
 
 def null_of(counts: dict[str, int]) -> dict[str, Null]:
     out = {}
     for name, _, alphabet in ENCODINGS:
-        twice = {c: 2.0 if name == "base64" and c.isalpha() else 1.0 for c in alphabet}
-        u = [twice[c] / sum(twice.values()) for c in alphabet]
-        total = sum(counts[c] + 1 for c in alphabet)
-        q = [(counts[c] + 1) / total for c in alphabet]
-        b = sum(x * x / y for x, y in zip(q, u, strict=True))
-        out[name] = Null(
-            tuple(u),
-            sum(x * (1 - x) / y for x, y in zip(q, u, strict=True)),
-            b,
-            4 * max(0.0, sum(x**3 / y**2 for x, y in zip(q, u, strict=True)) - b * b),
-            2 * sum((x / y) ** 2 for x, y in zip(q, u, strict=True)),
-        )
+        own = {c: 1 + counts[c] + (counts[c.upper()] if name != "base64" and c.isalpha() else 0) for c in alphabet}
+        plain = {c: math.log(sum(own.values()) / len(alphabet) / n) for c, n in own.items()}
+        out[name] = Null(tuple(plain.values()), tuple(plain.get(c.swapcase(), plain[c]) for c in alphabet))
     return out
 
 
@@ -130,10 +113,10 @@ def _judged(r: Column, a: Column, n: Column) -> Column:
 
     def verdict(t: Column) -> Column:
         pairs = 2 * t["above"] * (n - t["above"])
-        runs = (t["runs"] - 1 - pairs / n) / F.sqrt(pairs * (pairs - n) / (n * n * (n - 1)))
+        runs = F.try_divide(t["runs"] - 1 - pairs / n, F.sqrt(F.try_divide(pairs * (pairs - n), n * n * (n - 1))))
         mean = t["s"] / n
         spread = t["s2"] - n * mean * mean
-        serial = ((t["lag"] - mean * (2 * t["s"] - t["first"] - t["before"]) + (n - 1) * mean * mean) / spread + 1 / n) * F.sqrt(n)
+        serial = (F.try_divide(t["lag"] - mean * (2 * t["s"] - t["first"] - t["before"]) + (n - 1) * mean * mean, spread) + 1 / n) * F.sqrt(n)
         return (pairs > n) & (spread > 0) & (F.abs(runs) < FAR) & (F.abs(serial) < FAR)
 
     return F.aggregate(r["places"], zero, step, verdict)
@@ -147,44 +130,45 @@ def _candidates(text: Column, nulls: dict[str, Null]) -> Column:
     """
     alphabets = [a for _, _, a in ENCODINGS]
     law = [nulls[name] for name, _, _ in ENCODINGS]
-    symbols = [F.array(*(F.struct(F.lit(c).alias("c"), F.lit(u).alias("u")) for c, u in zip(a, x.uniform, strict=True))) for a, x in zip(alphabets, law, strict=True)]
+    symbols = [F.array(*(F.struct(F.lit(c).alias("c"), F.lit(l).alias("l"), F.lit(m).alias("m")) for c, l, m in zip(a, x.plain, x.swapped, strict=True))) for a, x in zip(alphabets, law, strict=True)]
+    base64 = len(ENCODINGS) - 1
 
     def read(r: Column) -> Column:
-        number = F.lit(len(ENCODINGS) - 1)
+        number = F.lit(base64)
         for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
             number = F.when(r["match"].rlike(pattern), i).otherwise(number)
         length = r["end"] - r["start"]
         group = sum(((length >= x).cast("int") for x in LENGTH_CLASSES), F.lit(0))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), group.alias("class"), number.alias("code"), F.lower(r["match"]).alias("low"))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), group.alias("class"), number.alias("code"), r["match"].alias("match"))
 
     def folded(r: Column) -> Column:
-        kept = F.regexp_replace(r["low"], _pick([f"[^{a}]" for a in alphabets], r["code"]), F.lit(""))
+        kept = F.when(r["code"] == base64, F.translate(r["match"], "-_=", "+/")).otherwise(F.translate(F.lower(r["match"]), "=", ""))
         return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), r["code"].alias("code"), kept.alias("kept"))
 
     def counted(r: Column) -> Column:
-        def seen(t: Column, x: Column) -> Column:
-            times = F.length(r["kept"]) - F.length(F.replace(r["kept"], x["c"], F.lit("")))
-            return t + times * times / x["u"]
-
-        n = F.length(r["kept"]).cast("double")
-        chi = F.aggregate(_pick(symbols, r["code"]), F.lit(0.0), seen) / n - n
+        times = lambda c: (F.length(r["kept"]) - F.length(F.replace(r["kept"], c, F.lit("")))).cast("double")
+        counts = F.transform(_pick(symbols, r["code"]), lambda x: F.struct(times(x["c"]).alias("k"), x["l"].alias("l"), x["m"].alias("m")))
         places = F.transform(F.filter(F.split(r["kept"], ""), lambda c: c != ""), lambda c: F.position(c, _pick(alphabets, r["code"])).cast("double"))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), r["code"].alias("code"), n.alias("n"), chi.alias("chi"), places.alias("places"))
+        n = F.length(r["kept"]).cast("double")
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), r["code"].alias("code"), n.alias("n"), counts.alias("counts"), places.alias("places"))
 
     def tested(r: Column) -> Column:
-        n, chi = r["n"], r["chi"]
-        a = _pick([float(len(x)) for x in alphabets], r["code"])
-        k = a - 1
-        uneven = (F.pow(F.greatest(chi, F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
-        usual = _pick([x.a for x in law], r["code"]) + n * _pick([x.b for x in law], r["code"]) - n
-        spread = F.sqrt(n * _pick([x.v for x in law], r["code"]) + _pick([x.c for x in law], r["code"]))
-        random = F.coalesce((n >= LENGTH_CLASSES[0]) & (uneven < FAR) & _judged(r, a, n), F.lit(False))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), random.alias("random"), ((chi - usual) / spread).alias("z"))
+        n, zero = r["n"], F.struct(*(F.lit(0.0).alias(x) for x in ("squares", "plain", "swapped")))
+
+        def seen(t: Column, x: Column) -> Column:
+            return F.struct((t["squares"] + x["k"] * x["k"]).alias("squares"), (t["plain"] + x["k"] * x["l"]).alias("plain"), (t["swapped"] + x["k"] * x["m"]).alias("swapped"))
+
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), r["code"].alias("code"), n.alias("n"), r["places"].alias("places"), F.aggregate(r["counts"], zero, seen).alias("sums"))
 
     def placed(r: Column) -> Column:
-        depth = F.floor(-F.log10(F.greatest(_normal_tail(r["z"]), F.lit(1e-30))) * _STEPS).cast("int")
+        n, a = r["n"], _pick([float(len(x)) for x in alphabets], r["code"])
+        k = a - 1
+        chi = r["sums"]["squares"] * a / n - n
+        uneven = (F.pow(F.greatest(chi, F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+        random = F.coalesce((n > 0) & (uneven < FAR) & _judged(r, a, n), F.lit(False))
+        depth = F.floor(F.least(r["sums"]["plain"], r["sums"]["swapped"]) * (_STEPS / math.log(10))).cast("int")
         depth = F.greatest(F.least(depth, F.lit(_DEEPEST)), F.lit(0))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), F.when(r["random"], depth).otherwise(-1).alias("bin"))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), F.when(random, depth).otherwise(-1).alias("bin"))
 
     rows = _spans(text, RUN, 0)
     for step in (read, folded, counted, tested, placed):

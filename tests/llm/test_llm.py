@@ -323,6 +323,28 @@ def test_random_runs_are_found_and_words_are_not(spark, sf):
     assert sum(by[i] > 0 for i in range(45, len(texts))) <= 2
 
 
+def test_keys_of_ordinary_lengths_are_found_in_every_encoding(spark, sf):
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex": digits + "ABCDEF", "alpha": upper.lower(), "base32": upper + "234567", "base36": upper.lower() + digits, "base64": upper + upper.lower() + digits + "+/", "base64url": upper + upper.lower() + digits + "-_"}
+    rng, texts, kinds = random.Random(6), [], []
+    for name, alphabet in alphabets.items():
+        for size in (20, 24, 32, 40):
+            for _ in range(50):
+                texts.append(f"see {''.join(rng.choice(alphabet) for _ in range(size))} there")
+                kinds.append((name, size))
+    prose = [w for r in docs_of(spark, sf).collect() for w in re.findall("[A-Za-z]{3,}", r["text"] or "")]
+    joins = (lambda ws: "_".join(ws).upper(), lambda ws: "_".join(ws).lower(), lambda ws: "".join(w.capitalize() for w in ws), lambda ws: "/".join(ws).lower(), lambda ws: "-".join(ws), lambda ws: "".join(ws).lower(), lambda ws: str(rng.randrange(10**24, 10**25)))
+    for i in range(1400):  # ordinary runs share every class of lengths
+        texts.append(f"see {joins[i % len(joins)](rng.sample(prose, rng.randint(4, 6)))} there")
+    n = len(texts)
+    texts += [r["text"] for r in docs_of(spark, sf).collect()]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by = {r["doc_id"]: r["n_random"] for r in rows}
+    found = Counter(kind for i, kind in enumerate(kinds) if by[i] > 0)
+    assert {kind: found[kind] for kind in set(kinds) if found[kind] < 40} == {}
+    assert sum(by[i] > 0 for i in range(len(kinds), n)) <= 0.02 * sum(found.values())
+
+
 def test_redaction(spark, odd, empty):
     text = "x 漢 password=hunter22 and AKIA" + "Q" * 16 + " end " + "0af" * 10
     df = spark.createDataFrame([(1, text, 7), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
