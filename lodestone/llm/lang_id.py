@@ -164,7 +164,7 @@ def identify(docs: DataFrame, coder: Coder) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, coder: Coder) -> DataFrame:
-    """``docs`` without rows whose text is null or has no letter, with ``lang`` filled in where it was null."""
+    """``docs`` without rows whose text is null or has no letter, with ``lang`` filled in where it was null and a language was learned."""
     schema = docs.schema
     names = docs.columns
 
@@ -173,9 +173,10 @@ def keep_identified(docs: DataFrame, coder: Coder) -> DataFrame:
         blank = np.zeros(1, bool)
         for batch in batches:
             inner = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(text), pa.array(np.repeat(blank, len(batch)))], ["doc_id", "text", "held_out"])
+            lettered = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False)
             for said in _predict(coder)([inner]):
-                lang = pc.coalesce(batch.column(at), said.column("lang_pred"))
+                lang = pc.coalesce(batch.column(at), said.column("lang_pred")) if coder.languages else batch.column(at)
                 columns = [lang if i == at else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pc.not_equal(said.column("lang_pred"), UNDETERMINED))
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(lettered)
 
     return docs.mapInArrow(run, schema)

@@ -142,6 +142,16 @@ def test_language_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["4", "5", "6", "7", "7", "8", "9", "None"])
 
 
+def test_letters_alone_decide_what_is_kept(spark, odd, empty):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    for docs in (unlabelled, odd):
+        kept = lang_id.keep_identified(docs, lang_id.train(unlabelled))
+        want = [r for r in docs.collect() if r["text"] and re.search(r"[^\W\d_]", r["text"])]
+        assert kept.columns == docs.columns and len(want) == 8
+        assert sorted(kept.collect(), key=str) == sorted(want, key=str)
+    assert lang_id.keep_identified(empty, lang_id.train(empty)).count() == 0
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 5, 7, 12):
         code = lang_id.codewords(n)
