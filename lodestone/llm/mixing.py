@@ -6,8 +6,9 @@ whole number that its interval crosses. As neighbours in that order have nearly
 the target by little more than the largest document.
 
 The prefix sum is the rank times the expected copies, and the rank is made of three parts, none of which gathers a source in
-one task: rows before this size (a window over a source's distinct sizes), rows of this size in earlier buckets of hashed
-ids (a window over the buckets' counts), and the row number within the bucket.
+one task: rows before this size (a window over a source's distinct sizes), rows of this size in earlier buckets (a window over
+the buckets' counts), and the row number within the bucket. Buckets are ranges of doc_id, about equal in rows, so the order is
+that of size and doc_id (null last) for any bounds and any number of them.
 """
 
 from __future__ import annotations
@@ -50,6 +51,26 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return rows.select("source", "source_size", target.alias("target"), rate.alias("rate"), offset.alias("offset"))
 
 
+def _bounds(docs: DataFrame) -> list[int]:
+    """Ids at which the second bucket and each later one begins: quantiles, approximate, which changes no result."""
+    n = docs.count()
+    shares = [i * BUCKET_ROWS / n for i in range(1, 1 + (n - 1) // BUCKET_ROWS)]
+    if not shares:
+        return []
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * len(shares)))).first()[0]
+    return sorted(set(found or []))
+
+
+def _bucket(bounds: list[int]) -> Column:
+    """How many bounds an id has reached, by binary search; a null id comes after all."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+    at = F.array(*(F.lit(b).cast("long") for b in bounds))
+    reached = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda n, s: F.when(F.get(at, n + s - 1) <= F.col("doc_id"), n + s).otherwise(n))
+    return F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(reached)
+
+
 def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``docs`` with columns mix_size, mix_source_size, mix_target and mix_copies (how often the row is emitted).
 
@@ -60,9 +81,9 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     if "mix_size" not in docs.columns:
         docs = docs.withColumn("mix_size", size_of(F.col("text")))
     columns = [c for c in docs.columns if c != "mix_size"]
-    buckets = 1 + docs.count() // BUCKET_ROWS
+    bounds = _bounds(docs)
     rows = docs.withColumn("mix_key", F.struct(F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name")))
-    rows = rows.withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("mix_bucket", _bucket(bounds))
     by_bucket = rows.groupBy("mix_key", "mix_size", "mix_bucket").agg(F.count("*").alias("n"))
     in_size = Window.partitionBy("mix_key", "mix_size").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     in_source = Window.partitionBy("mix_key").orderBy("mix_size").rowsBetween(Window.unboundedPreceding, -1)

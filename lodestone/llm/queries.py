@@ -127,7 +127,7 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, coalesce(least, n.doc_id) AS component_id, coalesce(least, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN m ON m.doc_id = n.doc_id
 """
 
-#: Up to 50,000 documents, where all rows of a source and size are ordered by doc_id alone; beyond that by bucket first.
+#: At every size: rows of a source are ordered by size and doc_id, however many buckets the query deals them to.
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents

@@ -483,6 +483,19 @@ def test_mixture_meets_targets(spark, monkeypatch):
     assert all(abs(taken[s] - want[s]) <= 2 * largest[s] for s in sizes)
 
 
+def test_mixture_is_that_of_the_sql_with_many_buckets(spark, sf, monkeypatch):
+    whole = docs_of(spark, sf)
+    texts = F.when(F.col("doc_id") % 2 == 0, "same size here").when(F.col("doc_id") % 3 == 0, "two words").otherwise(F.col("text"))
+    ids = F.when(F.col("doc_id") != 7, F.col("doc_id") * F.when(F.col("doc_id") % 5 == 0, -1).otherwise(1_000_003))
+    docs = whole.withColumn("text", texts).withColumn("doc_id", ids)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = sorted(con.execute(queries.OP10).fetchall(), key=str)
+    for rows in (7, 50, 50_000):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        assert sorted((tuple(r) for r in mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str) == want
+
+
 def test_mixture_of_odd_rows(spark, odd, empty):
     rows = mixing.taken(odd).collect()
     assert len(rows) == len(ODD) and {r["doc_id"]: r["size"] for r in rows}[0] == 0
