@@ -138,6 +138,16 @@ def cosine_topk(spark, d):
     return recall.vector_top_k(v, "vec_id", "embedding", asked, "query_id", "asked", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10
+""")
+def cosine_topk_each(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    return recall.vector_top_k(v, "vec_id", "embedding", asked, "query_id", "asked", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 SYMBOLS = """sym AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand || '.' || p_type || '.' || p_name AS fqn, p_brand AS file_path, p_size AS start_line, p_size % 2 = 0 AS is_exported FROM part)"""
 
 
