@@ -48,31 +48,46 @@ def retarget_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return distinct_edges(moved.select(*edges.columns))
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, caller_limit: int = 200, callers_kept: int = 20) -> DataFrame:
-    """(seed, seed_rank, node, direction, place): callees by line and name, then callers by name, capped where there are very many."""
-    out = edges.join(seeds, F.col("source") == F.col("seed")).select("seed", "seed_rank", F.col("target").alias("node"), "line", F.lit(0).alias("direction"))
-    into = edges.join(seeds, F.col("target") == F.col("seed")).select("seed", "seed_rank", F.col("source").alias("node"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("direction"))
+def neighbours(edges: DataFrame, seeds: DataFrame, caller_limit: int = 200, callers_kept: int = 20, query_key: str | None = None) -> DataFrame:
+    """(seed, seed_rank, node, direction, place): callees by line and name, then callers by name, capped where there are very many.
+
+    With a ``query_key`` in ``seeds`` each query has its own seeds, and rows tell theirs.
+    """
+    by = [query_key] if query_key else []
+    out = edges.join(seeds, F.col("source") == F.col("seed")).select(*by, "seed", "seed_rank", F.col("target").alias("node"), "line", F.lit(0).alias("direction"))
+    into = edges.join(seeds, F.col("target") == F.col("seed")).select(*by, "seed", "seed_rank", F.col("source").alias("node"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("direction"))
     both = out.unionByName(into)
-    order = Window.partitionBy("seed", "direction").orderBy(F.col("line").asc_nulls_last(), "node")
-    both = both.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("seed", "direction")))
+    order = Window.partitionBy(*by, "seed", "direction").orderBy(F.col("line").asc_nulls_last(), "node")
+    both = both.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*by, "seed", "direction")))
     return both.where((F.col("direction") == 0) | (F.col("n") <= caller_limit) | (F.col("place") <= callers_kept)).drop("n", "line")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, limit: int = 30) -> DataFrame:
-    """The first ``limit`` nodes next to the seeds that are no seeds, in the order of seed, direction and place."""
-    near = neighbours(edges, seeds).join(seeds.select(F.col("seed").alias("node")), "node", "left_anti")
-    first = near.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("seed_rank", "direction", "place"))).where("n = 1")
+def _first_of_each(rows: DataFrame, query_key: str, order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each query, with their position."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(query_key).orderBy(*order))).where(F.col("position") <= limit)
+
+
+def expand(edges: DataFrame, seeds: DataFrame, limit: int = 30, query_key: str | None = None) -> DataFrame:
+    """The first ``limit`` nodes next to the seeds that are no seeds, in the order of seed, direction and place; of each query if keyed."""
+    by = [query_key] if query_key else []
+    near = neighbours(edges, seeds, query_key=query_key).join(seeds.select(*by, F.col("seed").alias("node")), [*by, "node"], "left_anti")
+    first = near.withColumn("n", F.row_number().over(Window.partitionBy(*by, "node").orderBy("seed_rank", "direction", "place"))).where("n = 1")
+    if query_key:
+        return _first_of_each(first, query_key, ["seed_rank", "direction", "place", "node"], limit).select(query_key, "node", "seed", "direction", "position")
     top = first.orderBy("seed_rank", "direction", "place", "node").limit(limit)
     return top.select("node", "seed", "direction", F.row_number().over(Window.orderBy("seed_rank", "direction", "place", "node")).alias("position"))
 
 
-def expand_twice(edges: DataFrame, seeds: DataFrame, limit: int = 12) -> DataFrame:
-    """Callees of callees of the seeds, without seeds and their callees."""
+def expand_twice(edges: DataFrame, seeds: DataFrame, limit: int = 12, query_key: str | None = None) -> DataFrame:
+    """Callees of callees of the seeds, without seeds and their callees; of each query if keyed."""
+    by = [query_key] if query_key else []
     calls = edges.select("source", "target").distinct()
-    one = calls.join(seeds, F.col("source") == F.col("seed")).select("seed", "seed_rank", F.col("target").alias("middle"))
-    two = one.join(calls, F.col("source") == F.col("middle")).select("seed_rank", "middle", F.col("target").alias("node"))
-    two = two.join(one.select(F.col("middle").alias("node")), "node", "left_anti").join(seeds.select(F.col("seed").alias("node")), "node", "left_anti")
-    first = two.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("seed_rank", "middle"))).where("n = 1")
+    one = calls.join(seeds, F.col("source") == F.col("seed")).select(*by, "seed", "seed_rank", F.col("target").alias("middle"))
+    two = one.join(calls, F.col("source") == F.col("middle")).select(*by, "seed_rank", "middle", F.col("target").alias("node"))
+    two = two.join(one.select(*by, F.col("middle").alias("node")), [*by, "node"], "left_anti").join(seeds.select(*by, F.col("seed").alias("node")), [*by, "node"], "left_anti")
+    first = two.withColumn("n", F.row_number().over(Window.partitionBy(*by, "node").orderBy("seed_rank", "middle"))).where("n = 1")
+    if query_key:
+        return _first_of_each(first, query_key, ["seed_rank", "middle", "node"], limit).select(query_key, "node", "middle", "position")
     top = first.orderBy("seed_rank", "middle", "node").limit(limit)
     return top.select("node", "middle", F.row_number().over(Window.orderBy("seed_rank", "middle", "node")).alias("position"))
 

@@ -114,6 +114,16 @@ def phrase_topk(spark, d):
     return recall.phrase(table(spark, d, "documents"), "doc_id", "text", asked, "query_id", "asked")
 
 
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, {SPACED.format(c='text')} AS p FROM benchmark),
+d AS (SELECT doc_id, {SPACED.format(c='text')} AS s FROM documents)
+SELECT query_id, doc_id, times, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY times DESC, doc_id) AS INT) AS rank
+FROM (SELECT query_id, doc_id, CAST((length(s) - length(replace(s, p, ''))) / length(p) AS BIGINT) AS times FROM q JOIN d ON contains(s, p) WHERE len(string_split(trim(p), '  ')) >= 2)) WHERE rank <= 50
+""")
+def phrase_topk_whole(spark, d):
+    return recall.phrase(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id").withColumnRenamed("text", "asked"), "query_id", "asked")
+
+
 @query("""
 SELECT doc_id, in_name, times, CAST(row_number() OVER (ORDER BY in_name DESC, times DESC, span, doc_id) AS INT) AS rank FROM (
   SELECT doc_id, contains(lower(source), 'src1') AS in_name, CAST((length(b) - length(replace(b, 'src1', ''))) / 4 AS BIGINT) AS times, length(b) AS span
@@ -165,6 +175,15 @@ def exact_lookup(spark, d):
     return recall.exact_symbols(symbols(spark, d), wanted).select("wanted", "id", "rank")
 
 
+@query(f"""
+WITH {SYMBOLS}, w AS (SELECT DISTINCT p_name AS wanted FROM part), h AS (SELECT DISTINCT s.*, wanted FROM sym s JOIN w ON s.name = wanted OR s.fqn = wanted)
+SELECT wanted, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY wanted ORDER BY is_exported DESC, fqn = wanted DESC, file_path, start_line, id) AS INT) AS rank FROM h) WHERE rank <= 20
+""")
+def exact_lookup_each(spark, d):
+    wanted = table(spark, d, "part").select(F.col("p_name").alias("wanted")).distinct()
+    return recall.exact_symbols(symbols(spark, d), wanted).select("wanted", "id", "rank")
+
+
 @query(f"""
 WITH {SYMBOLS} SELECT c AS container, id, rank FROM (SELECT c, id, CAST(row_number() OVER (PARTITION BY c ORDER BY file_path, start_line, id) AS INT) AS rank
 FROM sym JOIN (SELECT DISTINCT p_brand AS c FROM part) ON starts_with(fqn, c || '.')) WHERE rank <= 200
@@ -272,6 +291,35 @@ def expand_2hop(spark, d):
     return graph.expand_twice(edges(spark, d), seeds(spark, d, 3))
 
 
+EACH_SEEDS = "seeds AS (SELECT (c_custkey - 1) // {n} AS query_id, 'c' || c_custkey AS seed, CAST(c_custkey AS INT) AS seed_rank FROM customer)"
+
+
+def each_seeds(spark, d, n):
+    """Every customer is a seed; n with neighbouring keys make a query."""
+    return table(spark, d, "customer").select(F.expr(f"(c_custkey - 1) div {n}").alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("seed"), F.col("c_custkey").cast("int").alias("seed_rank"))
+
+
+@query(f"""
+WITH {EDGES}, {EACH_SEEDS.format(n=20)}, nb AS (
+  SELECT query_id, seed, seed_rank, target AS node, 0 AS direction, row_number() OVER (PARTITION BY query_id, seed ORDER BY line NULLS LAST, target) AS place, 0 AS n FROM e JOIN seeds ON source = seed
+  UNION ALL SELECT query_id, seed, seed_rank, source, 1, row_number() OVER (PARTITION BY query_id, seed ORDER BY source), count(*) OVER (PARTITION BY query_id, seed) FROM e JOIN seeds ON target = seed),
+f AS (SELECT * FROM nb WHERE (direction = 0 OR n <= 200 OR place <= 20) AND (query_id, node) NOT IN (SELECT query_id, seed FROM seeds) QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY seed_rank, direction, place) = 1)
+SELECT query_id, node, seed, direction, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seed_rank, direction, place, node) AS INT) AS position FROM f QUALIFY position <= 30
+""")
+def expand_1hop_each(spark, d):
+    return graph.expand(edges(spark, d), each_seeds(spark, d, 20), query_key="query_id")
+
+
+@query(f"""
+WITH {EDGES}, {EACH_SEEDS.format(n=3)}, c AS (SELECT DISTINCT source, target FROM e), one AS (SELECT query_id, seed_rank, target AS middle FROM c JOIN seeds ON source = seed),
+two AS (SELECT query_id, seed_rank, middle, target AS node FROM one JOIN c ON source = middle WHERE (query_id, target) NOT IN (SELECT query_id, middle FROM one) AND (query_id, target) NOT IN (SELECT query_id, seed FROM seeds)),
+f AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY seed_rank, middle) = 1)
+SELECT query_id, node, middle, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seed_rank, middle, node) AS INT) AS position FROM f QUALIFY position <= 12
+""")
+def expand_2hop_each(spark, d):
+    return graph.expand_twice(edges(spark, d), each_seeds(spark, d, 3), query_key="query_id")
+
+
 @query(f"""
 WITH {EDGES}, f AS (SELECT source, target AS next, count(*) OVER (PARTITION BY source) AS branches FROM (SELECT DISTINCT source, target, line FROM e) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line NULLS LAST, target) = 1)
 SELECT 'c' || c_custkey AS start, array_to_string(list_filter(['c' || c_custkey, a.next, b.next], lambda x: x IS NOT NULL), '>') AS path,

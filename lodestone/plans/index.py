@@ -140,6 +140,12 @@ def marker_chunks(spark, d):
     return tables.with_marker(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), "License").select("id")
 
 
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'license')")
+def marker_chunks_each(spark, d):
+    docs = table(spark, d, "documents")
+    return tables.with_marker(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), docs.select(F.col("doc_id").alias("id")), "License").select("id")
+
+
 @query("""
 WITH s AS (SELECT p_partkey AS symbol, p_brand || '.' || p_size AS fqn, CAST(p_size AS VARCHAR) AS tail FROM part),
 m AS (SELECT DISTINCT o_custkey AS spec, CASE WHEN o_orderkey % 2 = 0 THEN 'Brand#' || o_orderkey % 5 * 11 || '.' || o_orderkey % 50 ELSE 'q::' || o_orderkey % 60 END AS mention FROM orders),
