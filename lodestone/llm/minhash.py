@@ -195,6 +195,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without near copies: of each group the smallest doc_id stays, all columns kept. Rows without an id stay."""
-    gone = near_duplicates(docs, shingle_words, threshold).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without near copies: of each group one row stays, that with the smallest doc_id (null last), all columns kept.
+
+    Where ids repeat or are null, rows get keys of their own, so that each is judged by its own text; the rows are written to
+    the shared folder first so that the keys last. Of rows of one group and id the one whose text has the smallest hash stays.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() and docs.where("doc_id is null").isEmpty():
+        gone = near_duplicates(docs, shingle_words, threshold).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti")
+    keyed = Scratch(docs.sparkSession, "minhash").table(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    groups = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), shingle_words, threshold).select(F.col("doc_id").alias("__row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "hash", "__row")
+    stay = keyed.select("__row", "doc_id", F.sha2("text", 256).alias("hash")).join(groups, "__row").groupBy("component_id").agg(F.min(place)["__row"].alias("__row"))
+    return keyed.join(stay.select("__row"), "__row", "left_semi").select(*docs.columns)

@@ -223,6 +223,16 @@ def test_near_copies_of_odd_rows(odd, empty):
     assert sorted(str(r["doc_id"]) for r in minhash.deduplicate(odd).collect()) == ["0", "1", "2", "3", "4", "6", "8", "9", "None"]
 
 
+def test_each_row_is_deduplicated_by_its_own_text(spark):
+    one, near = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s u"
+    clean, other = "quite another text that stands for itself", "yet one more that nobody copied so far"
+    rows = [(1, one), (2, near), (2, clean), (3, other), (3, other), (None, one), (None, "nowhere else is this found at all"), (None, "nowhere else is this found at all"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.deduplicate(df)
+    want = [(1, one), (2, clean), (3, other), (None, rows[6][1]), (4, None), (4, None)]
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 # ---------------------------------------------------------------- 5 packing
 
 
