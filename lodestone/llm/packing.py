@@ -11,7 +11,7 @@ repeats its own tasks only, and a sequence's id is the task's number and the seq
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -131,20 +131,33 @@ class Packer:
             yield chosen
 
 
+def _bytes_of_symbols() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable bytes themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
-    """Ids by the byte-level vocabulary in ``path`` (a file of ranks, one token and rank a line), each text closed by id 0.
+    """Ids by the byte-level tokenizer in ``path`` (its JSON file), each text closed by id 0.
 
-    The ids are those of the tokenizers library with the same vocabulary as JSON; the tests hold one against the other.
+    The ids are those of the tokenizers library with that file and without special tokens added; strings of the file's added
+    tokens that stand in a text are one id each there, and here. The tests hold one library against the other.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    added = {t["content"]: t["id"] for t in told["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in told["added_tokens"]) or told["normalizer"]:
+        raise ValueError("added tokens with options, or a normalizer, are not supported")
+    byte = _bytes_of_symbols()
+    ranks = {bytes(byte[c] for c in token): number for token, number in told["model"]["vocab"].items() if token not in added}
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(text: str) -> np.ndarray:
-        return np.append(coder.encode_to_numpy(text, disallowed_special=()).astype(np.uint32), np.uint32(0)) if text else np.zeros(1, np.uint32)
+        return np.append(coder.encode_to_numpy(text, allowed_special="all").astype(np.uint32), np.uint32(0)) if text else np.zeros(1, np.uint32)
 
     return encode
 
@@ -190,7 +203,7 @@ def _pack(path: str, limits: Limits, loss_after: bool):
     return run
 
 
-def pack(docs: DataFrame, ranks_path: str, limits: Limits = Limits(), prompt_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), prompt_tokens: str | None = None) -> DataFrame:
     """Pieces of all ``docs`` placed in sequences within ``limits``; every id lies in one piece.
 
     ``docs`` has doc_id and text; with ``prompt_tokens`` that column tells how many of a text's first ids bear no loss (null:
@@ -199,4 +212,4 @@ def pack(docs: DataFrame, ranks_path: str, limits: Limits = Limits(), prompt_tok
     loss_tokens.
     """
     columns = ["doc_id", "text"] + ([F.col(prompt_tokens).cast("long")] if prompt_tokens else [])
-    return docs.select(*columns).mapInArrow(_pack(ranks_path, limits, prompt_tokens is not None), SCHEMA)
+    return docs.select(*columns).mapInArrow(_pack(tokenizer_path, limits, prompt_tokens is not None), SCHEMA)

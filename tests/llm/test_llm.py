@@ -266,10 +266,42 @@ def test_pieces_make_the_documents_again(spark):
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = docs_of(spark, "/root/testdata/sf0.01")
     want = {r["doc_id"]: [*model.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
-    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert check_pieces(rows, packing.Limits(), want) < 0.001
 
 
+def test_ids_are_the_tokenizers_where_texts_hold_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, encode, rng = Tokenizer.from_file(path), packing.byte_bpe(path), random.Random(12)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n\n", "hello", " world", "1234", "漢字", "\U0001f600", "'s", "\t", "\u00a0", "é"]
+    texts = ["hello <|endoftext|> world", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(500))]
+    for text in texts:
+        assert encode(text).tolist() == [*model.encode(text, add_special_tokens=False).ids, 0], text
+    assert len(encode(texts[0])) == 5
+
+
+def test_conversations_fill_all_three_limits(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, limits = packing.byte_bpe(path), packing.Limits(tokens=1024, segments=6, loss=400, waiting=200)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    talks = defaultdict(list)
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        talks[r["conv_id"]].append((r["role"], r["text"] or ""))
+    rows, want = [], {}
+    for talk, said in talks.items():  # what comes before the last answer bears no loss
+        prompt = "\n".join(t for _, t in said[:-1]) + "\n"
+        rows.append((talk, prompt + said[-1][1], len(encode(prompt)) - 1))
+        want[talk] = encode(prompt + said[-1][1]).tolist()
+    df = spark.createDataFrame(rows, "doc_id long, text string, asked long")
+    pieces = packing.pack(df.repartition(2), path, limits, "asked").collect()
+    check_pieces(pieces, limits, want)
+    prompts = {r[0]: r[2] for r in rows}
+    assert sum(p["loss_tokens"] for p in pieces) == sum(max(0, len(ids) - prompts[i]) for i, ids in want.items())
+    assert sum(p["loss_tokens"] for p in pieces) < sum(p["length"] for p in pieces)
+
+
 def test_all_three_limits_hold():
     rng = np.random.default_rng(0)
     limits = packing.Limits(tokens=128, segments=4, loss=70, waiting=50)
@@ -289,7 +321,7 @@ def test_all_three_limits_hold():
 
 
 def test_packing_of_odd_rows(odd, empty):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.json")
     encode = packing.byte_bpe(path)
     rows = packing.pack(odd, path).collect()
     total = sum(r["length"] for r in rows)
