@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import SPACES, below_fraction, held_out, shingle_set, texts_of, word_hashes
+from lodestone.llm.shared import SPACES, at_most, below_fraction, held_out, shingle_set, texts_of, word_hashes
 
 #: Bound on the labelled rows that training reads; the driver gets their features, not their texts.
 TRAIN_ROWS = 20_000
@@ -156,15 +156,24 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2) -> Mo
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features_of(t or b"").tobytes() for t in texts_of(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["quality", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["quality", "drawn", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from at most about ``rows`` labelled documents, none held out: those with the smallest hashes of their doc_id."""
-    usable = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    drawn = usable.where(below_fraction("doc_id", rows, usable.count(), "quality"))
-    found = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "quality").mapInArrow(_features, "quality int, features binary").collect()
-    found = sorted(found, key=lambda r: (r["quality"], bytes(r["features"])))[: 2 * rows]
+    """Learns from about ``rows`` labelled documents at most, none held out, each label in proportion to its rows.
+
+    Of a label some are taken by hashes of their doc_id, the same ones each time, and of equal hashes those whose features sort first.
+    Only their ids are broadcast, after they were counted, and only their features reach the driver.
+    """
+    usable = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64(F.lit("quality"), "doc_id").alias("drawn"))
+    sizes = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    bounds = {label: min(n, max(1, -(-rows * n // total))) for label, n in sizes.items()}
+    drawn = usable.where(below_fraction(["doc_id"], 100 + 2 * rows, total, "quality"))
+    drawn = F.broadcast(at_most(drawn, "quality", bounds, ["drawn", "doc_id"]))  # no more rows than the bounds' sum
+    features = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "quality", "drawn").mapInArrow(_features, "quality int, drawn long, features binary")
+    found = at_most(features, "quality", bounds, ["drawn", "features"]).collect()
+    found = sorted(found, key=lambda r: (r["quality"], r["drawn"], bytes(r["features"])))
     x = np.array([np.frombuffer(r["features"], np.float32) for r in found], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["quality"] for r in found], np.float64))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -9,7 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -137,8 +138,16 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(total)
 
 
-def below_fraction(key: str, size: int, total: int, seed: str):
-    """True for about ``size`` of ``total`` rows, the same ones each time: those whose hashed key falls below the fraction."""
+def below_fraction(keys: list[str], size: int, total: int, seed: str):
+    """True for about ``size`` of ``total`` rows, the same ones each time: those whose hashed keys fall below the fraction."""
     if total <= size:
         return F.lit(True)
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * size / total)
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) < math.ceil((1 << 30) * size / total)
+
+
+def at_most(rows: DataFrame, label: str, bounds: dict, order: list[str]) -> DataFrame:
+    """Of each value of ``label`` in ``bounds`` that many rows at most, the first in ``order``; each task sorts out its own first."""
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    most = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)) if bounds else None
+    ranked = rows.withColumn("__place", place).where(F.col("__place") <= max(bounds.values(), default=0))
+    return (ranked.where(F.col("__place") <= F.element_at(most, F.col(label))) if bounds else ranked).drop("__place")

@@ -152,6 +152,24 @@ def test_letters_alone_decide_what_is_kept(spark, odd, empty):
     assert lang_id.keep_identified(empty, lang_id.train(empty)).count() == 0
 
 
+def test_training_rows_are_bounded_for_each_label(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(lang_id, "fit", lambda x, langs: seen.update(lang=Counter(langs), x=x))
+    rows = [(1, f"wort {i}", "de") for i in range(900)] + [(1, f"word {i}", "en") for i in range(500)] + [(1, "mot", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")  # one id that training may see, repeated
+    assert not is_held_out(1)
+    lang_id.train(docs.repartition(7), rows=90)
+    first = seen["x"]
+    assert seen["lang"] == {"de": 30, "en": 30, "fr": 1}
+    lang_id.train(docs.repartition(3), rows=90)
+    assert (seen["x"] == first).all()
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.update(y=Counter(y.tolist())))
+    labels = spark.createDataFrame([(1, 1)] * 40 + [(3, 0)] * 60 + [(4, 0)] * 20, "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, f"a {i}") for i in range(50)] + [(3, f"b {i}") for i in range(50)], "doc_id long, text string")
+    quality.train(docs, labels, rows=50)
+    assert set(seen["y"]) <= {0.0, 1.0} and seen["y"][1.0] <= 17 and seen["y"][0.0] <= 34 and min(seen["y"].values()) > 0
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 5, 7, 12):
         code = lang_id.codewords(n)
