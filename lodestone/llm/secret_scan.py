@@ -2,7 +2,8 @@
 
 A run of 20 or more token characters has an inferred encoding (decimal, hexadecimal, letters, base 32, base 36, base 64) and
 takes three tests: chi-squared uniformity over the encoding's alphabet, runs above and below the middle of the alphabet, and
-serial correlation at lag one. A random key passes all three. What stands against it is ordinary text, whose characters come
+serial correlation at lag one. The three are combined: their squared deviations add up to one statistic, which a random key
+exceeds once in 1,000; a run that does has p-value 1. What stands against it is ordinary text, whose characters come
 as often as in all documents. The run's likelihood ratio L, uniform characters against ordinary ones, has the mean 1 in
 ordinary text, so ordinary text has a ratio of L or more with a chance of 1 / L at most, at any length: that is the p-value.
 Base 64 tells upper from lower case; there ordinary text may also be in swapped case (names of constants), and the larger of
@@ -17,6 +18,7 @@ the spans. Nothing but those aggregates is shuffled; every row's spans are worke
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,8 +46,9 @@ ENCODINGS = (
 )
 LENGTH_CLASSES = (20, 28, 40, 64)
 FALSE_SHARE = 0.01
-#: Deviations at which a test of randomness fails.
-FAR = 3.3
+#: The three tests' squared deviations add up to a chi-squared variable of three degrees of freedom if a run is random, which
+#: leaves this value once in 1,000 (fixed value of the law). From there on a run is not random.
+BATTERY = 16.27
 _STEPS, _DEEPEST = 20, 400  # bins of the negative decimal logarithm of p
 
 
@@ -57,27 +60,42 @@ class Null:
     swapped: tuple[float, ...]
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, group: int) -> Column:
-    """An array of (start, end, match, size): code points of every match, its text, and the length of the given group."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    nothing = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string,size:int>>)").alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"), F.length(F.get(sizes, i)).alias("size"))
+    """An array of (start, end, match, size): code points of every match, its text, and the length of the given group.
+
+    A text is read once for its matches, and a second time, for what lies between them, only if there are any.
+    """
+    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string,size:int>>)")
+    nothing = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    size = lambda match: F.length(match if group == 0 else F.regexp_extract(match, pattern, group))
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["at"] + m["gap"]
+        end = start + F.length(m["match"])
+        one = F.struct(start.alias("start"), end.alias("end"), m["match"].alias("match"), size(m["match"]).alias("size"))
         return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), nothing, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string,size:int>>)"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        pairs = F.zip_with(gaps, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, nothing, step, lambda t: t["out"])).otherwise(none)
+
+    return _bind(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.expr("cast(array() as array<string>)")), placed)
 
 
 def character_counts(docs: DataFrame) -> dict[str, int]:
     """How often each symbol of base 64 occurs in all texts, - and _ counted as + and /: one aggregate row."""
-    text = F.translate("text", "-_", "+/")
-    row = docs.agg(*(F.sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("long")).alias(f"n_{i}") for i, c in enumerate(BASE64))).first()
-    return {c: row[i] or 0 for i, c in enumerate(BASE64)}
+    whole = F.octet_length("text")
+    row = docs.agg(*(F.sum((whole - F.octet_length(F.replace("text", F.lit(c), F.lit("")))).cast("long")).alias(f"n_{i}") for i, c in enumerate(BASE64 + "-_"))).first()
+    counts = {c: row[i] or 0 for i, c in enumerate(BASE64 + "-_")}
+    counts["+"] += counts.pop("-")
+    counts["/"] += counts.pop("_")
+    return counts
 
 
 def null_of(counts: dict[str, int]) -> dict[str, Null]:
@@ -94,8 +112,11 @@ def _pick(values: list, number: Column) -> Column:
     return F.get(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), number)
 
 
-def _judged(r: Column, a: Column, n: Column) -> Column:
-    """Whether a run's places in its alphabet of ``a`` symbols pass as random: runs about the middle and serial correlation."""
+def _disorder(r: Column, a: Column, n: Column) -> Column:
+    """What runs about the middle of an alphabet of ``a`` symbols and serial correlation add to the battery's statistic.
+
+    Each is a squared deviation in units of its own spread under randomness. Null where a test cannot be made.
+    """
     zero = F.struct(*(F.lit(0.0).alias(x) for x in ("before", "above", "runs", "s", "s2", "lag", "first")))
 
     def step(t: Column, x: Column) -> Column:
@@ -111,15 +132,15 @@ def _judged(r: Column, a: Column, n: Column) -> Column:
             F.when(fresh, x).otherwise(t["first"]).alias("first"),
         )
 
-    def verdict(t: Column) -> Column:
+    def deviations(t: Column) -> Column:
         pairs = 2 * t["above"] * (n - t["above"])
         runs = F.try_divide(t["runs"] - 1 - pairs / n, F.sqrt(F.try_divide(pairs * (pairs - n), n * n * (n - 1))))
         mean = t["s"] / n
         spread = t["s2"] - n * mean * mean
         serial = (F.try_divide(t["lag"] - mean * (2 * t["s"] - t["first"] - t["before"]) + (n - 1) * mean * mean, spread) + 1 / n) * F.sqrt(n)
-        return (pairs > n) & (spread > 0) & (F.abs(runs) < FAR) & (F.abs(serial) < FAR)
+        return F.when((pairs > n) & (spread > 0), runs * runs + serial * serial)
 
-    return F.aggregate(r["places"], zero, step, verdict)
+    return F.aggregate(r["places"], zero, step, deviations)
 
 
 def _candidates(text: Column, nulls: dict[str, Null]) -> Column:
@@ -165,7 +186,8 @@ def _candidates(text: Column, nulls: dict[str, Null]) -> Column:
         k = a - 1
         chi = r["sums"]["squares"] * a / n - n
         uneven = (F.pow(F.greatest(chi, F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
-        random = F.coalesce((n > 0) & (uneven < FAR) & _judged(r, a, n), F.lit(False))
+        battery = F.greatest(uneven, F.lit(0.0)) * F.greatest(uneven, F.lit(0.0)) + _disorder(r, a, n)
+        random = F.coalesce((n > 0) & (battery < BATTERY), F.lit(False))
         depth = F.floor(F.least(r["sums"]["plain"], r["sums"]["swapped"]) * (_STEPS / math.log(10))).cast("int")
         depth = F.greatest(F.least(depth, F.lit(_DEEPEST)), F.lit(0))
         return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["class"].alias("class"), F.when(random, depth).otherwise(-1).alias("bin"))
@@ -193,12 +215,14 @@ def thresholds(docs: DataFrame, nulls: dict[str, Null], false_share: float = FAL
     return out
 
 
-def with_spans(docs: DataFrame, false_share: float = FALSE_SHARE, clash: str = "__secret_") -> DataFrame:
-    """``docs`` with columns ``__secret_base`` and ``__secret_all``: sorted arrays of (start, kind number, end)."""
+def with_spans(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``), ``base`` and ``all``: sorted arrays of (start, kind number, end).
+
+    As the columns of ``docs`` travel in the struct, their names clash with nothing.
+    """
     nulls = null_of(character_counts(docs))
     least = thresholds(docs, nulls, false_share)
     text = F.coalesce("text", F.lit(""))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
     def of_kind(number: int, size: int):
         return lambda s: s["size"] >= size, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"))
@@ -207,22 +231,19 @@ def with_spans(docs: DataFrame, false_share: float = FALSE_SHARE, clash: str = "
     for number, (_, pattern, group, size) in enumerate(BASE):
         long_enough, told = of_kind(number, size)
         arrays.append(F.transform(F.filter(_spans(text, pattern, group), long_enough), told))
-    bound = F.lit(_DEEPEST + 1)
-    base, extra, all_ = f"{clash}base", f"{clash}extra", f"{clash}all"
+    more = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     if least:
 
         def found(r: Column) -> Column:
-            limit = bound
+            limit = F.lit(_DEEPEST + 1)
             for group, depth in least.items():
                 limit = F.when(r["class"] == group, F.lit(depth)).otherwise(limit)
             return r["bin"] >= limit
 
         more = F.transform(F.filter(_candidates(text, nulls), found), lambda r: F.struct(r["start"].alias("start"), F.lit(len(BASE)).alias("kind"), r["end"].alias("end")))
-    else:
-        more = empty
-    out = docs.withColumn(base, F.sort_array(F.concat(*arrays))).withColumn(extra, more)
-    inside = lambda r: F.exists(F.col(base), lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
-    return out.withColumn(all_, F.sort_array(F.concat(F.col(base), F.filter(F.col(extra), lambda r: ~inside(r))))).drop(extra)
+    out = docs.select(F.struct("*").alias("row"), F.sort_array(F.concat(*arrays)).alias("base"), more.alias("extra"))
+    inside = lambda r: F.exists(F.col("base"), lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
+    return out.select("row", "base", F.sort_array(F.concat("base", F.filter("extra", lambda r: ~inside(r)))).alias("all"))
 
 
 def _told(spans: Column) -> Column:
@@ -238,26 +259,30 @@ def scan(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     not read. A run that lies within a base span is not told again.
     """
     spans = with_spans(docs.select("doc_id", "text"), false_share)
-    base, all_ = F.col("__secret_base"), F.col("__secret_all")
     count = lambda of, number: F.size(F.filter(of, lambda s: s["kind"] == number)).cast("long")
-    counts = [count(base, i).alias(f"n_{b[0]}") for i, b in enumerate(BASE)]
-    return spans.select("doc_id", *counts, count(all_, len(BASE)).alias("n_random"), F.sha2(_told(base), 256).alias("base_sha256"), _told(all_).alias("spans"))
+    counts = [count("base", i).alias(f"n_{b[0]}") for i, b in enumerate(BASE)]
+    return spans.select("row.doc_id", *counts, count("all", len(BASE)).alias("n_random"), F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mark``; ``n_chars``, if there is one, follows the new text."""
-    text = F.col("text")
+    """``docs`` with every span of a secret replaced by ``mark``; ``n_chars``, if there is one, follows the new text.
+
+    Rows without a secret stay as they are, a null text too; rows that repeat are each redacted. All columns are kept, and
+    none of their names is reserved. Overlapping spans become one mark.
+    """
+    text = F.col("row.text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         clean = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         passed = s["end"] <= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(passed, state["out"]).otherwise(F.concat(state["out"], clean, F.lit(mark))).alias("out"))
+        inside = s["start"] < state["at"]
+        marked = F.when(inside, state["out"]).otherwise(F.concat(state["out"], clean, F.lit(mark)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(passed, state["out"]).otherwise(marked).alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    spans = with_spans(docs, false_share)
-    found = F.size("__secret_all") > 0
-    out = spans.withColumn("text", F.when(found, F.aggregate("__secret_all", zero, step, rest)).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__secret_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = with_spans(docs, false_share)
+    found = F.size("all") > 0
+    rows = rows.select("row", found.alias("found"), F.when(found, F.aggregate("all", zero, step, rest)).otherwise(text).alias("clean"))
+    changed = {"text": F.col("clean"), "n_chars": F.when(F.col("found"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns))
