@@ -1,21 +1,26 @@
 """License scanning with Column functions only: fixed phrases, and an exact set-similarity join against templates.
 
 A text block (a line, or a paragraph between blank lines) matches a template if it contains at least a given share of the
-template's distinct words. All words of templates are ordered by how many documents hold them, rarest first. A block that
-reaches the share must hold one of the first |T| - ceil(share |T|) + 1 words of the template in that order (prefix filter),
-have as many distinct words as it must share (length filter), and, where its first common word stands, still have enough
-template words after it (positional filter). The filters lose nothing. As prefixes are made of rare words, few documents
-are cut into blocks at all.
-
-The corpus is read twice: for document frequencies of the templates' words (a row for each word) and for the result, which is
-worked out within each row. Nothing is shuffled.
+template's distinct words, all of its telling words (those that set one license apart from the others) and none of those that
+belong to another license. The words of all templates are ordered by how many documents hold them, rarest first; a block is
+seen as its own words among these, in that order. A block that reaches the share must hold one of the first
+|T| - ceil(share |T|) + 1 words of the template (prefix filter: an inverted index from those words to templates), hold as many
+of the templates' words as it must share (length filter), and hold that many from the common word on (positional filter). The
+filters lose nothing. What passes is counted in full.
+
+Templates, their index and their words are three constants; what a block costs depends on the templates that its rare words
+name, not on how many there are. As those words are rare, few documents are cut into blocks at all. The corpus is read twice:
+for document frequencies of the templates' words (a row for each word) and for the result, which is worked out within each
+row. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +30,46 @@ _BETWEEN = "".join(f"\\x{c:02X}" for c in (*range(0x30), *range(0x3A, 0x41), *ra
 WORD, GAP = f"[^{_BETWEEN}]", f"[{_BETWEEN}]"
 #: Fixed values of the contract: phrase, label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Label, template: short notices that licenses ask for or that are in general use.
+
+
+@dataclass(frozen=True)
+class Template:
+    """A notice and its label; a match holds every one of ``telling`` (words of the notice) and none of ``never``."""
+
+    label: str
+    text: str
+    telling: tuple[str, ...]
+    never: tuple[str, ...] = ()
+
+    @property
+    def words(self) -> list[str]:
+        return sorted(set(re.findall(r"[a-z0-9]+", self.text.lower())))
+
+
+#: Short notices in general use, and the opening notices that licenses ask for.
 TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("cc-by-nc", "This work is licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "Creative Commons Attribution-NonCommercial International License"),
-    ("cc-by", "Licensed under the Creative Commons Attribution 4.0 International License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2", "This program is licensed under the GNU General Public License, version 2"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "All rights reserved. No part of this publication may be reproduced without permission"),
-)
+    Template("mit", "Released under the MIT License", ("mit",)),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("charge", "sublicense")),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("fee", "purpose")),
+    Template("apache-2", "Licensed under the Apache License, Version 2.0", ("apache", "2")),
+    Template("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ("apache", "compliance")),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc", "by", "nc"), ("nd", "sa")),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative", "commons", "noncommercial"), ("noderivatives", "sharealike")),
+    Template("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ("creative", "commons", "noncommercial", "sharealike")),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative", "commons", "sharealike"), ("noncommercial",)),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative", "commons", "attribution"), ("noncommercial", "noderivatives", "sharealike")),
+    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived", "neighboring")),
+    Template("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu", "general", "3"), ("affero", "lesser")),
+    Template("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version", ("gnu", "general", "3"), ("affero", "lesser")),
+    Template("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("gnu", "general", "2"), ("affero", "lesser")),
+    Template("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or at your option any later version", ("gnu", "general", "2"), ("affero", "lesser")),
+    Template("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu", "lesser")),
+    Template("agpl-3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3", ("gnu", "affero")),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "binary", "permitted")),
+    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one", ("mozilla",)),
+    Template("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered",)),
+    Template("all-rights-reserved", "All rights reserved", ("reserved",)),
+)
 SHARE = 0.8
 BLANK = r"\n[\x09\x0B-\x0D\x20]*\n\s*"
 
@@ -68,10 +99,6 @@ def _starts(text: Column, phrase: str) -> Column:
     return F.when(functools.reduce(lambda a, b: a & b, apart) & text.rlike(pattern), said)
 
 
-def word_sets(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(re.findall(r"[a-z0-9]+", text.lower())))) for label, text in templates]
-
-
 def _any_of(words: list[str]) -> str:
     """A pattern for any of the words, whole, in lower-cased text; words with the same first letter share a branch."""
     branches: dict[str, list[str]] = {}
@@ -87,48 +114,87 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: 0 for w in words} | {r["word"]: r["n"] for r in rows}
 
 
-def _containment(block: Column, ordered: list[str], share: float) -> Column:
-    """The share of the template's words in a block of distinct words if it reaches ``share``, else 0."""
-    n = len(ordered)
-    least = math.ceil(share * n - 1e-9)
-    prefix = F.array(*(F.lit(w) for w in ordered[: n - least + 1]))
-    places = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(n - i).alias("left")) for i, w in enumerate(ordered)))
-    # position: the first common word in the global order, and how many of the template's words stand from there on
-    ahead = F.element_at(F.concat(F.filter(places, lambda p: F.array_contains(block, p["word"])), F.array(F.struct(F.lit("").alias("word"), F.lit(0).alias("left")))), 1)["left"]
-    common = F.size(F.array_intersect(block, F.array(*(F.lit(w) for w in ordered))))
-    passed = (F.size(block) >= least) & F.arrays_overlap(block, prefix) & (ahead >= least) & (common >= least)
-    return F.when(passed, common / n).otherwise(0.0)
+def _least(n: int, share: float) -> int:
+    return math.ceil(share * n - 1e-9)
+
+
+@dataclass(frozen=True)
+class Index:
+    """The templates as constants: all words in their global order, prefix words to templates, and the templates themselves."""
+
+    prefixes: tuple[str, ...]
+    words: Column
+    postings: Column
+    templates: Column
+
+
+def index_of(templates: tuple[Template, ...], seen: dict[str, int], share: float) -> Index:
+    in_order = sorted({w for t in templates for w in t.words}, key=lambda w: (seen[w], w))
+    place = {w: i for i, w in enumerate(in_order)}
+    rows, postings = [], {}
+    for number, t in enumerate(templates):
+        own = sorted(t.words, key=place.__getitem__)
+        least = _least(len(own), share)
+        rows.append({"label": t.label, "words": own, "telling": list(t.telling), "never": list(t.never), "least": least, "n": len(own)})
+        for word in own[: len(own) - least + 1]:
+            postings.setdefault(word, []).append({"template": number, "least": least})
+    constant = lambda value, schema: F.from_json(F.lit(json.dumps(value)), schema)  # noqa: E731  (folded to a literal when planned)
+    return Index(
+        tuple(sorted(postings)),
+        constant(in_order, "array<string>"),
+        constant(postings, "map<string, array<struct<template: int, least: int>>>"),
+        constant(rows, "array<struct<label: string, words: array<string>, telling: array<string>, never: array<string>, least: int, n: int>>"),
+    )
+
+
+def _matches(block: Column, index: Index) -> Column:
+    """(label, share) of the templates that a block of distinct words matches."""
+    nothing = F.expr("cast(array() as array<struct<template: int, least: int>>)")
+
+    def named(own: Column) -> Column:
+        """Templates that a prefix word names and that can still share enough from that word on."""
+        return F.array_distinct(
+            F.flatten(F.transform(own, lambda w, i: F.transform(F.filter(F.coalesce(F.try_element_at(index.postings, w), nothing), lambda p: F.size(own) - i >= p["least"]), lambda p: p["template"])))
+        )
+
+    def judged(own: Column, number: Column) -> Column:
+        t = F.get(index.templates, number)
+        told = (F.size(F.array_except(t["telling"], own)) == 0) & ~F.arrays_overlap(t["never"], block)
+        common = F.size(F.array_intersect(t["words"], own))
+        return F.struct(t["label"].alias("label"), F.when(told & (common >= t["least"]), common / t["n"]).otherwise(0.0).alias("share"))
+
+    def verified(own: Column) -> Column:
+        return F.filter(F.transform(named(own), lambda number: judged(own, number)), lambda m: m["share"] > 0)
+
+    return F.get(F.transform(F.array(F.array_intersect(index.words, block)), verified), F.lit(0))
 
 
-def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
+def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of all phrases; first_word and last_word are the smallest and largest word number at which one
     starts, null without any. Labels are distinct, sorted and joined by commas. The score is the largest share of a template
-    that a block contains, at least ``share`` or else 0, and 1 where a phrase stands. A null text counts as empty: no words,
-    no labels, score 0. Rows that repeat each return a row; columns besides doc_id and text are not read.
+    that a matching block contains, at least ``share`` or else 0, and 1 where a phrase stands. A null text counts as empty: no
+    words, no labels, score 0. Rows that repeat each return a row; columns besides doc_id and text are not read.
     """
-    sets = word_sets(templates)
-    seen = document_frequencies(docs, sorted({w for _, ws in sets for w in ws})) if sets else {}
-    ordered = [(label, sorted(ws, key=lambda w: (seen[w], w))) for label, ws in sets if ws]
-    prefixes = sorted({w for _, ws in ordered for w in ws[: len(ws) - math.ceil(share * len(ws) - 1e-9) + 1]})
+    for t in templates:
+        if not set(t.telling) <= set(t.words):
+            raise ValueError(f"telling words must stand in the notice: {t}")
+    seen = document_frequencies(docs, sorted({w for t in templates for w in t.words})) if templates else {}
+    index = index_of(templates, seen, share)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text"))
     rows = rows.withColumn("places", F.array(*(_starts(F.col("text"), p) for p, _ in phrases)))
-    rare = _any_of(prefixes)
-    blocks = F.concat(F.split("low", r"\n"), F.split("low", BLANK))
-    blocks = F.array_distinct(F.filter(blocks, lambda b: b.rlike(rare)))
-    held = F.transform(blocks, lambda b: F.array_distinct(_words(b)))
-    most = lambda ws: F.array_max(F.transform(F.col("held"), lambda b: _containment(b, ws, share)))
-    shares = F.array(*(most(ws) for _, ws in ordered))
-    no_blocks = F.expr("cast(array() as array<array<string>>)")
-    rows = rows.withColumn("held", F.when(F.col("low").rlike(rare), held).otherwise(no_blocks) if prefixes else no_blocks)
-    rows = rows.withColumn("shares", F.when(F.size("held") > 0, shares).otherwise(F.expr("cast(array() as array<double>)")))
+    matches = F.expr("cast(array() as array<struct<label: string, share: double>>)")
+    if index.prefixes:
+        rare = _any_of(list(index.prefixes))
+        blocks = F.array_distinct(F.filter(F.concat(F.split("low", r"\n"), F.split("low", BLANK)), lambda b: b.rlike(rare)))
+        matches = F.when(F.col("low").rlike(rare), F.flatten(F.transform(blocks, lambda b: _matches(F.array_distinct(_words(b)), index)))).otherwise(matches)
+    rows = rows.withColumn("matches", matches)
     base = F.filter(F.transform("places", lambda p, i: F.when(p.isNotNull(), F.get(F.array(*(F.lit(x) for _, x in phrases)), i))), lambda x: x.isNotNull())
-    own = F.filter(F.transform("shares", lambda s, i: F.when(s > 0, F.get(F.array(*(F.lit(x) for x, _ in ordered)), i))), lambda x: x.isNotNull())
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     there = F.filter("places", lambda p: p.isNotNull())
-    score = F.when(F.size(there) > 0, 1.0).otherwise(F.greatest(F.coalesce(F.array_max("shares"), F.lit(0.0)), F.lit(0.0)))
+    score = F.when(F.size(there) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)))
     return rows.select(
         "doc_id",
         _count_words(F.col("text")).cast("long").alias("n_words"),
@@ -136,6 +202,6 @@ def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templa
         F.array_min(F.transform(there, lambda p: p["first"])).alias("first_word"),
         F.array_max(F.transform(there, lambda p: p["last"])).alias("last_word"),
         join(base).alias("base_labels"),
-        join(F.concat(base, own)).alias("labels"),
+        join(F.concat(base, F.transform("matches", lambda m: m["label"]))).alias("labels"),
         score.alias("score"),
     )
