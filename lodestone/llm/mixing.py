@@ -51,64 +51,69 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return rows.select("source", "source_size", target.alias("target"), rate.alias("rate"), offset.alias("offset"))
 
 
-def _bounds(docs: DataFrame) -> list[int]:
+def _bounds(rows: DataFrame) -> list[int]:
     """Ids at which the second bucket and each later one begins: quantiles, approximate, which changes no result."""
-    n = docs.count()
+    n = rows.count()
     shares = [i * BUCKET_ROWS / n for i in range(1, 1 + (n - 1) // BUCKET_ROWS)]
     if not shares:
         return []
-    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * len(shares)))).first()[0]
+    found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * len(shares)))).first()[0]
     return sorted(set(found or []))
 
 
-def _bucket(bounds: list[int]) -> Column:
+def _bucket(bounds: list[int], doc_id: Column) -> Column:
     """How many bounds an id has reached, by binary search; a null id comes after all."""
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     if not steps:
-        return F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+        return F.when(doc_id.isNull(), 1).otherwise(0)
     at = F.array(*(F.lit(b).cast("long") for b in bounds))
-    reached = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda n, s: F.when(F.get(at, n + s - 1) <= F.col("doc_id"), n + s).otherwise(n))
-    return F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(reached)
+    reached = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda n, s: F.when(F.get(at, n + s - 1) <= doc_id, n + s).otherwise(n))
+    return F.when(doc_id.isNull(), len(bounds) + 1).otherwise(reached)
 
 
-def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """``docs`` with columns mix_size, mix_source_size, mix_target and mix_copies (how often the row is emitted).
+def _source_key(source: Column) -> Column:
+    """A key that joins null with null."""
+    return F.struct(source.isNull().alias("absent"), F.coalesce(source, F.lit("")).alias("name"))
 
-    Needs doc_id, source and, unless a column mix_size is there, text. A null text has size 0, a null source is a source of
-    its own (other columns whose names begin with ``mix_`` must not be there), and rows that repeat are sampled each for itself; a source of size 0 is never emitted. Which of equal rows is
-    emitted does not matter; reruns agree.
+
+def with_copies(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``), size, source_size, target and copies (how often the row is emitted).
+
+    ``docs`` has doc_id and source, and text unless ``size`` gives the rows' sizes. A null text has size 0, a null source is a
+    source of its own, and rows that repeat are sampled each for itself; a source of size 0 is never emitted. Which of equal
+    rows is emitted does not matter; reruns agree. As the columns of ``docs`` travel in the struct, their names clash with
+    nothing.
     """
-    if "mix_size" not in docs.columns:
-        docs = docs.withColumn("mix_size", size_of(F.col("text")))
-    columns = [c for c in docs.columns if c != "mix_size"]
     bounds = _bounds(docs)
-    rows = docs.withColumn("mix_key", F.struct(F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name")))
-    rows = rows.withColumn("mix_bucket", _bucket(bounds))
-    by_bucket = rows.groupBy("mix_key", "mix_size", "mix_bucket").agg(F.count("*").alias("n"))
-    in_size = Window.partitionBy("mix_key", "mix_size").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    in_source = Window.partitionBy("mix_key").orderBy("mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_bucket.groupBy("mix_key", "mix_size").agg(F.sum("n").alias("n")).withColumn("smaller", F.coalesce(F.sum("n").over(in_source), F.lit(0))).drop("n")
-    starts = by_bucket.withColumn("earlier", F.coalesce(F.sum("n").over(in_size), F.lit(0))).join(by_size, ["mix_key", "mix_size"])
-    sizes = by_bucket.groupBy("mix_key").agg(F.sum(F.col("mix_size") * F.col("n")).alias("source_size"))
-    named = sizes.select(F.when(~F.col("mix_key.absent"), F.col("mix_key.name")).alias("source"), "source_size")
-    plan = targets(named, weights, share, cap)
-    plan = plan.select(F.struct(F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name")).alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("offset").alias("mix_offset"))
-    starts = starts.join(plan, "mix_key").select("mix_key", "mix_size", "mix_bucket", (F.col("smaller") + F.col("earlier")).alias("mix_start"), "mix_source_size", "mix_target", "mix_rate", "mix_offset")
-    in_bucket = Window.partitionBy("mix_key", "mix_size", "mix_bucket").orderBy("doc_id")
-    rows = rows.join(starts, ["mix_key", "mix_size", "mix_bucket"])
-    last = F.col("mix_start") + F.row_number().over(in_bucket)
-    edge = lambda rank: F.floor(rank * F.col("mix_rate") + F.col("mix_offset"))
-    return rows.withColumn("mix_copies", (edge(last) - edge(last - 1)).cast("int")).select(*columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    words = size_of(F.col("text")) if size is None else size
+    rows = docs.select(F.struct("*").alias("row"), words.alias("size"), _source_key(F.col("source")).alias("key"), _bucket(bounds, F.col("doc_id")).alias("bucket"))
+    by_bucket = rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("n"))
+    in_size = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    in_source = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = by_bucket.groupBy("key", "size").agg(F.sum("n").alias("n")).withColumn("smaller", F.coalesce(F.sum("n").over(in_source), F.lit(0))).drop("n")
+    starts = by_bucket.withColumn("earlier", F.coalesce(F.sum("n").over(in_size), F.lit(0))).join(by_size, ["key", "size"])
+    sizes = by_bucket.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    named = sizes.select(F.when(~F.col("key.absent"), F.col("key.name")).alias("source"), "source_size")
+    plan = targets(named, weights, share, cap).select(_source_key(F.col("source")).alias("key"), "source_size", "target", "rate", "offset")
+    starts = starts.join(plan, "key").select("key", "size", "bucket", (F.col("smaller") + F.col("earlier")).alias("start"), "source_size", "target", "rate", "offset")
+    in_bucket = Window.partitionBy("key", "size", "bucket").orderBy("row.doc_id")
+    last = F.col("start") + F.row_number().over(in_bucket)
+    edge = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
+    placed = rows.join(starts, ["key", "size", "bucket"])
+    return placed.withColumn("copies", (edge(last) - edge(last - 1)).cast("int")).select("row", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is emitted, with the columns of ``docs``."""
-    chosen = with_copies(docs, weights, share, cap).where("mix_copies > 0")
-    return chosen.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is emitted, with the columns of ``docs``.
+
+    Nulls, repeats and sources without words are as in ``with_copies``; an empty table gives an empty mix.
+    """
+    chosen = with_copies(docs, None, weights, share, cap).where("copies > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times copies) of every row of ``docs``."""
-    narrow = docs.select("doc_id", "source", size_of(F.col("text")).alias("mix_size"))
-    rows = with_copies(narrow)
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    narrow = docs.select("doc_id", "source", size_of(F.col("text")).alias("words"))
+    rows = with_copies(narrow, F.col("words"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

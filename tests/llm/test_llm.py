@@ -114,11 +114,12 @@ def test_ties_go_to_the_earlier_start():
         assert counter.text(text) == len(model.encode("▁" + text.replace(" ", "▁")).ids)
 
 
-def test_batches_count_as_single_texts(odd, spark):
+def test_batches_count_as_single_texts(odd, empty):
     path = queries.tokenizer_file("piece_bpe_32k.model")
     counter = token_counts.Counter(token_counts.unigram_pieces(path))
     got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(odd, path).collect())
     assert got == Counter((r[0], counter.text(r[1])) for r in ODD)
+    assert token_counts.count_tokens(empty, path).count() == 0
 
 
 # ---------------------------------------------------------------- 2 language
@@ -614,6 +615,18 @@ def test_mixture_is_that_of_the_sql_with_many_buckets(spark, sf, monkeypatch):
         assert sorted((tuple(r) for r in mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str) == want
 
 
+def test_the_mix_holds_each_row_as_often_as_it_is_taken(spark, sf):
+    docs = docs_of(spark, sf).withColumns({c: F.lit("kept") for c in ("row", "size", "key", "bucket", "copies", "rate", "mix_size", "mix_key")})
+    want = Counter()
+    for r in mixing.taken(docs).where("size > 0").collect():
+        want[r["doc_id"]] += r["taken"] // r["size"]
+    rows = mixing.mix(docs).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").collect()
+    assert rows[0].__fields__ == docs.columns and {r["mix_size"] for r in rows} == {r["key"] for r in rows} == {"kept"}
+    assert Counter(r["doc_id"] for r in rows) == +want
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(texts[r["doc_id"]] == r["text"] for r in rows)
+
+
 def test_mixture_of_odd_rows(spark, odd, empty):
     rows = mixing.taken(odd).collect()
     assert len(rows) == len(ODD) and {r["doc_id"]: r["size"] for r in rows}[0] == 0
