@@ -136,8 +136,11 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     number = F.col("embedding").cast("array<double>")
     whole = F.coalesce(F.size(number) > 0, F.lit(False)) & ~F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(number, lambda x: x != 0)
     usable = F.coalesce(whole & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = vectors.select("vec_id", number.alias("embedding"), "label", usable.alias("usable"))
-    classes = scratch.table(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # equal vectors meet by a hash of 128 bits, so that no shuffle is sorted by whole vectors
+    key = [F.xxhash64("embedding").alias("high"), F.xxhash64(F.lit("low"), "embedding").alias("low")]
+    rows = vectors.select("vec_id", number.alias("embedding"), "label", usable.alias("usable")).select("*", *key)
+    same = rows.where("usable").groupBy("label", "high", "low")
+    classes = scratch.table(same.agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     blocks = classes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = classes.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -150,7 +153,7 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     degree = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     joined = connected_components(found.where("v is not null").select("u", "v"), scratch).withColumnRenamed("id", "rep")
     known = classes.join(degree, "rep", "left").join(joined, "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("usable"))
-    out = rows.join(known, ["label", "embedding", "usable"], "left")
+    known = known.select("label", "high", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("usable"))
+    out = rows.select("vec_id", "label", "high", "low", "usable").join(known, ["label", "high", "low", "usable"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
