@@ -2,7 +2,7 @@
 
 Documents with the same set of shingles form a class, and only one of a class goes on. Each band of minima puts classes into
 buckets; a bucket is not expanded into pairs. First every bucket's best connected class is its centre and is held against the
-others (one row per bucket and class). Components of what that confirms settle most buckets. What can still be missing are
+others (one row per bucket and class); pairs whose signatures agree enough are confirmed. Components of what that confirms settle most buckets. What can still be missing are
 links between classes that share a bucket and lie in different components. Those classes go through an exact prefix join of
 their own, as a group of copies that differ too much from each other would else be held against itself pair by pair; pairs
 that it leaves and whose signatures agree enough are tested. Every link is confirmed on full sets of shingles.
@@ -25,8 +25,8 @@ from lodestone.llm.shared import Scratch, shingle_set, texts_of, word_hashes
 ROWS = 5
 #: The share of pairs at the threshold itself that banding may miss; above the threshold it is less.
 MISS = 1e-5
-#: Members that are held against one centre in one task.
-SALT = 1000
+#: Members that are held against one centre in one task, and classes with one shingle that meet the others in one task.
+SALT, HEAVY = 100, 1000
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -117,12 +117,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "is_member").mapInArrow(_confirm(k, threshold), "u long, v long")
 
 
-def _undecided(texts: DataFrame, rest: DataFrame, classes: DataFrame, k: int, threshold: float, n: int, scratch: Scratch) -> DataFrame:
+def agreeing(pairs: DataFrame, classes: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Signature verification: of ``pairs`` (centre, member) those of whose n minima as many agree as a pair at the threshold needs."""
+    said = classes.select("rep", "signature")
+    one, other = (said.select(F.col("rep").alias(c), F.col("signature").alias(f"{c}_minima")) for c in ("centre", "member"))
+    equal = F.aggregate(F.zip_with("centre_minima", "member_minima", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
+    return pairs.join(one, "centre").join(other, "member").where(equal >= agreement_for(threshold, n)).select("centre", "member")
+
+
+def _undecided(texts: DataFrame, rest: DataFrame, k: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (centre, member) of ``rest`` (rep, component) in different components that may reach the threshold.
 
     A set-similarity join of the undecided classes alone: shingles in ascending order of how many of these classes have them,
     each class indexed by those it must share one of, and pairs kept whose overlap can still be large enough from the places
-    of the shingle they share; then their signatures must agree.
+    of the shingle they share. The classes of a shingle that many have are dealt to parts, and each part meets all of them.
+    Returns the pairs and the table of items they are read from.
     """
     percent = round(100 * threshold)
     chosen = texts.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -130,16 +139,13 @@ def _undecided(texts: DataFrame, rest: DataFrame, classes: DataFrame, k: int, th
     own = Window.partitionBy("rep")
     often = items.groupBy("item").agg(F.count("*").alias("often"))
     placed = items.join(often, "item").withColumn("place", F.row_number().over(own.orderBy("often", "item")) - 1).withColumn("size", F.count("*").over(own))
-    index = placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100)).where("often > 1").join(rest, "rep").select("item", "rep", "component", "place", "size")
-    a, b = (index.select("item", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "place", "size"))) for x in "ab")
+    index = placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100)).where("often > 1").join(rest, "rep").select("item", "rep", "component", "place", "size", F.ceil(F.col("often") / HEAVY).cast("int").alias("parts"))
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a, b = (side.select("item", "part", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "place", "size"))) for x, side in zip("ab", dealt, strict=True))
     most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     reach = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
-    pairs = a.join(b, (a.item == b.item) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & reach)
-    pairs = pairs.select(F.col("rep_a").alias("centre"), F.col("rep_b").alias("member")).distinct()
-    said = classes.select("rep", "signature")
-    pairs = pairs.join(said.select(F.col("rep").alias("centre"), F.col("signature").alias("one")), "centre").join(said.select(F.col("rep").alias("member"), F.col("signature").alias("other")), "member")
-    agree = F.aggregate(F.zip_with("one", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return pairs.where(agree >= agreement_for(threshold, n)).select("centre", "member")
+    pairs = a.join(b, (a.item == b.item) & (a.part == b.part) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & reach)
+    return pairs.select(F.col("rep_a").alias("centre"), F.col("rep_b").alias("member")).distinct(), items
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -172,21 +178,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("centre"))
     tested = buckets.join(centre, "key").where("rep <> centre").select("centre", F.col("rep").alias("member")).distinct()
     tested = scratch.table(tested, "tested")
-    links = scratch.table(confirm(tested, texts, shingle_words, threshold), "links")
+    links = scratch.table(confirm(agreeing(tested, classes, threshold, n), texts, shingle_words, threshold), "links")
     first = scratch.table(connected_components(links, scratch), "first")
 
     placed = buckets.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = placed.join(open_keys, "key", "left_semi").select("rep", "component").distinct()
     rest = scratch.table(rest, "rest")
-    more = _undecided(texts, rest, classes, shingle_words, threshold, n, scratch)
+    more, items = _undecided(texts, rest, shingle_words, threshold, scratch)
     done = tested.unionByName(tested.select(F.col("member").alias("centre"), F.col("centre").alias("member")))
-    more = scratch.table(more.join(done, ["centre", "member"], "left_anti"), "more")
+    more = scratch.table(agreeing(more.join(done, ["centre", "member"], "left_anti"), classes, threshold, n), "more")
     late = scratch.table(confirm(more, texts, shingle_words, threshold), "late")
-    scratch.drop(texts)
+    for table in (texts, buckets, tested, rest, items, more):
+        scratch.drop(table)
 
     stars = first.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
     whole = connected_components(stars.unionByName(late), scratch)
+    scratch.drop(links)
+    scratch.drop(late)
     reps = classes.select("high", "low", "rep").join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "high", "low").join(reps, ["high", "low"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
