@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Extensions that make a word with a dot a path.
-PATH_EXTENSIONS = frozenset(
-    "bash c cc cfg cmake cpp cs cxx go gradle h hh hpp hxx ini ipp java js json jsx kt kts lua m md mm php pl ps1 py pyi r rb rs scala sh sql swift toml tpp ts tsx txt yaml yml".split()
-)
+PATH_EXTENSIONS = (
+    "bash", "c", "cc", "cfg", "cmake", "cpp", "cs", "cxx", "go", "gradle", "h", "hh", "hpp", "hxx", "ini", "ipp", "java", "js", "json", "jsx", "kt",
+    "kts", "lua", "m", "md", "mm", "php", "pl", "ps1", "py", "pyi", "r", "rb", "rs", "scala", "sh", "sql", "swift", "toml", "tpp", "ts", "tsx",
+    "txt", "yaml", "yml",
+)
 #: Forms of names.
 BACKTICK = re.compile(r"`([^`]+)`")
 PATH = re.compile(r"(?<![\w./\-])([\w.\-/]+\.[A-Za-z][A-Za-z0-9]{0,9})(?![\w/\-])")

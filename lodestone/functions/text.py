@@ -39,10 +39,25 @@ def name_tail(name: Column) -> Column:
     return F.element_at(F.split(F.replace(name, F.lit("::"), F.lit(".")), r"\."), -1)
 
 
+#: The words of a name, the words of a query, and those that tell nothing.
+NAME_WORD = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+QUERY_WORD = r"(?<![A-Za-z0-9_])[A-Za-z]{4,}(?![A-Za-z0-9_])"
+STOP_WORDS = (
+    "what", "when", "where", "which", "does", "into", "from", "with", "that", "this", "have", "will", "should", "would", "could", "there", "their", "about",
+    "after", "before", "code", "file", "function", "method", "class", "implement", "implemented", "implementation", "work", "works", "used", "using", "call",
+    "called", "value",
+)
+
+
 def name_words(name: Column) -> Column:
-    """Lower-case words of an identifier: split at punctuation and where lower case meets upper case."""
-    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), r"[.:_/\-]", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(spaced), " +"), lambda w: w != ""))
+    """Lower-case words of a symbol's full name, each once: acronyms, capitalised and small words, and numbers."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit(NAME_WORD), F.lit(0)), F.lower))
+
+
+def query_words(query: Column) -> Column:
+    """Lower-case words of four letters or more that stand by themselves in a query, each once, without stop words."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(query, F.lit(QUERY_WORD), F.lit(0)), F.lower))
+    return F.array_except(found, F.array(*(F.lit(w) for w in STOP_WORDS)))
 
 
 def cosine(a: Column, b: Column) -> Column:

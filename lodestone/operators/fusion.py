@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import paths
+from lodestone.functions.text import name_tail, name_words, query_words
+
 #: The rank constant, the pool, and the weights of the features.
 RANK_CONSTANT, POOL = 60, 120
 WEIGHTS = {
@@ -55,6 +58,55 @@ def demoted_variants(files: DataFrame, group: str, variant: str, preferred: str,
     return files.withColumn("place", place).withColumn("variants", F.count("*").over(own)).where("place > 1 and variants >= 2").drop("place", "variants")
 
 
+def translation_variants(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, path) of the translations to demote: of the documents of a query that differ in language only, all but one.
+
+    ``candidates``: query_id, path, score; ``queries``: query_id, query. The best-scored path in the query's language stays
+    (Chinese if the query has Chinese characters, else English or unmarked), else the best-scored of all; ties go to the first path.
+    """
+    found = candidates.where("path is not null and path <> ''").groupBy("query_id", "path").agg(F.max("score").alias("best")).withColumn("said", paths.translation(F.col("path")))
+    chinese = queries.select("query_id", F.col("query").rlike("[\u3400-\u9fff]").alias("chinese"))
+    rows = found.join(chinese, "query_id", "left").select("query_id", "path", "best", F.col("said.key").alias("key"), F.col("said.locale").alias("locale"), F.coalesce("chinese", F.lit(False)).alias("chinese"))
+    liked = F.when(F.col("chinese"), F.coalesce(F.startswith("locale", F.lit("zh")), F.lit(False))).otherwise(F.coalesce(F.col("locale") == "en", F.lit(True)))
+    place = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc(liked), F.desc("best"), "path"))
+    return rows.withColumn("place", place).where("place > 1").select("query_id", "path")
+
+
+def _spellings(symbol: Column) -> Column:
+    dotted = F.replace(symbol, F.lit("::"), F.lit("."))
+    return F.array(symbol, dotted, name_tail(symbol), F.replace(symbol, F.lit("."), F.lit("::")))
+
+
+def with_features(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """``candidates`` with the features that paths, names and the query's words tell, named as in WEIGHTS.
+
+    ``candidates``: query_id, chunk_id, path, kind, symbol_fqn, channels, score; ``queries``: query_id, query, symbols (names
+    that the query tells). What the query asks for outright is not demoted.
+    """
+    asked = queries.select(
+        "query_id",
+        F.coalesce("symbols", F.array().cast("array<string>")).alias("asked_symbols"),
+        query_words(F.col("query")).alias("asked_words"),
+        *(paths.has_intent(F.col("query"), words).alias(f"asks_{name}") for name, words in (("test", paths.TEST_WORDS), ("changelog", paths.CHANGELOG_WORDS), ("example", paths.EXAMPLE_WORDS))),
+    )
+    variants = translation_variants(candidates, queries).withColumn("translation", F.lit(True))
+    rows = candidates.join(asked, "query_id", "left").join(variants, ["query_id", "path"], "left")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    overlap = F.size(F.array_intersect(name_words(F.col("symbol_fqn")), F.col("asked_words")))
+    return rows.withColumns({
+        "consensus": sure(F.col("channels") >= 3),
+        "symbol_equal": sure(F.arrays_overlap(_spellings(F.col("symbol_fqn")), F.col("asked_symbols"))),
+        "high_value_doc": sure((F.col("kind") == "spec") & paths.doctype(F.col("path")).isin(*paths.HIGH_VALUE)),
+        "test": sure((F.col("kind") == "test") & ~F.col("asks_test")),
+        "fallback": sure(F.col("kind") == "fallback"),
+        "generated": sure(paths.is_generated(F.col("path"), F.lit(""))),
+        "changelog": sure(paths.is_changelog(F.col("path")) & ~F.col("asks_changelog")),
+        "example": sure(paths.is_example(F.col("path")) & ~F.col("asks_example")),
+        "translation": sure(F.col("translation")),
+        "name_overlap": F.when(F.col("symbol_fqn").isNotNull(), F.greatest(overlap, F.lit(0))).otherwise(0),
+    }).drop("asked_symbols", "asked_words", "asks_test", "asks_changelog", "asks_example")
+
+
 def virtual_ranks(real: DataFrame, added: DataFrame, query: str, key: str) -> DataFrame:
     """For rows added by the graph: 1 + real vector hits of the query with a higher score, if no more than there are.
 

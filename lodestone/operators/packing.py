@@ -86,15 +86,42 @@ def render_groups(packed: DataFrame, related_tokens: int = 3000) -> DataFrame:
     return rows.withColumn("with_body", (F.col("section") != "related") | (running <= related_tokens))
 
 
-def answerability(candidates: DataFrame) -> DataFrame:
-    """By query: whether anything was named outright or two files agree, and how sure that is."""
-    agree = F.col("channels") >= 2
+#: Files that must agree, how far the best agreeing score must lie above the median, candidates that make sure.
+FILES_LEAST, PEAK_RATIO, AGREEING_LEAST = 2, 2.15, 3
+
+
+def answerability(candidates: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(query_id, files, answerable, confidence): whether a pool of candidates supports an answer, and how well.
+
+    ``candidates``: query_id, chunk_id, path, kind, score, channels (how many found it), and of explicit, inferred and literal
+    (whether a name, a guessed name or a quoted text hit) those that there are. ``context``: query_id, structural (the graph
+    gave the answer), boundary (the graph ends outside), has_code (the index has code), spec_only (only documents were packed);
+    what is absent or null is false, but has_code is true.
+
+    A name, a guessed name, a quoted text in code or a structural answer is enough. Else two files must agree, and either the
+    best candidate is found by two channels, or an agreeing one reaches 2.15 times the median. In an index with code, such
+    agreement must include code.
+    """
+    there = lambda c, columns, other: F.coalesce(F.col(c), F.lit(other)) if c in columns else F.lit(other)
+    hit = lambda c: there(c, candidates.columns, False)
+    agree, code = F.col("channels") >= 2, F.col("kind").isin("code", "test")
     rows = candidates.groupBy("query_id").agg(
-        F.max((F.col("tier") <= 1).cast("int")).alias("named"),
-        F.count_distinct(F.when(agree, F.col("path"))).alias("files"),
-        F.max("score").alias("peak"),
+        F.count_if(hit("explicit")).alias("explicit"),
+        F.count_if(hit("inferred")).alias("inferred"),
+        F.count_if(hit("literal") & code).alias("literal"),
+        F.count_if(agree).alias("agreeing"),
+        F.count_distinct(F.when(agree, F.coalesce("path", F.col("chunk_id").cast("string")))).alias("files"),
+        F.coalesce(F.bool_or(agree & code), F.lit(False)).alias("agreeing_code"),
+        F.max(F.when(agree, F.col("score"))).alias("peak"),
         F.median("score").alias("middle"),
+        F.min_by("channels", F.struct(-F.col("score"), "chunk_id")).alias("top_channels"),
     )
-    answerable = (F.col("named") == 1) | ((F.col("files") >= 2) & (F.col("peak") >= 2.15 * F.col("middle"))) | (F.col("files") >= 3)
-    level = F.when(~answerable, "none").when((F.col("named") == 1) & (F.col("files") >= 2), "high").when(F.col("named") == 1, "medium").otherwise("low")
-    return rows.select("query_id", "files", answerable.alias("answerable"), level.alias("confidence"))
+    known = context.columns if context is not None else []
+    rows = rows.join(context, "query_id", "left") if context is not None else rows
+    said = {c: there(c, known, c == "has_code") for c in ("structural", "boundary", "has_code", "spec_only")}
+    hard = (F.col("explicit") + F.col("inferred") + F.col("literal") > 0) | said["structural"]
+    strong = (F.col("middle") > 0) & (F.col("peak") >= PEAK_RATIO * F.col("middle"))
+    backed = (F.col("files") >= FILES_LEAST) & ((F.col("top_channels") >= 2) | F.coalesce(strong, F.lit(False))) & (F.col("agreeing_code") | ~said["has_code"])
+    level = F.when((F.col("explicit") > 0) & (F.col("agreeing") >= AGREEING_LEAST) & ~said["boundary"], "high")
+    level = level.when(((F.col("agreeing") > 0) & (F.col("explicit") == 0)) | said["spec_only"] | (F.col("literal") > 0), "medium").otherwise("low")
+    return rows.select("query_id", "files", (hard | backed).alias("answerable"), F.when(hard | backed, level).otherwise("low").alias("confidence"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import bisect
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -35,28 +37,50 @@ def markdown_sections(text: str) -> list[tuple[str, str, int, int, int]]:
     return out
 
 
+#: Where a text is cut, best places first.
+CUTS = ("\n\n", "\n", " ")
+
+
 def split_text(text: str, max_lines: int = 800, max_chars: int = 40_000) -> list[tuple[int, int, str]]:
-    """(first line, last line, piece): lossless pieces within both limits, cut at blank lines, else lines, spaces, or anywhere."""
+    """(first line, last line, piece): lossless pieces within both limits, cut after blank lines, else lines, spaces, or anywhere.
 
-    def pieces(part: str, marks: tuple[str, ...]) -> Iterator[str]:
-        if len(part) <= max_chars and part.count("\n") < max_lines:
-            yield part
-        elif not marks:
-            yield from (part[i : i + max_chars] for i in range(0, len(part), max_chars))
-        else:
-            for x in re.split(f"(?<={re.escape(marks[0])})", part):
-                yield from pieces(x, marks[1:])
-
-    out, held, line = [], "", 1
-    for piece in pieces(text, ("\n\n", "\n", " ")):
-        if held and (len(held) + len(piece) > max_chars or (held + piece).count("\n") > max_lines):
-            out.append((line, line + held.rstrip("\n").count("\n"), held))
-            line += held.count("\n")
-            held = ""
-        held += piece
-    if held:
-        out.append((line, line + held.rstrip("\n").count("\n"), held))
-    return out
+    The parts of one kind of cut are joined again as far as they fit; one that is too large by itself ends what is being
+    joined and is cut at the next kind of place. All work is on offsets, so nothing is copied before the end.
+    """
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+    before = lambda at: bisect.bisect_left(breaks, at)  # noqa: E731  (line ends before an offset)
+
+    def fits(a: int, b: int) -> bool:
+        return b - a <= max_chars and before(b) - before(a) + (text[b - 1] != "\n") <= max_lines
+
+    def parts(a: int, b: int, cut: str) -> list[tuple[int, int]]:
+        ends = [m.end() for m in re.compile(re.escape(cut)).finditer(text, a, b)]
+        return list(itertools.pairwise([a, *(e for e in ends if e < b), b]))
+
+    def pieces(a: int, b: int, kind: int) -> Iterator[tuple[int, int]]:
+        if fits(a, b):
+            yield a, b
+            return
+        while kind < len(CUTS) and len(parts(a, b, CUTS[kind])) < 2:
+            kind += 1
+        if kind == len(CUTS):
+            yield from ((at, min(at + max_chars, b)) for at in range(a, b, max_chars))
+            return
+        held = None
+        for start, end in parts(a, b, CUTS[kind]):
+            small = fits(start, end)
+            if held and small and fits(held[0], end):
+                held = held[0], end
+                continue
+            if held:
+                yield held
+            held = (start, end) if small else None
+            if not small:
+                yield from pieces(start, end, kind + 1)
+        if held:
+            yield held
+
+    return [(1 + before(a), 1 + before(b - 1), text[a:b]) for a, b in pieces(0, len(text), 0)] if text else []
 
 
 class _Python(ast.NodeVisitor):
@@ -122,22 +146,77 @@ def dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
-def python_rows(text: str) -> tuple[list[tuple], list[tuple], list[tuple], str | None]:
-    """Symbols, edges, unresolved references and an error, if it could not be parsed."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [], [], [], f"{type(e).__name__}: {e}"[:200]
-    exported = None
-    for node in tree.body:
+_DEFINES = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)")
+
+
+def _statements(text: str) -> Iterator[tuple[int, str]]:
+    """(lines before it, text) of each statement of the module, as far as its indentation tells: for files that do not parse."""
+    lines = text.split("\n")
+    starts = [n for n, line in enumerate(lines) if line[:1].strip() and line[0] not in "#)]}@"]
+    for n, at in enumerate(starts):  # decorators belong to what follows
+        while at and lines[at - 1].startswith("@"):
+            at -= 1
+        starts[n] = at
+    for a, b in itertools.pairwise([*starts, len(lines)]):
+        yield a, "\n".join(lines[a:b])
+
+
+def _scanned(text: str, first: int, exported: set[str] | None) -> list[tuple]:
+    """Symbols of a statement that does not parse: lines that define something, nested by indentation, up to the next such line."""
+    lines, trail, out = text.split("\n"), [], []
+    for n, line in enumerate(lines):
+        if found := _DEFINES.match(line):
+            depth, word, name = len(found[1].expandtabs()), found[2], found[3]
+            trail = [t for t in trail if t[0] < depth]
+            kind = "class" if word == "class" else "method" if trail and trail[-1][1] == "class" else "function"
+            end = next((m for m in range(n + 1, len(lines)) if lines[m].strip() and len(lines[m]) - len(lines[m].lstrip()) <= depth), len(lines))
+            while end > n + 1 and not lines[end - 1].strip():
+                end -= 1
+            public = not trail and (name in exported if exported is not None else not name.startswith("_"))
+            out.append((name, ".".join([*(t[2] for t in trail), name]), kind, first + n + 1, first + end, public))
+            trail.append((depth, kind, name))
+    return out
+
+
+def _exported(body: list[ast.stmt]) -> set[str] | None:
+    said = None
+    for node in body:
         if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
             try:
-                exported = {str(x) for x in ast.literal_eval(node.value)}
+                said = {str(x) for x in ast.literal_eval(node.value)}
             except (ValueError, TypeError):
-                exported = None
-    walk = _Python(exported)
-    walk.visit(tree)
-    return walk.symbols, walk.edges, walk.unresolved, None
+                said = None
+    return said
+
+
+_UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def python_rows(text: str) -> tuple[list[tuple], list[tuple], list[tuple], str | None]:
+    """Symbols, edges, unresolved references, and the error if the file does not parse as a whole.
+
+    In that case each statement of the module is parsed by itself, and of those that do not parse either the lines that define
+    something are read.
+    """
+    try:
+        tree = ast.parse(text)
+    except _UNPARSED as e:
+        error = f"{type(e).__name__}: {e}"[:200]
+    else:
+        walk = _Python(_exported(tree.body))
+        walk.visit(tree)
+        return walk.symbols, walk.edges, walk.unresolved, None
+    good, bad = [], []
+    for before, part in _statements(text):
+        try:
+            good.append(ast.increment_lineno(ast.parse(part), before))
+        except _UNPARSED:
+            bad.append((before, part))
+    walk = _Python(_exported([node for tree in good for node in tree.body]))
+    for tree in good:
+        walk.visit(tree)
+    symbols = walk.symbols + [row for before, part in bad for row in _scanned(part, before, walk.exported)]
+    return sorted(symbols, key=lambda r: r[3]), walk.edges, walk.unresolved, error
 
 
 #: Makers of route tables, and methods that register a route.
@@ -191,9 +270,10 @@ def sections(files: DataFrame) -> DataFrame:
 
 
 def fallback_chunks(files: DataFrame, max_lines: int = 800, max_chars: int = 40_000) -> DataFrame:
-    """(path, start_line, end_line, content): pieces of any text; joined they are the text again."""
-    names = ["start_line", "end_line", "content"]
-    return files.select("path", "text").mapInPandas(_per_file(lambda t: split_text(t, max_lines, max_chars), names), "path string, start_line int, end_line int, content string")
+    """(path, piece, start_line, end_line, content): numbered pieces of any text; joined in order they are the text again."""
+    names = ["piece", "start_line", "end_line", "content"]
+    cut = lambda t: [(n, *row) for n, row in enumerate(split_text(t, max_lines, max_chars))]
+    return files.select("path", "text").mapInPandas(_per_file(cut, names), "path string, piece int, start_line int, end_line int, content string")
 
 
 def python_symbols(files: DataFrame) -> DataFrame:

@@ -89,7 +89,10 @@ _RUST = Rules(
 RULES = {"c": _C, "cpp": _C, "javascript": _JS, "typescript": _JS, "tsx": _JS, "kotlin": _KOTLIN, "rust": _RUST}
 CONTAINERS = ("namespace", "class", "struct", "enum", "interface", "trait", "impl")
 #: Words before a parenthesis that are no calls (fixed values).
-NO_CALLS = frozenset("if for while switch catch return sizeof function fn fun def match when elif else do throw new await typeof defined constructor".split())
+NO_CALLS = (
+    "if", "for", "while", "switch", "catch", "return", "sizeof", "function", "fn", "fun", "def", "match", "when", "elif",
+    "else", "do", "throw", "new", "await", "typeof", "defined", "constructor",
+)
 _TOKENS = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n])*'(?=\s*[;,)\]}:])""", re.S)
 
 
@@ -104,6 +107,19 @@ def blanked(text: str) -> str:
     return _TOKENS.sub(blank, text)
 
 
+def _statement(lines: list[str], n: int, most: int = 12) -> str:
+    """The ``n``-th line and those after it up to the first brace or semicolon: heads of definitions may take several lines."""
+    head = lines[n]
+    if not head.strip() or re.search("[{};#]", head) or head.rstrip().endswith(":"):
+        return head
+    for line in lines[n + 1 : n + most]:
+        mark = re.search("[{};]", line)
+        head = f"{head} {line[: mark.end()] if mark else line}"
+        if mark:
+            return head if mark[0] == "{" else lines[n]
+    return lines[n]
+
+
 def scan(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """(name, fqn, kind, first line, last line, exported) of definitions and (source, target, kind, line) of edges. Never raises."""
     rules = RULES.get(language)
@@ -114,16 +130,18 @@ def scan(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     edges: list[tuple] = []
     scope: list[tuple[str, str, int, int | None]] = []  # name, kind, depth, its symbol
     depth = 0
+    pending = None  # a definition whose brace is still to come
     for n, (line, original) in enumerate(zip(plain, raw, strict=True), 1):
         named = [x[0] for x in scope]
-        found = None
+        found, pending = pending, None
+        statement = _statement(plain, n - 1) if rules is _C and found is None else line
         if not line.lstrip().startswith("//"):
             for pattern in rules.imports:
                 if line.strip() and (m := re.search(pattern, original)):
                     edges.append((rules.separator.join(named), m["name"].strip("\"'<>").strip(), "imports", n))
         in_body = any(k in ("function", "method") for _, k, _, _ in scope)
-        for kind, pattern in rules.kinds:
-            m = re.match(pattern, line)
+        for kind, pattern in rules.kinds if found is None else ():
+            m = re.match(pattern, statement)
             if not m or (kind in ("variable", "method") and in_body):
                 continue
             name = m["name"] or m.groupdict().get("other")
@@ -134,7 +152,7 @@ def scan(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
             fqn = rules.separator.join([*named, name])
             at = None
             if kind != "impl":
-                exported = not any(k not in ("namespace",) for _, k, _, _ in scope) and bool(re.search(rules.public, line)) and not re.search(rules.private, line)
+                exported = not any(k not in ("namespace",) for _, k, _, _ in scope) and bool(re.search(rules.public, statement)) and not re.search(rules.private, statement)
                 at = len(symbols)
                 symbols.append([name.rpartition("::")[2] or name, fqn, kind, n, n, exported])
             if base := m.groupdict().get("base"):
@@ -150,6 +168,7 @@ def scan(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
         for c in line:
             if c == "{":
                 if found and not opened:
+                    statement = line
                     scope.append((found[0], found[1], depth, found[3]))
                     opened = True
                 depth += 1
@@ -158,6 +177,10 @@ def scan(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 if scope and scope[-1][2] == depth:
                     if (at := scope.pop()[3]) is not None:
                         symbols[at][4] = n
+        if found and not opened and statement is not line:
+            pending = (*found[:4], 0)
+        elif found and not opened and found[4] == 0:
+            pending = found
     return [tuple(s) for s in symbols], list(dict.fromkeys(edges))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
 from lodestone.operators import fusion, gap, graph, incremental, intervals, packing, parse, recall, usage
-from lodestone.plans import index, maintenance  # noqa: F401  (they register their queries)
+from lodestone.plans import cases, index, maintenance, operations  # noqa: F401  (they register their queries)
 from lodestone.plans.registry import QUERIES, SQL, Query, query, table
 from lodestone.streaming import stateful
 
@@ -52,9 +52,9 @@ def name_segments(spark, d):
 
 
 @query("""
-SELECT page_id, NOT regexp_matches(path, '(^|/)(tests?|testdata|fixtures)/|(^|/)test_[^/]*$|_test\\.[^/.]+$') AS is_code,
-       regexp_matches(path, '(?i)(^|/)(examples?|samples?|demos?)/') AS is_example
-FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)
+SELECT page_id, NOT (len(list_intersect(parts, ['test', 'tests', 'testdata', 'fixtures'])) > 0 OR regexp_matches(parts[-1], '^(test_.*|.*_test)\\.[A-Za-z0-9]+$')) AS is_code,
+       len(list_intersect(list_transform(parts[:-2], lambda p: lower(p)), ['example', 'examples', 'sample', 'samples', 'demo', 'demos', 'docs_src', 'tutorial', 'tutorials', 'cookbook', 'snippets'])) > 0 AS is_example
+FROM (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS parts FROM pages)
 """)
 def path_classes(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
@@ -321,7 +321,7 @@ def expand_2hop_each(spark, d):
 
 
 @query(f"""
-WITH {EDGES}, f AS (SELECT source, target AS next, count(*) OVER (PARTITION BY source) AS branches FROM (SELECT DISTINCT source, target, line FROM e) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line NULLS LAST, target) = 1)
+WITH {EDGES}, f AS MATERIALIZED (SELECT source, target AS next, count(*) OVER (PARTITION BY source) AS branches FROM (SELECT DISTINCT source, target, line FROM e) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line NULLS LAST, target) = 1)
 SELECT 'c' || c_custkey AS start, array_to_string(list_filter(['c' || c_custkey, a.next, b.next], lambda x: x IS NOT NULL), '>') AS path,
        coalesce(a.branches > 1, false) OR coalesce(b.branches > 1, false) OR z.next IS NOT NULL AS truncated
 FROM customer LEFT JOIN f a ON a.source = 'c' || c_custkey LEFT JOIN f b ON b.source = a.next LEFT JOIN f z ON z.source = b.next
@@ -540,7 +540,16 @@ def recent_stub(spark, d):
     return usage.recent_stubs(e, ["user_id", "event_type"], "s", 6000).select("event_id", "is_stub")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS MATERIALIZED (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+w AS (
+  SELECT event_id, user_id, n, true AS allowed, [s] AS kept FROM t WHERE n = 1
+  UNION ALL
+  SELECT event_id, user_id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, s) ELSE live END
+  FROM (SELECT t.event_id, t.user_id, t.n, t.s, list_filter(w.kept, lambda x: x > t.s - 36000) AS live FROM w JOIN t ON t.user_id = w.user_id AND t.n = w.n + 1)
+)
+SELECT user_id, event_id, allowed FROM w
+""")
 def limiter(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", seconds().cast("double").alias("s"))
     return stateful.limiter(e, "user_id", "s", "event_id", 3, 36_000.0)
@@ -578,7 +587,11 @@ def packing_assemble(spark, d):
     return packing.assemble(rows)
 
 
-@query()
+@query("""
+WITH d AS (SELECT concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, source, lang, CAST(4 + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS total FROM documents)
+SELECT path, source AS heading, source AS heading_path, 1 AS level, 1 AS start_line, total AS end_line FROM d
+UNION ALL SELECT path, lang, source || ' > ' || lang, 2, 3, total FROM d
+""")
 def markdown_sections(spark, d):
     files = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), "text").alias("text"))
     return parse.sections(files)
@@ -587,7 +600,8 @@ def markdown_sections(spark, d):
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, text AS joined FROM documents")
 def fallback_split(spark, d):
     chunks = parse.fallback_chunks(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), 40, 2000)
-    return chunks.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts")).select("path", F.array_join(F.transform("parts", lambda p: p["content"]), "").alias("joined"))
+    parts = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("piece", "content"))).alias("parts"))
+    return parts.select("path", F.array_join(F.transform("parts", lambda p: p["content"]), "").alias("joined"))
 
 
 # ------------------------------------------------------------------ second round and evaluation

@@ -13,7 +13,8 @@ from lodestone.functions import paths
 def directory(spark: SparkSession, root: str) -> DataFrame:
     """(path, text, length, skip_reason) of all files below ``root``. Bytes that are not UTF-8 become U+FFFD."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rooted = F.regexp_replace("path", "^.*?" + re.escape(root.split(":", 1)[-1].rstrip("/")) + "/", "")
+    below = re.sub("^/+", "/", root.split(":", 1)[-1].rstrip("/"))
+    rooted = F.regexp_replace("path", "^.*?" + re.escape(below) + "/", "")
     rows = found.select(rooted.alias("path"), "length", "content").where(~paths.is_pruned(F.col("path")))
     reason = F.coalesce(paths.size_reason(F.col("path"), F.col("length")), F.when(paths.is_binary(F.col("content")), "binary"))
     rows = rows.withColumn("skip_reason", reason)

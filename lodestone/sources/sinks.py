@@ -13,13 +13,13 @@ def _place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_side_file(spark: SparkSession, path: str, value: dict) -> None:
-    """A manifest or state as JSON: written beside its place, then moved there, so that readers see the old or the new one."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file: written beside its place, then moved there, so that readers see the old or the new one."""
     at, store = _place(spark, path)
     new = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     out = store.create(new, True)
     try:
-        out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
@@ -29,6 +29,11 @@ def write_side_file(spark: SparkSession, path: str, value: dict) -> None:
     context.rename(new, at, options)
 
 
+def write_side_file(spark: SparkSession, path: str, value: dict) -> None:
+    """A manifest or state as JSON with sorted keys."""
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, sort_keys=True))
+
+
 def read_side_file(spark: SparkSession, path: str) -> dict | None:
     """The value, or nothing if there is no such file or it is no JSON object."""
     at, store = _place(spark, path)

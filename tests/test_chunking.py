@@ -27,11 +27,11 @@ print(free())
 
 
 def test_prepare(spark):
-    rows = [("a.py", b"x = 1\r\ny"), ("b.bin", b"a\x00b"), ("c.txt", b"x" * 140_000), ("d.md", b"\xff ok"), ("e_pb2.py", b"")]
+    rows = [("a.py", b"x = 1\r\ny"), ("b.bin", b"a\x00b"), ("c.txt", b"x" * 140_000), ("d.md", b"\xff ok"), ("e.pb2.py", b"")]
     out = {r["path"]: r for r in chunking.prepare(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).collect()}
     assert out["a.py"]["text"] == "x = 1\ny" and out["a.py"]["segmented"] == "x = 1 y" and out["a.py"]["language"] == "python"
     assert out["b.bin"]["skip_reason"] == "binary" and out["b.bin"]["text"] is None and out["c.txt"]["skip_reason"] == "oversize:140000"
-    assert out["d.md"]["text"].endswith(" ok") and out["e_pb2.py"]["generated"]
+    assert out["d.md"]["text"].endswith(" ok") and out["e.pb2.py"]["generated"]
 
 
 def test_structural(spark):
