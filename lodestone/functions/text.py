@@ -13,9 +13,14 @@ def normalize_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def runs(text: Column) -> Column:
+    """Runs of ASCII letters and digits as they stand. Cut at what lies between, which costs less than finding each of them."""
+    return F.array_remove(F.split(text, "[^A-Za-z0-9]+"), "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    return F.transform(runs(text), F.lower)
 
 
 def segment(text: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import cosine, tokens
+from lodestone.functions.text import cosine, runs, tokens
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -17,16 +19,11 @@ def ranked(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
 
 def postings(chunks: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
     """(key, term, weighted): the sum over columns of weight times term frequency. Counting combines before the shuffle."""
-    weighted = None
-    for column, weight in columns.items():
-        one = chunks.select(key, F.explode(tokens(F.col(column))).alias("term"), F.lit(float(weight)).alias("w"))
-        weighted = one if weighted is None else weighted.unionByName(one)
-    return weighted.groupBy(key, "term").agg(F.sum("w").alias("weighted"))
+    return index_of(chunks, key, columns).postings.select(key, "term", F.col("f").alias("weighted"))
 
 
 def lengths(chunks: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    total = sum((F.coalesce(F.size(F.regexp_extract_all(F.col(c), F.lit("[A-Za-z0-9]+"), F.lit(0))), F.lit(0)) for c in columns), F.lit(0))
-    return chunks.select(key, F.greatest(total, F.lit(0)).alias("length"))
+    return chunks.select(key, sum((F.greatest(F.size(runs(F.col(c))), F.lit(0)) for c in columns), F.lit(0)).alias("length"))
 
 
 def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
@@ -34,27 +31,57 @@ def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
     return queries.select(query_key, F.explode(tokens(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
 
 
-def bm25(chunks: DataFrame, key: str, columns: dict[str, float], queries: DataFrame, query_key: str, text: str, k: int = 50) -> DataFrame:
-    """(query, key, score, rank): the k best chunks for each query, larger scores first, ties to the smaller key.
+class Index(NamedTuple):
+    """A lexical index: postings (key, term, f, length), terms (term, df) and one row of stats (n, mean)."""
 
-    Only the queries' terms get postings: a semi join drops the rest of the vocabulary before anything is counted.
-    """
-    terms = query_terms(queries, query_key, text)
-    parts = None
-    for column, weight in columns.items():
-        one = chunks.select(key, F.explode(tokens(F.col(column))).alias("term"), F.lit(float(weight)).alias("w"))
-        parts = one if parts is None else parts.unionByName(one)
-    wanted = parts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", key).agg(F.sum("w").alias("f"))
-    size = lengths(chunks, key, columns)
-    stats = size.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    per_term = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def index_of(chunks: DataFrame, key: str, columns: dict[str, float]) -> Index:
+    """The index of chunks over weighted columns, each text read once. A posting carries its chunk's length, so that scoring joins
+    terms alone; counting combines before its only shuffle."""
+    words = chunks.select(key, *(F.coalesce(runs(F.col(c)), F.array().cast("array<string>")).alias(f"w{i}") for i, c in enumerate(columns)))
+    size = sum((F.size(f"w{i}") for i in range(len(columns))), F.lit(0))
+    weighted = F.array(*(F.struct(F.col(f"w{i}").alias("words"), F.lit(float(weight)).alias("w")) for i, weight in enumerate(columns.values())))
+    spread = words.select(key, size.alias("length"), F.explode(weighted).alias("c")).select(key, "length", "c.w", F.explode("c.words").alias("word"))
+    postings_ = spread.groupBy(key, F.lower("word").alias("term"), "length").agg(F.sum("w").alias("f"))
+    stats = lengths(chunks, key, columns).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return Index(postings_, postings_.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def write_index(index: Index, folder: str) -> None:
+    """Writes the three tables below ``folder``; postings lie in the order of terms within each file, so that files skip what no query asks."""
+    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = index.postings.sparkSession.read.parquet(f"{folder}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")))
+
+
+def bm25_scores(index: Index, key: str, queries: DataFrame, query_key: str, text: str) -> DataFrame:
+    """(query, key, score, length) of every chunk that holds a term of a query; only the queries' terms are read on."""
+    asked = query_terms(queries, query_key, text)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    weights = terms.join(per_term.crossJoin(F.broadcast(stats)), "term").select(query_key, "term", (F.col("times") * idf).alias("idf"), "mean")
+    weights = asked.join(index.terms.crossJoin(F.broadcast(index.stats)), "term").select(query_key, "term", (F.col("times") * idf).alias("idf"), "mean")
     long = F.col("length") / F.col("mean")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * long))
-    scored = wanted.join(size, key).join(weights, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
-    return ranked(scored, query_key, [F.desc(F.round("score", 9)), key], k)
+    return index.postings.join(weights, "term").groupBy(query_key, key, "length").agg(F.sum(part).alias("score"))
+
+
+def bm25_best(scores: DataFrame, key: str, query_key: str, k: int = 50) -> DataFrame:
+    """(query, key, score, rank): the k best chunks for each query, larger scores first, ties to the smaller key."""
+    return ranked(scores.select(query_key, key, "score"), query_key, [F.desc(F.round("score", 9)), key], k)
+
+
+def bm25(chunks: DataFrame, key: str, columns: dict[str, float], queries: DataFrame, query_key: str, text: str, k: int = 50) -> DataFrame:
+    """The k best chunks for each query without a stored index: for one batch over texts that are not indexed."""
+    return bm25_best(bm25_scores(index_of(chunks, key, columns), key, queries, query_key, text), key, query_key, k)
 
 
 def phrase(chunks: DataFrame, key: str, column: str, queries: DataFrame, query_key: str, text: str, k: int = 50) -> DataFrame:

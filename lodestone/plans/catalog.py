@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
 from lodestone.operators import fusion, gap, graph, incremental, intervals, packing, parse, recall, usage
 from lodestone.plans import cases, index, maintenance, operations  # noqa: F401  (they register their queries)
-from lodestone.plans.registry import QUERIES, SQL, Query, query, table
+from lodestone.plans.registry import QUERIES, SQL, Query, query, table, work_dir
 from lodestone.streaming import stateful
 
 TOKENS = "regexp_extract_all({c}, '[A-Za-z0-9]+')"
@@ -89,14 +91,36 @@ b AS (SELECT query_id, doc_id, sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.
 """
 
 
-def _bm25(spark, d, k):
-    columns = {"text": 1.0, "source": 5.0, "lang": 1.0}
-    return recall.bm25(table(spark, d, "documents"), "doc_id", columns, table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text", k)
+#: Columns of the index and their weights.
+INDEXED = {"text": 1.0, "source": 5.0, "lang": 1.0}
+_INDEXES: dict[tuple[str, str], recall.Index] = {}
+
+
+def search_index(spark, d) -> recall.Index:
+    """The stored index of the documents, which queries read; the first query of an application over a folder writes it."""
+    own = spark.sparkContext.applicationId, d
+    if own not in _INDEXES:
+        folder = work_dir(spark, f"index-{own[0]}-{hashlib.sha256(d.encode()).hexdigest()[:16]}")
+        recall.write_index(recall.index_of(table(spark, d, "documents"), "doc_id", INDEXED), folder)
+        _INDEXES[own] = recall.read_index(spark, folder)
+    return _INDEXES[own]
+
+
+def _scores(spark, d):
+    return recall.bm25_scores(search_index(spark, d), "doc_id", table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+
+
+@query(f"{BM25_SQL} SELECT (SELECT n FROM s) AS documents, (SELECT count(*) FROM f) AS postings, (SELECT count(*) FROM df) AS terms")
+def index_build(spark, d):
+    _INDEXES.pop((spark.sparkContext.applicationId, d), None)
+    index = search_index(spark, d)
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return index.stats.select(F.col("n").alias("documents")).crossJoin(count(index.postings, "postings")).crossJoin(count(index.terms, "terms"))
 
 
 @query(f"{BM25_SQL} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM b) WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return _bm25(spark, d, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    return recall.bm25_best(_scores(spark, d), "doc_id", "query_id", 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 #: What stands for a text's words, each between spaces of its own.
@@ -202,11 +226,12 @@ fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf, CAST(count(*)
 
 
 def _lists(spark, d):
-    lexical = _bm25(spark, d, 10**9)
-    size = recall.lengths(table(spark, d, "documents"), "doc_id", {"text": 1.0, "source": 5.0, "lang": 1.0})
-    by_length = recall.ranked(lexical.drop("rank").join(size, "doc_id"), "query_id", [F.desc("length"), "doc_id"], 50)
-    both = lexical.where("rank <= 50").select("query_id", "doc_id", "rank", F.lit("bm25").alias("channel"))
-    return both.unionByName(by_length.select("query_id", "doc_id", "rank", F.lit("length").alias("channel")))
+    """Two ranked lists of 50 for each query, both from the same scores."""
+    scores = _scores(spark, d)
+    lexical = recall.bm25_best(scores, "doc_id", "query_id", 50)
+    by_length = recall.ranked(scores.select("query_id", "doc_id", "length"), "query_id", [F.desc("length"), "doc_id"], 50)
+    told = lambda rows, channel: rows.select("query_id", "doc_id", "rank", F.lit(channel).alias("channel"))
+    return told(lexical, "bm25").unionByName(told(by_length, "length"))
 
 
 @query(f"{LISTS} SELECT query_id, doc_id, round(rrf, 9) AS rrf_score, channels, best_rank, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, channels DESC, best_rank, doc_id) AS INT) AS position FROM fused) WHERE position <= 120")

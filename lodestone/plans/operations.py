@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import channels, chunking, fusion, gap, incremental, linking, packing, rendering, service, tables
 from lodestone.plans.cases import NAMES, PATHS
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, table, work_dir
 from lodestone.sources import files, sinks
 from lodestone.streaming import stateful
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or, on one machine alone, a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"file://{tempfile.gettempdir()}"
-    return f"{top.rstrip('/')}/lodestone/plans-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ files and sinks
 
 
