@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,60 @@ def lacking(pool: DataFrame, packed: DataFrame) -> DataFrame:
     return pool.join(lines, hit, "left_anti")
 
 
+#: Anchors of a kind, and what each may bring; what a plan holds in all.
+ANCHORS, MEMBERS_MOST, TARGETS_MOST, CALLEES_MOST, GAPS_MOST = 2, 24, 6, 6, 24
+
+
+def _prefixes(name: Column) -> Column:
+    """A full name and all its containers, double colons as dots."""
+    parts = F.split(F.replace(name, F.lit("::"), F.lit(".")), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+
+def closures(named: DataFrame, packed: DataFrame, pool: DataFrame, symbols: DataFrame, edges: DataFrame, references: DataFrame) -> DataFrame:
+    """(query_id, group_no, chunk_id, order_key): chunks of the pool that a first pack lacks, in four kinds of groups, for ``plan``.
+
+    ``named``: query_id, position, token (names that a query tells); ``packed``: query_id, position, chunk_id, symbol_fqn (null
+    for a section); ``pool``: query_id, position, chunk_id, export_of (the symbol that a chunk of the pool re-exports, else
+    null); ``symbols``: fqn, chunk_id; ``edges``: source, target, kind, line; ``references``: spec, symbol.
+
+    Groups, in this order: sites that re-export a symbol; members of the first two named containers of which something is
+    packed; what the packed parts of these containers call; what the first two packed sections that have anything refer to.
+    All joins are equi joins: a name is listed under each of its containers.
+    """
+    wanted = pool.join(packed.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    first = lambda rows, by, order, k: rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= k)
+    dotted = lambda c: F.replace(F.col(c), F.lit("::"), F.lit("."))
+
+    exports = wanted.where("export_of is not null")
+    order = Window.partitionBy("query_id").orderBy("first", "export_of")
+    sites = exports.groupBy("query_id", "export_of").agg(F.min("position").alias("first")).withColumn("group_no", F.row_number().over(order) - 1)
+    found = exports.join(sites, ["query_id", "export_of"]).select("query_id", "group_no", "chunk_id", F.col("position").alias("order_key"))
+
+    parts = packed.where("symbol_fqn is not null").select("query_id", F.col("symbol_fqn").alias("part"), F.explode(_prefixes(F.col("symbol_fqn"))).alias("name"))
+    anchors = named.select("query_id", "position", dotted("token").alias("name")).groupBy("query_id", "name").agg(F.min("position").alias("position"))
+    anchors = first(anchors.join(parts.select("query_id", "name").distinct(), ["query_id", "name"], "left_semi"), ["query_id"], ["position", "name"], ANCHORS).select("query_id", "name", F.col("n").alias("anchor"))
+
+    held = symbols.where("chunk_id is not null").select("chunk_id", dotted("fqn").alias("full"), F.explode(_prefixes(F.col("fqn"))).alias("name")).where("name <> full")
+    whole = packed.where("symbol_fqn is not null").select("query_id", dotted("symbol_fqn").alias("full"))
+    members = anchors.join(held, "name").join(whole, ["query_id", "full"], "left_anti").select("query_id", "anchor", "chunk_id").distinct().join(wanted.select("query_id", "chunk_id", "position"), ["query_id", "chunk_id"])
+    members = first(members, ["query_id", "anchor"], ["position", "chunk_id"], MEMBERS_MOST)
+    found = found.unionByName(members.select("query_id", (1000 + F.col("anchor")).alias("group_no"), "chunk_id", F.col("position").alias("order_key")))
+
+    calls = edges.where("kind = 'calls'").select(F.col("source").alias("part"), "target", F.coalesce("line", F.lit(0)).alias("line"))
+    at = symbols.where("chunk_id is not null").groupBy(F.col("fqn").alias("target")).agg(F.min("chunk_id").alias("chunk_id"))
+    called = anchors.join(parts, ["query_id", "name"]).join(calls, "part").join(at, "target").join(wanted.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    called = called.groupBy("query_id", "anchor", "chunk_id").agg(F.min(F.struct("part", "line", "target")).alias("order"))
+    called = first(called, ["query_id", "anchor"], ["order", "chunk_id"], CALLEES_MOST)
+    found = found.unionByName(called.select("query_id", (2000 + F.col("anchor")).alias("group_no"), "chunk_id", F.col("n").alias("order_key")))
+
+    specs = packed.where("symbol_fqn is null").select("query_id", F.col("position").alias("place"), F.col("chunk_id").alias("spec"))
+    told = specs.join(references.select("spec", F.col("symbol").alias("chunk_id")).distinct(), "spec").join(wanted.select("query_id", "chunk_id", "position"), ["query_id", "chunk_id"])
+    usable = first(told.select("query_id", "place", "spec").distinct(), ["query_id"], ["place", "spec"], ANCHORS).select("query_id", "spec", F.col("n").alias("anchor"))
+    told = first(told.join(usable, ["query_id", "spec"]), ["query_id", "anchor"], ["position", "chunk_id"], TARGETS_MOST)
+    return found.unionByName(told.select("query_id", (3000 + F.col("anchor")).alias("group_no"), "chunk_id", F.col("position").alias("order_key")))
+
+
 def plan(groups: DataFrame, per_group: int, limit: int) -> DataFrame:
     """(query_id, group_no, place, chunk_id): at most so many of each group, then group by group in turn up to the limit.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import name_tail
+from lodestone.operators.intervals import stabbing_join
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -26,15 +27,21 @@ def resolve_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     the hinted file, else in the same file, else exported, as far as that leaves any. One candidate makes a parsed edge, several
     make synthesized edges to all, none leaves the reference failed (its target is null).
     """
-    target = symbols.select(F.col("fqn").alias("target"), name_tail(F.col("fqn")).alias("tail"), F.col("file_path").alias("target_path"), "is_exported")
-    named = refs.withColumn("tail", name_tail(F.col("reference_name")))
-    exact = named.join(target.drop("tail"), F.col("reference_name") == F.col("target")).withColumn("level", F.lit(0))
-    by_tail = named.join(target, "tail").withColumn("level", F.lit(1))
-    both = exact.unionByName(by_tail.select(*exact.columns))
-    own = Window.partitionBy("id")
-    both = both.withColumn("least", F.min("level").over(own)).where("level = least")
+    target = symbols.select(F.col("fqn").alias("target"), name_tail(F.col("fqn")).alias("tail"), F.col("file_path").alias("target_path"), F.coalesce("is_exported", F.lit(False)).alias("is_exported"))
+    named = refs.select("id", "reference_name", "file_path", "hint_path").withColumn("tail", name_tail(F.col("reference_name")))
     near = F.when(F.col("target_path") == F.col("hint_path"), 0).when(F.col("target_path") == F.col("file_path"), 1).when(F.col("is_exported"), 2).otherwise(3)
-    both = both.withColumn("near", near).withColumn("nearest", F.min("near").over(own)).where("near = nearest").withColumn("n", F.count("*").over(own))
+    exact = named.join(target.drop("tail"), F.col("reference_name") == F.col("target")).select("id", "target", "target_path", near.alias("near"))
+    # by the last part of the name: a part that very many symbols share meets references first in their hinted and own files, and
+    # then only those of its symbols that can win there: the exported ones if there are any
+    open_ = named.join(exact.select("id"), "id", "left_anti")
+    files = F.array(F.struct(F.col("hint_path").alias("target_path"), F.lit(0).alias("near")), F.struct(F.col("file_path").alias("target_path"), F.lit(1).alias("near")))
+    in_files = open_.select("id", "tail", F.explode(files).alias("f")).select("id", "tail", "f.target_path", "f.near").join(target, ["tail", "target_path"]).select("id", "target", "target_path", "near")
+    shared = target.groupBy("tail").agg(F.bool_or("is_exported").alias("any_exported"))
+    winners = target.join(shared, "tail").where("is_exported or not any_exported")
+    elsewhere = open_.join(in_files.select("id"), "id", "left_anti").join(winners, "tail").select("id", "target", "target_path", F.when(F.col("is_exported"), 2).otherwise(3).alias("near"))
+    own = Window.partitionBy("id")
+    both = exact.unionByName(in_files).unionByName(elsewhere)
+    both = both.withColumn("nearest", F.min("near").over(own)).where("near = nearest").withColumn("n", F.count("*").over(own))
     found = both.select("id", "target", F.when(F.col("n") == 1, "parsed").otherwise("synthesized").alias("provenance")).distinct()
     return refs.select("id", F.col("from_symbol").alias("source"), F.col("reference_kind").alias("kind"), "line").join(found, "id", "left").withColumn("status", F.when(F.col("target").isNull(), "failed").otherwise("resolved"))
 
@@ -92,6 +99,79 @@ def expand_twice(edges: DataFrame, seeds: DataFrame, limit: int = 12, query_key:
     return top.select("node", "middle", F.row_number().over(Window.orderBy("seed_rank", "middle", "node")).alias("position"))
 
 
+def _ranked_calls(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls by caller and by callee, each with its place.
+
+    Callees: private functions of the project, then its others, then what lies outside; then by line and name. Callers: symbols
+    that nothing calls and that are exported, then other exported ones, then by name.
+    """
+    calls = edges.where("kind = 'calls'").select("source", "target", "line", "provenance")
+    known = symbols.groupBy("fqn").agg(F.bool_or(F.col("chunk_id").isNotNull()).alias("local"), F.bool_or("is_exported").alias("exported"))
+    name = name_tail(F.col("target"))
+    private = F.startswith(name, F.lit("_")) & ~(F.startswith(name, F.lit("__")) & F.endswith(name, F.lit("__")))
+    local = F.coalesce("local", F.lit(False))
+    level = F.when(~local, 2).when(private, 0).otherwise(1)
+    out = calls.join(known.withColumnRenamed("fqn", "target"), "target", "left").withColumn("level", level)
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("level", F.coalesce("line", F.lit(0)), "target", "provenance")))
+    called = calls.select(F.col("target").alias("source"), F.lit(True).alias("called")).distinct()
+    into = calls.join(known.withColumnRenamed("fqn", "source"), "source", "left").join(called, "source", "left")
+    exported = F.coalesce("exported", F.lit(False))
+    order = [F.desc(exported & F.col("called").isNull()), F.desc(exported), "source", F.coalesce("line", F.lit(0)), "provenance"]
+    into = into.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order))).withColumn("n", F.count("*").over(Window.partitionBy("target")))
+    return out.select("source", "target", "provenance", "place"), into.select("source", "target", "provenance", "place", "n")
+
+
+def expand_pool(pool: DataFrame, symbols: DataFrame, chunks: DataFrame, edges: DataFrame, references: DataFrame, seeds: int = 20, limit: int = 30, caller_limit: int = 200, callers_kept: int = 20) -> DataFrame:
+    """Chunks that the graph adds to the pools of many queries, ``limit`` for each: (query_id, chunk_id, parent, provenance, position).
+
+    ``pool``: query_id, chunk_id, path, kind, symbol_fqn, score; ``symbols``: fqn, file_path, start_line, chunk_id, is_exported;
+    ``chunks``: chunk_id, file_path, start_line, end_line; ``edges``: source, target, kind, line, provenance; ``references``:
+    spec and symbol (ids of chunks), provenance, stale.
+
+    The best ``seeds`` of a pool come in order, and of a seed: where its file registers it as a route, package files that import
+    its name, callees, callers (of too many only some), sections that refer to it; of a section the code it refers to. Stale
+    references do not count. A symbol without a chunk stands for the smallest chunk that covers its line. What is in the pool
+    already is not added, and a chunk counts where it comes first.
+    """
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    top = pool.withColumn("seed_rank", F.row_number().over(place)).where(F.col("seed_rank") <= seeds).select("query_id", "seed_rank", F.col("chunk_id").alias("parent"), "path", "kind", F.col("symbol_fqn").alias("fqn"))
+    code = top.where("kind <> 'spec' and fqn is not null and fqn <> ''")
+    keys = ["query_id", "seed_rank", "parent"]
+    covered = lambda points: stabbing_join(chunks.select(F.col("chunk_id").alias("id"), F.col("file_path").alias("path"), "start_line", "end_line"), points)
+
+    # a chunk for every symbol: its own, else the smallest that covers its first line
+    own = symbols.where("chunk_id is not null").groupBy("fqn").agg(F.min("chunk_id").alias("chunk_id"))
+    bare = symbols.join(own, "fqn", "left_anti").where("start_line is not null").groupBy("fqn").agg(F.min(F.struct(F.col("file_path").alias("path"), F.col("start_line").alias("line"))).alias("at")).select("fqn", "at.path", "at.line")
+    around = covered(bare.select("path", "line").distinct()).select("path", "line", F.col("id").alias("chunk_id"))
+    at = own.unionByName(bare.join(around, ["path", "line"]).select("fqn", "chunk_id"))
+
+    out, into = _ranked_calls(edges, symbols)
+    into = into.where((F.col("n") <= caller_limit) | (F.col("place") <= callers_kept))
+    callees = code.join(out.withColumnRenamed("source", "fqn"), "fqn").select(*keys, F.col("target").alias("fqn"), "provenance", "place", F.lit(2).alias("channel"))
+    callers = code.join(into.withColumnRenamed("target", "fqn"), "fqn").select(*keys, F.col("source").alias("fqn"), "provenance", "place", F.lit(3).alias("channel"))
+    found = callees.unionByName(callers).join(at, "fqn").drop("fqn")
+
+    made = edges.where("kind = 'registers' and line is not null").select(F.col("target").alias("fqn"), F.col("source").alias("path"), "line", "provenance")
+    routes = code.join(made, ["fqn", "path"]).select(*keys, "path", "line", "provenance", F.col("line").alias("place"), F.lit(0).alias("channel"))
+    exports = edges.where("kind = 'imports'").where(F.endswith("source", F.lit("__init__.py"))).select(name_tail(F.col("target")).alias("tail"), F.col("source").alias("path")).distinct()
+    exports = exports.withColumn("place", F.row_number().over(Window.partitionBy("tail").orderBy("path")))
+    sites = code.select(*keys, name_tail(F.col("fqn")).alias("tail")).join(exports, "tail").select(*keys, "path", F.lit(1).alias("line"), F.lit("re-export").alias("provenance"), "place", F.lit(1).alias("channel"))
+    spots = routes.unionByName(sites)
+    found = found.unionByName(spots.join(covered(spots.select("path", "line").distinct()), ["path", "line"]).select(*keys, "provenance", "place", "channel", F.col("id").alias("chunk_id")))
+
+    links = references.where("not stale").select("spec", "symbol", "provenance")
+    order = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy(other, "provenance"))
+    to_specs = links.withColumn("place", order("symbol", "spec")).select(F.col("symbol").alias("parent"), F.col("spec").alias("chunk_id"), "provenance", "place")
+    to_code = links.withColumn("place", order("spec", "symbol")).select(F.col("spec").alias("parent"), F.col("symbol").alias("chunk_id"), "provenance", "place")
+    told = code.join(to_specs, "parent").unionByName(top.where("kind = 'spec'").join(to_code, "parent"))
+    told = told.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select(*keys, "provenance", "place", F.lit(4).alias("channel"), "chunk_id")
+
+    new = found.unionByName(told).join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    sequence = ["seed_rank", "channel", "place", "chunk_id"]
+    first = new.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(*sequence))).where("n = 1")
+    return _first_of_each(first, "query_id", sequence, limit).select("query_id", "chunk_id", "parent", "provenance", "position")
+
+
 def entry_points(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Exported symbols that nothing calls."""
     return symbols.where("is_exported").join(edges.where("kind = 'calls'").select(F.col("target").alias("fqn")), "fqn", "left_anti")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections import namedtuple
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,16 +13,24 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Budget:
-    """Tokens in all, the relative score floor, tokens to a file (except core items), and the share that graph additions may take."""
+    """Limits of a pack (fixed values), all in tokens but for shares and counts.
+
+    ``floor``: least share of the best code score; ``relaxed``: lower floors, tried while less than ``under_filled`` is used.
+    ``core``: share of the best code score from which on the limit of a file does not hold. ``graph_share``: what chunks found
+    by the graph may take of what is used. ``near``: lines between two ranges that still make one.
+    """
 
     tokens: int = 14_000
-    floor: float = 0.3
-    per_file: int = 4_000
-    core: float = 0.7
-    graph_share: float = 0.3
-    docs: int = 6
+    overhead: int = 500
+    floor: float = 0.4
     relaxed: tuple[float, ...] = (0.2, 0.1, 0.04)
     under_filled: float = 0.35
+    per_file: int = 2_500
+    core: float = 0.7
+    graph_share: float = 0.3
+    docs: int = 950
+    code_least: int = 2
+    near: int = 10
 
 
 def prefix(rows: DataFrame, group: str, order: list, tokens: str, budget: int) -> DataFrame:
@@ -29,52 +39,126 @@ def prefix(rows: DataFrame, group: str, order: list, tokens: str, budget: int) -
     return rows.withColumn("running", F.sum(tokens).over(own)).where(F.col("running") <= budget)
 
 
-def _once(pdf: pd.DataFrame, budget: Budget, floor: float) -> tuple[list[int], int]:
-    top = pdf.loc[pdf["kind"] != "spec", "score"].max()
-    used, graph, docs, files, taken = 0, 0, 0, {}, []
-    for at, row in enumerate(pdf.itertuples(index=False)):
-        core = row.score >= budget.core * top if top == top else False
-        if top == top and row.tier > 0 and row.score < floor * top and row.kind != "spec":
+@dataclass
+class _Item:
+    """What one place of a pack shows: a chunk, or several whose lines lie near each other."""
+
+    path: str
+    spec: bool
+    lines: set[int]
+    chunks: list[tuple]  # (chunk, form, tokens)
+
+
+class _Pack:
+    """The state of a pack while candidates are offered to it."""
+
+    def __init__(self, budget: Budget):
+        self.budget, self.used, self.graph, self.docs = budget, budget.overhead, 0, 0
+        self.files: dict[str, int] = {}
+        self.items: list[_Item] = []
+        self.held: set = set()
+        self.symbols: set[tuple] = set()
+
+    def _near(self, c) -> _Item | None:
+        if not c.lines:
+            return None
+        first, last = min(c.lines), max(c.lines)
+        for item in self.items:
+            if item.path == c.path and item.spec == (c.kind == "spec") and any(first - self.budget.near - 1 <= n <= last + self.budget.near + 1 for n in item.lines):
+                return item
+        return None
+
+    def offer(self, c, limit: int, per_file: float, free_doc: bool = False) -> str:
+        """taken, skipped (it breaks a limit of its own) or full (the pack's limit is reached)."""
+        b, spec = self.budget, c.kind == "spec"
+        if c.chunk_id in self.held or (c.symbol and (c.path, c.symbol) in self.symbols):
+            return "skipped"
+        in_file = self.files.get(c.path, 0)
+        form, tokens = "whole", c.tokens
+        if (in_file + tokens > per_file or self.used + tokens > limit) and c.head_tokens < tokens:
+            form, tokens = "head", c.head_tokens
+        if in_file + tokens > per_file or (c.tier == 3 and self.graph + tokens > b.graph_share * self.used) or (spec and not free_doc and self.docs + tokens > b.docs):
+            return "skipped"
+        if self.used + tokens > limit:
+            return "full"
+        item = self._near(c)
+        if item is None:
+            item = _Item(c.path, spec, set(), [])
+            self.items.append(item)
+        elif form == "whole":  # only lines that are not shown yet cost
+            tokens = -(-tokens * len(c.lines - item.lines) // len(c.lines))
+            form = "merged"
+        item.lines |= c.lines
+        item.chunks.append((c.chunk_id, form, tokens))
+        self.used += tokens
+        self.files[c.path] = in_file + tokens
+        self.graph += tokens if c.tier == 3 else 0
+        self.docs += tokens if spec else 0
+        self.held.add(c.chunk_id)
+        if c.symbol:
+            self.symbols.add((c.path, c.symbol))
+        return "taken"
+
+
+def _packed(candidates: list, budget: Budget, floor: float) -> tuple[_Pack, bool]:
+    """The pack of one query's candidates in their order, and whether anything was left out."""
+    code = [c for c in candidates if c.kind != "spec"]
+    top = max((c.score for c in code), default=0.0)
+    docs = budget.docs if code else budget.tokens
+    pack = _Pack(replace(budget, docs=docs))
+    reserved = next((c for c in candidates if c.kind == "spec"), None)
+    for c in candidates:
+        if c.tier > 0 and top > 0 and c.score < floor * top:
             continue
-        if used + row.tokens > budget.tokens:
-            continue
-        if not core and files.get(row.path, 0) + row.tokens > budget.per_file:
-            continue
-        if row.tier == 3 and graph + row.tokens > budget.graph_share * max(used + row.tokens, 1):
-            continue
-        if row.kind == "spec" and docs >= budget.docs:
-            continue
-        taken.append(at)
-        used += row.tokens
-        files[row.path] = files.get(row.path, 0) + row.tokens
-        graph += row.tokens if row.tier == 3 else 0
-        docs += row.kind == "spec"
-    return taken, used
+        kept_free = reserved.tokens if reserved is not None and reserved.chunk_id not in pack.held and c is not reserved else 0
+        core = c.kind != "spec" and c.score >= budget.core * top
+        if pack.offer(c, max(budget.tokens - kept_free, budget.overhead), math.inf if core else budget.per_file, c is reserved) == "full":
+            break
+    if reserved is not None:
+        pack.offer(reserved, budget.tokens, math.inf, True)
+    for c in code:
+        if sum(len(i.chunks) for i in pack.items if not i.spec) >= budget.code_least:
+            break
+        pack.offer(c, budget.tokens, budget.per_file)
+    return pack, len(pack.held) < len(candidates)
 
 
 def assemble(candidates: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Greedy packing of each query's candidates (a pool of bounded size): explicit ones first, then by score.
 
-    ``candidates``: query_id, chunk_id, path, kind, tier, score, tokens. Where little of the budget is used though something
-    was left out, lower floors are tried and the fullest pack is kept. Returns query_id, chunk_id, position, used.
+    ``candidates``: query_id, chunk_id, path, kind, tier, score, tokens; and, where they are known, symbol_fqn, start_line,
+    end_line, and head_tokens (what a chunk costs when only its head or the lines of interest are shown). Below a share of the
+    best code score only explicit ones count. A file, documents and chunks of the graph have limits of their own; the best
+    document is kept room for, and two chunks of code are taken if there are any. Of a symbol one chunk is taken; ranges of a
+    file that lie near each other become one item, which pays for its lines once; what does not fit whole is cut to its head.
+    Where little of the budget is used though something was left out, lower floors are tried and the fullest pack is kept.
+
+    Returns query_id, chunk_id, position (of the item), form (whole, head, merged), tokens, used (by the pack, overhead included).
     """
+    there = set(candidates.columns)
+    optional = {"symbol_fqn": "string", "start_line": "int", "end_line": "int", "head_tokens": "long"}
+    rows = candidates.select("query_id", "chunk_id", "path", "kind", "tier", "score", "tokens", *((F.col(c) if c in there else F.lit(None)).cast(kind).alias(c) for c, kind in optional.items()))
+    said = namedtuple("Said", "chunk_id path kind tier score tokens symbol lines head_tokens")
+
+    def read(r) -> tuple:
+        ranged = r.start_line == r.start_line and r.start_line is not None and r.end_line == r.end_line and r.end_line is not None
+        head = int(r.head_tokens) if r.head_tokens == r.head_tokens and r.head_tokens is not None else int(r.tokens)
+        return said(r.chunk_id, r.path or "", r.kind, int(r.tier), float(r.score), int(r.tokens), r.symbol_fqn or "", set(range(int(r.start_line), int(r.end_line) + 1)) if ranged else set(), head)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(late=pdf["tier"] > 0).sort_values(["late", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-        taken, used = _once(pdf, budget, budget.floor)
+        pool = sorted(map(read, pdf.itertuples(index=False)), key=lambda c: (c.tier > 0, -c.score, c.chunk_id))
+        best, left_out = _packed(pool, budget, budget.floor)
         for floor in budget.relaxed:
-            if used >= budget.under_filled * budget.tokens or len(taken) == len(pdf):
+            if best.used >= budget.under_filled * budget.tokens or not left_out:
                 break
-            more, total = _once(pdf, budget, floor)
-            if total > used:
-                taken, used = more, total
-        out = pdf.iloc[taken][["query_id", "chunk_id"]].copy()
-        out["position"] = range(1, len(taken) + 1)
-        out["used"] = used
-        return out
-
-    schema = f"query_id {candidates.schema['query_id'].dataType.simpleString()}, chunk_id {candidates.schema['chunk_id'].dataType.simpleString()}, position int, used long"
-    return candidates.groupBy("query_id").applyInPandas(pack, schema)
+            again, missing = _packed(pool, budget, floor)
+            if again.used > best.used:
+                best, left_out = again, missing
+        out = [(pdf["query_id"].iloc[0], chunk, n, form, tokens, best.used) for n, item in enumerate(best.items, 1) for chunk, form, tokens in item.chunks]
+        return pd.DataFrame(out, columns=["query_id", "chunk_id", "position", "form", "tokens", "used"])
+
+    types = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "chunk_id")}
+    return rows.groupBy("query_id").applyInPandas(pack, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, position int, form string, tokens long, used long")
 
 
 def render_groups(packed: DataFrame, related_tokens: int = 3000) -> DataFrame:

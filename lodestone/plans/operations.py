@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import channels, chunking, fusion, gap, incremental, linking, packing, rendering, service, tables
+from lodestone.operators import channels, chunking, fusion, gap, graph, incremental, ingest, linking, packing, rendering, service, tables
 from lodestone.plans.cases import NAMES, PATHS
 from lodestone.plans.registry import query, table, work_dir
 from lodestone.sources import files, sinks
@@ -206,6 +206,41 @@ def index_gaps(spark, d):
     return out
 
 
+def _sources(spark: SparkSession, d: str, called: str) -> DataFrame:
+    """A Python file for each document: a function that calls that of another one, and one that nothing defines."""
+    i = F.col("doc_id")
+    body = F.concat(F.lit("def f"), i, F.lit("():\n    "), F.lit(called), i % 50, F.lit("()\n    missing()\n"))
+    return table(spark, d, "documents").select(i, F.concat(F.lit("d"), i % 10, F.lit("/m"), i, F.lit(".py")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+
+
+@query("""
+WITH d AS (SELECT doc_id AS i, doc_id % 7 = 0 AS gone, doc_id % 7 <> 0 AND doc_id % 5 = 0 AS changed FROM documents), k AS (SELECT * FROM d WHERE NOT gone), n AS (SELECT count(*) AS n FROM k), t AS (SELECT i, i % 50 AS called FROM k),
+names AS (SELECT i FROM d), r AS (SELECT t.i, changed, EXISTS (SELECT 1 FROM names WHERE names.i = called) AS known FROM t JOIN d ON d.i = t.i)
+SELECT 'files' AS name, n AS n FROM n UNION ALL SELECT 'symbols', n FROM n UNION ALL SELECT 'chunks', n FROM n UNION ALL SELECT 'edges', 2 * n FROM n
+UNION ALL SELECT 'failed', count(*) + count(*) FILTER (changed AND NOT EXISTS (SELECT 1 FROM k WHERE k.i = called)) + count(*) FILTER (NOT changed AND NOT EXISTS (SELECT 1 FROM d WHERE d.i = called)) FROM (SELECT t.*, changed FROM t JOIN d ON d.i = t.i)
+UNION ALL SELECT 'embedded', count(*) FROM k WHERE changed UNION ALL SELECT 'skipped', count(*) FROM k WHERE NOT changed UNION ALL SELECT 'modified', count(*) FROM k WHERE changed UNION ALL SELECT 'deleted', count(*) FROM d WHERE gone
+""")
+def ingested_index(spark, d):
+    """Two ingests: all files, then a batch that modifies some and deletes others."""
+    first, second = _sources(spark, d, "f"), _sources(spark, d, "pass; f")
+    none = spark.createDataFrame([], "hash string")
+    i = F.col("doc_id")
+    added = first.select("path", i.alias("seq"), F.lit("added").alias("op"))
+    root = work_dir(spark)
+    stored = ingest.ingest(ingest.empty(spark), first.select("path", "content"), added, none, f"{root}/first")
+    changed = second.where("doc_id % 7 = 0 OR doc_id % 5 = 0").select("path", i.alias("seq"), F.when(i % 7 == 0, "deleted").otherwise("modified").alias("op"))
+    after = ingest.ingest(stored, second.where("doc_id % 5 = 0").select("path", "content"), changed, none, f"{root}/second")
+    count = lambda name, rows: rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    parts = [count(name, after[name]) for name in ("files", "symbols", "chunks", "edges")]
+    parts.append(count("failed", after["edges"].where("provenance = 'failed'")))
+    parts += [count(a, after["actions"].where(F.col("action") == a)) for a in ("embedded", "skipped")]
+    parts += [after["counters"].select(F.lit(name).alias("name"), F.col(name).alias("n")) for name in ("modified", "deleted")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ------------------------------------------------------------------ chunks
 
 
@@ -391,6 +426,90 @@ def rendered_groups(spark, d):
     return packing.render_groups(rows, 1000).select("query_id", "chunk_id", "section", "with_body")
 
 
+# ------------------------------------------------------------------ the graph of a project made of parts, for batches of queries
+
+
+PROJECT = """p AS MATERIALIZED (SELECT p_partkey AS k, 'm' || p_partkey % 30 || '.C' || p_partkey % 3 || '.' || CASE WHEN p_partkey % 3 = 0 THEN '_f' ELSE 'f' END || p_partkey AS fqn, 'd/' || p_partkey % 50 || '.py' AS path, CAST(p_partkey % 40 * 5 + 1 AS INT) AS s,
+    CASE WHEN p_partkey % 11 <> 0 THEN 'k' || p_partkey END AS chunk_id, p_partkey % 4 = 0 AS exported FROM part),
+c AS MATERIALIZED (SELECT chunk_id, path, s, s + 9 AS e FROM p WHERE chunk_id IS NOT NULL UNION ALL SELECT DISTINCT 'w' || path, path, 1, 400 FROM p UNION ALL SELECT 'i' || i, 'd/' || i || '/__init__.py', 1, 3 FROM range(10) t(i)),
+e AS MATERIALIZED (SELECT DISTINCT a.fqn AS source, b.fqn AS target, 'calls' AS kind, CAST(l_linenumber AS INT) AS line, CASE WHEN l_suppkey % 2 = 0 THEN 'parsed' ELSE 'synthesized' END AS provenance FROM lineitem JOIN p a ON a.k = l_partkey JOIN p b ON b.k = l_suppkey
+  UNION ALL SELECT path, fqn, 'registers', 5, 'synthesized' FROM p WHERE k % 5 = 0 UNION ALL SELECT 'd/' || k % 10 || '/__init__.py', 'x.' || split_part(fqn, '.', 3), 'imports', NULL, 'parsed' FROM p WHERE k % 6 = 0),
+r AS MATERIALIZED (SELECT DISTINCT 'k' || l_suppkey * 7 AS spec, 'k' || l_partkey AS symbol, 'parsed' AS provenance, l_orderkey % 9 = 0 AS stale FROM lineitem WHERE l_linenumber = 1),
+pool AS MATERIALIZED (SELECT l_orderkey % 200 AS query_id, 'k' || k AS chunk_id, path, CASE WHEN k % 7 = 0 THEN 'spec' ELSE 'code' END AS kind, fqn, max(l_extendedprice) AS score FROM lineitem JOIN p ON k = l_partkey WHERE chunk_id IS NOT NULL AND l_linenumber <= 2 GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM pool)"""
+
+
+def project(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tables of an index: symbols, chunks, edges, references and the pools of two hundred queries."""
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("m"), key % 30, F.lit(".C"), key % 3, F.lit("."), F.when(key % 3 == 0, "_f").otherwise("f"), key)
+    symbols = table(spark, d, "part").select(key.alias("k"), name.alias("fqn"), F.concat(F.lit("d/"), key % 50, F.lit(".py")).alias("file_path"), (key % 40 * 5 + 1).cast("int").alias("start_line"), F.when(key % 11 != 0, F.concat(F.lit("k"), key)).alias("chunk_id"), (key % 4 == 0).alias("is_exported"))
+    lines = lambda a, b: (F.lit(a).alias("start_line"), F.lit(b).alias("end_line"))
+    chunks = symbols.where("chunk_id is not null").select("chunk_id", "file_path", "start_line", (F.col("start_line") + 9).alias("end_line"))
+    chunks = chunks.unionByName(symbols.select(F.concat(F.lit("w"), "file_path").alias("chunk_id"), "file_path", *lines(1, 400)).distinct())
+    chunks = chunks.unionByName(spark.range(10).select(F.concat(F.lit("i"), "id").alias("chunk_id"), F.concat(F.lit("d/"), "id", F.lit("/__init__.py")).alias("file_path"), *lines(1, 3)))
+    line = table(spark, d, "lineitem")
+    named = lambda c: symbols.select(F.col("k").alias(c), F.col("fqn").alias(f"{c}_fqn"))
+    calls = line.join(named("l_partkey"), "l_partkey").join(named("l_suppkey"), "l_suppkey").select(F.col("l_partkey_fqn").alias("source"), F.col("l_suppkey_fqn").alias("target"), F.lit("calls").alias("kind"), F.col("l_linenumber").alias("line"), F.when(F.col("l_suppkey") % 2 == 0, "parsed").otherwise("synthesized").alias("provenance"))
+    made = symbols.where("k % 5 = 0").select(F.col("file_path").alias("source"), F.col("fqn").alias("target"), F.lit("registers").alias("kind"), F.lit(5).alias("line"), F.lit("synthesized").alias("provenance"))
+    imports = symbols.where("k % 6 = 0").select(F.concat(F.lit("d/"), F.col("k") % 10, F.lit("/__init__.py")).alias("source"), F.concat(F.lit("x."), F.split("fqn", r"\.")[2]).alias("target"), F.lit("imports").alias("kind"), F.lit(None).cast("int").alias("line"), F.lit("parsed").alias("provenance"))
+    references = line.where("l_linenumber = 1").select(F.concat(F.lit("k"), F.col("l_suppkey") * 7).alias("spec"), F.concat(F.lit("k"), "l_partkey").alias("symbol"), F.lit("parsed").alias("provenance"), (F.col("l_orderkey") % 9 == 0).alias("stale")).distinct()
+    pool = line.where("l_linenumber <= 2").join(symbols.where("chunk_id is not null"), F.col("l_partkey") == F.col("k")).groupBy((F.col("l_orderkey") % 200).alias("query_id"), "chunk_id", F.col("file_path").alias("path"), F.when(F.col("k") % 7 == 0, "spec").otherwise("code").alias("kind"), F.col("fqn").alias("symbol_fqn")).agg(F.max("l_extendedprice").alias("score"))
+    return {"symbols": symbols, "chunks": chunks, "edges": calls.distinct().unionByName(made).unionByName(imports), "references": references, "pool": pool}
+
+
+@query(f"""
+WITH {PROJECT}, top AS (SELECT query_id, place AS seed, chunk_id AS parent, path, kind, fqn FROM ranked WHERE place <= 20), code AS (SELECT * FROM top WHERE kind <> 'spec'),
+spot AS (SELECT DISTINCT path, line FROM (SELECT path, s AS line FROM p WHERE chunk_id IS NULL UNION ALL SELECT source, line FROM e WHERE kind = 'registers' UNION ALL SELECT source, 1 FROM e WHERE kind = 'imports')),
+cover AS MATERIALIZED (SELECT spot.path, line, chunk_id FROM spot JOIN c ON c.path = spot.path AND line BETWEEN s AND c.e QUALIFY row_number() OVER (PARTITION BY spot.path, line ORDER BY c.e - s, s, chunk_id) = 1),
+home AS MATERIALIZED (SELECT fqn, chunk_id FROM p WHERE chunk_id IS NOT NULL UNION ALL SELECT fqn, cover.chunk_id FROM p JOIN cover ON cover.path = p.path AND line = s WHERE p.chunk_id IS NULL),
+k AS (SELECT *, CASE WHEN p.chunk_id IS NULL THEN 2 WHEN starts_with(split_part(target, '.', 3), '_') THEN 0 ELSE 1 END AS level, q.exported AS source_exported FROM e JOIN p ON p.fqn = target JOIN p q ON q.fqn = source WHERE kind = 'calls'),
+outs AS MATERIALIZED (SELECT source, target, provenance, row_number() OVER (PARTITION BY source ORDER BY level, line, target, provenance) AS place FROM k),
+ins AS MATERIALIZED (SELECT source, target, provenance, row_number() OVER (PARTITION BY target ORDER BY source_exported AND source NOT IN (SELECT target FROM e WHERE kind = 'calls') DESC, source_exported DESC, source, line, provenance) AS place, count(*) OVER (PARTITION BY target) AS n FROM k),
+f AS (
+  SELECT query_id, seed, parent, 2 AS channel, outs.place, provenance, home.chunk_id FROM code JOIN outs ON source = fqn JOIN home ON home.fqn = target
+  UNION ALL SELECT query_id, seed, parent, 3, ins.place, provenance, home.chunk_id FROM code JOIN ins ON target = code.fqn JOIN home ON home.fqn = source WHERE n <= 200 OR ins.place <= 20
+  UNION ALL SELECT query_id, seed, parent, 0, e.line, provenance, cover.chunk_id FROM code JOIN e ON kind_of(e.kind) AND target = fqn AND source = code.path JOIN cover ON cover.path = source AND cover.line = e.line
+  UNION ALL SELECT query_id, seed, parent, 1, x.place, 're-export', cover.chunk_id FROM code JOIN (SELECT tail, source, row_number() OVER (PARTITION BY tail ORDER BY source) AS place FROM (SELECT DISTINCT split_part(target, '.', 2) AS tail, source FROM e WHERE kind = 'imports')) x ON tail = split_part(fqn, '.', 3) JOIN cover ON cover.path = source AND cover.line = 1
+  UNION ALL SELECT query_id, seed, parent, 4, l.place, provenance, spec FROM code JOIN (SELECT spec, symbol, provenance, row_number() OVER (PARTITION BY symbol ORDER BY spec) AS place FROM r WHERE NOT stale) l ON symbol = parent WHERE spec IN (SELECT chunk_id FROM c)
+  UNION ALL SELECT query_id, seed, parent, 4, l.place, provenance, symbol FROM top JOIN (SELECT spec, symbol, provenance, row_number() OVER (PARTITION BY spec ORDER BY symbol) AS place FROM r WHERE NOT stale) l ON spec = parent WHERE kind = 'spec' AND symbol IN (SELECT chunk_id FROM c)
+), g AS (SELECT * FROM f WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM pool) QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY seed, channel, place) = 1)
+SELECT query_id, chunk_id, parent, provenance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seed, channel, place, chunk_id) AS INT) AS position FROM g QUALIFY position <= 30
+""".replace("kind_of(e.kind)", "e.kind = 'registers'"))
+def expanded_pools(spark, d):
+    p = project(spark, d)
+    return graph.expand_pool(p["pool"], p["symbols"], p["chunks"], p["edges"], p["references"])
+
+
+@query(f"""
+WITH {PROJECT}, packed AS MATERIALIZED (SELECT query_id, place, chunk_id, CASE WHEN kind = 'code' THEN fqn END AS fqn FROM ranked WHERE place <= 8), rest AS MATERIALIZED (SELECT *, CASE WHEN place % 9 = 0 THEN 'x' || place % 2 END AS export_of FROM ranked WHERE place > 8),
+named AS (SELECT query_id, i AS position, 'm' || (query_id * 7 + i * 11) % 30 || CASE WHEN i % 2 = 0 THEN '' ELSE '.C' || query_id % 3 END AS name FROM (SELECT DISTINCT query_id FROM pool), range(30) t(i)),
+held AS (SELECT DISTINCT query_id, name FROM named JOIN packed USING (query_id) WHERE fqn = name OR starts_with(fqn, name || '.')),
+anchors AS MATERIALIZED (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY min(position), name) AS anchor FROM named SEMI JOIN held USING (query_id, name) GROUP BY query_id, name QUALIFY anchor <= 2),
+g AS (
+  SELECT query_id, dense_rank() OVER (PARTITION BY query_id ORDER BY first, export_of) - 1 AS group_no, chunk_id, place AS order_key FROM (SELECT *, min(place) OVER (PARTITION BY query_id, export_of) AS first FROM rest WHERE export_of IS NOT NULL)
+  UNION ALL SELECT * FROM (SELECT a.query_id, 1000 + anchor, rest.chunk_id, rest.place FROM anchors a JOIN p ON starts_with(fqn, name || '.') JOIN rest ON rest.query_id = a.query_id AND rest.chunk_id = p.chunk_id WHERE (a.query_id, p.fqn) NOT IN (SELECT query_id, fqn FROM packed WHERE fqn IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY a.query_id, anchor ORDER BY rest.place) <= 24)
+  UNION ALL SELECT query_id, 2000 + anchor, chunk_id, n FROM (SELECT query_id, anchor, chunk_id, row_number() OVER (PARTITION BY query_id, anchor ORDER BY lead, chunk_id) AS n FROM (
+    SELECT a.query_id, anchor, h.chunk_id, min((b.fqn, line, target)) AS lead FROM anchors a JOIN packed b ON b.query_id = a.query_id AND starts_with(b.fqn, name || '.') JOIN e ON source = b.fqn AND kind = 'calls' JOIN p h ON h.fqn = target AND h.chunk_id IS NOT NULL SEMI JOIN rest ON rest.query_id = a.query_id AND rest.chunk_id = h.chunk_id GROUP BY ALL)) WHERE n <= 6
+  UNION ALL SELECT query_id, 3000 + anchor, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, anchor ORDER BY place) AS n FROM (
+    SELECT b.query_id, b.place AS at_place, rest.chunk_id, rest.place, dense_rank() OVER (PARTITION BY b.query_id ORDER BY b.place) AS anchor FROM packed b JOIN (SELECT DISTINCT spec, symbol FROM r) ON spec = b.chunk_id JOIN rest ON rest.query_id = b.query_id AND rest.chunk_id = symbol WHERE b.fqn IS NULL) WHERE anchor <= 2) WHERE n <= 6
+), o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY group_no, order_key) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_no ORDER BY order_key, chunk_id) AS place FROM o)
+SELECT query_id, group_no, place, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place, group_no, chunk_id) AS position FROM n QUALIFY position <= 24
+""")
+def gap_closures(spark, d):
+    p = project(spark, d)
+    place = F.row_number().over(gap.Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    ranked = p["pool"].withColumn("position", place)
+    packed = ranked.where("position <= 8").select("query_id", "position", "chunk_id", F.when(F.col("kind") == "code", F.col("symbol_fqn")).alias("symbol_fqn"))
+    pool = ranked.select("query_id", "position", "chunk_id", F.when((F.col("position") % 9 == 0) & (F.col("position") > 8), F.concat(F.lit("x"), F.col("position") % 2)).alias("export_of"))
+    i = F.col("position")
+    token = F.concat(F.lit("m"), (F.col("query_id") * 7 + i * 11) % 30, F.when(i % 2 == 0, "").otherwise(F.concat(F.lit(".C"), F.col("query_id") % 3)))
+    named = p["pool"].select("query_id").distinct().crossJoin(spark.range(30).select(F.col("id").alias("position"))).select("query_id", "position", token.alias("token"))
+    groups = gap.closures(named, packed, pool, p["symbols"], p["edges"], p["references"])
+    return gap.plan(groups, 24, gap.GAPS_MOST)
+
+
 #: Text, and the lines that are shown of it when long comments are folded.
 FOLDED = [
     ("x\n" + "# c\n" * 12 + "y", "1-3 13-14"),

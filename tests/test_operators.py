@@ -196,6 +196,26 @@ def test_packing(spark):
     assert sure["answerable"] and sure["confidence"] == "medium"
 
 
+def test_packing_merges_cuts_and_keeps_floors(spark):
+    schema = "query_id int, chunk_id string, path string, kind string, tier int, score double, tokens long, symbol_fqn string, start_line int, end_line int, head_tokens long"
+    rows = [
+        # near ranges are one item and pay for their lines once; another chunk of the symbol goes
+        (1, "a", "f", "code", 2, 9.0, 1000, "A", 1, 10, None), (1, "b", "f", "code", 2, 8.0, 1000, "B", 6, 15, None), (1, "c", "f", "code", 2, 7.0, 100, "A", 90, 91, None), (1, "d", "f", "code", 2, 7.0, 300, "D", 40, 50, None),
+        # beyond the whole budget: the head is shown; the best document has its place; documents have 950 tokens
+        (2, "a", "f", "code", 2, 9.0, 20_000, None, None, None, 80), (2, "s", "m", "spec", 2, 3.7, 2000, None, None, None, None), (2, "t", "m", "spec", 2, 3.65, 10, None, None, None, None),
+        # a file has 2,500 tokens unless its chunk is near the best; code is taken below the floor if there is too little
+        (3, "a", "f", "code", 2, 9.0, 4000, None, None, None, None), (3, "b", "g", "code", 2, 5.0, 2400, None, None, None, None), (3, "c", "g", "code", 2, 4.9, 200, None, None, None, None), (3, "d", "h", "code", 3, 4.0, 3000, None, None, None, None),
+        (4, "a", "f", "code", 2, 9.0, 13_000, None, None, None, None), (4, "b", "g", "code", 2, 0.01, 50, None, None, None, None),
+    ]
+    got = {}
+    for r in packing.assemble(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(r["query_id"], {})[r["chunk_id"]] = (r["position"], r["form"], r["tokens"], r["used"])
+    assert got[1] == {"a": (1, "whole", 1000, 2300), "b": (1, "merged", 500, 2300), "d": (2, "whole", 300, 2300)}
+    assert got[2] == {"a": (1, "head", 80, 2580), "s": (2, "whole", 2000, 2580)}
+    assert {k: v[0] for k, v in got[3].items()} == {"a": 1, "b": 2}
+    assert set(got[4]) == {"a", "b"}
+
+
 def test_fusion_keeps_first_ranks(spark):
     lists = spark.createDataFrame([(1, "x", "a", 1), (1, "x", "a", 4), (1, "x", "b", 2), (1, "y", "b", 1)], "q long, channel string, k string, rank int")
     rows = {r["k"]: r for r in fusion.reciprocal_rank_fusion(lists, "q", "k").collect()}
