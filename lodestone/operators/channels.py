@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from lodestone.functions.paths import chunk_kind, path_matches
 from lodestone.operators import recall
 from lodestone.operators.fusion import POOL, reciprocal_rank_fusion
 
-#: Needles that are held against the chunks at once; more are dealt to blocks.
-BLOCK = 2_000
+#: Needles that one automaton holds; more take further passes.
+BLOCK = 20_000
 #: Fixed order of the channels, in which reasons are merged.
 CHANNELS = ("exact", "inferred", "bm25", "vector", "literal")
 
@@ -41,29 +43,56 @@ def symbol_recall(symbols: DataFrame, tokens: DataFrame, query: str, spellings:
     return _limited(hits, query, order, k)
 
 
-def _blocks(rows: DataFrame, needles: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a block: needles, whose number is counted, lie in one; rows meet every block."""
-    n = max(1, -(-needles.count() // BLOCK))
-    needles = needles.withColumn("block", F.pmod(F.xxhash64(column), F.lit(n)))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return rows, F.broadcast(needles) if n == 1 else needles
+def _found(needles: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for n, needle in enumerate(needles):
+            machine.add_word(needle, n)
+        if needles:
+            machine.make_automaton()
+        for batch in batches:
+            rows, which, times = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for n in sorted({n for _, n in machine.iter(text)}) if text and needles else ():
+                    rows.append(i)
+                    which.append(needles[n])
+                    times.append(text.count(needles[n]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, pa.string()), pa.array(times, pa.int64())], ["chunk_id", "low", "times"])
+
+    return run
+
+
+def occurrences(rows: DataFrame, text: str, needles: DataFrame) -> DataFrame:
+    """(chunk_id, low, times): which of the needles (low) a text holds, and how often without overlap.
+
+    Each text is read once by an Aho-Corasick automaton of all needles, whatever their number. Needles are phrases of a batch of
+    queries; so many at a time go to the tasks, and more of them take further passes.
+    """
+    known = sorted(r["low"] for r in needles.select("low").where("low <> ''").distinct().collect())
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    out = None
+    for start in range(0, max(len(known), 1), BLOCK):
+        one = rows.select("chunk_id", text).mapInArrow(_found(known[start : start + BLOCK]), f"chunk_id {kind}, low string, times long")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def literal_many(chunks: DataFrame, needles: DataFrame, k: int = 30) -> DataFrame:
     """(needle, chunk_id, in_name, times, rank) for each distinct needle (needle) over chunks (chunk_id, symbol_fqn, content)."""
     low = needles.select("needle", F.lower("needle").alias("low")).distinct().where(F.length("needle") >= 4)
-    rows, low = _blocks(chunks.select("chunk_id", F.lower("symbol_fqn").alias("name"), F.lower(F.concat_ws("\n", "symbol_fqn", "content")).alias("blob")), low, "low")
-    hit = rows.join(low, "block").where(F.contains("blob", F.col("low")))
-    times = ((F.length("blob") - F.length(F.replace("blob", F.col("low"), F.lit("")))) / F.length("low")).cast("long")
-    hit = hit.select("needle", "chunk_id", F.coalesce(F.contains("name", F.col("low")), F.lit(False)).alias("in_name"), times.alias("times"), F.length("blob").alias("span"))
+    rows = chunks.select("chunk_id", F.lower("symbol_fqn").alias("name"), F.lower(F.concat_ws("\n", "symbol_fqn", "content")).alias("blob"))
+    about = rows.select("chunk_id", "name", F.length("blob").alias("span"))
+    hit = occurrences(rows, "blob", low).join(about, "chunk_id").join(low, "low")
+    hit = hit.select("needle", "chunk_id", F.coalesce(F.contains("name", F.col("low")), F.lit(False)).alias("in_name"), "times", "span")
     return recall.ranked(hit, "needle", [F.desc("in_name"), F.desc("times"), "span", "chunk_id"], k).drop("span")
 
 
 def names_many(symbols: DataFrame, needles: DataFrame, k: int = 20) -> DataFrame:
     """(needle, chunk_id, rank): symbols whose name holds the needle, shorter names first."""
     low = needles.select("needle", F.lower("needle").alias("low")).distinct()
-    rows, low = _blocks(symbols.where("chunk_id IS NOT NULL").select("chunk_id", "name", F.lower("name").alias("lower_name")), low, "low")
-    hit = rows.join(low, "block").where(F.contains("lower_name", F.col("low"))).select("needle", "chunk_id", "name")
+    names = symbols.where("chunk_id IS NOT NULL").select("chunk_id", "name", F.lower("name").alias("lower_name"))
+    each = names.select(F.col("lower_name").alias("chunk_id"), F.col("lower_name").alias("text")).distinct()
+    hit = occurrences(each, "text", low).select(F.col("chunk_id").alias("lower_name"), "low").join(names, "lower_name").join(low, "low").select("needle", "chunk_id", "name")
     return recall.ranked(hit, "needle", [F.length("name"), "name", "chunk_id"], k).drop("name")
 
 

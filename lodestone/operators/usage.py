@@ -94,3 +94,9 @@ def verified_citations(answers: DataFrame, text: str, known: str) -> DataFrame:
     paragraphs = F.size(F.filter(F.split(F.col(text), r"\n\n+"), lambda p: F.trim(p) != ""))
     rows = answers.withColumn("valid", F.size(F.array_intersect(cited, F.col(known)))).withColumn("invalid", F.size(F.array_except(cited, F.col(known))))
     return rows.withColumn("coverage", F.when(paragraphs > 0, F.round(F.least(F.lit(1.0), F.col("valid") / paragraphs), 4)).otherwise(0.0))
+
+
+def token_sum(calls: DataFrame, group: str, at: Column, since: Column, tokens: str) -> DataFrame:
+    """(group, used): tokens of the calls since a time, 0 for a group that has only older ones."""
+    recent = F.sum(F.when(at >= since, F.col(tokens)))
+    return calls.groupBy(group).agg(F.coalesce(recent, F.lit(0)).alias("used"))

@@ -543,8 +543,8 @@ def call_union_max(spark, d):
 
 @query("SELECT user_id, coalesce(sum(CASE WHEN epoch(ts) >= epoch(TIMESTAMP '2024-01-20') THEN event_id END), 0)::BIGINT AS used FROM events GROUP BY user_id")
 def token_sum(spark, d):
-    recent = seconds() >= F.unix_seconds(F.lit("2024-01-20").cast("timestamp"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.coalesce(F.sum(F.when(recent, F.col("event_id"))), F.lit(0)).alias("used"))
+    since = F.unix_seconds(F.lit("2024-01-20").cast("timestamp"))
+    return usage.token_sum(table(spark, d, "events"), "user_id", seconds(), since, "event_id")
 
 
 @query("SELECT o_custkey, n, CASE WHEN n >= 20 THEN 'exceeded' WHEN n >= 16 THEN 'warning' ELSE 'ok' END AS state FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL)")

@@ -510,6 +510,20 @@ def gap_closures(spark, d):
     return gap.plan(groups, 24, gap.GAPS_MOST)
 
 
+@query(f"""
+WITH {PROJECT}, m AS (SELECT *, k % 13 = 0 AS marked, k % 17 = 0 AS old, k % 50 % 9 = 0 AS made FROM p WHERE chunk_id IS NOT NULL)
+SELECT query_id, ranked.chunk_id, exported, old AS stale, made AS generated, marked AS deprecated, place > 1 AND ranked.path = first(ranked.path) OVER (PARTITION BY query_id ORDER BY place) AS near_top FROM ranked JOIN m ON m.chunk_id = ranked.chunk_id
+""")
+def pool_signals(spark, d):
+    p = project(spark, d)
+    place = F.row_number().over(gap.Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    k, own = F.col("k"), p["symbols"].where("chunk_id IS NOT NULL")
+    chunks = own.select("chunk_id", "file_path", F.col("fqn").alias("symbol_fqn"), F.when(k % 13 == 0, "it is DEPRECATED").otherwise("it is not").alias("content"))
+    files = own.select(F.col("file_path").alias("path"), (k % 50 % 9 == 0).alias("generated")).distinct()
+    rows = channels.signals(p["pool"].withColumn("position", place), chunks, p["symbols"], own.where(k % 17 == 0).select("chunk_id"), files)
+    return rows.select("query_id", "chunk_id", "exported", "stale", "generated", "deprecated", "near_top")
+
+
 #: Text, and the lines that are shown of it when long comments are folded.
 FOLDED = [
     ("x\n" + "# c\n" * 12 + "y", "1-3 13-14"),

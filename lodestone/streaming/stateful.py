@@ -25,14 +25,26 @@ def admit(times: list[float], kept: list[float], limit: int, window: float) -> t
 
 
 def limiter(events: DataFrame, key: str, at: str, order: str, limit: int, window: float) -> DataFrame:
-    """(key, order, allowed) of each event: one fold per key in the order of time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": admit(pdf[at].tolist(), [], limit, window)[0]})
+    """(key, order, allowed) of each event: one fold per key in the order of time.
 
+    Keys are sorted within their partitions and read in Arrow batches; from one batch to the next go the times of the last key's
+    hits that were let in, ``limit`` of them at most, so a key of any size takes bounded memory.
+    """
     types = {f.name: f.dataType.simpleString() for f in events.schema}
-    return events.select(key, order, at).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, allowed boolean")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = None, []
+        for pdf in batches:
+            said = []
+            for _, part in pdf.groupby((pdf["_own"] != pdf["_own"].shift()).cumsum(), sort=False):
+                own = part["_own"].iloc[0]
+                allowed, kept = admit(part[at].tolist(), kept if own == last else [], limit, window)
+                last = own
+                said += allowed
+            yield pdf[[key, order]].assign(allowed=said)
+
+    rows = events.select(key, order, at, F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("_own"))  # null is a key of its own
+    return rows.repartition("_own").sortWithinPartitions("_own", at, order).mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, allowed boolean")
 
 
 def limiter_stream(events: DataFrame, key: str, at: str, order: str, limit: int, window: float) -> DataFrame:
