@@ -127,24 +127,13 @@ def bm25_topk(spark, d):
 SPACED = "' ' || array_to_string(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+'), lambda x: lower(x)), '  ') || ' '"
 
 
-@query(f"""
-WITH q AS (SELECT item_id AS query_id, {SPACED.format(c="array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9]+'), 1, 4), ' ')")} AS p FROM benchmark),
-d AS (SELECT doc_id, {SPACED.format(c='text')} AS s FROM documents)
-SELECT query_id, doc_id, times, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY times DESC, doc_id) AS INT) AS rank
-FROM (SELECT query_id, doc_id, CAST((length(s) - length(replace(s, p, ''))) / length(p) AS BIGINT) AS times FROM q JOIN d ON contains(s, p) WHERE len(string_split(trim(p), '  ')) >= 2)) WHERE rank <= 50
-""")
-def phrase_topk(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, 4), " ").alias("asked"))
-    return recall.phrase(table(spark, d, "documents"), "doc_id", "text", asked, "query_id", "asked")
-
-
 @query(f"""
 WITH q AS (SELECT item_id AS query_id, {SPACED.format(c='text')} AS p FROM benchmark),
 d AS (SELECT doc_id, {SPACED.format(c='text')} AS s FROM documents)
 SELECT query_id, doc_id, times, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY times DESC, doc_id) AS INT) AS rank
 FROM (SELECT query_id, doc_id, CAST((length(s) - length(replace(s, p, ''))) / length(p) AS BIGINT) AS times FROM q JOIN d ON contains(s, p) WHERE len(string_split(trim(p), '  ')) >= 2)) WHERE rank <= 50
 """)
-def phrase_topk_whole(spark, d):
+def phrase_topk(spark, d):
     return recall.phrase(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id").withColumnRenamed("text", "asked"), "query_id", "asked")
 
 
@@ -162,21 +151,11 @@ def symbol_name_topk(spark, d):
     return recall.symbol_names(table(spark, d, "part"), "p_partkey", "p_name", "A")
 
 
-@query("""
-WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 20)
-SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10
-""")
-def cosine_topk(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    return recall.vector_top_k(v, "vec_id", "embedding", asked, "query_id", "asked", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
-
-
 @query("""
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10
 """)
-def cosine_topk_each(spark, d):
+def cosine_topk(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     return recall.vector_top_k(v, "vec_id", "embedding", asked, "query_id", "asked", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -190,20 +169,11 @@ def symbols(spark, d):
     return p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_type", "p_name").alias("fqn"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") % 2 == 0).alias("is_exported"))
 
 
-@query(f"""
-WITH {SYMBOLS}, w AS (SELECT DISTINCT p_name AS wanted FROM part WHERE p_partkey <= 50), h AS (SELECT DISTINCT s.*, wanted FROM sym s JOIN w ON s.name = wanted OR s.fqn = wanted)
-SELECT wanted, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY wanted ORDER BY is_exported DESC, fqn = wanted DESC, file_path, start_line, id) AS INT) AS rank FROM h) WHERE rank <= 20
-""")
-def exact_lookup(spark, d):
-    wanted = table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_name").alias("wanted")).distinct()
-    return recall.exact_symbols(symbols(spark, d), wanted).select("wanted", "id", "rank")
-
-
 @query(f"""
 WITH {SYMBOLS}, w AS (SELECT DISTINCT p_name AS wanted FROM part), h AS (SELECT DISTINCT s.*, wanted FROM sym s JOIN w ON s.name = wanted OR s.fqn = wanted)
 SELECT wanted, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY wanted ORDER BY is_exported DESC, fqn = wanted DESC, file_path, start_line, id) AS INT) AS rank FROM h) WHERE rank <= 20
 """)
-def exact_lookup_each(spark, d):
+def exact_lookup(spark, d):
     wanted = table(spark, d, "part").select(F.col("p_name").alias("wanted")).distinct()
     return recall.exact_symbols(symbols(spark, d), wanted).select("wanted", "id", "rank")
 
@@ -274,7 +244,6 @@ EDGES = """e AS (
   SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, 'calls' AS kind, l_linenumber AS line, 'parsed' AS provenance FROM lineitem
   UNION SELECT 'c' || o_custkey, 'o' || o_orderkey, 'calls', NULL, 'parsed' FROM orders
   UNION SELECT 'p' || p_partkey, p_brand, 'extends', NULL, 'parsed' FROM part)"""
-SEEDS = "seeds AS (SELECT 'c' || c_custkey AS seed, CAST(c_custkey AS INT) AS seed_rank FROM customer WHERE c_custkey <= {n})"
 
 
 def edges(spark, d):
@@ -286,63 +255,38 @@ def edges(spark, d):
     return graph.distinct_edges(a.unionByName(b).unionByName(c).withColumn("provenance", F.lit("parsed")))
 
 
-def seeds(spark, d, n):
-    return table(spark, d, "customer").where(F.col("c_custkey") <= n).select(F.concat(F.lit("c"), "c_custkey").alias("seed"), F.col("c_custkey").cast("int").alias("seed_rank"))
-
-
 @query(f"WITH {EDGES} SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM e GROUP BY kind")
 def graph_edges(spark, d):
     return edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
 
 
-@query(f"""
-WITH {EDGES}, {SEEDS.format(n=20)}, nb AS (
-  SELECT seed, seed_rank, target AS node, 0 AS direction, row_number() OVER (PARTITION BY seed ORDER BY line NULLS LAST, target) AS place, 0 AS n FROM e JOIN seeds ON source = seed
-  UNION ALL SELECT seed, seed_rank, source, 1, row_number() OVER (PARTITION BY seed ORDER BY source), count(*) OVER (PARTITION BY seed) FROM e JOIN seeds ON target = seed),
-f AS (SELECT * FROM nb WHERE (direction = 0 OR n <= 200 OR place <= 20) AND node NOT IN (SELECT seed FROM seeds) QUALIFY row_number() OVER (PARTITION BY node ORDER BY seed_rank, direction, place) = 1)
-SELECT node, seed, direction, CAST(row_number() OVER (ORDER BY seed_rank, direction, place, node) AS INT) AS position FROM f QUALIFY position <= 30
-""")
-def expand_1hop(spark, d):
-    return graph.expand(edges(spark, d), seeds(spark, d, 20))
-
-
-@query(f"""
-WITH {EDGES}, {SEEDS.format(n=3)}, c AS (SELECT DISTINCT source, target FROM e), one AS (SELECT seed_rank, target AS middle FROM c JOIN seeds ON source = seed),
-two AS (SELECT seed_rank, middle, target AS node FROM one JOIN c ON source = middle WHERE target NOT IN (SELECT middle FROM one) AND target NOT IN (SELECT seed FROM seeds)),
-f AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY node ORDER BY seed_rank, middle) = 1)
-SELECT node, middle, CAST(row_number() OVER (ORDER BY seed_rank, middle, node) AS INT) AS position FROM f QUALIFY position <= 12
-""")
-def expand_2hop(spark, d):
-    return graph.expand_twice(edges(spark, d), seeds(spark, d, 3))
-
+SEEDS = "seeds AS (SELECT (c_custkey - 1) // {n} AS query_id, 'c' || c_custkey AS seed, CAST(c_custkey AS INT) AS seed_rank FROM customer)"
 
-EACH_SEEDS = "seeds AS (SELECT (c_custkey - 1) // {n} AS query_id, 'c' || c_custkey AS seed, CAST(c_custkey AS INT) AS seed_rank FROM customer)"
 
-
-def each_seeds(spark, d, n):
+def seeds(spark, d, n):
     """Every customer is a seed; n with neighbouring keys make a query."""
     return table(spark, d, "customer").select(F.expr(f"(c_custkey - 1) div {n}").alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("seed"), F.col("c_custkey").cast("int").alias("seed_rank"))
 
 
 @query(f"""
-WITH {EDGES}, {EACH_SEEDS.format(n=20)}, nb AS (
+WITH {EDGES}, {SEEDS.format(n=20)}, nb AS (
   SELECT query_id, seed, seed_rank, target AS node, 0 AS direction, row_number() OVER (PARTITION BY query_id, seed ORDER BY line NULLS LAST, target) AS place, 0 AS n FROM e JOIN seeds ON source = seed
   UNION ALL SELECT query_id, seed, seed_rank, source, 1, row_number() OVER (PARTITION BY query_id, seed ORDER BY source), count(*) OVER (PARTITION BY query_id, seed) FROM e JOIN seeds ON target = seed),
 f AS (SELECT * FROM nb WHERE (direction = 0 OR n <= 200 OR place <= 20) AND (query_id, node) NOT IN (SELECT query_id, seed FROM seeds) QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY seed_rank, direction, place) = 1)
 SELECT query_id, node, seed, direction, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seed_rank, direction, place, node) AS INT) AS position FROM f QUALIFY position <= 30
 """)
-def expand_1hop_each(spark, d):
-    return graph.expand(edges(spark, d), each_seeds(spark, d, 20), query_key="query_id")
+def expand_1hop(spark, d):
+    return graph.expand(edges(spark, d), seeds(spark, d, 20), query_key="query_id")
 
 
 @query(f"""
-WITH {EDGES}, {EACH_SEEDS.format(n=3)}, c AS (SELECT DISTINCT source, target FROM e), one AS (SELECT query_id, seed_rank, target AS middle FROM c JOIN seeds ON source = seed),
+WITH {EDGES}, {SEEDS.format(n=3)}, c AS (SELECT DISTINCT source, target FROM e), one AS (SELECT query_id, seed_rank, target AS middle FROM c JOIN seeds ON source = seed),
 two AS (SELECT query_id, seed_rank, middle, target AS node FROM one JOIN c ON source = middle WHERE (query_id, target) NOT IN (SELECT query_id, middle FROM one) AND (query_id, target) NOT IN (SELECT query_id, seed FROM seeds)),
 f AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY seed_rank, middle) = 1)
 SELECT query_id, node, middle, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seed_rank, middle, node) AS INT) AS position FROM f QUALIFY position <= 12
 """)
-def expand_2hop_each(spark, d):
-    return graph.expand_twice(edges(spark, d), each_seeds(spark, d, 3), query_key="query_id")
+def expand_2hop(spark, d):
+    return graph.expand_twice(edges(spark, d), seeds(spark, d, 3), query_key="query_id")
 
 
 @query(f"""

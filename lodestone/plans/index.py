@@ -62,7 +62,7 @@ def symbol_channel(spark, d):
     return channels.symbol_recall(symbols, tokens_, "q", True)
 
 
-NEEDLES = "n AS (SELECT DISTINCT upper(regexp_extract(text, '[A-Za-z]{6,}')) AS needle FROM benchmark WHERE length(regexp_extract(text, '[A-Za-z]{6,}')) > 0)"
+NEEDLES = "n AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS needle FROM benchmark)"
 
 
 @query(f"""
@@ -72,8 +72,8 @@ SELECT needle, chunk_id, in_name, times, CAST(row_number() OVER (PARTITION BY ne
 """)
 def literal_many(spark, d):
     chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("symbol_fqn"), F.col("text").alias("content"))
-    word = F.upper(F.regexp_extract("text", "[A-Za-z]{6,}", 0))
-    needles = table(spark, d, "benchmark").select(word.alias("needle")).where("needle != ''").distinct()
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)))
+    needles = table(spark, d, "benchmark").select(words.alias("word")).select(F.upper("word").alias("needle")).distinct()
     return channels.literal_many(chunks, needles)
 
 
@@ -134,14 +134,8 @@ def stale_specs(spark, d):
     return tables.stale_specs(refs, table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("spec")))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND contains(lower(text), 'license')")
-def marker_chunks(spark, d):
-    docs = table(spark, d, "documents")
-    return tables.with_marker(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), "License").select("id")
-
-
 @query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'license')")
-def marker_chunks_each(spark, d):
+def marker_chunks(spark, d):
     docs = table(spark, d, "documents")
     return tables.with_marker(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), docs.select(F.col("doc_id").alias("id")), "License").select("id")
 

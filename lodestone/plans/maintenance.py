@@ -95,19 +95,29 @@ def member_call_targets(spark, d):
     return linking.member_calls(targets, symbols).select("target", "fqn")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 1 THEN 'f' || o_custkey END AS name_tail FROM orders WHERE o_orderkey % 3 > 0")
-def resolution_writes(spark, d):
+def _resolved(spark, d):
+    """Edges and references after a third of the orders' references is resolved, a third has failed and a third waits."""
     key = F.col("o_orderkey")
     refs = table(spark, d, "orders").select(key.alias("id"), F.lit("a.py").alias("file_path"), F.concat(F.lit("m.f"), "o_custkey").alias("reference_name"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("name_tail"))
     resolved = table(spark, d, "orders").where(key % 3 < 2).select(key.alias("id"), F.lit("s").alias("source"), F.when(key % 3 == 0, F.concat(F.lit("f"), "o_custkey")).alias("target"), F.lit("calls").alias("kind"), F.lit(1).alias("line"), F.lit("parsed").alias("provenance"))
-    edges = spark.createDataFrame([], "file_path string, source string, target string, kind string, line int, provenance string")
-    return linking.write_resolved(edges, refs, resolved)[1].select("id", "status", "name_tail")
+    customers = table(spark, d, "customer").where("c_custkey % 4 = 0")
+    edges = customers.select(F.lit("a.py").alias("file_path"), F.lit("s").alias("source"), F.concat(F.lit("f"), "c_custkey").alias("target"), F.lit("calls").alias("kind"), F.lit(1).alias("line"), F.lit("synthesized").alias("provenance"))
+    return linking.write_resolved(edges, refs, resolved)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 1 THEN 'f' || o_custkey END AS name_tail FROM orders WHERE o_orderkey % 3 > 0")
+def resolution_writes(spark, d):
+    return _resolved(spark, d)[1].select("id", "status", "name_tail")
 
 
-# ------------------------------------------------------------------ rendering
+@query("""
+SELECT 'f' || c_custkey AS target, 'synthesized' AS provenance FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT DISTINCT 'f' || o_custkey, 'parsed' FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)
+""")
+def resolution_edges(spark, d):
+    return _resolved(spark, d)[0].select("target", "provenance")
 
 
-#: Of ten lines or fewer all are shown; of more, without a line of interest, the first ten.
 @query("SELECT doc_id, CAST(1 AS INT) AS first, CAST(least(10, len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)))) AS INT) AS last FROM documents")
 def focused_heads(spark, d):
     cut = table(spark, d, "documents").select("doc_id", rendering.focused(F.col("text"), F.lit(1), F.lit(""), F.lit("p"), F.array().cast("array<int>"), 10).alias("s"))
