@@ -1,7 +1,8 @@
 """Connected components of a graph of links, by alternating large stars and small stars.
 
-Each round is two joins against the smallest neighbour of each node, which is pre-aggregated before it is shuffled; no node's
-neighbours are ever gathered in one place. Rounds end when the set of links no longer changes, and each is written to the
+Each round is two joins against the smallest neighbour of each node, which is pre-aggregated before it is shuffled. No node's
+neighbours are gathered in memory; those of a hub do meet in one shuffle partition, which the adaptive planner splits where it
+is large. Rounds end when the set of links no longer changes, and each is written to the
 shared folder, so that lineage stays short and a lost executor repeats one round at most.
 """
 

@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     Weights go by the order of sources' code points, null last, repeating. Targets share ``share`` of all sizes by weight;
     none exceeds ``cap`` times its source's size, and the excess is shared again by weight until none is above. That fixed
     point is one level per unit of weight: with sources in the order of cap size / weight, those are capped for which the
-    level, with all before them capped, is above their own cap. Sources are few; this table has one row for each.
+    level, with all before them capped, is above their own cap. This table has one row for each source, and its windows sort them
+    in one task: a million sources would still be some tens of megabytes.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     w = F.get(F.array(*(F.lit(x) for x in weights)), (F.row_number().over(by_name) - 1) % len(weights))
