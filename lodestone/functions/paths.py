@@ -21,10 +21,10 @@ LANGUAGES = {
 }
 #: Bytes that a file may have, for sources and for all others.
 SOURCE_LIMIT, OTHER_LIMIT = 1 << 20, 128 << 10
-#: Directories that are never read, by name and by pattern.
+#: Directories that are never read, by name (the last one is the engine's own) and by pattern.
 PRUNED = (
     ".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs",
-    "dist", "build", "target", ".idea", ".vscode", ".nova",
+    "dist", "build", "target", ".idea", ".vscode", ".lodestone",
 )
 PRUNED_PATTERNS = ("cmake-build-*", "build-*", "out", "htmlcov", ".cache", ".gradle", ".next", ".nuxt", ".turbo", ".parcel-cache", "__pypackages__")
 #: Parts and ends of the names of generated files, and what their first lines say.

@@ -210,14 +210,14 @@ def rrf_fusion(spark, d):
     return fused.select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "channels", "best_rank", "position")
 
 
-@query(f"""{LISTS}, r AS (SELECT query_id, doc_id, 25 * rrf + CASE WHEN channels >= 2 THEN 0.5 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END + CASE WHEN source = 'src0' THEN -1.5 ELSE 0 END
+@query(f"""{LISTS}, r AS (SELECT query_id, doc_id, 25 * rrf + CASE WHEN channels >= 3 THEN 0.5 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END + CASE WHEN source = 'src0' THEN -1.5 ELSE 0 END
   + CASE WHEN best_rank IS NULL OR round(1.5 * exp(-(best_rank - 1) / 20.0), 3) < 0.05 THEN 0 ELSE round(1.5 * exp(-(best_rank - 1) / 20.0), 3) END + 0.15 * least(doc_id % 5, 3) AS score, rrf FROM fused JOIN documents USING (doc_id))
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(rrf, 12) DESC, doc_id) AS INT) AS position FROM r
 """)
 def rerank_score(spark, d):
     fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id", 10**6)
     docs = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("exported"), (F.col("source") == "src0").alias("test"), (F.col("doc_id") % 5).alias("name_overlap"))
-    rows = fused.join(docs, "doc_id").withColumn("consensus", F.col("channels") >= 2).withColumn("vector_rank", F.col("best_rank"))
+    rows = fused.join(docs, "doc_id").withColumn("consensus", F.col("channels") >= 3).withColumn("vector_rank", F.col("best_rank"))
     return fusion.rerank(rows, "query_id", "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
 
 
