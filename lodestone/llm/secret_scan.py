@@ -11,8 +11,8 @@ the two p-values counts. The other encodings have one case each, and there lette
 each class of lengths Benjamini and Hochberg's rule over all runs of all documents sets the largest p-value that counts as a
 find.
 
-The corpus is read three times: for character counts, for p-values by class (both are aggregates of bounded size), and for
-the spans. Nothing but those aggregates is shuffled; every row's spans are worked out within the row.
+The corpus is read three times: for character counts, for p-values by class, and for the spans. What is shuffled are counts
+of distinct words and of classes; every row's spans are worked out within the row.
 """
 
 from __future__ import annotations
@@ -89,9 +89,13 @@ def _spans(text: Column, pattern: str, group: int) -> Column:
 
 
 def character_counts(docs: DataFrame) -> dict[str, int]:
-    """How often each symbol of base 64 occurs in all texts, - and _ counted as + and /: one aggregate row."""
-    whole = F.octet_length("text")
-    row = docs.agg(*(F.sum((whole - F.octet_length(F.replace("text", F.lit(c), F.lit("")))).cast("long")).alias(f"n_{i}") for i, c in enumerate(BASE64 + "-_"))).first()
+    """How often each symbol of base 64 occurs in all texts, - and _ counted as + and /: one aggregate row.
+
+    Texts are cut at spaces and equal words counted first, so that a symbol is looked for once in each distinct word.
+    """
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    often = lambda c: F.col("times") * (F.octet_length("word") - F.octet_length(F.replace("word", F.lit(c), F.lit(""))))
+    row = words.agg(*(F.sum(often(c)).alias(f"n_{i}") for i, c in enumerate(BASE64 + "-_"))).first()
     counts = {c: row[i] or 0 for i, c in enumerate(BASE64 + "-_")}
     counts["+"] += counts.pop("-")
     counts["/"] += counts.pop("_")
