@@ -551,8 +551,9 @@ def packing_prefix(spark, d):
 @query()
 def packing_assemble(spark, d):
     fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), text.estimate_tokens(F.col("text")).alias("tokens"))
-    rows = fused.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "path", "kind", F.lit(2).alias("tier"), (25 * F.col("rrf_score")).alias("score"), "tokens")
+    head = F.array_join(F.slice(F.split("text", "\n"), 1, 15), "\n")
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), text.estimate_tokens(F.col("text")).alias("tokens"), text.estimate_tokens(head).alias("head_tokens"))
+    rows = fused.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "path", "kind", F.lit(2).alias("tier"), (25 * F.col("rrf_score")).alias("score"), "tokens", "head_tokens")
     return packing.assemble(rows)
 
 
