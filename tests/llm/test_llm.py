@@ -662,6 +662,23 @@ def test_pipeline(spark, sf):
 
 
 
+def test_pipeline_stages_keep_columns_whatever_their_names(spark, sf, odd):
+    import corpus_pipeline
+
+    names = ("row", "key", "base", "all", "size", "bucket", "copies", "place", "component_id", "signature2", "__row", "drawn", "held_out")
+    clashing = odd.withColumns({c: F.lit("kept") for c in names})
+    at = clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf)
+        assert at.columns == clashing.columns, name
+        assert {r[c] for r in at.collect() for c in names} == {"kept"}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() > 0
+    empty = clashing.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0, name
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, sf, name):
     con = duckdb.connect()
