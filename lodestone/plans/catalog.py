@@ -548,7 +548,36 @@ def packing_prefix(spark, d):
     return packing.prefix(table(spark, d, "documents"), "source", ["n_chars", "doc_id"], "n_chars", 50_000).select("source", "doc_id", "running")
 
 
-@query()
+ESTIMATE = "CASE WHEN length({t}) = 0 THEN 0 ELSE greatest(1, CAST(ceil({c} / 1.5 + (length({t}) - {c}) / 4.0) AS BIGINT)) END"
+
+
+def _estimate(t: str) -> str:
+    return ESTIMATE.format(t=t, c=CJK_SQL.replace("(text,", f"({t},"))
+
+
+#: One step offers one candidate to the pack of a query under one floor: all in order, then all again while less than two are held.
+PACKED_SQL = f"""
+{LISTS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)},
+pool AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, channels DESC, best_rank, doc_id) <= 120),
+c AS MATERIALIZED (
+  SELECT query_id, doc_id, source AS path, 25 * rrf AS score, {_estimate("text")} AS tokens, {_estimate("top_lines")} AS head_tokens, row_number() OVER (PARTITION BY query_id ORDER BY 25 * rrf DESC, doc_id) AS n, count(*) OVER (PARTITION BY query_id) AS total, max(25 * rrf) OVER (PARTITION BY query_id) AS top
+  FROM pool JOIN (SELECT *, array_to_string(list_slice(string_split(text, chr(10)), 1, 15), chr(10)) AS top_lines FROM documents) USING (doc_id)
+), k AS (
+  SELECT DISTINCT query_id, round AS round, floor, 0 AS step, CAST(500 AS BIGINT) AS used, MAP([]::VARCHAR[], []::BIGINT[]) AS files, []::STRUCT(chunk BIGINT, form VARCHAR, tokens BIGINT)[] AS items, false AS stopped FROM c, (VALUES (1, 0.4), (2, 0.2), (3, 0.1), (4, 0.04)) r(round, floor)
+  UNION ALL
+  SELECT query_id, round, floor, step + 1, CASE WHEN take THEN used + cost ELSE used END, CASE WHEN take THEN map_concat(files, MAP([path], [in_file + cost])) ELSE files END,
+    CASE WHEN take THEN list_append(items, {{'chunk': doc_id, 'form': form, 'tokens': cost}}) ELSE items END, stopped OR (step < total AND fits AND NOT take)
+  FROM (SELECT *, fits AND used + cost <= 14000 AS take FROM (SELECT *, NOT held AND in_file + cost <= per_file AND CASE WHEN step < total THEN NOT stopped AND score >= floor * top ELSE len(items) < 2 END AS fits
+    FROM (SELECT *, CASE WHEN short THEN head_tokens ELSE tokens END AS cost, CASE WHEN short THEN 'head' ELSE 'whole' END AS form FROM (SELECT *, head_tokens < tokens AND (in_file + tokens > per_file OR used + tokens > 14000) AS short
+    FROM (SELECT k.*, c.* EXCLUDE (query_id), coalesce(map_extract(files, path)[1], 0) AS in_file, CASE WHEN step < total AND score >= 0.7 * top THEN 1000000000 ELSE 2500 END AS per_file, list_contains(list_transform(items, lambda x: x.chunk), doc_id) AS held
+      FROM k JOIN c ON c.query_id = k.query_id AND c.n = step % total + 1 AND step < 2 * total)))))
+), ended AS (SELECT k.query_id, list(used ORDER BY round) AS u, list(len(items) < total ORDER BY round) AS o, list(items ORDER BY round) AS i FROM k JOIN (SELECT DISTINCT query_id, total FROM c) USING (query_id) WHERE step = 2 * total GROUP BY k.query_id),
+chosen AS (SELECT *, CASE WHEN u[a2] < 4900 AND o[a2] AND u[4] > u[a2] THEN 4 ELSE a2 END AS best FROM (SELECT *, CASE WHEN u[a1] < 4900 AND o[a1] AND u[3] > u[a1] THEN 3 ELSE a1 END AS a2 FROM (SELECT *, CASE WHEN u[1] < 4900 AND o[1] AND u[2] > u[1] THEN 2 ELSE 1 END AS a1 FROM ended)))
+SELECT query_id, item.chunk AS chunk_id, CAST(position AS INT) AS position, item.form AS form, item.tokens AS tokens, used FROM (SELECT query_id, u[best] AS used, unnest(i[best]) AS item, unnest(range(1, len(i[best]) + 1)) AS position FROM chosen)
+"""
+
+
+@query(PACKED_SQL)
 def packing_assemble(spark, d):
     fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
     head = F.array_join(F.slice(F.split("text", "\n"), 1, 15), "\n")
