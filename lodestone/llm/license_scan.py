@@ -1,6 +1,7 @@
 """License scanning with Column functions only: fixed phrases, and an exact set-similarity join against templates.
 
-A text block (a line, or a paragraph between blank lines) matches a template if it contains at least a given share of the
+Text blocks are lines and paragraphs between blank lines; for a template of one sentence they are the sentences in those, as
+its few words come together by chance in a long paragraph. A block matches a template if it contains at least a given share of the
 template's distinct words, all of its telling words (those that set one license apart from the others) and none of those that
 belong to another license. The words of all templates are ordered by how many documents hold them, rarest first; a block is
 seen as its own words among these, in that order. A block that reaches the share must hold one of the first
@@ -48,7 +49,7 @@ class Template:
 
 #: Short notices in general use, and the opening notices that licenses ask for.
 TEMPLATES = (
-    Template("mit", "Released under the MIT License", ("mit",)),
+    Template("mit", "Released under the MIT License", ("license", "mit", "released")),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("charge", "sublicense")),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("fee", "purpose")),
     Template("apache-2", "Licensed under the Apache License, Version 2.0", ("apache", "2")),
@@ -72,6 +73,9 @@ TEMPLATES = (
 )
 SHARE = 0.8
 BLANK = r"\n[\x09\x0B-\x0D\x20]*\n\s*"
+SENTENCE = r"[.!?](?=\s)"
+#: A template of fewer distinct words is one of a sentence.
+ONE_SENTENCE = 16
 
 
 def _words(text: Column) -> Column:
@@ -169,6 +173,13 @@ def _matches(block: Column, index: Index) -> Column:
     return F.get(F.transform(F.array(F.array_intersect(index.words, block)), verified), F.lit(0))
 
 
+def _found(index: Index, ends: tuple[str, ...], none: Column) -> Column:
+    """Matches in the blocks that the given ends leave of the lower-cased text; most texts hold no prefix word and are not cut."""
+    rare = _any_of(list(index.prefixes))
+    blocks = F.array_distinct(F.filter(F.concat(*(F.split("low", end) for end in ends)), lambda b: b.rlike(rare)))
+    return F.when(F.col("low").rlike(rare), F.flatten(F.transform(blocks, lambda b: _matches(F.array_distinct(_words(b)), index)))).otherwise(none)
+
+
 def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -181,15 +192,13 @@ def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templa
         if not set(t.telling) <= set(t.words):
             raise ValueError(f"telling words must stand in the notice: {t}")
     seen = document_frequencies(docs, sorted({w for t in templates for w in t.words})) if templates else {}
-    index = index_of(templates, seen, share)
+    short, long = (tuple(t for t in templates if (len(t.words) < ONE_SENTENCE) == one) for one in (True, False))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text"))
     rows = rows.withColumn("places", F.array(*(_starts(F.col("text"), p) for p, _ in phrases)))
-    matches = F.expr("cast(array() as array<struct<label: string, share: double>>)")
-    if index.prefixes:
-        rare = _any_of(list(index.prefixes))
-        blocks = F.array_distinct(F.filter(F.concat(F.split("low", r"\n"), F.split("low", BLANK)), lambda b: b.rlike(rare)))
-        matches = F.when(F.col("low").rlike(rare), F.flatten(F.transform(blocks, lambda b: _matches(F.array_distinct(_words(b)), index)))).otherwise(matches)
+    none = F.expr("cast(array() as array<struct<label: string, share: double>>)")
+    cuts = (short, (rf"{SENTENCE}|\n", rf"{SENTENCE}|{BLANK}")), (long, (r"\n", BLANK))
+    matches = F.concat(none, *(_found(index_of(some, seen, share), ends, none) for some, ends in cuts if some))
     rows = rows.withColumn("matches", matches)
     base = F.filter(F.transform("places", lambda p, i: F.when(p.isNotNull(), F.get(F.array(*(F.lit(x) for _, x in phrases)), i))), lambda x: x.isNotNull())
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -492,9 +492,13 @@ def test_license_phrases_and_templates(spark, sf):
             places += at
             labels |= {label} if at else set()
         own, best = set(labels), 1.0 if places else 0.0
-        for block in [*text.split("\n"), *re.split(license_scan.BLANK, text)]:
+        blocks = [("long", b) for b in [*text.split("\n"), *re.split(license_scan.BLANK, text)]]
+        blocks += [("short", x) for _, b in blocks for x in re.split(license_scan.SENTENCE, b)]
+        for kind, block in blocks:
             held = {w for w in re.split(license_scan.GAP + "+", block.lower()) if w}
             for t in license_scan.TEMPLATES:
+                if (len(t.words) < license_scan.ONE_SENTENCE) != (kind == "short"):
+                    continue
                 share = len(held & set(t.words)) / len(t.words)
                 if share >= license_scan.SHARE and set(t.telling) <= held and not set(t.never) & held:
                     own.add(t.label)
@@ -515,6 +519,8 @@ NOT_THAT_LICENSE = {
     "All rights to the seats are reserved by others, all of them": "all-rights-reserved",
     "Licensed under the Apache License, Version 1.1": "",
     "Released under the MIT License.": "mit",
+    "Er kam mit dem Zug. The train under the bridge was released. No license is needed here.": "",
+    "Der Wagen mit dem\nLicensed under the Apache License, Version 2.0.": "apache-2",
     "This work is licensed under the GNU General Public License, version 2.": "gpl-2",
     "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
 }
