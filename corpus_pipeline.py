@@ -14,7 +14,7 @@ from lodestone.llm.shared import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; a null lang is filled with the predicted one."""
+    """Documents without a letter go; a null lang is filled with the predicted one, and a lang that the text contradicts is corrected."""
     return lang_id.keep_identified(docs, lang_id.train(docs))
 
 
@@ -34,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    """Pieces of all documents in sequences of at most 1024 tokens, each of one lang."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), apart="lang")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secrets", secrets), ("mixture", mixture), ("packing", sequences)]

@@ -30,6 +30,8 @@ ORDERS = (2, 3)
 SHARPNESS = 6.0
 #: The runner-up's share of the best one's confidence from which on a prediction is told as ambiguous.
 AMBIGUOUS = 0.7
+#: The score from which on a text's language overrules the lang it bears. Below, as of texts in two languages by halves, lang stays.
+CORRECTED = 0.9
 _PIECE = 1 << 18
 
 
@@ -172,7 +174,12 @@ def identify(docs: DataFrame, coder: Coder) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, coder: Coder) -> DataFrame:
-    """``docs`` without rows whose text is null or has no letter, with ``lang`` filled in where it was null and a language was learned."""
+    """``docs`` without rows whose text is null or has no letter, and with ``lang`` as identified.
+
+    A null ``lang`` is filled with the predicted one; one that was learned is corrected where the text says another with a
+    score of ``CORRECTED`` or more. A lang that was not learned stays, as no text can be predicted to be in it; so does every
+    lang, nulls too, if nothing was learned.
+    """
     schema = docs.schema
     names = docs.columns
 
@@ -183,7 +190,10 @@ def keep_identified(docs: DataFrame, coder: Coder) -> DataFrame:
             inner = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(text), pa.array(np.repeat(blank, len(batch)))], ["doc_id", "text", "held_out"])
             lettered = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False)
             for said in _predict(coder)([inner]):
-                lang = pc.coalesce(batch.column(at), said.column("lang_pred")) if coder.languages else batch.column(at)
+                lang = batch.column(at)
+                if coder.languages:
+                    wrong = pc.and_(pc.is_in(lang, pa.array(coder.languages, lang.type)), pc.greater_equal(said.column("score"), CORRECTED))
+                    lang = pc.if_else(wrong, said.column("lang_pred"), pc.coalesce(lang, said.column("lang_pred")))
                 columns = [lang if i == at else batch.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(lettered)
 

@@ -6,7 +6,8 @@ left, each dimension counted as a share of its limit. What fits nowhere is cut t
 but at the very end, where the last ids go to sequences of a power of two.
 
 A task reads its rows once, in a stream, with a bounded number of waiting pieces. Nothing is shuffled, so a lost executor
-repeats its own tasks only, and a sequence's id is the task's number and the sequence's number within it.
+repeats its own tasks only, and a sequence's id is the task's number and the sequence's number within it. Rows that must not
+share a sequence are sorted apart within their task, and the packer finishes before it goes on to the next kind.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def _rows(sequences: Iterator[list[Piece]], first: int) -> Iterator[tuple]:
             offset += len(p.ids)
 
 
-def _pack(path: str, limits: Limits, loss_after: bool):
+def _pack(path: str, limits: Limits, loss_after: bool, apart: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _coders:
             _coders[path] = byte_bpe(path)
@@ -181,9 +182,14 @@ def _pack(path: str, limits: Limits, loss_after: bool):
         number = TaskContext.get().partitionId() << 32
 
         def sequences() -> Iterator[list[Piece]]:
+            kind = None
             for batch in batches:
                 prompts = batch.column(2) if loss_after else None
+                kinds = batch.column(batch.num_columns - 1).to_pylist() if apart else [None] * len(batch)
                 for i in range(len(batch)):
+                    if kinds[i] != kind:
+                        yield from packer.finish()
+                        kind = kinds[i]
                     ids = encode(batch.column(1)[i].as_py() or "")
                     loss = np.ones(len(ids), np.uint8)
                     if prompts is not None:
@@ -203,13 +209,17 @@ def _pack(path: str, limits: Limits, loss_after: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), prompt_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), prompt_tokens: str | None = None, apart: str | None = None) -> DataFrame:
     """Pieces of all ``docs`` placed in sequences within ``limits``; every id lies in one piece.
 
     ``docs`` has doc_id and text; with ``prompt_tokens`` that column tells how many of a text's first ids bear no loss (null:
-    none). A null or empty text is the closing id 0 alone. Rows that repeat are packed each for itself; an empty table gives
+    none). With ``apart`` no sequence holds rows that differ in that column (null is a value of its own), and each value ends in
+    sequences of a power of two of its own in every task. A null or empty text is the closing id 0 alone. Rows that repeat are packed each for itself; an empty table gives
     no rows. Texts longer than a sequence are cut. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     loss_tokens.
     """
     columns = ["doc_id", "text"] + ([F.col(prompt_tokens).cast("long")] if prompt_tokens else [])
-    return docs.select(*columns).mapInArrow(_pack(tokenizer_path, limits, prompt_tokens is not None), SCHEMA)
+    rows = docs.select(*columns)
+    if apart:
+        rows = docs.select(*columns, F.col(apart).cast("string").alias("apart")).sortWithinPartitions("apart", "doc_id")
+    return rows.mapInArrow(_pack(tokenizer_path, limits, prompt_tokens is not None, apart is not None), SCHEMA)

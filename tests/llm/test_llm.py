@@ -153,6 +153,18 @@ def test_letters_alone_decide_what_is_kept(spark, odd, empty):
     assert lang_id.keep_identified(empty, lang_id.train(empty)).count() == 0
 
 
+def test_a_lang_that_the_text_contradicts_is_corrected(spark, sf, monkeypatch):
+    docs = docs_of(spark, sf)
+    coder = lang_id.train(docs)
+    other = F.when(F.col("lang") == "en", "de").otherwise("en")
+    given = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, other).when(F.col("doc_id") % 4 == 1, None).when(F.col("doc_id") % 4 == 2, "xx").otherwise(F.col("lang")))
+    right, said = ({r["doc_id"]: r["lang"] for r in d.collect()} for d in (docs, lang_id.keep_identified(given, coder)))
+    assert said == {i: "xx" if i % 4 == 2 else lang for i, lang in right.items()}
+    monkeypatch.setattr(lang_id, "CORRECTED", 1.1)
+    unsure = {r["doc_id"]: r["lang"] for r in lang_id.keep_identified(given, coder).collect()}
+    assert unsure == {r["doc_id"]: r["lang"] or right[r["doc_id"]] for r in given.collect()}
+
+
 def test_training_rows_are_bounded_for_each_label(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(lang_id, "fit", lambda x, langs: seen.update(lang=Counter(langs), x=x))
@@ -339,6 +351,23 @@ def test_all_three_limits_hold():
     check_pieces(rows, limits, want)
 
 
+def test_rows_kept_apart_share_no_sequence(spark, odd, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.byte_bpe(path)
+    docs = docs_of(spark, "/root/testdata/sf0.01").withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))).repartition(3).cache()
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    want = {r["doc_id"]: encode(r["text"] or "").tolist() for r in docs.collect()}
+    for limits in (packing.Limits(), packing.Limits(waiting=50)):
+        rows = packing.pack(docs, path, limits, apart="lang").collect()
+        assert check_pieces(rows, limits, want) < 0.001
+        held = defaultdict(set)
+        for r in rows:
+            held[r["sequence_id"]].add(lang[r["doc_id"]])
+        assert {tuple(x) for x in held.values()} == {(None,), ("de",), ("en",), ("fr",)}
+    assert sum(r["length"] for r in packing.pack(odd, path, apart="lang").collect()) == sum(len(encode(r[1] or "")) for r in ODD)
+    assert packing.pack(empty, path, apart="lang").count() == 0
+
+
 def test_packing_of_odd_rows(odd, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode = packing.byte_bpe(path)
@@ -668,6 +697,24 @@ def test_pipeline(spark, sf):
 
 
 
+def test_language_id_decides_what_shares_a_sequence(spark, sf):
+    import corpus_pipeline
+
+    docs = docs_of(spark, sf)
+    right = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    other = F.when(F.col("doc_id") % 2 == 0, F.when(F.col("lang") == "en", "de").otherwise("en"))
+    given = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, other).otherwise(F.col("lang")))
+
+    def mixed(rows):
+        held = defaultdict(set)
+        for r in rows.collect():
+            held[r["sequence_id"]].add(right[r["doc_id"]])
+        return sum(len(x) > 1 for x in held.values())
+
+    assert mixed(corpus_pipeline.sequences(spark, given, sf)) > 0
+    assert mixed(corpus_pipeline.sequences(spark, corpus_pipeline.language_id(spark, given, sf), sf)) == 0
+
+
 def test_pipeline_stages_keep_columns_whatever_their_names(spark, sf, odd):
     import corpus_pipeline
 
