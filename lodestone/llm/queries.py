@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embed_dedup, lang_id, license_scan, minhash, mixing, packing, quality, secret_scan, token_counts, topk
+from lodestone.llm import centroids, embed_dedup, lang_id, license_scan, minhash, mixing, packing, quality, secret_scan, token_counts, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -62,6 +62,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_token_counts, op2_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_packing, op6_secret_scan, op7_quality, op8_license_scan, op9_exact_topk, op10_mixing, pipeline)
+    each = (op1_token_counts, op2_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_packing, op6_secret_scan, op7_quality, op8_license_scan, op9_exact_topk, op10_mixing, op11_centroid_clustering, pipeline)
     return {f.__name__: f for f in each}
 
 
@@ -150,5 +154,38 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(n * rate + first) -
 """
 
 
+def _rounds(n: int) -> str:
+    """Assigning and averaging, n times, as SQL: a0 assigns to the starts c0, c1 are the means of a0, and so on."""
+    out = []
+    for i in range(n):
+        out.append(f"""
+), a{i} AS (
+  SELECT rid, arg_min(number, (distance, number)) AS number FROM (
+    SELECT v.rid, c.number, list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v, c{i} c) GROUP BY rid
+), m{i} AS (
+  SELECT number, place, sum(x) AS s, count(*) AS n FROM (SELECT a.number, unnest(v.w) AS x, unnest(range(1, 65)) AS place FROM v JOIN a{i} a USING (rid)) GROUP BY number, place
+), c{i + 1} AS (
+  SELECT c.number, coalesce(m.w, c.w) AS w FROM c{i} c
+  LEFT JOIN (SELECT number, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS w FROM m{i} GROUP BY number) m ON m.number = c.number""")
+    return "".join(out)
+
+
+OP11 = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY name, w) - 1 AS number, w FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS name, w FROM v) ORDER BY name, w LIMIT 16{_rounds(3)}
+), d AS (
+  SELECT rid, vec_id, unnest(nearest) FROM (
+    SELECT v.rid, any_value(v.vec_id) AS vec_id, arg_min({{'cluster': c.number, 'distance': list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))}},
+      (list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.number)) AS nearest FROM v, c3 c GROUP BY v.rid)
+)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.w, ',')) AS centroid_sha256
+FROM d JOIN c3 ON c3.number = d.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10}
+    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10, "op11_centroid_clustering": OP11}
