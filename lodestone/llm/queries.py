@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import centroids, embed_dedup, lang_id, license_scan, minhash, mixing, packing, quality, secret_scan, token_counts, topk
+from lodestone.llm import centroids, embed_dedup, exact_dedup, lang_id, license_scan, minhash, mixing, packing, quality, secret_scan, token_counts, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,6 +66,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256").drop("keep_path", "keep_row")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_token_counts, op2_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_packing, op6_secret_scan, op7_quality, op8_license_scan, op9_exact_topk, op10_mixing, op11_centroid_clustering, pipeline)
+    each = (op1_token_counts, op2_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_packing, op6_secret_scan, op7_quality, op8_license_scan, op9_exact_topk, op10_mixing, op11_centroid_clustering, op12_exact_dedup, pipeline)
     return {f.__name__: f for f in each}
 
 
@@ -186,6 +190,14 @@ SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS
 FROM d JOIN c3 ON c3.number = d.cluster
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(length(text), 0) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10, "op11_centroid_clustering": OP11}
+    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10, "op11_centroid_clustering": OP11, "op12_exact_dedup": OP12}
