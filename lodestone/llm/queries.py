@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import centroids, embed_dedup, exact_dedup, lang_id, license_scan, minhash, mixing, packing, quality, secret_scan, token_counts, topk
+from lodestone.llm import centroids, embed_dedup, exact_dedup, lang_id, license_scan, minhash, mixing, packing, quality, secret_scan, spelling, token_counts, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,6 +70,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256").drop("keep_path", "keep_row")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), misspell=31)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_token_counts, op2_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_packing, op6_secret_scan, op7_quality, op8_license_scan, op9_exact_topk, op10_mixing, op11_centroid_clustering, op12_exact_dedup, pipeline)
+    each = (op1_token_counts, op2_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_packing, op6_secret_scan, op7_quality, op8_license_scan, op9_exact_topk, op10_mixing, op11_centroid_clustering, op12_exact_dedup, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in each}
 
 
@@ -198,6 +202,38 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
 """
 
+#: The crc32 is worked out by its table, byte by byte. Near words meet where one code point is struck out of one or of both.
+OP13 = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+  ) WHERE length(run) >= 7 GROUP BY doc_id, run
+), bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)) AS b FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM bytes, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), struck AS (
+  SELECT word, n, place, left(word, place - 1) || substr(word, place + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words)
+), links AS (
+  SELECT a.word AS a, b.word AS b FROM struck a JOIN struck b ON a.less = b.less AND a.place = b.place AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM struck s JOIN words w ON w.word = s.less
+  UNION SELECT w.word, s.word FROM struck s JOIN words w ON w.word = s.less
+), best AS (
+  SELECT l.a AS word, count(*) AS n_near, arg_min({'form': w.word, 'n': w.n}, (-w.n, w.word)) AS best FROM links l JOIN words w ON w.word = l.b GROUP BY l.a
+), told AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * n THEN best.form END AS form, CASE WHEN best.n >= 10 * n THEN best.n END AS form_n FROM words LEFT JOIN best USING (word)
+), chain(word, root, step) AS (
+  SELECT word, word, 0 FROM told UNION ALL SELECT c.word, t.form, c.step + 1 FROM chain c JOIN told t ON t.word = c.root AND t.form IS NOT NULL
+)
+SELECT t.word, t.form, r.root, t.n, t.n_near, t.form_n FROM told t JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r ON r.word = t.word
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10, "op11_centroid_clustering": OP11, "op12_exact_dedup": OP12}
+    return {"op3_embedding_near_dedup": OP3, "op4_minhash_near_dedup": OP4, "op9_exact_topk": OP9, "op10_mixing": OP10, "op11_centroid_clustering": OP11, "op12_exact_dedup": OP12, "op13_spelling_variants": OP13}
