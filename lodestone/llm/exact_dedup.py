@@ -30,6 +30,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else every partition of the state takes some megabytes of disk ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
