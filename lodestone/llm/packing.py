@@ -13,9 +13,11 @@ share a sequence are sorted apart within their task, and the packer finishes bef
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,10 @@ class Limits:
     #: Pieces that wait at once; they bound a task's memory.
     waiting: int = 4096
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss, self.waiting) < 1:
+            raise ValueError("tokens, segments, loss and waiting are at least 1")
+
 
 @dataclass
 class Piece:
@@ -48,6 +54,11 @@ class Piece:
         return Piece(self.doc_id, self.start, self.ids[:n], self.loss[:n], self.doc_tokens), Piece(self.doc_id, self.start + n, self.ids[n:], self.loss[n:], self.doc_tokens)
 
 
+    def joined(self, rest: Piece) -> Piece:
+        """This piece and the one that was cut off behind it."""
+        return Piece(self.doc_id, self.start, np.concatenate([self.ids, rest.ids]), np.concatenate([self.loss, rest.loss]), self.doc_tokens)
+
+
 def _fitting(piece: Piece, tokens: int, loss: int) -> int:
     """How many of its first ids fit the room."""
     n = min(tokens, len(piece.ids))
@@ -56,8 +67,17 @@ def _fitting(piece: Piece, tokens: int, loss: int) -> int:
     return int(np.searchsorted(np.cumsum(piece.loss[:n]), loss, side="right"))
 
 
+def _whole(tokens: int, most: int) -> int:
+    """The largest length up to ``tokens`` that takes no padding: ``most`` itself, or a power of two."""
+    return tokens if tokens == most else 1 << (tokens.bit_length() - 1)
+
+
 class Packer:
-    """Feeds on documents; gives finished sequences, each a list of pieces."""
+    """Feeds on documents; gives finished sequences, each a list of pieces.
+
+    Where segments or loss run out before the tokens do, a sequence is closed at the largest power of two that it holds, and what
+    lies beyond goes back to the waiting pieces.
+    """
 
     def __init__(self, limits: Limits):
         self.limits = limits
@@ -87,13 +107,14 @@ class Packer:
         sizes = np.array([(len(p.ids), 1, int(p.loss.sum())) for p in waiting], float).reshape(-1, 3)
         free = np.ones(len(waiting), bool)
         while free.sum() > leave and sizes[free, 0].sum() >= lim.tokens:
-            room, chosen = whole.copy(), []
+            room, chosen, places = whole.copy(), [], []
             while room[0] > 0 and room[1] >= 1:
                 fits = free & (sizes <= room).all(axis=1)
                 if fits.any():
                     worth = (sizes / whole) @ (room / whole)
                     at = int(np.where(fits, worth, -1).argmax())
                     chosen.append(waiting[at])
+                    places.append(at)
                     free[at] = False
                     room -= sizes[at]
                     continue
@@ -106,8 +127,19 @@ class Packer:
                     break
                 part, waiting[at] = waiting[at].cut(n)
                 chosen.append(part)
+                places.append(at)
                 room -= (n, 1, int(part.loss.sum()))
                 sizes[at] = (len(waiting[at].ids), 1, int(waiting[at].loss.sum()))
+            over = lim.tokens - int(room[0]) - _whole(lim.tokens - int(room[0]), lim.tokens)
+            while over:
+                part, at = chosen.pop(), places.pop()
+                if len(part.ids) > over:
+                    kept, part = part.cut(len(part.ids) - over)
+                    chosen.append(kept)
+                over -= len(part.ids)
+                waiting[at] = part.joined(waiting[at]) if free[at] else part
+                free[at] = True
+                sizes[at] = (len(waiting[at].ids), 1, int(waiting[at].loss.sum()))
             yield chosen
         self.pieces = [p for p, f in zip(waiting, free, strict=True) if f]
 
@@ -129,6 +161,14 @@ class Packer:
                 tokens, loss = tokens + n, loss + int(part.loss.sum())
                 if len(rest.ids):
                     queue.append(rest)
+            over = tokens - _whole(tokens, self.limits.tokens)
+            while over:
+                part = chosen.pop()
+                if len(part.ids) > over:
+                    kept, part = part.cut(len(part.ids) - over)
+                    chosen.append(kept)
+                over -= len(part.ids)
+                queue.append(part)
             yield chosen
 
 
@@ -139,11 +179,36 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: A run of so much white space is encoded apart, as the pattern backtracks in it.
+LONG_SPACE = 10_000
+#: What ``\s`` stands for in the tokenizer's pattern (fixed values).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _around_spaces(text: str, run: re.Pattern, added: tuple[str, ...]) -> Iterator[tuple[str, bool]]:
+    """Parts of a text that are tokenized each for itself as they are together, and whether a part is one long run of white space.
+
+    The tokenizer's pattern takes a run of white space as one, but for its last character where more text follows, which begins
+    what comes next. Where an added token follows, the text before it ends.
+    """
+    at = 0
+    for found in run.finditer(text):
+        start, end = found.span()
+        end -= end < len(text) and not text.startswith(added, end)
+        if start > at:
+            yield text[at:start], False
+        yield text[start:end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     """Ids by the byte-level tokenizer in ``path`` (its JSON file), each text closed by id 0.
 
     The ids are those of the tokenizers library with that file and without special tokens added; strings of the file's added
-    tokens that stand in a text are one id each there, and here. The tests hold one library against the other.
+    tokens that stand in a text are one id each there, and here. The tests hold one library against the other. A file whose
+    merges do not make ids in ascending order is refused, as ids stand for the order of merging here.
     """
     import public_tokenizers
     import tiktoken
@@ -155,10 +220,20 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
         raise ValueError("added tokens with options, or a normalizer, are not supported")
     byte = _bytes_of_symbols()
     ranks = {bytes(byte[c] for c in token): number for token, number in told["model"]["vocab"].items() if token not in added}
+    made = [told["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in told["model"]["merges"]]
+    if any(a >= b for a, b in pairwise(made)):
+        raise ValueError("merges that do not make ids in ascending order are not supported")
+    if any(re.search(f"[{_SPACE}]", token) for token in added):
+        raise ValueError("added tokens with white space are not supported")
     coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    of_one = tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    long_run = re.compile(f"[{_SPACE}]{{{LONG_SPACE},}}")
 
     def encode(text: str) -> np.ndarray:
-        return np.append(coder.encode_to_numpy(text, allowed_special="all").astype(np.uint32), np.uint32(0)) if text else np.zeros(1, np.uint32)
+        if not text:
+            return np.zeros(1, np.uint32)
+        parts = [of_one.encode_to_numpy(part) if space else coder.encode_to_numpy(part, allowed_special="all") for part, space in _around_spaces(text, long_run, tuple(added))]
+        return np.concatenate([*parts, np.zeros(1, np.uint32)]).astype(np.uint32)
 
     return encode
 
