@@ -34,6 +34,7 @@ class Counter:
 
         self.pieces = dict(reversed(pieces))  # the first of equal pieces counts
         self.unknown = min(self.pieces.values(), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max(map(len, self.pieces), default=1)
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.pieces)
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.pieces.items():
@@ -44,30 +45,26 @@ class Counter:
 
     def path(self, text: str) -> int:
         """Pieces on the best path over the whole of ``text``."""
-        n = len(text)
-        # matches by start, so that starts are tried in ascending order
-        from_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if self.pieces:
-            for end, (length, score) in self.automaton.iter(text):
-                from_start[end - length + 1].append((end + 1, score))
-        best: list[float | None] = [None] * (n + 1)
-        used = [0] * (n + 1)
-        best[0] = 0.0
-        for start in range(n):
-            base, count = best[start], used[start]
-            if base is None:  # inside a surrogate of nothing: every start is reachable, by its single character
-                continue
-            single = False
-            for end, score in from_start[start]:
-                single |= end == start + 1
-                old = best[end]
-                if old is None or base + score > old:
-                    best[end], used[end] = base + score, count + 1
+        size, total = self.longest + 1, len(text)
+        # scores and counts of the last ends, as far back as a piece reaches
+        best, used = [0.0] * size, [0] * size
+        matches = self.automaton.iter(text) if self.pieces else iter(())
+        end, match = next(matches, (total, None))
+        for here in range(1, total + 1):
+            top, count, single = None, 0, False
+            while end == here - 1 and match:  # the longest piece first, so starts come in ascending order
+                length, score = match
+                single |= length == 1
+                start = (here - length) % size
+                if top is None or best[start] + score > top:
+                    top, count = best[start] + score, used[start] + 1
+                end, match = next(matches, (total, None))
             if not single:
-                old = best[start + 1]
-                if old is None or base + self.unknown > old:
-                    best[start + 1], used[start + 1] = base + self.unknown, count + len(text[start].encode())
-        return used[n]
+                start = (here - 1) % size
+                if top is None or best[start] + self.unknown > top:
+                    top, count = best[start] + self.unknown, used[start] + len(text[here - 1].encode())
+            best[here % size], used[here % size] = top, count
+        return used[total % size]
 
     def word(self, text: str) -> int:
         count = self.known.get(text)
