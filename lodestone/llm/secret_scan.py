@@ -71,23 +71,29 @@ def _spans(text: Column, pattern: str, group: int) -> Column:
     A text is read once for its matches, and a second time, for what lies between them, only if there are any.
     """
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string,size:int>>)")
-    nothing = F.struct(F.lit(0).alias("at"), none.alias("out"))
     size = lambda match: F.length(match if group == 0 else F.regexp_extract(match, pattern, group))
 
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + F.length(m["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), m["match"].alias("match"), size(m["match"]).alias("size"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
-
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        pairs = F.zip_with(gaps, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, nothing, step, lambda t: t["out"])).otherwise(none)
+        ends = _scanned(F.zip_with(gaps, found, lambda gap, match: F.length(gap) + F.length(match)), lambda a, b: a + b, 0)
+        told = lambda end, match: F.struct((end - F.length(match)).alias("start"), end.alias("end"), match.alias("match"), size(match).alias("size"))
+        return F.when(F.size(found) > 0, F.zip_with(ends, found, told)).otherwise(none)
 
     return _bind(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.expr("cast(array() as array<string>)")), placed)
 
 
+def _scanned(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each place of an array of integers all values up to there, joined (running sums, running maxima).
+
+    Every step joins the array with itself moved by 1, 2, 4, ... places, so n values take n log n of work.
+    """
+    zero_ = F.lit(zero)
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+    steps = F.filter(steps, lambda k: k < F.size(values))
+    moved = lambda now, k: F.concat(F.array_repeat(zero_, k), F.slice(now, F.lit(1), F.size(now) - k))
+    return F.aggregate(steps, values, lambda now, k: F.zip_with(now, moved(now, k), join))
+
+
 def character_counts(docs: DataFrame) -> dict[str, int]:
     """How often each symbol of base 64 occurs in all texts, - and _ counted as + and /: one aggregate row.
 
@@ -246,8 +252,13 @@ def with_spans(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
 
         more = F.transform(F.filter(_candidates(text, nulls), found), lambda r: F.struct(r["start"].alias("start"), F.lit(len(BASE)).alias("kind"), r["end"].alias("end")))
     out = docs.select(F.struct("*").alias("row"), F.sort_array(F.concat(*arrays)).alias("base"), more.alias("extra"))
-    inside = lambda r: F.exists(F.col("base"), lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"]))
-    return out.select("row", "base", F.sort_array(F.concat("base", F.filter("extra", lambda r: ~inside(r)))).alias("all"))
+    # a run is within a base span if, of the base spans that start no later, the furthest end is not before its own
+    order = lambda spans, extra: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(extra).alias("extra"), s["kind"].alias("kind"), s["end"].alias("end")))
+    both = F.sort_array(F.concat(order(F.col("base"), False), order(F.col("extra"), True)))
+    reach = lambda spans: _scanned(F.transform(spans, lambda s: F.when(s["extra"], 0).otherwise(s["end"])), lambda a, b: F.greatest(a, b), 0)
+    kept = lambda spans: F.filter(F.zip_with(spans, reach(spans), lambda s, far: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (s["extra"] & (s["end"] <= far)).alias("told"))), lambda s: ~s["told"])
+    plain = lambda spans: F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return out.select("row", "base", F.when(F.size("extra") > 0, _bind(both, lambda spans: plain(kept(spans)))).otherwise(F.col("base")).alias("all"))
 
 
 def _told(spans: Column) -> Column:
@@ -268,25 +279,46 @@ def scan(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     return spans.select("row.doc_id", *counts, count("all", len(BASE)).alias("n_random"), F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"))
 
 
+#: Code points of the parts that a text is cut into before pieces are taken out of it.
+_PART = 4096
+
+
+def _parts(text: Column) -> Column:
+    """The text in parts of ``_PART`` code points, the last ones shorter or empty: by halves, so that no part is sought from the start."""
+    halvings = F.greatest(F.ceil(F.log2(F.greatest(F.length(text), F.lit(1)) / _PART)), F.lit(0)).cast("int")
+    sizes = F.filter(F.transform(F.sequence(halvings, F.lit(0), F.lit(-1)), lambda i: (F.pow(F.lit(2), i) * (_PART / 2)).cast("int")), lambda half: half >= _PART)
+    return F.aggregate(sizes, F.array(text), lambda parts, half: F.flatten(F.transform(parts, lambda p: F.array(F.substring(p, F.lit(1), half), F.substring(p, half + 1, half)))))
+
+
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each run of spans that overlap; ``spans`` is sorted by start and not empty."""
+    reach = _scanned(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0)
+
+    def kept(ends: Column, parts: Column) -> Column:
+        # what lies between the furthest end so far and the next start, for every span that starts at or after that end
+        before = F.concat(F.array(F.lit(0)), ends)
+        starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
+        between = F.zip_with(before, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        between = F.filter(between, lambda x: (x["b"] >= x["a"]))
+        return F.array_join(F.transform(between, lambda x: taken(parts, x["a"], x["b"])), mark)
+
+    def taken(parts: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _PART).cast("int")
+        held = F.slice(parts, first + 1, F.floor(b / _PART).cast("int") - first + 1)
+        cut = lambda p, i: F.substring(p, F.when(i == 0, a - first * _PART + 1).otherwise(1), F.when(i == 0, b - a).otherwise(b - (first + i) * _PART))
+        return F.array_join(F.transform(held, cut), "")
+
+    return _bind(_parts(text), lambda parts: _bind(reach, lambda ends: kept(ends, parts)))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark``; ``n_chars``, if there is one, follows the new text.
 
     Rows without a secret stay as they are, a null text too; rows that repeat are each redacted. All columns are kept, and
     none of their names is reserved. Overlapping spans become one mark.
     """
-    text = F.col("row.text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        clean = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        passed = s["end"] <= state["at"]
-        inside = s["start"] < state["at"]
-        marked = F.when(inside, state["out"]).otherwise(F.concat(state["out"], clean, F.lit(mark)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(passed, state["out"]).otherwise(marked).alias("out"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     rows = with_spans(docs, false_share)
     found = F.size("all") > 0
-    rows = rows.select("row", found.alias("found"), F.when(found, F.aggregate("all", zero, step, rest)).otherwise(text).alias("clean"))
+    rows = rows.select("row", found.alias("found"), F.when(found, _marked(F.col("row.text"), F.col("all"), mark)).otherwise(F.col("row.text")).alias("clean"))
     changed = {"text": F.col("clean"), "n_chars": F.when(F.col("found"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
     return rows.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns))
