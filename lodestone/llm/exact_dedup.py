@@ -98,7 +98,7 @@ class StreamDedup:
 
     def _hits(self, content: DataFrame, many: DataFrame) -> DataFrame:
         """Rows of ``content`` whose digest may be among ``many``, none of which is left out: digest, whole (normalised text), order."""
-        bit = F.pmod(F.xxhash64("digest"), F.lit(BITS))
+        bit = F.xxhash64("digest").bitwiseAND(F.lit(BITS - 1))  # never null, so that no filter works the digest out once more
         bitmap = many.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
         where = F.col("_metadata")
         rows = content.select(normalised().alias("whole"), _order(F.length(F.coalesce("text", F.lit(""))).cast("long"), F.col("doc_id"), where["file_path"], where["row_index"]).alias("order"))
