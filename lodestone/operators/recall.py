@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions.text import runs, tokens
+from lodestone.operators import vector_search
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -125,64 +121,9 @@ def symbol_names(symbols: DataFrame, key: str, name: str, needle: str, k: int =
     return top.select(key, "name", F.row_number().over(Window.orderBy(F.length("name"), "name", key)).alias("rank"))
 
 
-#: Query vectors that one pass over the rows holds.
-QUERY_BLOCK = 2_000
-
-
-def _unit_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, positions, matrix of unit vectors) for each length of the usable vectors of a list column: whole, finite and not zero."""
-    lengths_ = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    for length in np.unique(lengths_[lengths_ > 0]):
-        at = np.flatnonzero(lengths_ == length)
-        flat = column.take(pa.array(at)).flatten().cast(pa.float64())
-        x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(len(at), length)
-        size = np.sqrt((x * x).sum(axis=1))
-        ok = np.isfinite(x).all(axis=1) & (size > 0) & np.isfinite(size)
-        if ok.any():
-            yield int(length), at[ok], x[ok] / size[ok, None]
-
-
-def _nearest(asked: dict[int, tuple[list, np.ndarray]], k: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0)
-            for length, at, rows in _unit_rows(batch.column(1)):
-                if length not in asked:
-                    continue
-                ids, matrix = asked[length]
-                scores = rows @ matrix.T
-                for q, query in enumerate(ids):
-                    own = np.round(scores[:, q], 9)
-                    best = np.arange(len(own))
-                    if len(own) > k:  # what ties with the last one stays; the merge decides
-                        best = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), schema.field(0).type), keys.take(pa.array(at[best])), pa.array(scores[best, q])], schema=schema)
-
-    return run
-
-
 def vector_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 50) -> DataFrame:
-    """The k nearest rows by cosine for a stated set of queries, ties to the smaller key: (query, key, score, rank).
-
-    Queries are few by their nature and go to the tasks as a matrix, so many at a time; rows are read in Arrow batches, each of
-    which tells its own best before the merge. Vectors of other lengths are not compared; a null, zero or broken one takes no
-    part.
-    """
-    asked = queries.select(query_key, F.col(query_vector).cast("array<double>").alias("asked"))
-    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("held"))
-    types = [f"{asked.schema[query_key].dataType.simpleString()}", f"{rows.schema[key].dataType.simpleString()}"]
-    schema = f"`{query_key}` {types[0]}, `{key}` {types[1]}, score double"
-    told = to_arrow_schema(vectors.sparkSession.createDataFrame([], schema).schema)
-    table = asked.toArrow()
-    found = None
-    for start in range(0, max(table.num_rows, 1), QUERY_BLOCK):
-        part = table.slice(start, QUERY_BLOCK).combine_chunks()
-        ids = part.column(0).to_pylist()
-        lists = part.column(1).combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float64()))
-        block = {length: ([ids[i] for i in at], unit) for length, at, unit in _unit_rows(lists)}
-        one = rows.mapInArrow(_nearest(block, k, told), schema)
-        found = one if found is None else found.unionByName(one)
-    return ranked(found, query_key, [F.desc(F.round("score", 9)), key], k)
+    """The k nearest rows by cosine for each query, ties to the smaller key: (query, key, score, rank). See ``vector_search``."""
+    return vector_search.exact_top_k(vectors, key, vector, queries, query_key, query_vector, k)
 
 
 def exact_symbols(symbols: DataFrame, names: DataFrame, k: int = 20) -> DataFrame:

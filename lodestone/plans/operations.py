@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import channels, chunking, fusion, gap, graph, incremental, ingest, linking, packing, rendering, service, tables
+from lodestone.operators import channels, chunking, fusion, gap, graph, incremental, ingest, linking, packing, rendering, service, snapshots, tables
 from lodestone.plans.cases import NAMES, PATHS
 from lodestone.plans.registry import query, table, work_dir
 from lodestone.sources import files, sinks
@@ -121,9 +121,37 @@ def streamed_changes(spark, d):
     for part in (F.col("seq") <= bounds[0], (F.col("seq") > bounds[0]) & (F.col("seq") <= bounds[1]), F.col("seq") > bounds[1]):
         rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    run = stateful.apply_changes(spark, stream, f"{root}/table", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/table/batch={run.lastProgress['batchId']}").select("path", "hash")
+    log = stateful.ChangeLog(spark, f"{root}/table", compact_every=2)
+    log.apply(stream, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return log.current()
+
+
+#: Of all documents a first commit takes all lines; a second one changes, removes and adds some files in both tables at once.
+@query("""
+WITH d AS (SELECT 'd' || doc_id AS path, doc_id, text FROM documents),
+after AS (SELECT path, CASE WHEN doc_id % 10 = 0 THEN text || chr(10) || 'more' ELSE text END AS text FROM d WHERE doc_id % 10 <> 1 UNION ALL SELECT 'n' || doc_id, text FROM d WHERE doc_id % 10 = 2)
+SELECT path, md5(text) AS hash, len(string_split(text, chr(10))) AS chunks, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: md5(x)), '')) AS content,
+  (SELECT count(*) FROM d WHERE doc_id % 10 = 2) AS added, (SELECT count(*) FROM d WHERE doc_id % 10 = 0) AS modified, (SELECT count(*) FROM d WHERE doc_id % 10 = 1) AS deleted,
+  (SELECT sum(len(string_split(text, chr(10)))) FROM after WHERE starts_with(path, 'n') OR path IN (SELECT path FROM d WHERE doc_id % 10 = 0))::BIGINT AS chunks_written FROM after
+""")
+def committed_tables(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), "doc_id", "text")
+    schemas = {"files": spark.createDataFrame([], "path string, hash string").schema, "chunks": spark.createDataFrame([], "path string, nr int, hash string").schema}
+    store = snapshots.Snapshots(spark, work_dir(spark), schemas, buckets=16)
+
+    def rows(of: DataFrame) -> dict[str, DataFrame]:
+        return {"files": of.select("path", F.md5("text").alias("hash")), "chunks": of.select("path", F.posexplode(F.split("text", "\n")).alias("nr", "line")).select("path", "nr", F.md5("line").alias("hash"))}
+
+    store.commit(docs.select("path", F.lit("added").alias("change")), rows(docs))
+    last = F.col("doc_id") % 10
+    changed = docs.where(last == 0).select("path", F.concat("text", F.lit("\nmore")).alias("text"), F.lit("modified").alias("change"))
+    added = docs.where(last == 2).select(F.concat(F.lit("n"), "doc_id").alias("path"), "text", F.lit("added").alias("change"))
+    gone = docs.where(last == 1).select("path", F.lit(None).cast("string").alias("text"), F.lit("deleted").alias("change"))
+    new = changed.unionByName(added)
+    store.commit(new.unionByName(gone).select("path", "change"), rows(new))
+    held = store.read("chunks").groupBy("path").agg(F.count("*").alias("chunks"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nr", "hash"))), lambda x: x["hash"]), "")).alias("content"))
+    counted = store.counters()
+    return store.read("files").join(held, "path").select("path", "hash", "chunks", "content", *(F.lit(counted[k]).cast("long").alias(k) for k in ("added", "modified", "deleted", "chunks_written")))
 
 
 @query("""

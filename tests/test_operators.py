@@ -174,17 +174,6 @@ def test_limiter_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_changes_stream(spark, tmp_path):
-    source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    schema = "path string, seq long, op string, hash string"
-    for rows in ([("a", 1, "added", "1"), ("b", 2, "added", "2")], [("a", 3, "modified", "x"), ("a", 4, "modified", "3"), ("b", 5, "deleted", None), ("c", 6, "added", "4")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        q = stateful.apply_changes(spark, spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "cp")).start()
-        q.processAllAvailable()
-        q.stop()
-    assert sorted(map(tuple, spark.read.parquet(f"{table}/batch=1").collect())) == [("a", "3"), ("c", "4")]
-
-
 def test_packing(spark):
     rows = [(1, "a", "f1", "code", 0, 0.1, 500), (1, "b", "f1", "code", 2, 9.0, 3000), (1, "c", "f1", "code", 2, 5.0, 3000), (1, "d", "f2", "code", 3, 8.0, 9000), (1, "e", "f3", "code", 2, 1.0, 10), (1, "f", "f4", "spec", 2, 0.5, 100)]
     df = spark.createDataFrame(rows, "query_id long, chunk_id string, path string, kind string, tier int, score double, tokens long")
