@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
 from lodestone.operators import fusion, gap, graph, incremental, intervals, packing, parse, phrases, recall, usage, vector_search
-from lodestone.plans import cases, graphs, index, maintenance, operations  # noqa: F401  (they register their queries)
+from lodestone.plans import cases, columns, graphs, index, maintenance, operations  # noqa: F401  (they register their queries)
 from lodestone.plans.registry import QUERIES, SQL, Query, query, table, work_dir
 from lodestone.streaming import stateful
 
