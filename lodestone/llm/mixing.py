@@ -16,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import Scratch
+
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 SEED = "mix"
 #: Rows of one source and size that a window sorts in one task, about.
 BUCKET_ROWS = 50_000
+#: Ranges of ids, and ranges of each of them, at most; with more rows than these make buckets for, buckets grow.
+COARSE, FINE = 256, 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,24 +56,36 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return rows.select("source", "source_size", target.alias("target"), rate.alias("rate"), offset.alias("offset"))
 
 
-def _bounds(rows: DataFrame) -> list[int]:
-    """Ids at which the second bucket and each later one begins: quantiles, approximate, which changes no result."""
-    n = rows.count()
-    shares = [i * BUCKET_ROWS / n for i in range(1, 1 + (n - 1) // BUCKET_ROWS)]
-    if not shares:
-        return []
-    found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * len(shares)))).first()[0]
-    return sorted(set(found or []))
+def _shares(parts: int) -> list[float]:
+    return [i / parts for i in range(1, parts)]
+
+
+def _reached(bounds: Column, most: int, doc_id: Column) -> Column:
+    """How many of at most ``most`` sorted bounds an id has reached, by binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, most.bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(bounds, n + s - 1) <= doc_id, n + s).otherwise(n))
 
 
-def _bucket(bounds: list[int], doc_id: Column) -> Column:
-    """How many bounds an id has reached, by binary search; a null id comes after all."""
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    if not steps:
-        return F.when(doc_id.isNull(), 1).otherwise(0)
-    at = F.array(*(F.lit(b).cast("long") for b in bounds))
-    reached = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda n, s: F.when(F.get(at, n + s - 1) <= doc_id, n + s).otherwise(n))
-    return F.when(doc_id.isNull(), len(bounds) + 1).otherwise(reached)
+def _with_buckets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (row, ...) with the bucket of row.doc_id: ranges of ids, about equal in rows, in their order; a null id comes last.
+
+    Ids are cut into at most ``COARSE`` ranges by quantiles, and each range into at most ``FINE`` by quantiles of its own. So the
+    plan holds so many numbers at most whatever the table's size, and the finer bounds, a table of at most ``COARSE`` rows, are
+    written once, as quantiles are approximate. Which bounds they are changes no result.
+    """
+    wanted = -(-ids.count() // BUCKET_ROWS)
+    if wanted <= 1:
+        return rows.withColumn("bucket", F.col("row.doc_id").isNull().cast("int"))
+    groups = min(COARSE, -(-wanted // FINE))
+    fine = min(FINE, -(-wanted // groups))
+    known = ids.where("doc_id IS NOT NULL")
+    coarse = sorted(set(known.agg(F.percentile_approx("doc_id", _shares(groups), 10_000)).first()[0] or [])) if groups > 1 else []
+    group = lambda doc_id: _reached(F.array(*(F.lit(x).cast("long") for x in coarse)), len(coarse), doc_id) if coarse else F.lit(0)
+    of_group = known.groupBy(group(F.col("doc_id")).alias("group")).agg((F.percentile_approx("doc_id", _shares(fine), 10 * max(1_000, fine)) if fine > 1 else F.array().cast("array<long>")).alias("bounds"))
+    bounds = Scratch(rows.sparkSession, "mixing").table(of_group.select("group", F.sort_array(F.array_distinct("bounds")).alias("bounds")), "bounds")
+    placed = rows.withColumn("group", F.coalesce(group(F.col("row.doc_id")), F.lit(0))).join(F.broadcast(bounds), "group", "left")
+    bucket = F.when(F.col("row.doc_id").isNull(), (COARSE + 1) * (FINE + 1)).otherwise(F.col("group") * (FINE + 1) + _reached(F.col("bounds"), fine, F.col("row.doc_id")))
+    return placed.withColumn("bucket", bucket).drop("group", "bounds")
 
 
 def _source_key(source: Column) -> Column:
@@ -85,9 +101,8 @@ def with_copies(docs: DataFrame, size: Column | None = None, weights: tuple[floa
     rows is emitted does not matter; reruns agree. As the columns of ``docs`` travel in the struct, their names clash with
     nothing.
     """
-    bounds = _bounds(docs)
     words = size_of(F.col("text")) if size is None else size
-    rows = docs.select(F.struct("*").alias("row"), words.alias("size"), _source_key(F.col("source")).alias("key"), _bucket(bounds, F.col("doc_id")).alias("bucket"))
+    rows = _with_buckets(docs.select(F.struct("*").alias("row"), words.alias("size"), _source_key(F.col("source")).alias("key")), docs.select("doc_id"))
     by_bucket = rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("n"))
     in_size = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     in_source = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
