@@ -107,6 +107,26 @@ def with_features(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     }).drop("asked_symbols", "asked_words", "asks_test", "asks_changelog", "asks_example")
 
 
+def with_graph(pool: DataFrame, expanded: DataFrame, chained: DataFrame) -> DataFrame:
+    """The pool of each query together with what the graph adds, and the features that tell where a candidate came from.
+
+    ``pool``: query_id, chunk_id, rrf_score, position; ``expanded``: what lies next to the seeds (query_id, chunk_id, parent,
+    provenance; ``graph.expand_pool``); ``chained``: callees of callees of the first seeds (query_id, chunk_id, provenance). A chunk counts
+    once for a query, in that order. near_top: its parent is the query's first candidate; flow_chain: it came by the second hop of
+    the calls; synthesized: by an edge that is not certain. What the graph adds has no fused score.
+    """
+    keys = ["query_id", "chunk_id"]
+    none, flag = F.lit(False), lambda c: F.coalesce(c, F.lit(False))
+    top = pool.where("position = 1").select("query_id", F.col("chunk_id").alias("top"))
+    seeds = pool.select(*keys, "rrf_score", F.lit(0).alias("hop"), none.alias("near_top"), none.alias("flow_chain"), none.alias("synthesized"))
+    weak = flag(F.col("provenance") == "synthesized")
+    near = expanded.join(top, "query_id", "left").select(*keys, F.lit(0.0).alias("rrf_score"), F.lit(1).alias("hop"), flag(F.col("parent") == F.col("top")).alias("near_top"), none.alias("flow_chain"), weak.alias("synthesized"))
+    far = chained.select(*keys, F.lit(0.0).alias("rrf_score"), F.lit(2).alias("hop"), none.alias("near_top"), F.lit(True).alias("flow_chain"), weak.alias("synthesized"))
+    rows = seeds.unionByName(near).unionByName(far)
+    order = Window.partitionBy(*keys).orderBy("hop", F.desc("near_top"), "synthesized")
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
 def virtual_ranks(real: DataFrame, added: DataFrame, query: str, key: str) -> DataFrame:
     """For rows added by the graph: 1 + real vector hits of the query with a higher score, if no more than there are.
 

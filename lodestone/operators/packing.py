@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import estimate_tokens
+from lodestone.operators.rendering import focused
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -75,8 +78,10 @@ class _Pack:
             return "skipped"
         in_file = self.files.get(c.path, 0)
         form, tokens = "whole", c.tokens
-        if (in_file + tokens > per_file or self.used + tokens > limit) and c.head_tokens < tokens:
-            form, tokens = "head", c.head_tokens
+        fits = lambda n: in_file + n <= per_file and self.used + n <= limit
+        smaller = [f for f in c.forms if f[1] < tokens]
+        if smaller and not fits(tokens):
+            form, tokens = next((f for f in smaller if fits(f[1])), smaller[-1])
         if in_file + tokens > per_file or (c.tier == 3 and self.graph + tokens > b.graph_share * self.used) or (spec and not free_doc and self.docs + tokens > b.docs):
             return "skipped"
         if self.used + tokens > limit:
@@ -123,27 +128,50 @@ def _packed(candidates: list, budget: Budget, floor: float) -> tuple[_Pack, bool
     return pack, len(pack.held) < len(candidates)
 
 
+FORMS = "array<struct<form:string,tokens:long>>"
+
+
+def with_forms(candidates: DataFrame, content: str, heads: tuple[int, ...] = (40, 15, 5), focus: tuple[int, ...] = (), query: str | None = None, calls: str | None = None) -> DataFrame:
+    """``candidates`` with ``forms``: what a chunk costs in smaller forms, the largest first, as rendered and estimated.
+
+    "head n" shows the first n lines; "focus n" the n lines that matter most to the column ``query`` (``rendering.focused``, with
+    path, start_line and the lines in ``calls``). A form that costs as much as another is listed after it in the order given; a null
+    content has forms of no cost.
+    """
+    lines = F.split(F.col(content), "\n")
+    told = [(f"head {n}", F.array_join(F.slice(lines, 1, n), "\n")) for n in heads]
+    if focus:
+        near = F.col(calls) if calls else F.array().cast("array<int>")
+        told += [(f"focus {n}", F.array_join(F.transform(focused(F.col(content), F.col("start_line"), F.col(query), F.col("path"), near, n), lambda s: s["text"]), "\n")) for n in focus]
+    costs = F.array(*(F.struct((-estimate_tokens(shown)).alias("less"), F.lit(i).alias("nr"), F.lit(form).alias("form")) for i, (form, shown) in enumerate(told)))
+    return candidates.withColumn("forms", F.transform(F.array_sort(costs), lambda f: F.struct(f["form"].alias("form"), (-f["less"]).cast("long").alias("tokens"))))
+
+
 def assemble(candidates: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Greedy packing of each query's candidates (a pool of bounded size): explicit ones first, then by score.
 
     ``candidates``: query_id, chunk_id, path, kind, tier, score, tokens; and, where they are known, symbol_fqn, start_line,
-    end_line, and head_tokens (what a chunk costs when only its head or the lines of interest are shown). Below a share of the
+    end_line, and forms (see ``with_forms``: what a chunk costs when less of it is shown) or head_tokens, the cost of one form named
+    head. Below a share of the
     best code score only explicit ones count. A file, documents and chunks of the graph have limits of their own; the best
     document is kept room for, and two chunks of code are taken if there are any. Of a symbol one chunk is taken; ranges of a
-    file that lie near each other become one item, which pays for its lines once; what does not fit whole is cut to its head.
+    file that lie near each other become one item, which pays for its lines once; what does not fit whole takes the largest form that
+    fits.
     Where little of the budget is used though something was left out, lower floors are tried and the fullest pack is kept.
 
-    Returns query_id, chunk_id, position (of the item), form (whole, head, merged), tokens, used (by the pack, overhead included).
+    Returns query_id, chunk_id, position (of the item), form (whole, merged, or the name of one), tokens, used (by the pack, overhead included).
     """
     there = set(candidates.columns)
-    optional = {"symbol_fqn": "string", "start_line": "int", "end_line": "int", "head_tokens": "long"}
+    optional = {"symbol_fqn": "string", "start_line": "int", "end_line": "int", "head_tokens": "long", "forms": FORMS}
     rows = candidates.select("query_id", "chunk_id", "path", "kind", "tier", "score", "tokens", *((F.col(c) if c in there else F.lit(None)).cast(kind).alias(c) for c, kind in optional.items()))
-    said = namedtuple("Said", "chunk_id path kind tier score tokens symbol lines head_tokens")
+    said = namedtuple("Said", "chunk_id path kind tier score tokens symbol lines forms")
 
     def read(r) -> tuple:
         ranged = r.start_line == r.start_line and r.start_line is not None and r.end_line == r.end_line and r.end_line is not None
-        head = int(r.head_tokens) if r.head_tokens == r.head_tokens and r.head_tokens is not None else int(r.tokens)
-        return said(r.chunk_id, r.path or "", r.kind, int(r.tier), float(r.score), int(r.tokens), r.symbol_fqn or "", set(range(int(r.start_line), int(r.end_line) + 1)) if ranged else set(), head)
+        forms = [(f["form"], int(f["tokens"])) for f in r.forms] if r.forms is not None else []
+        if r.head_tokens == r.head_tokens and r.head_tokens is not None:
+            forms.append(("head", int(r.head_tokens)))
+        return said(r.chunk_id, r.path or "", r.kind, int(r.tier), float(r.score), int(r.tokens), r.symbol_fqn or "", set(range(int(r.start_line), int(r.end_line) + 1)) if ranged else set(), forms)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pool = sorted(map(read, pdf.itertuples(index=False)), key=lambda c: (c.tier > 0, -c.score, c.chunk_id))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, paths, text
@@ -371,6 +371,40 @@ def expand_2hop(spark, d):
     return graph.expand_twice(edges(spark, d), seeds(spark, d, 3), query_key="query_id")
 
 
+#: Customers are the pools' chunks; what the graph adds to them is expanded and chained, then all is scored by features.
+@query(f"""
+WITH near AS ({SQL["expand_1hop"]}), far AS ({SQL["expand_2hop"]}), {SEEDS.format(n=20)}, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed_rank) AS place FROM seeds),
+rows AS (
+  SELECT query_id, seed AS chunk_id, 1.0 / (60 + place) AS rrf, 0 AS hop, false AS near_top, false AS flow_chain FROM pool UNION ALL
+  SELECT n.query_id, node, 0, 1, coalesce(n.seed = s.seed, false), false FROM near n LEFT JOIN pool s ON s.query_id = n.query_id AND s.place = 1 UNION ALL SELECT query_id, node, 0, 2, false, true FROM far
+), once AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY hop, near_top DESC) = 1),
+scored AS (SELECT *, 25.0 * rrf + CASE WHEN flow_chain THEN 0.6 ELSE 0 END + CASE WHEN near_top THEN 0.5 ELSE 0 END AS score FROM once)
+SELECT query_id, chunk_id, near_top, flow_chain, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(rrf, 12) DESC, chunk_id) AS INT) AS position FROM scored
+""")
+def chain_scores(spark, d):
+    known = edges(spark, d)
+    placed = seeds(spark, d, 20).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("seed_rank")))
+    pool = placed.select("query_id", F.col("seed").alias("chunk_id"), (1.0 / (60 + F.col("position"))).alias("rrf_score"), "position")
+    near = graph.expand(known, seeds(spark, d, 20), query_key="query_id").select("query_id", F.col("node").alias("chunk_id"), F.col("seed").alias("parent"), F.lit("parsed").alias("provenance"))
+    far = graph.expand_twice(known, seeds(spark, d, 3), query_key="query_id").select("query_id", F.col("node").alias("chunk_id"), F.lit("parsed").alias("provenance"))
+    rows = fusion.rerank(fusion.with_graph(pool, near, far), "query_id", "chunk_id")
+    return rows.select("query_id", "chunk_id", "near_top", "flow_chain", F.round("score", 6).alias("score"), "position")
+
+
+#: The walk of every customer as plain joins; the longest chains are cut where they could go on.
+@query("""
+WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, l_linenumber AS line FROM lineitem UNION SELECT 'c' || o_custkey, 'o' || o_orderkey, NULL FROM orders UNION SELECT 'p' || p_partkey, p_brand, NULL FROM part),
+n AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY line NULLS LAST, target) AS nr, count(*) OVER (PARTITION BY source) AS branches FROM e), f AS (SELECT source, target, branches FROM n WHERE nr = 1),
+s AS (SELECT 'c' || c_custkey AS start FROM customer),
+one AS (SELECT s.start, f.target AS a, coalesce(f.branches, 0) > 1 AS cut FROM s LEFT JOIN f ON f.source = s.start),
+two AS (SELECT one.start, a, f.target AS b, cut OR coalesce(f.branches, 0) > 1 AS cut FROM one LEFT JOIN f ON f.source = one.a)
+SELECT two.start, concat_ws('>', two.start, a, b) AS path, cut OR f.target IS NOT NULL AS truncated FROM two LEFT JOIN f ON f.source = two.b
+""")
+def walked_chains(spark, d):
+    starts = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("start"))
+    return graph.walk(edges(spark, d), starts).select("start", F.array_join("path", ">").alias("path"), "truncated")
+
+
 @query(f"""
 WITH {EDGES}, f AS MATERIALIZED (SELECT source, target AS next, count(*) OVER (PARTITION BY source) AS branches FROM (SELECT DISTINCT source, target, line FROM e) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line NULLS LAST, target) = 1)
 SELECT 'c' || c_custkey AS start, array_to_string(list_filter(['c' || c_custkey, a.next, b.next], lambda x: x IS NOT NULL), '>') AS path,
@@ -668,6 +702,30 @@ def packing_assemble(spark, d):
     return packing.assemble(rows)
 
 
+#: As above, with three heads to choose from.
+FORMS_SQL = PACKED_SQL
+for _old, _new in (
+    (f'{_estimate("top_lines")} AS head_tokens', "[" + ", ".join(f"{{'form': 'head {n}', 'tokens': {_estimate(f'top_{n}')}}}" for n in (40, 15, 5)) + "] AS forms"),
+    ("array_to_string(list_slice(string_split(text, chr(10)), 1, 15), chr(10)) AS top_lines", ", ".join(f"array_to_string(list_slice(string_split(text, chr(10)), 1, {n}), chr(10)) AS top_{n}" for n in (40, 15, 5))),
+    ("CASE WHEN short THEN head_tokens ELSE tokens END AS cost, CASE WHEN short THEN 'head' ELSE 'whole' END AS form", "CASE WHEN short THEN pick.tokens ELSE tokens END AS cost, CASE WHEN short THEN pick.form ELSE 'whole' END AS form"),
+    (
+        "SELECT *, head_tokens < tokens AND (in_file + tokens > per_file OR used + tokens > 14000) AS short",
+        "SELECT *, len(smaller) > 0 AND (in_file + tokens > per_file OR used + tokens > 14000) AS short, coalesce(list_filter(smaller, lambda x: in_file + x.tokens <= per_file AND used + x.tokens <= 14000)[1], smaller[-1]) AS pick\n    FROM (SELECT *, list_filter(forms, lambda x: x.tokens < tokens) AS smaller",
+    ),
+    ("AND step < 2 * total)))))", "AND step < 2 * total))))))"),
+):
+    assert _old in FORMS_SQL, _old
+    FORMS_SQL = FORMS_SQL.replace(_old, _new)
+
+
+@query(FORMS_SQL)
+def packing_forms(spark, d):
+    fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), "text", text.estimate_tokens(F.col("text")).alias("tokens"))
+    rows = fused.join(packing.with_forms(docs, "text", heads=(40, 15, 5)).drop("text"), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "path", "kind", F.lit(2).alias("tier"), (25 * F.col("rrf_score")).alias("score"), "tokens", "forms")
+    return packing.assemble(rows)
+
+
 @query("""
 WITH d AS (SELECT concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, source, lang, CAST(4 + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS total FROM documents)
 SELECT path, source AS heading, source AS heading_path, 1 AS level, 1 AS start_line, total AS end_line FROM d

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import mentions, paths, text
-from lodestone.operators import chunking, incremental, linking, parse, scanners
+from lodestone.operators import chunking, incremental, linking, parse, scanners, words
 from lodestone.plans.registry import query, table, work_dir
 from lodestone.sources import files
 
@@ -288,3 +288,32 @@ def scanned_suppliers(spark, d):
 def supplier_bytes(spark, d):
     return files.directory_size(spark, _supplier_files(spark, d))
 
+
+
+# ------------------------------------------------------------------ words without spaces
+
+
+#: The turns' sentences lose their spaces and get them back by the words of the documents; SQL goes along each run by its places.
+@query("""
+WITH RECURSIVE dict AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) <= 8 GROUP BY word HAVING count(*) >= 2),
+total AS (SELECT sum(n) AS total FROM dict), t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(lower(text), '[^a-z.]', '', 'g'), '[a-z]+|\\.') AS pieces FROM conversations),
+piece AS (SELECT conv_id, turn, unnest(pieces) AS piece, unnest(range(len(pieces))) AS place FROM t), run AS (SELECT DISTINCT piece AS run FROM piece WHERE piece <> '.'),
+gram AS (SELECT run, e AS "end", unnest(range(greatest(e - 8, 0), e)) AS start FROM (SELECT run, unnest(range(1, length(run) + 1)) AS e FROM run)),
+edge AS (SELECT run, "end", start, CASE WHEN n IS NOT NULL THEN CAST(round(1000 * ln(total / n)) AS BIGINT) WHEN "end" - start = 1 THEN CAST(round(1000 * ln(total)) AS BIGINT) END AS cost
+  FROM gram CROSS JOIN total LEFT JOIN dict ON word = substr(run, start + 1, "end" - start)),
+into_ AS (SELECT run, "end", list({'cost': cost, 'start': start}) AS edges FROM edge WHERE cost IS NOT NULL GROUP BY ALL),
+lattice AS (SELECT run, list({'edges': edges, 'recent': []::BIGINT[], 'back': []::BIGINT[]} ORDER BY "end") AS steps FROM into_ GROUP BY run),
+walked AS (SELECT run, list_reduce(list_prepend({'edges': []::STRUCT(cost BIGINT, start BIGINT)[], 'recent': [CAST(0 AS BIGINT)], 'back': []::BIGINT[]}, steps), lambda a, x: {
+    'edges': []::STRUCT(cost BIGINT, start BIGINT)[],
+    'recent': list_append(a.recent, list_min(list_transform(x.edges, lambda e: {'cost': a.recent[e.start - len(a.back) + len(a.recent)] + e.cost, 'start': e.start})).cost)[-8:],
+    'back': list_append(a.back, list_min(list_transform(x.edges, lambda e: {'cost': a.recent[e.start - len(a.back) + len(a.recent)] + e.cost, 'start': e.start})).start)}).back AS back FROM lattice),
+path(run, pos, back, words) AS (
+  SELECT run, length(run), back, []::VARCHAR[] FROM walked UNION ALL SELECT run, back[pos], back, list_prepend(substr(run, back[pos] + 1, pos - back[pos]), words) FROM path WHERE pos > 0
+), told AS (SELECT run, array_to_string(words, ' ') AS words FROM path WHERE pos = 0)
+SELECT c.conv_id, c.turn, coalesce(string_agg(coalesce(words, piece), ' ' ORDER BY place), '') AS segmented FROM conversations c LEFT JOIN piece p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN told ON run = piece GROUP BY ALL
+""")
+def turns_segmented(spark, d):
+    said = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    dictionary = table(spark, d, "documents").select(said.alias("word")).where(F.length("word") <= 8).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[^a-z.]", "").alias("text"))
+    return words.segmented(rows, ["conv_id", "turn"], "text", dictionary, run="[a-z]+", longest=8)
