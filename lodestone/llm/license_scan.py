@@ -132,14 +132,14 @@ class Index:
     templates: Column
 
 
-def index_of(templates: tuple[Template, ...], seen: dict[str, int], share: float) -> Index:
-    in_order = sorted({w for t in templates for w in t.words}, key=lambda w: (seen[w], w))
+def index_of(templates: dict[int, Template], seen: dict[str, int], share: float) -> Index:
+    in_order = sorted({w for t in templates.values() for w in t.words}, key=lambda w: (seen[w], w))
     place = {w: i for i, w in enumerate(in_order)}
     rows, postings = [], {}
-    for number, t in enumerate(templates):
+    for number, (nr, t) in enumerate(templates.items()):
         own = sorted(t.words, key=place.__getitem__)
         least = _least(len(own), share)
-        rows.append({"label": t.label, "words": own, "telling": list(t.telling), "never": list(t.never), "least": least, "n": len(own)})
+        rows.append({"nr": nr, "label": t.label, "words": own, "telling": list(t.telling), "never": list(t.never), "least": least, "n": len(own)})
         for word in own[: len(own) - least + 1]:
             postings.setdefault(word, []).append({"template": number, "least": least})
     constant = lambda value, schema: F.from_json(F.lit(json.dumps(value)), schema)  # noqa: E731  (folded to a literal when planned)
@@ -147,12 +147,15 @@ def index_of(templates: tuple[Template, ...], seen: dict[str, int], share: float
         tuple(sorted(postings)),
         constant(in_order, "array<string>"),
         constant(postings, "map<string, array<struct<template: int, least: int>>>"),
-        constant(rows, "array<struct<label: string, words: array<string>, telling: array<string>, never: array<string>, least: int, n: int>>"),
+        constant(rows, "array<struct<nr: int, label: string, words: array<string>, telling: array<string>, never: array<string>, least: int, n: int>>"),
     )
 
 
-def _matches(block: Column, index: Index) -> Column:
-    """(label, share) of the templates that a block of distinct words matches."""
+def _joined(block: Column, index: Index) -> Column:
+    """(template, label, share, told) of every template that a block of distinct words contains to the threshold.
+
+    This is the join. Whether the block also has the telling words, and none that belong to another license, is told beside it.
+    """
     nothing = F.expr("cast(array() as array<struct<template: int, least: int>>)")
 
     def named(own: Column) -> Column:
@@ -165,7 +168,7 @@ def _matches(block: Column, index: Index) -> Column:
         t = F.get(index.templates, number)
         told = (F.size(F.array_except(t["telling"], own)) == 0) & ~F.arrays_overlap(t["never"], block)
         common = F.size(F.array_intersect(t["words"], own))
-        return F.struct(t["label"].alias("label"), F.when(told & (common >= t["least"]), common / t["n"]).otherwise(0.0).alias("share"))
+        return F.struct(t["nr"].alias("template"), t["label"].alias("label"), F.when(common >= t["least"], common / t["n"]).otherwise(0.0).alias("share"), told.alias("told"))
 
     def verified(own: Column) -> Column:
         return F.filter(F.transform(named(own), lambda number: judged(own, number)), lambda m: m["share"] > 0)
@@ -174,32 +177,49 @@ def _matches(block: Column, index: Index) -> Column:
 
 
 def _found(index: Index, ends: tuple[str, ...], none: Column) -> Column:
-    """Matches in the blocks that the given ends leave of the lower-cased text; most texts hold no prefix word and are not cut."""
+    """What the join finds in the blocks that the given ends leave of the lower-cased text; most texts hold no prefix word and are not cut."""
     rare = _any_of(list(index.prefixes))
     blocks = F.array_distinct(F.filter(F.concat(*(F.split("low", end) for end in ends)), lambda b: b.rlike(rare)))
-    return F.when(F.col("low").rlike(rare), F.flatten(F.transform(blocks, lambda b: _matches(F.array_distinct(_words(b)), index)))).otherwise(none)
+    with_block = lambda b, m: F.struct(b.alias("block"), *(m[c].alias(c) for c in ("template", "label", "share", "told")))
+    return F.when(F.col("low").rlike(rare), F.flatten(F.transform(blocks, lambda b: F.transform(_joined(F.array_distinct(_words(b)), index), lambda m: with_block(b, m))))).otherwise(none)
+
+
+def _all_found(docs: DataFrame, templates: tuple[Template, ...], share: float) -> Column:
+    """The join of a row's blocks (its text in lower case is the column low) with all templates: block, template, label, share, told."""
+    for t in templates:
+        if not set(t.telling) <= set(t.words):
+            raise ValueError(f"telling words must stand in the notice: {t}")
+    none = F.expr("cast(array() as array<struct<block: string, template: int, label: string, share: double, told: boolean>>)")
+    seen = document_frequencies(docs, sorted({w for t in templates for w in t.words})) if templates else {}
+    short, long = ({i: t for i, t in enumerate(templates) if (len(t.words) < ONE_SENTENCE) == one} for one in (True, False))
+    cuts = (short, (rf"{SENTENCE}|\n", rf"{SENTENCE}|{BLANK}")), (long, (r"\n", BLANK))
+    return F.concat(none, *(_found(index_of(some, seen, share), ends, none) for some, ends in cuts if some))
+
+
+def contained(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
+    """The set-similarity join itself: doc_id, block, template, label, share, told, one row for every block and template that meet.
+
+    A block is given in lower case; template is the place in ``templates``; share is how much of the template's distinct words the block
+    holds, ``share`` or more. told: the block has the template's telling words and none that belong to another license, which ``scan``
+    asks for. Nulls, empty texts and repeated rows are as in ``scan``.
+    """
+    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return rows.select("doc_id", F.explode(_all_found(docs, templates, share)).alias("m")).select("doc_id", "m.*")
 
 
 def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, contained.
 
     n_base counts the places of all phrases; first_word and last_word are the smallest and largest word number at which one
     starts, null without any. Labels are distinct, sorted and joined by commas. The score is the largest share of a template
-    that a matching block contains, at least ``share`` or else 0, and 1 where a phrase stands. A null text counts as empty: no
+    that a matching block contains, at least ``share`` or else 0, and 1 where a phrase stands. contained: labels of all templates
+    that a block contains to the threshold, whether or not it has their telling words (``contained`` gives these blocks). A null text counts as empty: no
     words, no labels, score 0. Rows that repeat each return a row; columns besides doc_id and text are not read.
     """
-    for t in templates:
-        if not set(t.telling) <= set(t.words):
-            raise ValueError(f"telling words must stand in the notice: {t}")
-    seen = document_frequencies(docs, sorted({w for t in templates for w in t.words})) if templates else {}
-    short, long = (tuple(t for t in templates if (len(t.words) < ONE_SENTENCE) == one) for one in (True, False))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text"))
     rows = rows.withColumn("places", F.array(*(_starts(F.col("text"), p) for p, _ in phrases)))
-    none = F.expr("cast(array() as array<struct<label: string, share: double>>)")
-    cuts = (short, (rf"{SENTENCE}|\n", rf"{SENTENCE}|{BLANK}")), (long, (r"\n", BLANK))
-    matches = F.concat(none, *(_found(index_of(some, seen, share), ends, none) for some, ends in cuts if some))
-    rows = rows.withColumn("matches", matches)
+    rows = rows.withColumn("joined", _all_found(docs, templates, share)).withColumn("matches", F.filter("joined", lambda m: m["told"]))
     base = F.filter(F.transform("places", lambda p, i: F.when(p.isNotNull(), F.get(F.array(*(F.lit(x) for _, x in phrases)), i))), lambda x: x.isNotNull())
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     there = F.filter("places", lambda p: p.isNotNull())
@@ -213,4 +233,5 @@ def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templa
         join(base).alias("base_labels"),
         join(F.concat(base, F.transform("matches", lambda m: m["label"]))).alias("labels"),
         score.alias("score"),
+        join(F.transform("joined", lambda m: m["label"])).alias("contained"),
     )
