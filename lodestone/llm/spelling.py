@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import Scratch, texts_of
 
 #: Words of a shard, and words scanned at once; both bound a task's memory.
-SHARD, BLOCK = 100_000, 400_000
+SHARD, BLOCK = 100_000, 200_000
 #: Lengths from here on share their shards, so that the number of kinds of shards is bounded.
 LONGEST_BAND = 64
 #: Of a longer segment the automaton holds so many code points; the distance is verified on whole words.
