@@ -14,8 +14,8 @@ from lodestone.functions.paths import chunk_kind, path_matches
 from lodestone.operators import recall
 from lodestone.operators.fusion import POOL, reciprocal_rank_fusion
 
-#: Needles that one automaton holds; more take further passes.
-BLOCK = 20_000
+#: Needles that one automaton holds; more of them are joined by grams of so many characters.
+BLOCK, GRAM = 20_000, 4
 #: Fixed order of the channels, in which reasons are merged.
 CHANNELS = ("exact", "inferred", "bm25", "vector", "literal")
 
@@ -65,16 +65,34 @@ def _found(needles: list[str]):
 def occurrences(rows: DataFrame, text: str, needles: DataFrame) -> DataFrame:
     """(chunk_id, low, times): which of the needles (low) a text holds, and how often without overlap.
 
-    Each text is read once by an Aho-Corasick automaton of all needles, whatever their number. Needles are phrases of a batch of
-    queries; so many at a time go to the tasks, and more of them take further passes.
+    Up to ``BLOCK`` different needles, which is counted first, go to the tasks as one Aho-Corasick automaton, and each text is read
+    once. More of them stay a table and meet the texts by joins (``_by_grams``).
     """
-    known = sorted(r["low"] for r in needles.select("low").where("low <> ''").distinct().collect())
+    asked = needles.select("low").where("low <> ''").distinct()
+    known = [r["low"] for r in asked.limit(BLOCK + 1).collect()]
+    if len(known) > BLOCK:
+        return _by_grams(rows, text, asked)
     kind = rows.schema["chunk_id"].dataType.simpleString()
-    out = None
-    for start in range(0, max(len(known), 1), BLOCK):
-        one = rows.select("chunk_id", text).mapInArrow(_found(known[start : start + BLOCK]), f"chunk_id {kind}, low string, times long")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return rows.select("chunk_id", text).mapInArrow(_found(sorted(known)), f"chunk_id {kind}, low string, times long")
+
+
+def _by_grams(rows: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """The same for any number of needles: a needle meets the texts that hold the rarest of its grams, and is looked for in these.
+
+    A gram is four characters in a row, or a shorter needle itself. Texts' grams are met by an equi join with those of the needles.
+    """
+    of = lambda column, n: F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    sizes = sorted(r["n"] for r in asked.select(F.least(F.length("low"), F.lit(GRAM)).alias("n")).distinct().collect())  # four numbers at most
+    own = F.coalesce(*(F.when(F.least(F.length("low"), F.lit(GRAM)) == n, of("low", n)) for n in sizes))
+    wanted = asked.select("low", F.explode(F.array_distinct(own)).alias("gram"))
+    held = rows.select("chunk_id", F.explode(F.array_distinct(F.concat(*(of(F.col(text), n) for n in sizes)))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("df"))
+    # a needle with a gram that no text holds stands nowhere
+    rarest = wanted.join(often, "gram", "left").groupBy("low").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("first")).where("first.df > 0")
+    pairs = held.join(rarest.select("low", F.col("first.gram").alias("gram")), "gram").select("chunk_id", "low")
+    plain = rows.select("chunk_id", F.col(text).alias("plain")).join(pairs, "chunk_id").where(F.contains("plain", F.col("low")))
+    times = (F.length("plain") - F.length(F.replace("plain", F.col("low"), F.lit("")))) / F.length("low")
+    return plain.select("chunk_id", "low", times.cast("long").alias("times"))
 
 
 def literal_many(chunks: DataFrame, needles: DataFrame, k: int = 30) -> DataFrame:

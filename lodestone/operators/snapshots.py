@@ -70,14 +70,15 @@ class Snapshots:
         out = files.create(draft, False)
         out.write(json.dumps(manifest).encode())
         out.close()
-        final = self._path(f"manifests/{version:020d}")
-        try:
-            done = not files.exists(final) and files.rename(draft, final)
-        except Py4JJavaError:
-            done = False
-        if not done:
+        final, jvm = self._path(f"manifests/{version:020d}"), self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # without the option to overwrite
+            context.rename(draft, final, self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
             files.delete(draft, False)
-            raise Conflict(f"version {version} is there already")
+            if files.exists(final):
+                raise Conflict(f"version {version} is there already") from e
+            raise
 
     # ------------------------------------------------------------------ reading
 

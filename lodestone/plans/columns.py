@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import mentions, paths, text
 from lodestone.operators import chunking, incremental, linking, parse, scanners, words
 from lodestone.plans.registry import query, table, work_dir
-from lodestone.sources import files
+from lodestone.sources import files, sinks
 
 # ------------------------------------------------------------------ a path for every document
 
@@ -290,6 +290,23 @@ def supplier_bytes(spark, d):
 
 
 
+@query("SELECT s_suppkey, s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier")
+def supplier_side_files(spark, d):
+    root = work_dir(spark)
+    sinks.write_side_files(table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")), root, "s_suppkey")
+    return sinks.read_side_files(spark, root, "s_suppkey", "name string, nation int, balance double").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "value.*")
+
+
+#: Lines of JSON among comments and blank lines, in as many files as there are nations.
+@query("SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM supplier")
+def supplier_lines(spark, d):
+    root = work_dir(spark)
+    said = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
+    lines = table(spark, d, "supplier").select("s_nationkey", F.concat(F.lit("# supplier "), "s_suppkey", F.lit("\n\n  "), said, F.lit("\n   # end")).alias("value"))
+    lines.repartition("s_nationkey").write.partitionBy("s_nationkey").text(root)
+    return files.json_lines(spark, root, "id long, name string, nation int", "id", named="*.txt").select("id", "name", "nation")
+
+
 # ------------------------------------------------------------------ words without spaces
 
 

@@ -68,9 +68,9 @@ def with_ignored(files: DataFrame, rules: list[str]) -> DataFrame:
     return files.withColumn("ignored", own | F.exists(above, excluded))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Records of JSON-lines files below ``path``; blank and ``#`` lines are skipped. A repeated key raises an error."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+def json_lines(spark: SparkSession, path: str, schema: str, key: str, named: str = "*.jsonl") -> DataFrame:
+    """Records of JSON-lines files below ``path`` that are so ``named``; blank and ``#`` lines are skipped. A repeated key raises an error."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", named).text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
     rows = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
     repeated = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if repeated:

@@ -47,6 +47,18 @@ def read_side_file(spark: SparkSession, path: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def write_side_files(rows: DataFrame, root: str, key: str) -> None:
+    """A side file for every row, in a folder named by its ``key`` (one row each), as JSON with sorted keys; the executors write them."""
+    names = sorted(c for c in rows.columns if c != key)
+    rows.select(key, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(root)
+
+
+def read_side_files(spark: SparkSession, root: str, key: str, schema: str) -> DataFrame:
+    """(key, value) of all side files below ``root``, value as a struct of ``schema``; a file that holds no JSON object is left out."""
+    rows = spark.read.option("wholetext", True).text(root).select(key, "value")
+    return rows.where(F.startswith(F.ltrim("value"), F.lit("{"))).select(key, F.from_json("value", schema).alias("value")).where("value IS NOT NULL")
+
+
 def pack_json(packs: DataFrame, key: str) -> DataFrame:
     """(key, json): items of a pack (position first) as one object for each key; a pack is of bounded size."""
     rest = [c for c in packs.columns if c != key]

@@ -1,5 +1,7 @@
 """What queries name, the recall channels and the merged pool."""
 
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -88,3 +90,16 @@ def test_signals(spark, index):
 def test_lexical_cleaning(spark):
     row = spark.createDataFrame([("`A::b` x",)], "q string").select(mentions.lexical_query(F.col("q")).alias("q"), mentions.lexical_tokens(F.array(F.lit("—"), F.lit("漢"), F.lit(":"), F.lit("a1"))).alias("t")).first()
     assert row["q"] == " A b  x" and row["t"] == ["漢", "a1"]
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_needles_are_found_in_one_pass_or_by_grams(spark, monkeypatch, block):
+    monkeypatch.setattr(channels, "BLOCK", block)
+    rng = random.Random(block)
+    texts = [(i, "".join(rng.choice("ab.é\n ") for _ in range(rng.randint(0, 120)))) for i in range(60)] + [(60, None), (61, ""), (62, "aaaaaaa")]
+    needles = sorted({"".join(rng.choice("ab.é") for _ in range(rng.randint(1, 7))) for _ in range(60)}) + ["aaa", "nowhere at all", ""]
+    got = channels.occurrences(spark.createDataFrame(texts, "chunk_id long, text string"), "text", spark.createDataFrame([(n,) for n in needles + needles[:3]], "low string"))
+    want = {(i, n): t.count(n) for i, t in texts for n in needles if n and t and n in t}
+    assert {(r["chunk_id"], r["low"]): r["times"] for r in got.collect()} == want
+    none = channels.occurrences(spark.createDataFrame(texts, "chunk_id long, text string"), "text", spark.createDataFrame([], "low string"))
+    assert none.count() == 0

@@ -128,3 +128,15 @@ def test_an_index_of_nothing(spark, tmp_path):
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query long, asked array<double>")
     assert vector_search.search_cells(index, asked, "query", "asked", "id", 3).count() == 0
     assert vector_search.calibrated_probes(index, none, "id", "vector") == 1
+
+
+def test_an_index_follows_its_files(spark, sf, tmp_path):
+    from lodestone.plans import catalog
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.where("doc_id < 50").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.search_index(spark, str(tmp_path)).stats.first()["n"] == 50
+    assert catalog.positional_index(spark, str(tmp_path)).stats.first()["n"] == 50
+    docs.where("doc_id < 20").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.search_index(spark, str(tmp_path)).stats.first()["n"] == 70
+    assert catalog.positional_index(spark, str(tmp_path)).stats.first()["n"] == 70
