@@ -16,7 +16,7 @@ from lodestone.operators.recall import K1, LEAST_IDF, B, ranked
 
 #: Folders of a stored index; a batch of queries reads at most so many, and the names of those it reads are all the driver sees.
 FOLDERS = 64
-#: Parts that the postings of one folder are dealt to by chunk, so that a frequent term is not one task's work.
+#: Parts, at least, that the postings of one folder are dealt to by chunk, so that a frequent term is not one task's work.
 PARTS = 8
 
 
@@ -34,12 +34,14 @@ def _folder(term: str = "term"):
 
 def positions_of(chunks: DataFrame, key: str, columns: list[str]) -> Positions:
     """The positional index of chunks over text columns (null: no words). Places count words from 0 in each column; a chunk's length
-    is the words of all of them. One shuffle, by folder and chunk, serves both the grouping and the writing."""
+    is the words of all of them. One shuffle, by folder and part of it, serves both the grouping and the writing; there are at least twice
+    as many parts as shuffle partitions, so that all of these have work."""
+    parts = max(PARTS, -(-2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FOLDERS))
     words = chunks.select(key, *(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"w{i}") for i, c in enumerate(columns)))
     fields = F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"w{i}").alias("words")) for i in range(len(columns))))
     spread = words.select(key, sum((F.size(f"w{i}") for i in range(len(columns))), F.lit(0)).alias("length"), F.explode(fields).alias("f"))
     each = spread.select(key, "length", "f.field", F.posexplode("f.words").alias("place", "term"))
-    dealt = each.withColumn("folder", _folder()).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS))).repartition("folder", "part")
+    dealt = each.withColumn("folder", _folder()).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts))).repartition("folder", "part")
     postings = dealt.groupBy("folder", "part", "term", key, "field", "length").agg(F.sort_array(F.collect_list("place")).alias("places")).drop("part")
     size = sum((F.greatest(F.size(runs(F.col(c))), F.lit(0)) for c in columns), F.lit(0))
     return Positions(postings, postings.groupBy("term").agg(F.count_distinct(key).alias("df")), chunks.agg(F.count("*").alias("n"), F.avg(size).alias("mean")))

@@ -3,7 +3,8 @@
 Rows lie in buckets by a hash of their path. A commit reads and writes only the buckets that its paths touch, into folders of its
 own, and then publishes a manifest that names the folders of every bucket of every table. The manifest is renamed into place,
 which one writer alone can do for a version: before it nothing of the commit is seen, after it all of it. Files of buckets that a
-commit does not touch are named on by the next manifest.
+commit does not touch are named on by the next manifest. Rows are rebalanced by bucket before they are written: a bucket with one
+huge file becomes several files, and few rows become one.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ class Snapshots:
                 held = old.withColumn("fresh", F.lit(False))
             held = held.observe(made, F.count_if("fresh").alias("written"), F.count_if(~F.col("fresh")).alias("kept")).drop("fresh")
             at = f"{folder}/{name}"
-            held.withColumn("bucket", F.coalesce(self.bucket(), F.lit(0))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{at}")
+            held.withColumn("bucket", F.coalesce(self.bucket(), F.lit(0))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{at}")
             counters |= {f"{name}_{k}": v for k, v in _counted(made, "written", "kept").items()}
             status = self._files().listStatus(self._path(at))
             found = {s.getPath().getName().partition("=")[2] for s in status if s.isDirectory() and s.getPath().getName().startswith("bucket=")}
