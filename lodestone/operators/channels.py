@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.paths import chunk_kind, path_matches
 from lodestone.operators import recall
 from lodestone.operators.fusion import POOL, reciprocal_rank_fusion
+from lodestone.operators.phrases import Positions, phrase_top_k
 
 #: Needles that one automaton holds; more of them are joined by grams of so many characters.
 BLOCK, GRAM = 20_000, 4
@@ -114,16 +115,18 @@ def names_many(symbols: DataFrame, needles: DataFrame, k: int = 20) -> DataFrame
     return recall.ranked(hit, "needle", [F.length("name"), "name", "chunk_id"], k).drop("name")
 
 
-def literal_recall(chunks: DataFrame, symbols: DataFrame, phrases: DataFrame, query: str, k: int = 30) -> DataFrame:
+def literal_recall(chunks: DataFrame, symbols: DataFrame, phrases: DataFrame, query: str, k: int = 30, positions: Positions | None = None) -> DataFrame:
     """(query, chunk_id, rank, detail, tier) of phrases (query, position, phrase, strong).
 
     Strong phrases of several words are sought as adjacent words, other strong ones as substrings, weak ones in names of symbols.
+    With a stored positional index of the chunks (its key chunk_id) adjacent words are found there, best by BM25 first; without one
+    in the texts, most frequent first.
     """
     spaced = F.contains("phrase", F.lit(" "))
     parts = [phrases.where(c) for c in (F.col("strong") & spaced, F.col("strong") & ~spaced, ~F.col("strong"))]
     asked = parts[0].select(F.col("phrase").alias("needle"), F.col("phrase").alias("words")).distinct()
     found = [
-        recall.phrase(chunks, "chunk_id", "content", asked, "needle", "words", k).select("needle", "chunk_id", F.col("rank").alias("place")),
+        (recall.phrase(chunks, "chunk_id", "content", asked, "needle", "words", k) if positions is None else phrase_top_k(positions, "chunk_id", asked, "needle", "words", k)).select("needle", "chunk_id", F.col("rank").alias("place")),
         literal_many(chunks, parts[1].select(F.col("phrase").alias("needle")), k).select("needle", "chunk_id", F.col("rank").alias("place")),
         names_many(symbols, parts[2].select(F.col("phrase").alias("needle"))).select("needle", "chunk_id", F.col("rank").alias("place")),
     ]

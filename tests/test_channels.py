@@ -103,3 +103,17 @@ def test_needles_are_found_in_one_pass_or_by_grams(spark, monkeypatch, block):
     assert {(r["chunk_id"], r["low"]): r["times"] for r in got.collect()} == want
     none = channels.occurrences(spark.createDataFrame(texts, "chunk_id long, text string"), "text", spark.createDataFrame([], "low string"))
     assert none.count() == 0
+
+
+def test_literal_recall_by_positions(spark):
+    from lodestone.operators import phrases
+
+    rows = [("a", "x", "must start with a slash"), ("b", "y", "it must start with one: must start with two and then very many other words follow"), ("c", "must", "must not start with"), ("d", None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, symbol_fqn string, content string")
+    symbols = spark.createDataFrame([("a", "starter")], "chunk_id string, name string")
+    asked = spark.createDataFrame([(1, 0, "Must start, with", True), (1, 1, "slash", True), (1, 2, "start", False)], "query int, position int, phrase string, strong boolean")
+    index = phrases.positions_of(chunks, "chunk_id", ["content"])
+    by_texts = {r["chunk_id"]: r["tier"] for r in channels.literal_recall(chunks, symbols, asked, "query").collect()}
+    found = channels.literal_recall(chunks, symbols, asked, "query", positions=index).orderBy("rank").collect()
+    assert {r["chunk_id"]: r["tier"] for r in found} == by_texts == {"a": 0, "b": 0}
+    assert [r["rank"] for r in found] == [1, 2]
