@@ -152,7 +152,11 @@ class StreamDedup:
 
 
 def deduplicate(spark: SparkSession, path: str, home: str | None = None, bytes_per_batch: int = 1 << 38) -> DataFrame:
-    """The decisions on all documents in the Parquet file or folder ``path``; with a ``home`` of an earlier call only new files are hashed."""
+    """The decisions on all documents in the Parquet file or folder ``path``; with a ``home`` of an earlier call only new files are hashed.
+
+    Streams read paths as patterns, so the names in ``path`` should hold none of ``[``, ``{``, ``*`` and ``?``. A batch takes files of
+    about ``bytes_per_batch`` together, one file at least.
+    """
     content = spark.read.parquet(path)
     # as a pattern, a path may be a file as well as a folder
     stream = spark.readStream.schema(content.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]")
