@@ -1,7 +1,7 @@
 """Words of texts that have no spaces: paths of highest probability through a lattice of dictionary words.
 
-The dictionary is a table of (word, n), counted from a corpus, and stays one: the substrings of all different runs are joined
-with it, so that its size does not matter. A run's words are the path of least cost, the cost of a word being the rounded
+The dictionary is a table of (word, n), counted from a corpus, and stays one: the different substrings of blocks of runs are
+joined with it, so that its size does not matter. A run's words are the path of least cost, the cost of a word being the rounded
 thousandfold of ln(total / n); of paths of equal cost the one with the longer last word counts, and so on backwards.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 #: Runs of characters that are written without spaces (fixed values), and the longest word in them.
 CJK_RUN, LONGEST = "[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]+", 4
 #: A longer run is cut after so many characters.
 RUN_MOST = 4096
+#: Characters of runs in a block, about, and bits of the map of the dictionary's words (2 MB).
+BLOCK_CHARS, BITS = 1 << 19, 1 << 24
 
 
 def counted_dictionary(texts: DataFrame, text: str, run: str = CJK_RUN, longest: int = LONGEST, least: int = 2) -> DataFrame:
@@ -27,35 +28,55 @@ def counted_dictionary(texts: DataFrame, text: str, run: str = CJK_RUN, longest:
     return grams.groupBy("word").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _best_words(runs: pd.Series, edges: pd.Series) -> pd.Series:
-    def words(run: str, into: list) -> list[str]:
-        best, back = [0], [0]
-        for pos, starts in enumerate(into, 1):
-            cost, start = min((best[e["start"]] + e["cost"], e["start"]) for e in starts["edges"])
-            best.append(cost)
-            back.append(start)
-        out, pos = [], len(run)
-        while pos:
-            out.append(run[back[pos] : pos])
-            pos = back[pos]
-        return out[::-1]
+def _may_hold(grams: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``grams`` (block, word) without those that a bitmap of ``BITS`` bits, whatever the dictionary's size, tells to be no words of it."""
+    bit = F.xxhash64("word").bitwiseAND(F.lit(BITS - 1))
+    bitmap = dictionary.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    rows = grams.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("bit", F.bitmap_bit_position(bit).cast("int"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bitmap), "bucket").where(F.get(F.array(*(F.lit(1 << i) for i in range(8))), F.col("bit") % 8).bitwiseAND(byte) != 0).select("block", "word")
 
-    return pd.Series([words(r, e) for r, e in zip(runs, edges, strict=True)], dtype=object)
+
+def _best_words(run: str, costs: dict[str, int], unknown: int, longest: int) -> list[str]:
+    best, back = [0], [0]
+    for end in range(1, len(run) + 1):
+        least = None
+        for start in range(max(end - longest, 0), end):
+            cost = costs.get(run[start:end], unknown if end - start == 1 else None)
+            if cost is not None and (least is None or best[start] + cost < least):
+                least, first = best[start] + cost, start
+        best.append(least)
+        back.append(first)
+    out, pos = [], len(run)
+    while pos:
+        out.append(run[back[pos] : pos])
+        pos = back[pos]
+    return out[::-1]
 
 
 def segmented_runs(runs: DataFrame, dictionary: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(run, words) for different ``runs`` (run) of at most ``RUN_MOST`` characters. A character that is no word counts as a word seen once."""
+    """(run, words) for different ``runs`` (run) of at most ``RUN_MOST`` characters. A character that is no word counts as a word seen once.
+
+    Runs are dealt to blocks of bounded size. Each different substring of a block that may be a word meets the dictionary once,
+    and a block gets back the words found in it: no substring carries its run.
+    """
     total = dictionary.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("total"))
     priced = dictionary.crossJoin(F.broadcast(total)).select("word", F.round(1000 * F.log(F.col("total") / F.col("n"))).cast("long").alias("cost"))
+    chars = runs.agg(F.sum(F.length("run"))).first()[0] or 0
+    dealt = runs.select(F.pmod(F.xxhash64("run"), F.lit(chars // BLOCK_CHARS + 1)).alias("block"), "run")
     size = F.length("run")
-    ends = runs.select("run", F.explode(F.sequence(F.lit(1), size)).alias("end"))
-    grams = ends.select("run", "end", F.explode(F.sequence(F.greatest(F.col("end") - longest, F.lit(0)), F.col("end") - 1)).alias("start")).withColumn("word", F.expr("substring(run, start + 1, end - start)"))
-    unknown = F.when(F.col("end") - F.col("start") == 1, F.round(1000 * F.log("total")).cast("long"))
-    edges = grams.join(priced, "word", "left").crossJoin(F.broadcast(total)).withColumn("cost", F.coalesce("cost", unknown)).where("cost IS NOT NULL")
-    into = edges.groupBy("run", "end").agg(F.collect_list(F.struct("start", "cost")).alias("edges"))
-    lattice = into.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("lattice"))
-    return lattice.select("run", _best_words("run", "lattice").alias("words"))
+    starts = dealt.select("block", "run", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    grams = starts.select("block", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1)), lambda n: F.substring("run", F.col("start"), n))).alias("word"))
+    known = _may_hold(grams, dictionary).distinct().join(priced, "word").select(F.col("block").alias("at"), "word", "cost")
+    unknown = F.round(1000 * F.log("total")).cast("long").alias("unknown")
+
+    def lattice(runs_: pd.DataFrame, known_: pd.DataFrame) -> pd.DataFrame:
+        costs = dict(zip(known_["word"], known_["cost"].tolist(), strict=True))
+        told = [(run, _best_words(run, costs, one, longest)) for run, one in zip(runs_["run"], runs_["unknown"].tolist(), strict=True)]
+        return pd.DataFrame(told, columns=["run", "words"])
+
+    priced_runs = dealt.crossJoin(F.broadcast(total)).select("block", "run", unknown)
+    return priced_runs.groupBy("block").cogroup(known.groupBy("at")).applyInPandas(lattice, "run string, words array<string>")
 
 
 def segmented(rows: DataFrame, key: list[str], text: str, dictionary: DataFrame, run: str = CJK_RUN, longest: int = LONGEST) -> DataFrame:
