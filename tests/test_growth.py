@@ -19,3 +19,17 @@ def test_substrings_do_not_carry_their_run(spark):
     told = words.segmented_runs(runs, dictionary)
     assert "collect_list" not in planned(told)
     assert {r["run"]: "".join(r["words"]) for r in told.collect()} == {"天地人和" * n: "天地人和" * n for n in range(1, 40)}
+
+
+def test_section_links_meet_each_symbol_once(spark):
+    rng = random.Random(5)
+    symbols = [(n, f"{rng.choice('abc')}.{rng.choice('xyz')}") for n in range(40)]
+    mentions = sorted({(n, rng.choice(["a.x", "b::y", "q.z", "x", "c.none", "b.y"])) for n in range(30) for _ in range(4)})
+    known = sorted({(rng.randint(0, 29), rng.randint(0, 39)) for _ in range(200)})
+    want = set()
+    for spec, mention in mentions:
+        exact = {i for i, f in symbols if f == mention}
+        want |= {(spec, i) for i in exact or {i for i, f in symbols if f.split(".")[-1] == mention.replace("::", ".").split(".")[-1]}}
+    got = tables.link_sections(spark.createDataFrame(mentions, "spec long, mention string"), spark.createDataFrame(symbols, "id long, fqn string"), spark.createDataFrame(known, "spec long, symbol long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want - set(known))
+    assert "Window" not in planned(got)
