@@ -49,12 +49,16 @@ def first_errors(errors: DataFrame) -> DataFrame:
 def first_members(symbols: DataFrame) -> DataFrame:
     """(path, fqn, member_line): of each class or struct the first line of a symbol that its name and its lines hold.
 
-    An equi join on the prefixes of names, each ending before a dot or colon.
+    Prefixes of names, each ending before a dot or colon, meet the holders of that name: in the order of lines, backwards, the
+    last member seen is the first from a holder's start on. Work grows with the rows, not with pairs of holders and members.
     """
-    holders = symbols.where(F.col("kind").isin(*SKELETONS)).select("path", "fqn", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    none = F.lit(None).cast("int")
+    holders = symbols.where(F.col("kind").isin(*SKELETONS)).select("path", "fqn", F.col("start_line").alias("at"), F.col("end_line").alias("to_line"), none.alias("line")).where("at IS NOT NULL").distinct()
     ends = F.filter(F.sequence(F.lit(1), F.length("fqn") - 1), lambda i: F.col("fqn").substr(i + 1, F.lit(1)).isin(".", ":"))
-    inner = symbols.where(F.length("fqn") > 1).select("path", F.col("start_line").alias("line"), F.explode(F.transform(ends, lambda i: F.col("fqn").substr(F.lit(1), i))).alias("fqn"))
-    return holders.join(inner, ["path", "fqn"]).where("line BETWEEN from_line AND to_line").groupBy("path", "fqn").agg(F.min("line").alias("member_line"))
+    inner = symbols.where(F.length("fqn") > 1).select("path", F.col("start_line").alias("at"), F.explode(F.transform(ends, lambda i: F.col("fqn").substr(F.lit(1), i))).alias("fqn")).distinct()
+    both = holders.unionByName(inner.select("path", "fqn", "at", none.alias("to_line"), F.col("at").alias("line")))
+    own = Window.partitionBy("path", "fqn").orderBy(F.desc("at"), F.col("line").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("line", F.min("line").over(own)).where("line <= to_line").groupBy("path", "fqn").agg(F.min("line").alias("member_line"))
 
 
 def _fallbacks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,6 +21,21 @@ def test_substrings_do_not_carry_their_run(spark):
     assert {r["run"]: "".join(r["words"]) for r in told.collect()} == {"天地人和" * n: "天地人和" * n for n in range(1, 40)}
 
 
+def test_first_members_without_pairs(spark):
+    rng = random.Random(3)
+    rows = [("p", f"C{rng.randint(0, 3)}", "class", a, a + rng.randint(0, 9)) for a in (rng.randint(1, 60) for _ in range(60))]
+    rows += [("p", f"C{rng.randint(0, 3)}.m{n}", "method", a, a) for n, a in enumerate(rng.randint(1, 60) for _ in range(40))]
+    rows += [("p", "C0", "class", None, 9), ("q", "C0", "class", 1, 60), ("p", "C9", "struct", 4, 4), ("p", "C9::x", "function", 4, 4)]
+    got = chunking.first_members(spark.createDataFrame(rows, "path string, fqn string, kind string, start_line int, end_line int"))
+    want = {}
+    for path, name, kind, a, b in rows:
+        lines = [s for p, f, _, s, _ in rows if p == path and f.startswith((name + ".", name + ":")) and a is not None and a <= s <= b] if kind in ("class", "struct") else []
+        if lines:
+            want[path, name] = min(lines + [want.get((path, name), 99)])
+    assert {(r["path"], r["fqn"]): r["member_line"] for r in got.collect()} == want
+    assert "Join" not in planned(got)
+
+
 def test_section_links_meet_each_symbol_once(spark):
     rng = random.Random(5)
     symbols = [(n, f"{rng.choice('abc')}.{rng.choice('xyz')}") for n in range(40)]
