@@ -36,6 +36,15 @@ def test_first_members_without_pairs(spark):
     assert "Join" not in planned(got)
 
 
+def test_whole_averages_stay_whole(spark):
+    times = [0.3, 2.7, 1.5, 0.6, 1.8, 2.5, 0.1, 0.1, 0.4, 0.0]
+    assert functools.reduce(operator.add, times) < 10  # in doubles, in this order
+    rows = [("a", "done", t, n) for n, t in enumerate(times)] + [("b", "done", 1e300, 1), ("b", "done", 3e300, 2), ("c", "failed", 1.0, 1)]
+    got = {r["g"]: r["avg_value"] for r in usage.run_stats(spark.createDataFrame(rows[:10] + rows[12:], "g string, s string, v double, t int").coalesce(1), "g", "s", "v", "t").collect()}
+    assert got == {"a": 1, "c": None}
+    assert usage.run_stats(spark.createDataFrame(rows[10:12], "g string, s string, v double, t int"), "g", "s", "v", "t").first()["avg_value"] == 2**63 - 1
+
+
 def test_section_links_meet_each_symbol_once(spark):
     rng = random.Random(5)
     symbols = [(n, f"{rng.choice('abc')}.{rng.choice('xyz')}") for n in range(40)]
