@@ -337,7 +337,8 @@ PYTHON_EDGES = [
 @query(_values(PYTHON_EDGES, ["edges"]))
 def python_references(spark, d):
     cases = _inputs(spark, d, PYTHON_EDGES, "text").withColumn("path", F.col("p_partkey").cast("string"))
-    found = parse.python_edges(cases).groupBy("path").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("target"))).alias(k) for k in ("extends", "imports", "calls")))
+    in_place = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "target")))).getField("target")
+    found = parse.python_edges(cases, placed=True).groupBy("path").agg(*(in_place(k).alias(k) for k in ("extends", "imports", "calls")))
     none = F.array().cast("array<string>")
     rows = cases.select("p_partkey", "path").join(found, "path", "left")
     told = [F.concat(F.lit(f"{k} "), F.when(F.size(F.coalesce(k, none)) == 0, "0").otherwise(F.array_join(k, " "))) for k in ("extends", "imports", "calls")]

@@ -45,6 +45,12 @@ def test_whole_averages_stay_whole(spark):
     assert usage.run_stats(spark.createDataFrame(rows[10:12], "g string, s string, v double, t int"), "g", "s", "v", "t").first()["avg_value"] == 2**63 - 1
 
 
+def test_edges_of_a_line_have_places(spark):
+    files = spark.createDataFrame([(f"p{n}", "f(g(h()), k())\nz()\n") for n in range(300)], "path string, text string").repartition(7)
+    got = parse.python_edges(files, placed=True).where("kind = 'calls'").orderBy(F.rand(1)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "target"))).getField("target").alias("t")).collect()
+    assert len(got) == 300 and {tuple(r["t"]) for r in got} == {("f", "g", "h", "k", "z")}
+
+
 def test_section_links_meet_each_symbol_once(spark):
     rng = random.Random(5)
     symbols = [(n, f"{rng.choice('abc')}.{rng.choice('xyz')}") for n in range(40)]
