@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, parse, tables, usage, words
+from lodestone.operators import chunking, intervals, parse, tables, usage, words
 
 
 def planned(rows):
@@ -63,3 +63,10 @@ def test_section_links_meet_each_symbol_once(spark):
     got = tables.link_sections(spark.createDataFrame(mentions, "spec long, mention string"), spark.createDataFrame(symbols, "id long, fqn string"), spark.createDataFrame(known, "spec long, symbol long"))
     assert sorted(map(tuple, got.collect())) == sorted(want - set(known))
     assert "Window" not in planned(got)
+
+
+def test_gaps_beside_repeated_ranges(spark):
+    ranges = [(f"o{n}", a, b) for n in range(500) for a, b in ((7, 16), (14, 15), (28, 43), (28, 43), (42, 64), (42, 72), (49, 58))]
+    rows = spark.createDataFrame(ranges, "path string, start_line int, end_line int").repartition(8)
+    got = intervals.gaps(rows, rows.select("path", F.lit(100).alias("total")).distinct())
+    assert sorted(map(tuple, got.collect())) == sorted((f"o{n}", a, b) for n in range(500) for a, b in ((1, 6), (17, 27), (73, 100)))
