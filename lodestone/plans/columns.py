@@ -270,7 +270,7 @@ def _supplier_files(spark: SparkSession, d: str) -> str:
     root = work_dir(spark)
     s = table(spark, d, "supplier")
     said = F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
-    s.select("s_nationkey", "s_suppkey", said.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey", "s_suppkey").text(f"{root}/files")
+    sinks.spread(s.select("s_nationkey", "s_suppkey", said.alias("value")), "s_nationkey", "s_suppkey").write.options(**sinks.MOVED_BY_TASKS).partitionBy("s_nationkey", "s_suppkey").text(f"{root}/files")
     s.select(said.alias("value")).coalesce(1).write.text(f"{root}/files/node_modules")
     return f"{root}/files"
 

@@ -47,10 +47,22 @@ def read_side_file(spark: SparkSession, path: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+#: Tasks move their own files into place, all at once; else the driver moves every file of the job, one after the other.
+MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+#: Small files that one task writes, about.
+FILES_A_TASK = 100
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` that become a file each, dealt to tasks by their number: by their bytes, which are few, Spark would take one task."""
+    return rows.repartition(rows.count() // FILES_A_TASK + 1, *by)
+
+
 def write_side_files(rows: DataFrame, root: str, key: str) -> None:
     """A side file for every row, in a folder named by its ``key`` (one row each), as JSON with sorted keys; the executors write them."""
     names = sorted(c for c in rows.columns if c != key)
-    rows.select(key, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(root)
+    values = rows.select(key, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"))
+    spread(values, key).write.options(**MOVED_BY_TASKS).mode("overwrite").partitionBy(key).text(root)
 
 
 def read_side_files(spark: SparkSession, root: str, key: str, schema: str) -> DataFrame:

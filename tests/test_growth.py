@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, intervals, parse, tables, usage, words
+from lodestone.sources import sinks
 
 
 def planned(rows):
@@ -70,3 +71,8 @@ def test_gaps_beside_repeated_ranges(spark):
     rows = spark.createDataFrame(ranges, "path string, start_line int, end_line int").repartition(8)
     got = intervals.gaps(rows, rows.select("path", F.lit(100).alias("total")).distinct())
     assert sorted(map(tuple, got.collect())) == sorted((f"o{n}", a, b) for n in range(500) for a, b in ((1, 6), (17, 27), (73, 100)))
+
+
+def test_small_files_are_dealt_by_their_number(spark):
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert sinks.spread(rows, "k").select(F.spark_partition_id().alias("p")).distinct().count() > 5
