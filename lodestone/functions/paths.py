@@ -81,10 +81,9 @@ def size_reason(path: Column, length: Column) -> Column:
 
 def is_binary(content: Column) -> Column:
     """Within the first 8 KiB: a NUL, or more than a tenth of control bytes other than tab, line feed and carriage return."""
-    head = F.hex(F.substring(content, 1, 8192))
-    pairs = F.regexp_extract_all(head, F.lit("(..)"), F.lit(1))
-    control = F.size(F.filter(pairs, lambda b: (b < "20") & ~b.isin("09", "0A", "0D")))
-    return F.array_contains(pairs, "00") | (control > 0.1 * F.size(pairs))
+    head = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")  # a character for each byte
+    control = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0B\x0C\x0E-\x1F]+", ""))
+    return F.contains(head, F.lit("\0")) | (control > 0.1 * F.length(head))
 
 
 def _is_one_of(name: Column, names: tuple[str, ...]) -> Column:

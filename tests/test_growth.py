@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import paths
 from lodestone.operators import chunking, intervals, parse, tables, usage, words
 from lodestone.sources import sinks
 
@@ -76,3 +77,9 @@ def test_gaps_beside_repeated_ranges(spark):
 def test_small_files_are_dealt_by_their_number(spark):
     rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
     assert sinks.spread(rows, "k").select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
+def test_binary_makes_no_row_of_pairs(spark):
+    cases = [(b"", False), (b"\t\n\r" * 9, False), (b"a\0", True), (bytes(range(32)), True), (b"\x01" + b"x" * 9, False), (b"\x01\x02" + b"x" * 9, True), (b"\x7f\x80\xff" * 9, False), (b"\r\n" * 4096 + b"\0", False), (None, None)]
+    got = spark.createDataFrame(cases, "v binary, want boolean").select("want", paths.is_binary(F.col("v")).alias("got"))
+    assert all(r["want"] == r["got"] for r in got.collect()) and "regexp_extract_all" not in planned(got)
