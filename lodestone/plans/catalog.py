@@ -693,11 +693,19 @@ SELECT query_id, item.chunk AS chunk_id, CAST(position AS INT) AS position, item
 """
 
 
+def _fused(spark, d):
+    """The fused lists, kept as a table, and the documents in them, so that no text is cut or counted that no list holds."""
+    folder = f"{work_dir(spark)}/fused"
+    fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id").select("query_id", "doc_id", "rrf_score").write.parquet(folder)
+    fused = spark.read.parquet(folder)
+    return fused, table(spark, d, "documents").join(fused.select("doc_id"), "doc_id", "left_semi")
+
+
 @query(PACKED_SQL)
 def packing_assemble(spark, d):
-    fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
+    fused, found = _fused(spark, d)
     head = F.array_join(F.slice(F.split("text", "\n"), 1, 15), "\n")
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), text.estimate_tokens(F.col("text")).alias("tokens"), text.estimate_tokens(head).alias("head_tokens"))
+    docs = found.select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), text.estimate_tokens(F.col("text")).alias("tokens"), text.estimate_tokens(head).alias("head_tokens"))
     rows = fused.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "path", "kind", F.lit(2).alias("tier"), (25 * F.col("rrf_score")).alias("score"), "tokens", "head_tokens")
     return packing.assemble(rows)
 
@@ -720,8 +728,8 @@ for _old, _new in (
 
 @query(FORMS_SQL)
 def packing_forms(spark, d):
-    fused = fusion.reciprocal_rank_fusion(_lists(spark, d), "query_id", "doc_id")
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), "text", text.estimate_tokens(F.col("text")).alias("tokens"))
+    fused, found = _fused(spark, d)
+    docs = found.select("doc_id", F.col("source").alias("path"), F.lit("code").alias("kind"), "text", text.estimate_tokens(F.col("text")).alias("tokens"))
     rows = fused.join(packing.with_forms(docs, "text", heads=(40, 15, 5)).drop("text"), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "path", "kind", F.lit(2).alias("tier"), (25 * F.col("rrf_score")).alias("score"), "tokens", "forms")
     return packing.assemble(rows)
 

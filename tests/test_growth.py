@@ -7,7 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, intervals, parse, tables, usage, words
+from lodestone.operators import chunking, intervals, parse, recall, tables, usage, words
+from lodestone.plans import catalog
 from lodestone.sources import sinks
 
 
@@ -83,3 +84,22 @@ def test_binary_makes_no_row_of_pairs(spark):
     cases = [(b"", False), (b"\t\n\r" * 9, False), (b"a\0", True), (bytes(range(32)), True), (b"\x01" + b"x" * 9, False), (b"\x01\x02" + b"x" * 9, True), (b"\x7f\x80\xff" * 9, False), (b"\r\n" * 4096 + b"\0", False), (None, None)]
     got = spark.createDataFrame(cases, "v binary, want boolean").select("want", paths.is_binary(F.col("v")).alias("got"))
     assert all(r["want"] == r["got"] for r in got.collect()) and "regexp_extract_all" not in planned(got)
+
+
+def test_pairs_of_query_and_chunk_are_not_shuffled(spark, tmp_path):
+    chunks = spark.createDataFrame([(n, "the the K\u212a " + "abc"[n % 3] if n else None, f"S{n % 2}") for n in range(60)], "k long, text string, name string")
+    index = recall.index_of(chunks, "k", {"text": 1.0, "name": 5.0})
+    assert "Aggregate" not in planned(index.postings)
+    assert {r["term"]: r["f"] for r in index.postings.where("k = 1").collect()} == {"the": 2, "k": 1, "b": 1, "s1": 5}
+    recall.write_index(index, str(tmp_path))
+    stored = recall.read_index(spark, str(tmp_path))
+    assert tuple(stored.stats.first()) == (60, (59 * 5 + 1) / 60)
+    asked = spark.createDataFrame([(q, f"the {c}") for q, c in enumerate("abc")], "q long, asked string")
+    best = recall.bm25_best(recall.bm25_scores(stored, "k", asked, "q", "asked"), "k", "q", 2)
+    assert sorted((r["q"], r["k"]) for r in best.collect()) == [(0, 3), (0, 6), (1, 1), (1, 4), (2, 2), (2, 5)]
+    scores = recall.bm25_scores(stored, "k", asked, "q", "asked")
+    assert "hashpartitioning(q#" not in scores.select("k", "score")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_only_fused_texts_are_packed(spark, sf):
+    assert "LeftSemi" in planned(catalog._fused(spark, sf)[1])
