@@ -73,18 +73,28 @@ def overrides(methods: DataFrame, extends: DataFrame, folder: str) -> DataFrame:
     return hit.withColumn("least", F.min("distance").over(nearest)).where("distance = least").select("method", "overridden", "distance", F.lit("synthesized").alias("provenance")).distinct()
 
 
-def pointer_targets(assignments: DataFrame, functions: DataFrame, folder: str, hub: int = HUB) -> DataFrame:
-    """(path, variable, function): what each variable of a file may point to.
+def pointer_targets(assignments: DataFrame, functions: DataFrame, folder: str, hub: int = HUB, wanted: DataFrame | None = None) -> DataFrame:
+    """(path, variable, function): what each variable of a file may point to, or, with ``wanted`` (path, name), each of these.
 
     ``assignments`` (path, variable, value) assigns a function or another variable; ``functions`` (path, name) are the functions
     that a file can see. A value that is both names the function. Aliases are followed to the end, in any order of statements.
+    Facts are found for the variables alone that a wanted one may get them from, which a walk against the aliases tells first.
     """
     key = lambda name: F.concat_ws("\0", "path", name)
-    rows = assignments.select("path", "variable", "value").distinct()
+    rows = assignments.select("path", "variable", "value")
+    if wanted is not None:
+        rows = rows.join(wanted.select("path").distinct(), "path", "left_semi")
+    rows = rows.distinct()
     known = functions.select("path", F.col("name").alias("value")).distinct()
     direct = rows.join(known, ["path", "value"], "left_semi").select(key("variable").alias("node"), F.col("value").alias("item"))
     alias = rows.join(known, ["path", "value"], "left_anti").select(key("value").alias("node"), key("variable").alias("next"))
+    if wanted is not None:
+        back = alias.select(F.col("next").alias("node"), F.col("node").alias("next"))
+        needed = reach(wanted.select(key("name").alias("node"), F.lit(1).alias("item")), back, folder, hub).select("node")
+        direct, alias = direct.join(needed, "node", "left_semi"), alias.join(needed.select(F.col("node").alias("next")), "next", "left_semi")
     found = reach(direct, alias, folder, hub)
+    if wanted is not None:
+        found = found.join(wanted.select(key("name").alias("node")).distinct(), "node", "left_semi")
     cut = F.split("node", "\0")
     return found.select(F.element_at(cut, 1).alias("path"), F.element_at(cut, 2).alias("variable"), F.col("item").alias("function"))
 
@@ -95,8 +105,9 @@ def pointer_calls(calls: DataFrame, assignments: DataFrame, functions: DataFrame
     A call of a variable goes to every function that it may point to, as synthesized edges; one of a variable that points to
     nothing known is unresolved, with its name as target; any other call is parsed as it stands.
     """
-    targets = pointer_targets(assignments, functions, folder, hub).withColumnRenamed("variable", "name")
-    pointers = assignments.select("path", F.col("variable").alias("name"), F.lit(True).alias("pointer")).distinct()
+    wanted = calls.select("path", "name").distinct()
+    targets = pointer_targets(assignments, functions, folder, hub, wanted).withColumnRenamed("variable", "name")
+    pointers = assignments.select("path", F.col("variable").alias("name")).join(wanted, ["path", "name"], "left_semi").distinct().withColumn("pointer", F.lit(True))
     seen = calls.select("path", "owner", "line", "name").join(pointers, ["path", "name"], "left").join(targets, ["path", "name"], "left")
     kind = F.when(F.col("function").isNotNull(), "synthesized").when(F.col("pointer"), "unresolved").otherwise("parsed")
     return seen.select("path", "owner", "line", F.coalesce("function", "name").alias("target"), kind.alias("provenance"))

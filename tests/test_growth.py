@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, intervals, parse, recall, tables, usage, words
+from lodestone.operators import chunking, fixpoint, intervals, parse, recall, tables, usage, words
 from lodestone.plans import catalog
 from lodestone.sources import sinks
 
@@ -103,3 +103,13 @@ def test_pairs_of_query_and_chunk_are_not_shuffled(spark, tmp_path):
 
 def test_only_fused_texts_are_packed(spark, sf):
     assert "LeftSemi" in planned(catalog._fused(spark, sf)[1])
+
+
+def test_pointers_that_no_call_needs_are_not_followed(spark, tmp_path):
+    assigned = [("p", "a", "b"), ("p", "b", "c"), ("p", "c", "g"), ("p", "c", "a"), ("p", "w", "a"), ("q", "a", "g"), ("q", "v", "a")]
+    calls = [("p", "o", 1, "a"), ("p", "o", 2, "h"), ("p", "o", 3, "g")]
+    functions = spark.createDataFrame([("p", "g"), ("q", "g")], "path string, name string")
+    got = fixpoint.pointer_calls(spark.createDataFrame(calls, "path string, owner string, line int, name string"), spark.createDataFrame(assigned, "path string, variable string, value string"), functions, str(tmp_path))
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(1, "g", "synthesized"), (2, "h", "parsed"), (3, "g", "parsed")]
+    met = {r["node"] for r in spark.read.parquet(f"{tmp_path}/reach-*/round-*").select("node").collect()}
+    assert {"p\0a", "p\0b", "p\0c"} <= met and not met & {"p\0w", "q\0a", "q\0v"}
