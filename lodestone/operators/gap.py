@@ -49,7 +49,9 @@ def closures(named: DataFrame, packed: DataFrame, pool: DataFrame, symbols: Data
 
     held = symbols.where("chunk_id is not null").select("chunk_id", dotted("fqn").alias("full"), F.explode(_prefixes(F.col("fqn"))).alias("name")).where("name <> full")
     whole = packed.where("symbol_fqn is not null").select("query_id", dotted("symbol_fqn").alias("full"))
-    members = anchors.join(held, "name").join(whole, ["query_id", "full"], "left_anti").select("query_id", "anchor", "chunk_id").distinct().join(wanted.select("query_id", "chunk_id", "position"), ["query_id", "chunk_id"])
+    # a query's own chunks meet its anchors: a container's members times the queries that name it would be a product
+    members = wanted.select("query_id", "chunk_id", "position").join(anchors.select("query_id").distinct(), "query_id", "left_semi").join(held, "chunk_id").join(anchors, ["query_id", "name"])
+    members = members.join(whole, ["query_id", "full"], "left_anti").select("query_id", "anchor", "chunk_id", "position").distinct()
     members = first(members, ["query_id", "anchor"], ["position", "chunk_id"], MEMBERS_MOST)
     found = found.unionByName(members.select("query_id", (1000 + F.col("anchor")).alias("group_no"), "chunk_id", F.col("position").alias("order_key")))
 

@@ -2,13 +2,15 @@
 
 import functools
 import operator
+import os
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, fixpoint, intervals, parse, recall, tables, usage, words
-from lodestone.plans import catalog
+from lodestone.operators import chunking, fixpoint, gap, intervals, parse, recall, tables, usage, words
+from lodestone.plans import catalog, operations
 from lodestone.sources import sinks
 
 
@@ -113,3 +115,25 @@ def test_pointers_that_no_call_needs_are_not_followed(spark, tmp_path):
     assert sorted(tuple(r)[2:] for r in got.collect()) == [(1, "g", "synthesized"), (2, "h", "parsed"), (3, "g", "parsed")]
     met = {r["node"] for r in spark.read.parquet(f"{tmp_path}/reach-*/round-*").select("node").collect()}
     assert {"p\0a", "p\0b", "p\0c"} <= met and not met & {"p\0w", "q\0a", "q\0v"}
+
+
+def test_members_of_containers_are_no_product(spark):
+    named = spark.createDataFrame([(q, 0, "m") for q in range(3)], "query_id long, position long, token string")
+    packed = spark.createDataFrame([(q, 1, "k0", "m.a") for q in range(3)], "query_id long, position long, chunk_id string, symbol_fqn string")
+    pool = spark.createDataFrame([(q, n + 1, f"k{n}", None) for q in range(3) for n in range(4)], "query_id long, position long, chunk_id string, export_of string")
+    symbols = spark.createDataFrame([("m.a", "k0"), ("m.b", "k1"), ("n.c", "k2"), ("m.b.d", "k3")], "fqn string, chunk_id string")
+    edges = spark.createDataFrame([], "source string, target string, kind string, line int")
+    found = gap.closures(named, packed, pool, symbols, edges, spark.createDataFrame([], "spec string, symbol string"))
+    assert sorted((r["query_id"], r["group_no"], r["chunk_id"], r["order_key"]) for r in found.collect()) == [(q, 1001, f"k{n}", n + 1) for q in range(3) for n in (1, 3)]
+    assert not re.search(r"Join Inner, \(name#\d+ = name#\d+\)", planned(found))
+
+
+def test_streamed_changes_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(operations, "work_dir", lambda *_: str(tmp_path))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        operations.streamed_changes(spark, "/root/testdata/sf0.1").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len([f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")]) > 3
