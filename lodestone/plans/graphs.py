@@ -49,8 +49,12 @@ def scope_resolution(spark, d):
 
     orders = table(spark, d, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("path"), F.col("o_orderkey").alias("k"))
     o = orders.withColumn("s", 10_000 * F.row_number().over(Window.partitionBy("path").orderBy("k")))
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min(F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"), F.col("l_quantity").alias("quantity"))).alias("first"))
-    line = o.join(lines, "k").select("path", "k", "n", (F.col("s") + 1000 * F.col("n")).alias("s"), "first.*")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"), F.col("l_quantity").alias("quantity")).alias("first"))
+    lines = lines.repartition("k").groupBy("k", "n").agg(F.min("first").alias("first"))
+    # read for scopes, declarations, mutations and references, so the join is done once
+    folder = f"{work_dir(spark)}/lines"
+    lines.join(o, "k").select("path", "k", "n", (F.col("s") + 1000 * F.col("n")).alias("s"), "first.*").write.parquet(folder)
+    line = spark.read.parquet(folder)
     name = lambda c, m=11: F.concat(F.lit("n"), F.col(c) % m)
     in_order, in_line = F.concat(F.lit("o"), "k"), F.concat(F.lit("l"), "k", F.lit("."), "n")
     of_file = lambda c: F.concat("path", F.lit("::"), c)

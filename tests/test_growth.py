@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, fixpoint, gap, intervals, parse, recall, tables, usage, words
+from lodestone.operators import chunking, fixpoint, gap, intervals, parse, recall, scopes, tables, usage, words
 from lodestone.plans import catalog, operations
 from lodestone.sources import sinks
 
@@ -144,3 +144,12 @@ def test_phrases_are_met_by_pairs_of_words(spark):
     got = recall.phrase(chunks, "k", "text", spark.createDataFrame([(7, "a b c"), (8, "a"), (9, "b b")], "q long, asked string"), "q", "asked")
     assert sorted((r["q"], r["k"], r["times"]) for r in got.collect()) == [(7, 0, 1), (7, 2, 2), (9, 5, 1)]
     assert re.search("zip_?with", planned(got).lower())
+
+
+def test_a_place_is_looked_up_once_however_deep_its_scopes(spark):
+    scope = spark.createDataFrame([("f", f"s{n:02}", n, 200 - n) for n in range(60)] + [("f", "t", 100, 100), ("g", "s00", 0, 9)], "path string, scope string, start int, end int")
+    names = spark.createDataFrame([("f", f"s{n:02}", "x", n) for n in range(0, 60, 2)] + [("f", "t", "x", 99), ("g", "s00", "x", None)], "path string, scope string, name string, value int")
+    places = [("f", 1, 100, "x", 2), ("f", 2, 101, "x", 99), ("f", 3, 55, "x", 59), ("f", 4, 200, "x", 1), ("f", 5, 201, "x", None), ("f", 6, 3, "y", None), ("g", 1, 9, "x", 7), ("h", 1, 9, "x", 7), (None, 1, 1, None, 1)]
+    got = scopes.innermost(spark.createDataFrame(places, "path string, ref int, at int, root string, more int"), scope, names)
+    assert {(r["path"], r["ref"]): (r["more"], r["value"]) for r in got.collect()} == {("f", 1): (2, 99), ("f", 2): (99, 58), ("f", 3): (59, 54), ("f", 4): (1, 0), ("f", 5): (None, None), ("f", 6): (None, None), ("g", 1): (7, None), ("h", 1): (7, None), (None, 1): (1, None)}
+    assert planned(got).count("Join") == 1
