@@ -6,6 +6,7 @@ caller's folder, which cuts lineage. A fact is never found twice, so cycles end
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -59,18 +60,53 @@ def ancestors(extends: DataFrame, folder: str) -> DataFrame:
     return found.select(F.col("node").alias("class"), F.col("item").alias("ancestor"), "distance")
 
 
-def overrides(methods: DataFrame, extends: DataFrame, folder: str) -> DataFrame:
+def overrides(methods: DataFrame, extends: DataFrame, folder: str, rounds: int = 1000) -> DataFrame:
     """(method, overridden, distance, provenance): methods against those of the same name and arity in the classes above.
 
     ``methods`` has method, class, name, arity; of several ways up the shortest counts. Only the nearest classes that have such a
     method are told: what lies above them is theirs to override. A method never overrides itself or one of its own class.
+
+    A class climbs a level a round. After levels 1, 2, 4, 8 and so on the methods that are still open meet the methods of the levels
+    since then; a method that was met is done, and a class climbs on only while it has open ones. So a method joins the classes up to
+    about twice the distance of the nearest, not all above it.
     """
-    up = ancestors(extends, folder).where(F.col("class") != F.col("ancestor"))
-    own = methods.select("method", F.col("class").cast("string").alias("class"), "name", "arity")
+    spark, top = methods.sparkSession, f"{folder}/overrides-{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{top}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{top}/{name}")
+
+    up = kept(extends.select(F.col("class").cast("string").alias("class"), F.col("base").cast("string").alias("base")).where("class IS NOT NULL AND base IS NOT NULL AND class <> base").distinct(), "extends")
+    own = kept(methods.select("method", F.col("class").cast("string").alias("class"), "name", "arity").distinct(), "methods")
     above = own.select(F.col("method").alias("overridden"), F.col("class").alias("ancestor"), "name", "arity")
-    hit = own.join(up, "class").join(above, ["ancestor", "name", "arity"])
-    nearest = Window.partitionBy("method")
-    return hit.withColumn("least", F.min("distance").over(nearest)).where("distance = least").select("method", "overridden", "distance", F.lit("synthesized").alias("provenance")).distinct()
+    step = up.select(F.col("class").alias("ancestor"), F.col("base").alias("next"))
+    open_, found, levels, since = own, [], [], []
+    level = up.select("class", F.col("base").alias("ancestor")).join(own.select("class"), "class", "left_semi").withColumn("distance", F.lit(1))
+    for number in range(1, rounds + 1):
+        level = kept(level, f"level-{number:04d}")
+        last = level.isEmpty()
+        if not last:
+            levels.append(level)
+            since.append(level)
+        if since and (last or number & (number - 1) == 0):
+            met = open_.join(functools.reduce(DataFrame.unionByName, since), "class").join(above, ["ancestor", "name", "arity"]).select("method", "overridden", "distance")
+            met = kept(met.withColumn("least", F.min("distance").over(Window.partitionBy("method"))).where("distance = least").drop("least").distinct(), f"met-{number:04d}")
+            found.append(met)
+            since = []
+            if not last:
+                open_ = kept(open_.join(met.select("method"), "method", "left_anti"), f"open-{number:04d}")
+                level = level.join(open_.select("class"), "class", "left_semi")
+        if last:
+            break
+        # a level's classes climb on to what they have not reached yet, and not back to themselves
+        level = level.join(step, "ancestor").select("class", F.col("next").alias("ancestor")).where("class <> ancestor").distinct()
+        known = functools.reduce(DataFrame.unionByName, levels).select("class", "ancestor")
+        level = level.join(known, ["class", "ancestor"], "left_anti").withColumn("distance", F.lit(number + 1))
+    else:
+        raise RuntimeError(f"classes still climb after {rounds} rounds")
+    none = own.select("method", F.col("method").alias("overridden"), F.lit(1).alias("distance")).limit(0)
+    every = functools.reduce(DataFrame.unionByName, found) if found else none
+    return every.select("method", "overridden", "distance", F.lit("synthesized").alias("provenance"))
 
 
 def pointer_targets(assignments: DataFrame, functions: DataFrame, folder: str, hub: int = HUB, wanted: DataFrame | None = None) -> DataFrame:

@@ -164,3 +164,25 @@ def test_phrases_meet_chunks_by_grams(spark):
     found = phrases.occurrences(index, "k", spark.createDataFrame(asked, "q long, asked string"), "q", "asked")
     assert {(r["q"], r["k"]): (r["times"], r["length"]) for r in found.collect()} == {(1, 1): (2, 9), (1, 2): (5, 10), (1, 3): (1, 9), (2, 2): (4, 10), (3, 2): (2, 10), (4, 1): (1, 9), (5, 1): (1, 9)}
     assert planned(found).count("Join") == 2
+
+
+def test_methods_climb_to_the_nearest_alone(spark, tmp_path):
+    rng = random.Random(9)
+    extends = sorted({(f"c{n}", f"c{rng.randint(max(0, n - 9), n + 2)}") for n in range(1, 40) for _ in range(2)})
+    methods = [(f"c{n}.{m}/{a}", f"c{n}", m, a) for n in range(40) for m in "fg" for a in (0, 1) if n < 2 or rng.random() < 0.3]
+    methods += [("twice", "c39", "f", 0), ("twice", "c20", "f", 0), ("twice", "c20", "f", 0), ("none", None, "f", 0)]
+    ways = {}
+    for c in {c for c, _ in extends}:
+        near, distance = {c}, 0
+        while near:
+            distance += 1
+            near = {b for a, b in extends if a in near and a != b} - {b for x, b in ways if x == c} - {c}
+            ways |= {(c, b): distance for b in near}
+    hits = [(m, o, ways[c, b]) for m, c, n, a in methods for o, b, x, y in methods if (c, b) in ways and (n, a) == (x, y)]
+    want = {h for h in hits if h[2] == min(d for m, _, d in hits if m == h[0])}
+    got = fixpoint.overrides(spark.createDataFrame(methods, "method string, class string, name string, arity int"), spark.createDataFrame([*extends, ("c3", None)], "class string, base string"), str(tmp_path))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(want)
+    # classes whose methods all have their nearest climb no further
+    chain = [(f"k{n}", f"k{n - 1}") for n in range(1, 30)]
+    fixpoint.overrides(spark.createDataFrame([(f"k{n}.f", f"k{n}", "f", 0) for n in range(30)], "method string, class string, name string, arity int"), spark.createDataFrame(chain, "class string, base string"), f"{tmp_path}/chain").count()
+    assert spark.read.parquet(f"{tmp_path}/chain/overrides-*/level-*").count() == 29
