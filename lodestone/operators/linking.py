@@ -55,16 +55,21 @@ def module_paths(source_file: Column, module: Column) -> Column:
         .when(step == "..", F.slice(have, F.lit(1), F.size(have) - 1))
         .otherwise(F.array_append(have, step)),
     )
-    base = F.array_join(walked, "/")
-    suffix = F.regexp_extract(base, r"(?<=[^/.])(\.[^./]*)$", 1)
-    stem = base.substr(F.lit(1), F.length(base) - F.length(suffix))
-    bare = F.array(base, *(F.concat(base, F.lit(s)) for s in SUFFIXES), *(F.concat(base, F.lit("/index" + s)) for s in SUFFIXES))
-    out = F.when(suffix == "", bare)
-    for ending, original in COMPILED.items():
-        out = out.when(suffix == ending, F.array(base, F.concat(stem, F.lit(original))))
-    out = out.otherwise(F.array(base))
-    fits = module.rlike(r"^\.\.?/") & ~module.rlike(r"[\\?#%\x00]") & (F.coalesce(F.try_element_at(walked, F.lit(1)), F.lit("..")) != "..")
-    return F.when(fits, out).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def tried(at: Column) -> Column:
+        base, suffix = at["base"], at["suffix"]
+        stem = base.substr(F.lit(1), F.length(base) - F.length(suffix))
+        out = F.when(suffix == "", F.array(base, *(F.concat(base, F.lit(s)) for s in SUFFIXES), *(F.concat(base, F.lit("/index" + s)) for s in SUFFIXES)))
+        for ending, original in COMPILED.items():
+            out = out.when(suffix == ending, F.array(base, F.concat(stem, F.lit(original))))
+        return F.when(at["first"] != "..", out.otherwise(F.array(base))).otherwise(none)
+
+    # each step is bound to a variable, so that a path is walked once however often it is used
+    bound = F.transform(F.array(walked), lambda w: F.struct(F.array_join(w, "/").alias("base"), F.coalesce(F.try_element_at(w, F.lit(1)), F.lit("..")).alias("first")))
+    bound = F.transform(bound, lambda w: F.struct(w["base"].alias("base"), w["first"].alias("first"), F.regexp_extract(w["base"], r"(?<=[^/.])(\.[^./]*)$", 1).alias("suffix")))
+    fits = module.rlike(r"^\.\.?/") & ~module.rlike(r"[\\?#%\x00]")
+    return F.when(fits, F.get(F.transform(bound, tried), F.lit(0))).otherwise(none)
 
 
 def _module_symbols(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,7 +86,8 @@ def _module_symbols(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Da
 def resolve_modules(refs: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     """(ref, fqn) of references (ref, target, source_file, kind) to ES modules, re-exports followed for at most eight symbols.
 
-    Where each exported name leads is worked out once for all references; then the references step along that table together.
+    Where each exported name leads is worked out once, and so is each different target of a file and kind; these step along that table
+    together, and the references take what their target led to.
     Nothing is resolved where a file, a symbol or a re-export is not the only one, where names go in a circle, at a boundary
     (calls only), or where a call ends at something that cannot be called.
     """
@@ -95,7 +101,10 @@ def resolve_modules(refs: DataFrame, symbols: DataFrame, files: DataFrame, edges
     fences = edges.where("kind = 'binding_boundary'").select(F.col("source").alias("fqn"), F.lit(True).alias("fenced")).distinct()
     kinds = symbols.groupBy("fqn").agg(F.min("kind").alias("symbol_kind"))
     about = kinds.join(links, "fqn", "left").join(fences, "fqn", "left")
-    rows = _module_symbols(refs, symbols, files).join(refs.select("ref", "kind"), "ref").select("ref", "kind", "fqn", F.lit(False).alias("done"))
+    # one row for each different target, file and kind
+    asked = refs.select("target", "source_file", "kind").where("target IS NOT NULL AND source_file IS NOT NULL").distinct()
+    asked = asked.withColumn("ref", F.struct("target", "source_file", "kind"))
+    rows = _module_symbols(asked, symbols, files).select("ref", F.col("ref.kind").alias("kind"), "fqn", F.lit(False).alias("done"))
     for _ in range(STEPS):
         at = rows.join(about, "fqn", "left")
         stopped = F.coalesce(F.col("fenced"), F.lit(False)) & (F.col("kind") == "calls")
@@ -103,7 +112,8 @@ def resolve_modules(refs: DataFrame, symbols: DataFrame, files: DataFrame, edges
         right = (F.col("kind") != "calls") | F.col("symbol_kind").isin(*CALLABLE)
         fqn = F.when(F.col("done"), F.col("fqn")).when(stopped, None).when(ends & right, F.col("fqn")).when(ends, None).otherwise(F.col("next"))
         rows = at.select("ref", "kind", fqn.alias("fqn"), (F.col("done") | (~stopped & ends & right)).alias("done")).where("fqn IS NOT NULL")
-    return rows.where("done").select("ref", "fqn")
+    led = rows.where("done").select("ref.*", "fqn").withColumnRenamed("kind", "of_kind")
+    return refs.join(led, ["target", "source_file"]).where(F.col("kind").eqNullSafe(F.col("of_kind"))).select("ref", "fqn")
 
 
 def member_calls(targets: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, fixpoint, gap, intervals, parse, phrases, recall, scopes, tables, usage, words
+from lodestone.operators import chunking, fixpoint, gap, intervals, linking, parse, phrases, recall, scopes, tables, usage, words
 from lodestone.plans import catalog, operations
 from lodestone.sources import sinks
 
@@ -186,3 +186,14 @@ def test_methods_climb_to_the_nearest_alone(spark, tmp_path):
     chain = [(f"k{n}", f"k{n - 1}") for n in range(1, 30)]
     fixpoint.overrides(spark.createDataFrame([(f"k{n}.f", f"k{n}", "f", 0) for n in range(30)], "method string, class string, name string, arity int"), spark.createDataFrame(chain, "class string, base string"), f"{tmp_path}/chain").count()
     assert spark.read.parquet(f"{tmp_path}/chain/overrides-*/level-*").count() == 29
+
+
+def test_modules_are_resolved_once_for_each_target(spark):
+    refs = spark.createDataFrame([(n, f"js:./a{n % 2}#x" if n else None, "m.ts", [None, "calls", "reads"][n % 3]) for n in range(60)], "ref int, target string, source_file string, kind string")
+    symbols = spark.createDataFrame([("a0.ts::x", "x", "a0.ts", "variable", True), ("a1.ts::x", "x", "a1.ts", "function", True)], "fqn string, name string, file_path string, kind string, is_exported boolean")
+    edges = spark.createDataFrame([], "source string, target string, kind string, provenance string")
+    got = linking.resolve_modules(refs, symbols, symbols.select(F.col("file_path").alias("path")), edges)
+    assert {r["ref"]: r["fqn"] for r in got.collect()} == {n: f"a{n % 2}.ts::x" for n in range(1, 60) if n % 2 or n % 3 == 2}
+    assert re.search(r"Aggregate \[target#\d+, source_file#\d+, kind#\d+\]", planned(got))
+    paths_ = refs.select(linking.module_paths(F.col("source_file"), F.col("target")).alias("p"))
+    assert planned(paths_).count("aggregate(") == 1
