@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, fixpoint, gap, intervals, linking, parse, phrases, recall, scopes, tables, usage, words
+from lodestone.operators import chunking, fixpoint, gap, intervals, linking, parse, phrases, recall, rendering, scopes, tables, usage, words
 from lodestone.plans import catalog, operations
 from lodestone.sources import sinks
 
@@ -197,3 +197,22 @@ def test_modules_are_resolved_once_for_each_target(spark):
     assert re.search(r"Aggregate \[target#\d+, source_file#\d+, kind#\d+\]", planned(got))
     paths_ = refs.select(linking.module_paths(F.col("source_file"), F.col("target")).alias("p"))
     assert planned(paths_).count("aggregate(") == 1
+
+
+def test_lines_are_taken_from_anchors(spark):
+    rng = random.Random(4)
+    rows = [(n, "\n".join(rng.choice(["alpha", "Beta", "x"]) for _ in range(rng.randint(1, 60))), rng.randint(0, 50), rng.choice(["", "beta", "see p.py:30 and p.py:41", "alpha p.py:9"]), [rng.randint(0, 90) for _ in range(rng.randint(0, 9))]) for n in range(200)]
+    frame = spark.createDataFrame(rows, "n int, content string, start int, query string, calls array<int>")
+    for most in (3, 5, 12):
+        shown = frame.select("n", rendering.focused(F.col("content"), F.col("start"), F.col("query"), F.lit("p.py"), F.col("calls"), most).alias("f"))
+        got = {r["n"]: [i for s in r["f"] for i in range(s["start"], s["end"] + 1)] for r in shown.collect()}
+        for n, content, start, query, calls in rows:
+            lines, head = content.split("\n"), min(4, most)
+            held = [i for i, x in enumerate(lines) if i >= head and any(w in x.lower() for w in re.findall("[a-z]{3,}", query))][:8]
+            anchors = [a for a in dict.fromkeys([int(x) - start for x in re.findall(r"p\.py:(\d+)", query)] + [c - start for c in calls[:8]] + held) if head <= a < len(lines)]
+            near = sorted((min((i, p) for i, a in enumerate(anchors) for p, at in enumerate((0, -1, 1, -2, 2, -3, 3)) if a + at == x), x) for x in range(head, len(lines)) if any(abs(x - a) <= 3 for a in anchors))
+            kept = sorted([*range(head), *(x for _, x in near)][:most])
+            want = range(len(lines)) if len(lines) <= most else kept if len(kept) > head else range(most)
+            assert got[n] == [start + x for x in want]
+    # no line is held against all anchors
+    assert "array_position" not in planned(shown)
