@@ -99,8 +99,8 @@ def expand_twice(edges: DataFrame, seeds: DataFrame, limit: int = 12, query_key:
     return top.select("node", "middle", F.row_number().over(Window.orderBy("seed_rank", "middle", "node")).alias("position"))
 
 
-def _ranked_calls(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls by caller and by callee, each with its place.
+def _ranked_calls(edges: DataFrame, symbols: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls by caller and by callee, each with its place, of ``wanted`` (fqn) alone; others are not ranked.
 
     Callees: private functions of the project, then its others, then what lies outside; then by line and name. Callers: symbols
     that nothing calls and that are exported, then other exported ones, then by name.
@@ -111,10 +111,11 @@ def _ranked_calls(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Data
     private = F.startswith(name, F.lit("_")) & ~(F.startswith(name, F.lit("__")) & F.endswith(name, F.lit("__")))
     local = F.coalesce("local", F.lit(False))
     level = F.when(~local, 2).when(private, 0).otherwise(1)
-    out = calls.join(known.withColumnRenamed("fqn", "target"), "target", "left").withColumn("level", level)
+    of = lambda side: calls.join(wanted.select(F.col("fqn").alias(side)), side, "left_semi")
+    out = of("source").join(known.withColumnRenamed("fqn", "target"), "target", "left").withColumn("level", level)
     out = out.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("level", F.coalesce("line", F.lit(0)), "target", "provenance")))
     called = calls.select(F.col("target").alias("source"), F.lit(True).alias("called")).distinct()
-    into = calls.join(known.withColumnRenamed("fqn", "source"), "source", "left").join(called, "source", "left")
+    into = of("target").join(known.withColumnRenamed("fqn", "source"), "source", "left").join(called, "source", "left")
     exported = F.coalesce("exported", F.lit(False))
     order = [F.desc(exported & F.col("called").isNull()), F.desc(exported), "source", F.coalesce("line", F.lit(0)), "provenance"]
     into = into.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order))).withColumn("n", F.count("*").over(Window.partitionBy("target")))
@@ -145,7 +146,7 @@ def expand_pool(pool: DataFrame, symbols: DataFrame, chunks: DataFrame, edges: D
     around = covered(bare.select("path", "line").distinct()).select("path", "line", F.col("id").alias("chunk_id"))
     at = own.unionByName(bare.join(around, ["path", "line"]).select("fqn", "chunk_id"))
 
-    out, into = _ranked_calls(edges, symbols)
+    out, into = _ranked_calls(edges, symbols, code.select("fqn").distinct())
     into = into.where((F.col("n") <= caller_limit) | (F.col("place") <= callers_kept))
     callees = code.join(out.withColumnRenamed("source", "fqn"), "fqn").select(*keys, F.col("target").alias("fqn"), "provenance", "place", F.lit(2).alias("channel"))
     callers = code.join(into.withColumnRenamed("target", "fqn"), "fqn").select(*keys, F.col("source").alias("fqn"), "provenance", "place", F.lit(3).alias("channel"))
@@ -154,15 +155,16 @@ def expand_pool(pool: DataFrame, symbols: DataFrame, chunks: DataFrame, edges: D
     made = edges.where("kind = 'registers' and line is not null").select(F.col("target").alias("fqn"), F.col("source").alias("path"), "line", "provenance")
     routes = code.join(made, ["fqn", "path"]).select(*keys, "path", "line", "provenance", F.col("line").alias("place"), F.lit(0).alias("channel"))
     exports = edges.where("kind = 'imports'").where(F.endswith("source", F.lit("__init__.py"))).select(name_tail(F.col("target")).alias("tail"), F.col("source").alias("path")).distinct()
-    exports = exports.withColumn("place", F.row_number().over(Window.partitionBy("tail").orderBy("path")))
+    exports = exports.join(code.select(name_tail(F.col("fqn")).alias("tail")), "tail", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("tail").orderBy("path")))
     sites = code.select(*keys, name_tail(F.col("fqn")).alias("tail")).join(exports, "tail").select(*keys, "path", F.lit(1).alias("line"), F.lit("re-export").alias("provenance"), "place", F.lit(1).alias("channel"))
     spots = routes.unionByName(sites)
     found = found.unionByName(spots.join(covered(spots.select("path", "line").distinct()), ["path", "line"]).select(*keys, "provenance", "place", "channel", F.col("id").alias("chunk_id")))
 
     links = references.where("not stale").select("spec", "symbol", "provenance")
     order = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy(other, "provenance"))
-    to_specs = links.withColumn("place", order("symbol", "spec")).select(F.col("symbol").alias("parent"), F.col("spec").alias("chunk_id"), "provenance", "place")
-    to_code = links.withColumn("place", order("spec", "symbol")).select(F.col("spec").alias("parent"), F.col("symbol").alias("chunk_id"), "provenance", "place")
+    links_of = lambda side, seeds: links.join(seeds.select(F.col("parent").alias(side)), side, "left_semi")
+    to_specs = links_of("symbol", code).withColumn("place", order("symbol", "spec")).select(F.col("symbol").alias("parent"), F.col("spec").alias("chunk_id"), "provenance", "place")
+    to_code = links_of("spec", top.where("kind = 'spec'")).withColumn("place", order("spec", "symbol")).select(F.col("spec").alias("parent"), F.col("symbol").alias("chunk_id"), "provenance", "place")
     told = code.join(to_specs, "parent").unionByName(top.where("kind = 'spec'").join(to_code, "parent"))
     told = told.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select(*keys, "provenance", "place", F.lit(4).alias("channel"), "chunk_id")
 

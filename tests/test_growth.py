@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, fixpoint, gap, intervals, linking, parse, phrases, recall, rendering, scopes, tables, usage, words
+from lodestone.operators import chunking, fixpoint, gap, graph, intervals, linking, parse, phrases, recall, rendering, scopes, tables, usage, words
 from lodestone.plans import catalog, operations
 from lodestone.sources import sinks
 
@@ -216,3 +216,11 @@ def test_lines_are_taken_from_anchors(spark):
             assert got[n] == [start + x for x in want]
     # no line is held against all anchors
     assert "array_position" not in planned(shown)
+
+
+def test_only_calls_of_seeds_are_ranked(spark):
+    edges = spark.createDataFrame([("a", "b", "calls", 2, "parsed"), ("a", "c", "calls", 1, "parsed"), ("b", "a", "calls", 1, "parsed"), ("c", "a", "calls", 1, "parsed"), ("d", "c", "calls", 1, "parsed"), ("d", "b", "calls", 1, "parsed")], "source string, target string, kind string, line int, provenance string")
+    symbols = spark.createDataFrame([(n, "k" + n, n == "c") for n in "abcd"], "fqn string, chunk_id string, is_exported boolean")
+    out, into = graph._ranked_calls(edges, symbols, spark.createDataFrame([("a",)], "fqn string"))
+    assert sorted((r["source"], r["target"], r["place"]) for r in out.collect()) == [("a", "b", 2), ("a", "c", 1)]
+    assert sorted((r["source"], r["target"], r["place"], r["n"]) for r in into.collect()) == [("b", "a", 2, 2), ("c", "a", 1, 2)]
