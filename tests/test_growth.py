@@ -70,6 +70,18 @@ def test_section_links_meet_each_symbol_once(spark):
     assert "Window" not in planned(got)
 
 
+def test_section_links_are_not_broadcast_by_the_size_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BLOCK", 8)
+    spark.range(600).selectExpr("id", "'q.' || id % 3 AS fqn").write.parquet(f"{tmp_path}/symbols")
+    spark.range(90).selectExpr("id % 30 AS spec", "IF(id % 2 = 0, 'q.', 'r::') || id % 4 AS mention").write.parquet(f"{tmp_path}/mentions")
+    spark.range(900).selectExpr("id % 10 AS spec", "id % 590 AS symbol").distinct().write.parquet(f"{tmp_path}/known")
+    symbols, mentions, known = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("symbols", "mentions", "known"))
+    got = tables.link_sections(mentions, symbols, known)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(n % 30, i) for n in range(90) for i in range(600) if i % 3 == n % 4} - {(n % 10, n % 590) for n in range(900)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_gaps_beside_repeated_ranges(spark):
     ranges = [(f"o{n}", a, b) for n in range(500) for a, b in ((7, 16), (14, 15), (28, 43), (28, 43), (42, 64), (42, 72), (49, 58))]
     rows = spark.createDataFrame(ranges, "path string, start_line int, end_line int").repartition(8)
