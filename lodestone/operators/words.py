@@ -7,6 +7,7 @@ thousandfold of ln(total / n); of paths of equal cost the one with the longer la
 
 from __future__ import annotations
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +33,30 @@ def _may_hold(grams: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``grams`` (block, word) without those that a bitmap of ``BITS`` bits, whatever the dictionary's size, tells to be no words of it."""
     bit = F.xxhash64("word").bitwiseAND(F.lit(BITS - 1))
     bitmap = dictionary.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    # the bytes of a bucket are told once, so that looking one up makes no string
+    told = F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.conv(F.hex(F.substring("bits", i, F.lit(1))), 16, 10).cast("int"))
     rows = grams.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("bit", F.bitmap_bit_position(bit).cast("int"))
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bitmap), "bucket").where(F.get(F.array(*(F.lit(1 << i) for i in range(8))), F.col("bit") % 8).bitwiseAND(byte) != 0).select("block", "word")
-
-
-def _best_words(run: str, costs: dict[str, int], unknown: int, longest: int) -> list[str]:
-    best, back = [0], [0]
-    for end in range(1, len(run) + 1):
-        least = None
-        for start in range(max(end - longest, 0), end):
-            cost = costs.get(run[start:end], unknown if end - start == 1 else None)
-            if cost is not None and (least is None or best[start] + cost < least):
-                least, first = best[start] + cost, start
-        best.append(least)
-        back.append(first)
+    byte = F.get("told", F.shiftright("bit", 3))
+    return rows.join(F.broadcast(bitmap.select("bucket", told.alias("told"))), "bucket").where(F.getbit(byte, F.col("bit") % 8) == 1).select("block", "word")
+
+
+def _best_words(run: str, machine: ahocorasick.Automaton | None, unknown: int) -> list[str]:
+    """The words of the least path; ``machine`` finds (length, cost) of the words that end at a place, longer ones first."""
+    best, back, last = [0], [0], -1
+    for at, (size, cost) in machine.iter(run) if machine else ():
+        if at == last:
+            total = best[last + 1 - size] + cost
+            if total < best[-1] or (total == best[-1] and back[-1] == last):
+                best[-1], back[-1] = total, last + 1 - size
+            continue
+        for place in range(last + 1, at):
+            best.append(best[place] + unknown)
+            back.append(place)
+        total, alone = best[at + 1 - size] + cost, best[at] + unknown
+        best.append(min(total, alone))
+        back.append(at + 1 - size if total <= alone else at)
+        last = at
+    back += range(last + 1, len(run))
     out, pos = [], len(run)
     while pos:
         out.append(run[back[pos] : pos])
@@ -64,15 +74,18 @@ def segmented_runs(runs: DataFrame, dictionary: DataFrame, longest: int = LONGES
     priced = dictionary.crossJoin(F.broadcast(total)).select("word", F.round(1000 * F.log(F.col("total") / F.col("n"))).cast("long").alias("cost"))
     chars = runs.agg(F.sum(F.length("run"))).first()[0] or 0
     dealt = runs.select(F.pmod(F.xxhash64("run"), F.lit(chars // BLOCK_CHARS + 1)).alias("block"), "run")
-    size = F.length("run")
-    starts = dealt.select("block", "run", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    grams = starts.select("block", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1)), lambda n: F.substring("run", F.col("start"), n))).alias("word"))
+    starts = dealt.select("block", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
+    ahead = starts.select("block", F.substring("run", F.col("start"), F.lit(longest)).alias("ahead"))
+    grams = ahead.select("block", F.explode(F.array(*(F.substring("ahead", 1, n) for n in range(1, longest + 1)))).alias("word"))
     known = _may_hold(grams, dictionary).distinct().join(priced, "word").select(F.col("block").alias("at"), "word", "cost")
     unknown = F.round(1000 * F.log("total")).cast("long").alias("unknown")
 
     def lattice(runs_: pd.DataFrame, known_: pd.DataFrame) -> pd.DataFrame:
-        costs = dict(zip(known_["word"], known_["cost"].tolist(), strict=True))
-        told = [(run, _best_words(run, costs, one, longest)) for run, one in zip(runs_["run"], runs_["unknown"].tolist(), strict=True)]
+        machine = ahocorasick.Automaton()
+        for word, cost in zip(known_["word"], known_["cost"].tolist(), strict=True):
+            machine.add_word(word, (len(word), cost))
+        machine.make_automaton()
+        told = [(run, _best_words(run, machine if len(machine) else None, one)) for run, one in zip(runs_["run"], runs_["unknown"].tolist(), strict=True)]
         return pd.DataFrame(told, columns=["run", "words"])
 
     priced_runs = dealt.crossJoin(F.broadcast(total)).select("block", "run", unknown)

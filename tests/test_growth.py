@@ -1,6 +1,7 @@
 """Operators whose work must follow their rows, and results that must not depend on the order in which tasks bring them."""
 
 import functools
+import math
 import operator
 import os
 import random
@@ -26,6 +27,22 @@ def test_substrings_do_not_carry_their_run(spark):
     assert {r["run"]: "".join(r["words"]) for r in told.collect()} == {"天地人和" * n: "天地人和" * n for n in range(1, 40)}
 
 
+def test_words_of_a_place_are_found_not_tried(spark):
+    rng = random.Random(8)
+    priced = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))): rng.choice([1, 2, 4, 8]) for _ in range(40)}
+    runs = sorted({"".join(rng.choice("abz") for _ in range(rng.randint(1, 30))) for _ in range(300)})
+    cost = lambda w: round(1000 * math.log(sum(priced.values()) / priced[w])) if w in priced else round(1000 * math.log(sum(priced.values()))) if len(w) == 1 else None
+    want = {}
+    for run in runs:
+        best = [(0, 0, [])]
+        for end in range(1, len(run) + 1):
+            best.append(min((best[at][0] + cost(run[at:end]), at, [*best[at][2], run[at:end]]) for at in range(max(end - 6, 0), end) if cost(run[at:end]) is not None))
+        want[run] = best[-1][2]
+    told = words.segmented_runs(spark.createDataFrame([(r,) for r in runs], "run string"), spark.createDataFrame(sorted(priced.items()), "word string, n long"), longest=6)
+    assert {r["run"]: r["words"] for r in told.collect()} == want
+    assert all("lambda" in line for line in planned(told).splitlines() if "conv(" in line)  # bytes are told for buckets, not for each substring
+
+
 def test_first_members_without_pairs(spark):
     rng = random.Random(3)
     rows = [("p", f"C{rng.randint(0, 3)}", "class", a, a + rng.randint(0, 9)) for a in (rng.randint(1, 60) for _ in range(60))]
