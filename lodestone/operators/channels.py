@@ -126,7 +126,7 @@ def literal_recall(chunks: DataFrame, symbols: DataFrame, phrases: DataFrame, qu
     parts = [phrases.where(c) for c in (F.col("strong") & spaced, F.col("strong") & ~spaced, ~F.col("strong"))]
     asked = parts[0].select(F.col("phrase").alias("needle"), F.col("phrase").alias("words")).distinct()
     found = [
-        (recall.phrase(chunks, "chunk_id", "content", asked, "needle", "words", k) if positions is None else phrase_top_k(positions, "chunk_id", asked, "needle", "words", k)).select("needle", "chunk_id", F.col("rank").alias("place")),
+        (recall.scanned_phrase(chunks, "chunk_id", "content", asked, "needle", "words", k) if positions is None else phrase_top_k(positions, "chunk_id", asked, "needle", "words", k)).select("needle", "chunk_id", F.col("rank").alias("place")),
         literal_many(chunks, parts[1].select(F.col("phrase").alias("needle")), k).select("needle", "chunk_id", F.col("rank").alias("place")),
         names_many(symbols, parts[2].select(F.col("phrase").alias("needle"))).select("needle", "chunk_id", F.col("rank").alias("place")),
     ]

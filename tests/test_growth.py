@@ -10,7 +10,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import chunking, fixpoint, gap, graph, intervals, linking, parse, phrases, recall, rendering, scopes, tables, usage, words
+from lodestone.operators import channels, chunking, fixpoint, gap, graph, intervals, linking, parse, phrases, recall, rendering, scopes, tables, usage, words
 from lodestone.plans import catalog, operations
 from lodestone.sources import sinks
 
@@ -175,6 +175,21 @@ def test_phrases_are_met_by_pairs_of_words(spark):
     assert re.search("zip_?with", planned(got).lower())
 
 
+def test_literal_recall_makes_no_pairs_of_words(spark, monkeypatch):
+    texts = ["a b c", "c b a", "x A, B. c a b c", None, "a", "a b b c", "", "a b a b a", "ab", "\u212a b a\u00e9b a  b"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    asked = spark.createDataFrame([(6, "B  a"), (7, "a b c"), (8, "a"), (9, "b b"), (10, "a b a"), (11, "a-b"), (12, None)], "q long, asked string")
+    rows = lambda t: sorted((r["q"], r["k"], r["times"], r["rank"]) for r in t.collect())
+    got = rows(recall.scanned_phrase(chunks, "k", "text", asked, "q", "asked", 3))
+    assert got == rows(recall.phrase(chunks, "k", "text", asked, "q", "asked", 3)) and len(got) == 11
+    monkeypatch.setattr(recall, "NEEDLES", 4)
+    assert got == rows(recall.scanned_phrase(chunks, "k", "text", asked, "q", "asked", 3))
+    monkeypatch.undo()
+    held = chunks.select(F.col("k").alias("chunk_id"), F.lit("f").alias("symbol_fqn"), F.col("text").alias("content"), F.lit("f").alias("name"))
+    phrases = asked.select("q", F.lit(0).alias("position"), F.col("asked").alias("phrase"), F.lit(True).alias("strong"))
+    assert not re.search("zip_?with", planned(channels.literal_recall(held, held, phrases, "q")).lower())
+
+
 def test_a_place_is_looked_up_once_however_deep_its_scopes(spark):
     scope = spark.createDataFrame([("f", f"s{n:02}", n, 200 - n) for n in range(60)] + [("f", "t", 100, 100), ("g", "s00", 0, 9)], "path string, scope string, start int, end int")
     names = spark.createDataFrame([("f", f"s{n:02}", "x", n) for n in range(0, 60, 2)] + [("f", "t", "x", 99), ("g", "s00", "x", None)], "path string, scope string, name string, value int")
